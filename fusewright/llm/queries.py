@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fusewright.llm.chat_rotation import rotate_perspectives
 from fusewright.llm.common import table
+from fusewright.llm.packing import pack_documents
 from fusewright.llm.quality_rules import quality_verdicts
 from fusewright.llm.sharding import shard_documents
 from fusewright.llm.url_filter import UrlRule, judge_urls
@@ -21,6 +23,10 @@ URL_RULES = [
 N_SHARDS = 8
 
 
+def op1_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -40,7 +46,7 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_rotation, op3_quality_rules, op5_url_filter, op8_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op5_url_filter, op8_virtual_slots)}
 
 ORACLE_SQL = {
     "op2_chat_rotation": """
