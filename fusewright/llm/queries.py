@@ -12,6 +12,7 @@ from fusewright.llm.common import table
 from fusewright.llm.packing import pack_documents
 from fusewright.llm.quality_rules import quality_verdicts
 from fusewright.llm.sharding import shard_documents
+from fusewright.llm.simhash import simhash_components
 from fusewright.llm.url_filter import UrlRule, judge_urls
 from fusewright.llm.warc import archive_pages
 
@@ -48,12 +49,17 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash_components(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op5_url_filter, op8_virtual_slots, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op5_url_filter, op8_virtual_slots, op9_simhash, op10_warc)}
 
 ORACLE_SQL = {
     "op2_chat_rotation": """
