@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fusewright.functions.storage import scratch
 from fusewright.llm.chat_rotation import rotate_perspectives
 from fusewright.llm.common import table
+from fusewright.llm.decontamination import UNITS, find_leaks
 from fusewright.llm.packing import pack_documents
 from fusewright.llm.quality_rules import quality_verdicts
 from fusewright.llm.sharding import shard_documents
@@ -43,6 +44,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The law is ``bytes``: slots go to shards by the bytes they hold."""
     placed = shard_documents(table(spark, sf_dir, "documents"), N_SHARDS)
@@ -59,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op5_url_filter, op8_virtual_slots, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op5_url_filter, op6_template_decontamination, op8_virtual_slots, op9_simhash, op10_warc)}
 
 ORACLE_SQL = {
     "op2_chat_rotation": """
@@ -137,6 +142,40 @@ WITH u AS (
   FROM p LEFT JOIN r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op6_template_decontamination": r"""
+WITH raw AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(coalesce(text, ''), '\$?[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{M}]+|[.!?\n]') AS w FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(coalesce(text, ''), '\$?[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{M}]+|[.!?\n]') FROM benchmark
+), typed AS (
+  SELECT side, id, list_filter(list_transform(w, lambda x, i: struct_pack(value := x, template := CASE
+      WHEN x IN ('.', '!', '?', chr(10)) THEN NULL
+      WHEN regexp_matches(x, '^[$0-9]') THEN '<number>'
+      WHEN i > 1 AND regexp_matches(w[i - 1], '^[$0-9]') AND lower(x) IN (UNIT_LIST) THEN '<unit>'
+      WHEN i > 1 AND w[i - 1] NOT IN ('.', '!', '?', chr(10)) AND lower(x) <> x AND length(x) > 1 AND substr(x, 2) = lower(substr(x, 2)) THEN '<name>'
+      ELSE lower(x) END)), lambda t: t.template IS NOT NULL) AS t FROM raw
+), win AS (
+  SELECT side, id, unnest(range(0, len(t) - 7)) AS p, unnest(list_transform(range(0, len(t) - 7), lambda p: list_transform(t[p + 1:p + 8], lambda y: y.template))) AS g FROM typed
+), m AS (
+  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.p - b.p AS shift, b.p AS p FROM win d JOIN win b ON d.g = b.g WHERE d.side = 'd' AND b.side = 'b'
+), slots AS (
+  SELECT side, id, unnest(range(0, len(t))) AS p, unnest(t) AS t FROM typed
+), pairs AS (
+  SELECT DISTINCT m.doc_id, m.item_id, m.shift, b.t.template AS kind, b.t.value AS ours, d.t.value AS theirs
+  FROM (SELECT DISTINCT doc_id, item_id, shift, unnest(range(p, p + 8)) AS p FROM m) m
+  JOIN slots b ON b.side = 'b' AND b.id = m.item_id AND b.p = m.p AND b.t.template IN ('<number>', '<name>', '<unit>')
+  JOIN slots d ON d.side = 'd' AND d.id = m.doc_id AND d.p = m.p + m.shift
+), bad AS (
+  SELECT DISTINCT doc_id, item_id, shift FROM pairs GROUP BY doc_id, item_id, shift, kind, ours HAVING count(*) > 1
+), ok AS (
+  SELECT doc_id, item_id, p FROM m WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = m.doc_id AND bad.item_id = m.item_id AND bad.shift = m.shift)
+), covered AS (
+  SELECT doc_id, item_id, count(DISTINCT p) AS matched_windows FROM ok GROUP BY ALL
+), tokens AS (
+  SELECT doc_id, item_id, count(DISTINCT x) AS covered_tokens FROM (SELECT doc_id, item_id, unnest(range(p, p + 8)) AS x FROM ok) GROUP BY ALL
+)
+SELECT c.doc_id, c.item_id, CAST(matched_windows AS INT) AS matched_windows, CAST(covered_tokens AS INT) AS covered_tokens, CAST(len(t.t) AS INT) AS item_tokens
+FROM covered c JOIN tokens k ON c.doc_id = k.doc_id AND c.item_id = k.item_id JOIN typed t ON t.side = 'b' AND t.id = c.item_id
+WHERE covered_tokens >= 0.5 * len(t.t)""".replace("UNIT_LIST", ", ".join(f"'{u}'" for u in UNITS)),
     "op10_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
