@@ -10,6 +10,7 @@ from fusewright.functions.storage import scratch
 from fusewright.llm.chat_rotation import rotate_perspectives
 from fusewright.llm.common import table
 from fusewright.llm.decontamination import UNITS, find_leaks
+from fusewright.llm.line_dedup import dedup_lines
 from fusewright.llm.packing import pack_documents
 from fusewright.llm.quality_rules import quality_verdicts
 from fusewright.llm.sharding import shard_documents
@@ -40,6 +41,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("row.doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.col("row.text").alias("text"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -64,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op5_url_filter, op6_template_decontamination, op8_virtual_slots, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op8_virtual_slots, op9_simhash, op10_warc)}
 
 ORACLE_SQL = {
     "op2_chat_rotation": """
