@@ -22,6 +22,8 @@ repeat a doc_id are packed as rows of their own; empty tables give an empty resu
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
@@ -41,17 +43,20 @@ MAX_ROUNDS = 6000
 #: Share of each class that the program plans; the rest is the stock from which best fit closes the rooms left by rounding.
 PLANNED = 0.8
 SALTS = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_PARTS = 500_000, 1_000_000
 #: The plan is broadcast up to so many intervals, and joined by a shuffle beyond.
 BROADCAST_INTERVALS = 500_000
 
 _WORKER: dict[str, WordCache] = {}
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
 
 
 class WordCache:
     """Token ids, as little-endian unsigned 32-bit integers, by word between ASCII spaces.
 
-    The vocabulary drops white space before it splits, so no token crosses a space and a text's ids are its words' ids in turn.
+    The vocabulary drops white space before it splits, so no token crosses a space and a text's ids
+    are its words' ids in turn. It also lower-cases and splits letters from punctuation, so a plain word with
+    punctuation at its end has the ids of its lower-case letters, then those of its end; only these parts are encoded.
     """
 
     def __init__(self, path: str):
@@ -61,21 +66,37 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: set[bytes]) -> None:
+        cut = {}
+        for w in words:
+            text = w.decode()
+            plain = _PLAIN.fullmatch(text)
+            cut[w] = (plain[1].lower(), plain[2]) if plain else (text, "")
+        todo = list({p for pair in cut.values() for p in pair}.difference(self.parts))
+        if len(self.parts) + len(todo) > CACHED_PARTS:
+            self.parts = {"": b""}
+            todo = list({p for pair in cut.values() for p in pair if p})
+        for k in range(0, len(todo), 10_000):
+            part = todo[k : k + 10_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.parts[p] = struct.pack(f"<{len(e)}I", *e.ids)
+        parts = self.parts
+        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        missing = {w for words in split for w in words}.difference(self.ids)
-        if len(self.ids) + len(missing) > CACHED_WORDS:
-            self.ids = {}
-            missing = {w for words in split for w in words}
-        todo = list(missing)
-        for k in range(0, len(todo), 10_000):
-            part = todo[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.ids.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        known = self.words
+        new = {w for words in split for w in words if w not in known}
+        self._learn(new)
+        get = self.words.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        if len(self.words) > CACHED_WORDS:  # the first words seen are the frequent ones
+            for w in new:
+                del self.words[w]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
