@@ -13,6 +13,7 @@ from fusewright.llm.decontamination import UNITS, find_leaks
 from fusewright.llm.line_dedup import dedup_lines
 from fusewright.llm.packing import pack_documents
 from fusewright.llm.quality_rules import quality_verdicts
+from fusewright.llm.repeats import remove_repeats
 from fusewright.llm.sharding import shard_documents
 from fusewright.llm.simhash import simhash_components
 from fusewright.llm.url_filter import UrlRule, judge_urls
@@ -53,6 +54,10 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The law is ``bytes``: slots go to shards by the bytes they hold."""
     placed = shard_documents(table(spark, sf_dir, "documents"), N_SHARDS)
@@ -69,7 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op8_virtual_slots, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op7_repeats, op8_virtual_slots, op9_simhash, op10_warc)}
 
 ORACLE_SQL = {
     "op2_chat_rotation": """
