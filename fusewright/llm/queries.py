@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op7_repeats, op8_virtual_slots, op9_simhash, op10_warc)}
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 ORACLE_SQL = {
     "op2_chat_rotation": """
 WITH t AS (

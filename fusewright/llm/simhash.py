@@ -12,9 +12,9 @@ In a block the fingerprints are stored as bit planes. All distances from a group
 advance one plane at a time in carry-save counters of a few words per 64 lanes, and a group
 is abandoned once every lane is past the radius.
 
-``similar_documents`` is the same for word shingles and a Jaccard similarity: blocks come
-from min-wise bands, the bit-sliced distances drop what cannot be similar, and the exact
-similarity decides.
+``similar_classes`` does it for a Jaccard similarity of word shingles: blocks come from min-wise
+bands, since the radius that such a similarity needs leaves no band of bits in common; the bit-sliced
+distances drop what cannot be similar, and the exact similarity decides.
 
 Defined results: a null text has no words; texts without words have fingerprint zero; texts
 shorter than a shingle are one shingle; rows that repeat a doc_id keep their own fingerprint and
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
 from fusewright.llm.common import map_batches, ship, utf8
+from fusewright.llm.near import band_keys, fetch_by_id, mix, similar_stars
 from fusewright.operators.components import component_stars
 
 BITS = 64
@@ -42,6 +43,8 @@ BLOCK = 2048
 QUERIES = 64
 LANES = 1 << 16
 SEED = 42
+#: Shingle sets of a Jaccard similarity of 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9; beyond this radius they are not compared.
+SIMILAR_RADIUS = 20
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -238,3 +241,78 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = materialize(rooted.join(materialize(least, "least"), "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _words(raw: bytes) -> bytes:
+    return b" ".join(raw.lower().split())
+
+
+def _text_id(words: bytes) -> int:
+    h = xxhash.xxh64_intdigest(words, SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _similar_keys(docs: DataFrame, width: int) -> DataFrame:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        texts = {_text_id(w): w for t in utf8(batch.column("text")) if (w := _words(t))}
+        out: list[list[np.ndarray]] = [[], [], []]
+        items = list(texts.items())
+        for k in range(0, len(items), 256):
+            part = items[k : k + 256]
+            hashes = [shingle_hashes(w, width) for _, w in part]
+            owner = np.repeat(np.arange(len(part)), [len(h) for h in hashes])
+            keys = band_keys(mix(np.concatenate(hashes)), owner, len(part))
+            out[0].append(keys.ravel())
+            out[1].append(np.repeat(np.array([i for i, _ in part], np.int64), keys.shape[1]))
+            out[2].append(np.repeat(np.array([fingerprint(h) for h in hashes], np.int64), keys.shape[1]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["key", "id", "fp"]) if items else None
+
+    return map_batches(docs.select("text"), work, "key long, id long, fp long")
+
+
+def _similar_bodies(docs: DataFrame) -> DataFrame:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = {_text_id(w): w for t in utf8(batch.column("text")) if (w := _words(t))}
+        return pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()), pa.binary())], ["id", "body"])
+
+    return map_batches(docs.select("text"), work, "id long, body binary")
+
+
+def possibly_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return pair_links(a.view(np.uint64), b.view(np.uint64), SIMILAR_RADIUS)
+
+
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """row_key (of doc_id and text), doc_id, class_id (its smallest doc_id) and kept_key (the row_key that stands for the class) of each row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def identify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = [_text_id(_words(t)) for t in utf8(batch.column("text"))]
+        return pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(ids, pa.int64())], ["row_key", "doc_id", "id"])
+
+    def alike(x: bytes, y: bytes, cache: dict) -> bool:
+        if cache.get("text") != y:
+            cache["text"], cache["set"] = y, np.unique(shingle_hashes(y, width))
+        b = cache["set"]
+        a = np.unique(shingle_hashes(x, width))
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (len(a) + len(b) - both)
+
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+    rows = materialize(map_batches(keyed, identify, f"row_key long, doc_id {kind}, id long"), "rows")
+    stars = similar_stars(_similar_keys(docs, width), lambda ids: fetch_by_id(_similar_bodies(docs), ids), alike, possibly_similar)
+    firsts = rows.groupBy("id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    rooted = materialize(firsts.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    classes = materialize(rooted.join(materialize(kept, "kept"), "root").select("id", F.col("kept.doc_id").alias("class_id"), F.col("kept.row_key").alias("kept_key")), "classes")
+    return rows.join(classes, "id").select("row_key", "doc_id", "class_id", "kept_key")
+
+
+def remove_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of one document per class of near-duplicates: the one with the smallest doc_id. Of rows equal in doc_id and text one stays."""
+    classes = materialize(similar_classes(docs, width, similarity), "classes")
+    stays = classes.filter("row_key = kept_key").groupBy("row_key").agg(F.count("*").alias("times"))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct("*").alias("row"))
+    kept = keyed.join(materialize(stays, "stays"), "row_key")
+    again = kept.filter("times > 1").withColumns({"a": F.col("row.doc_id"), "b": F.col("row.text")}).dropDuplicates(["a", "b"])
+    return kept.filter("times = 1").select("row.*").unionByName(again.select("row.*"))
