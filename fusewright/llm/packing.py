@@ -28,6 +28,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,6 @@ CACHED_WORDS, CACHED_PARTS = 500_000, 1_000_000
 #: The plan is broadcast up to so many intervals, and joined by a shuffle beyond.
 BROADCAST_INTERVALS = 500_000
 
-_WORKER: dict[str, WordCache] = {}
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
 
 
@@ -99,6 +99,12 @@ class WordCache:
         return out
 
 
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """The worker process's cache; as a function of this module it outlives the task, which a captured object would not."""
+    return WordCache(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -106,12 +112,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     width = 4 * capacity
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if tokenizer not in _WORKER:
-            _WORKER[tokenizer] = WordCache(tokenizer)
+        cache = word_cache(tokenizer)
         rows: list[tuple[int, int, int, int, int]] = []
         texts = utf8(batch.column("text"))
         for first in range(0, len(texts), 256):
-            for at, ids in enumerate(_WORKER[tokenizer].encode(texts[first : first + 256]), first):
+            for at, ids in enumerate(cache.encode(texts[first : first + 256]), first):
                 ids += end
                 rows += [(at, k, k * capacity, len(part := ids[k * width : (k + 1) * width]) // 4, zlib.crc32(part)) for k in range(-(-len(ids) // width))]
         cols = list(zip(*rows))
