@@ -22,6 +22,7 @@ repeat a doc_id are packed as rows of their own; empty tables give an empty resu
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -49,54 +50,57 @@ CACHED_WORDS, CACHED_PARTS = 500_000, 1_000_000
 BROADCAST_INTERVALS = 500_000
 
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
+#: Byte-level vocabularies write the bytes 0x80 to 0xa0 and 0xad of UTF-8 as characters from U+0122 on, in turn, and others as themselves.
+_SHIFTED = {b: chr(0x122 + k) for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
+_ALPHABET = {c: "".join(_SHIFTED.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
-class WordCache:
+class _Parts(dict):
+    """Ids by lower-case letters or by punctuation, straight from the tokenizer's model, whose alphabet stands for UTF-8 bytes."""
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self.tokenize = tokenizer.model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        ids = [t.id for t in self.tokenize(part if part.isascii() else part.translate(_ALPHABET))]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < CACHED_PARTS:
+            self[part] = packed
+        return packed
+
+
+class WordCache(dict):
     """Token ids, as little-endian unsigned 32-bit integers, by word between ASCII spaces.
 
     The vocabulary drops white space before it splits, so no token crosses a space and a text's ids
     are its words' ids in turn. It also lower-cases and splits letters from punctuation, so a plain word with
-    punctuation at its end has the ids of its lower-case letters, then those of its end; only these parts are encoded.
+    punctuation at its end has the ids of its lower-case letters, then those of its end. The words and parts seen first, which the frequent
+    ones are among, are kept.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: set[bytes]) -> None:
-        cut = {}
-        for w in words:
-            text = w.decode()
-            plain = _PLAIN.fullmatch(text)
-            cut[w] = (plain[1].lower(), plain[2]) if plain else (text, "")
-        todo = list({p for pair in cut.values() for p in pair}.difference(self.parts))
-        if len(self.parts) + len(todo) > CACHED_PARTS:
-            self.parts = {"": b""}
-            todo = list({p for pair in cut.values() for p in pair if p})
-        for k in range(0, len(todo), 10_000):
-            part = todo[k : k + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.parts[p] = struct.pack(f"<{len(e)}I", *e.ids)
-        parts = self.parts
-        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.words
-        new = {w for words in split for w in words if w not in known}
-        self._learn(new)
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        if len(self.words) > CACHED_WORDS:  # the first words seen are the frequent ones
-            for w in new:
-                del self.words[w]
-        return out
+        self.parts = _Parts(self.tokenizer)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text)
+        if plain:
+            packed = self.parts[plain[1].lower()] + self.parts[plain[2]]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < CACHED_WORDS:
+            self[word] = packed
+        return packed
+
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=1)
@@ -115,10 +119,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         cache = word_cache(tokenizer)
         rows: list[tuple[int, int, int, int, int]] = []
         texts = utf8(batch.column("text"))
-        for first in range(0, len(texts), 256):
-            for at, ids in enumerate(cache.encode(texts[first : first + 256]), first):
-                ids += end
-                rows += [(at, k, k * capacity, len(part := ids[k * width : (k + 1) * width]) // 4, zlib.crc32(part)) for k in range(-(-len(ids) // width))]
+        for at, text in enumerate(texts):
+            ids = cache.encode(text) + end
+            rows += [(at, k, k * capacity, len(part := ids[k * width : (k + 1) * width]) // 4, zlib.crc32(part)) for k in range(-(-len(ids) // width))]
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]],
