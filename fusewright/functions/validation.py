@@ -32,6 +32,8 @@ def violations(column: str, *, finite: bool = True, non_negative: bool = False,
 
 def check(df: DataFrame, counts: dict[str, Column]) -> None:
     """Raise for the first named count that is not zero."""
+    if not counts:
+        return
     row = df.agg(*[c.alias(f"c{k}") for k, c in enumerate(counts.values())]).head()
     for name, n in zip(counts, row):
         if n:
