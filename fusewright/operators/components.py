@@ -5,15 +5,45 @@ downwards; the edge set shrinks to stars around the least node of each component
 number of rounds that grows with the logarithm of the size. Each round's edges are
 written to the shared folder, so lineage stays short, executors may be lost, and a hub's
 side of a join can be split at run time because both sides are plain tables.
+
+Up to ``LOCAL_EDGES`` distinct edges, 16 bytes each, the rounds would cost more than the work: one task then
+joins them all in memory, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fusewright.functions.shipping import ship
 from fusewright.functions.storage import materialize
 
+LOCAL_EDGES = 1_000_000
+
+
+def _join_in_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
@@ -32,11 +62,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def component_stars(edges: DataFrame) -> DataFrame:
+def component_stars(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(u, v): every node of an edge but the least of its component, with that least node. Loops and nulls are passed over."""
     stars = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     stars = materialize(stars, "edges")
     before = _fingerprint(stars)
+    if 0 < before[0] <= local_edges and dict(stars.dtypes) == {"u": "bigint", "v": "bigint"}:
+        ship(edges.sparkSession)
+        return materialize(stars.coalesce(1).mapInArrow(_join_in_memory, "u long, v long"), "stars")
     while before[0]:
         stars = materialize(_small_star(materialize(_large_star(stars), "edges")), "edges")
         after = _fingerprint(stars)

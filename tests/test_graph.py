@@ -118,6 +118,10 @@ def test_random_and_long_components(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     assert rows(graph_labels(spark, 500, edges), "node") == [(k, find(k)) for k in range(500)]
+    table = spark.createDataFrame(edges, "u long, v long")
+    expected = [(k, find(k)) for k in range(500) if find(k) != k]
+    for local in (0, 10**6):  # by rounds, and in memory
+        assert rows(comp.component_stars(table, local), "u") == expected
 
 
 def test_disjoint_sets(spark):
