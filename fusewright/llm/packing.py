@@ -2,13 +2,13 @@
 
 1. Texts are tokenised and cut into pieces of at most ``capacity`` tokens.
 2. The driver reads the length histogram (at most ``capacity`` rows, whatever the input).
-3. Lengths are grouped into classes of ``capacity / UNITS`` tokens. The configuration program
+3. Lengths are grouped into classes, to the nearest ``capacity / UNITS`` tokens. The configuration program
    (fewest sequences so that every class is covered, one variable per way to fill a
    sequence) is solved by multiplicative weights: each class has a price, a knapsack
    dynamic program finds the filling of highest price, its variable grows by ``STEP`` of its scarcest
    class, and the prices of what it covers fall.
 4. The variables are scaled so that no class is over-covered and rounded down. Their slots
-   take real pieces, longest first; what remains is put by best fit into the room that is left,
+   take real pieces, longest first, while there is room; what remains is put by best fit into the room that is left,
    longest first, then into new sequences.
 5. The plan names runs of equal fillings, so its size follows the number of distinct
    lengths, not of documents. Pieces find their place by their rank among the pieces of equal length.
@@ -187,8 +187,9 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[Run]:
     """Runs of sequences that hold every piece of the histogram once."""
     left = {n: k for n, k in histogram.items() if k}
     unit = max(1, capacity // UNITS)
-    of = lambda n: -(-n // unit)
-    demand = np.zeros(-(-capacity // unit), np.int64)
+    of = lambda n: max(1, (n + unit // 2) // unit)
+    top = lambda c: c * unit + unit - unit // 2 - 1
+    demand = np.zeros(of(capacity), np.int64)
     for n in left:
         demand[of(n) - 1] += left[n]
     demand = (demand * PLANNED).astype(np.int64)
@@ -201,7 +202,7 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[Run]:
             room, chosen = capacity, []
             for c in slots:
                 # the class's longest piece; the last slot takes the longest that fits into what the classes' rounding left
-                at = bisect_right(stock, room if c is slots[-1] and len(chosen) == len(slots) - 1 else min(room, c * unit)) - 1
+                at = bisect_right(stock, room if c is slots[-1] and len(chosen) == len(slots) - 1 else min(room, top(c))) - 1
                 while at >= 0 and left[stock[at]] <= takes[stock[at]]:
                     at -= 1
                 if at >= 0:
