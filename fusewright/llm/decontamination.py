@@ -84,6 +84,7 @@ def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame, width:
     """(doc, item_id, shift) of the alignments in which an item's value stands for two values of the document."""
     ids = matches.select("doc").distinct()
     few = matches.count() <= BROADCAST_DOCS
+    docs = docs.select("doc_id", "text")
     values = slot_values(docs.join(F.broadcast(ids) if few else ids, F.col("doc").eqNullSafe(F.col("doc_id")), "left_semi"), "doc_id")
     theirs = values.select(F.col("doc_id").alias("d"), F.posexplode("slots").alias("at", "t")).filter(F.col("t.template").isin(NUMBER, NAME, UNIT)).select("d", "at", F.col("t.value").alias("doc_value"))
     ours = slot_values(items, "item_id").select(F.col("item_id").alias("i"), F.posexplode("slots").alias("at", "t")).filter(F.col("t.template").isin(NUMBER, NAME, UNIT))
@@ -124,4 +125,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIND
     leaks = materialize(find_leaks(docs, benchmark, width, coverage).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
     if leaks.count() <= BROADCAST_DOCS:
         leaks = F.broadcast(leaks)
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("leaked")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(leaks, F.col("row.doc_id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")
