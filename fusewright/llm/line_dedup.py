@@ -1,14 +1,14 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are lower-cased and their white space collapsed. Equal lines have one id; each distinct
-line gets a min-wise signature of its ``SHINGLE``-character shingles, bands of it name
+A line's id is the XXH64 of its bytes. Each distinct line, lower-cased and with its white space
+collapsed, gets a min-wise signature of its ``SHINGLE``-character shingles, bands of it name
 candidates, the exact Jaccard similarity of the shingle sets decides (``near.py``), and of every
 component of alike lines only the first is kept, by (doc_id, line number). Blank lines stay.
 
 Texts are never shuffled for the comparison: ids and keys are, and the texts of candidate lines.
 
 Defined results: a null text has no lines and stays null; a null doc_id comes first; rows that
-repeat a doc_id lose the same lines; of equal lines in one document the first stays; lines shorter than a shingle
+repeat a doc_id lose the same line numbers; of equal lines in one document the first stays; lines shorter than a shingle
 are one shingle; empty tables give empty results; other columns are kept in a struct, where no name clashes.
 """
 
@@ -21,99 +21,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
-from fusewright.llm.common import map_batches
-from fusewright.llm.near import band_keys, fetch_by_id, mix, similar_stars
+from fusewright.llm.common import map_batches, utf8
+from fusewright.llm.near import band_keys, cached, fetch_by_id, key_blocks, mix32, n_buckets, similar_stars, with_sketches
 
 SHINGLE, SIMILARITY = 7, 0.8
 CHUNK = 512
-_B = np.uint64(0x100000001B3)
+SEED = 42  # of Spark's xxhash64
+_B, _B2, _B3 = (np.uint32(0x01000193**k % (1 << 32)) for k in (1, 2, 3))
 
 
 def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_id(line: str) -> int:
-    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
-
-
-def line_ids(text: str | None) -> list[int | None]:
-    """Id of each line; None for a blank one."""
-    return [line_id(n) if (n := normalise(x)) else None for x in (text.split("\n") if text is not None else [])]
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all shingles of normalised lines, and the line of each."""
+    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(c) - SHINGLE + 1
+    two = c[:-1] * _B + c[1:]
+    four = two[:-2] * _B2 + two[2:]
+    three = two[:-1] * _B + c[2:]
+    h = four[:n] * _B3 + three[4 : 4 + n]  # seven characters
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    inside = np.arange(n) + SHINGLE <= ends[owner]  # no shingle crosses into the next line
+    return mix32(h[inside]), owner[inside]
 
 
 def shingle_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys of normalised lines."""
-    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(c) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        h = h * _B + c[k : len(c) - SHINGLE + 1 + k]
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
-    inside = np.arange(len(h)) + SHINGLE <= ends[owner]  # no shingle crosses into the next line
-    return band_keys(mix(h[inside]), owner[inside], len(padded))
+    return band_keys(*shingle_hashes(lines), len(lines))
 
 
 def shingles(line: str) -> set[str]:
+    """Shingles of a line as written, once normalised."""
+    line = normalise(line)
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def alike(x: str, y: str, cache: dict) -> bool:
     """Whether the exact Jaccard similarity of the shingle sets is at least ``SIMILARITY``."""
-    if cache.get("text") != y:
-        cache["text"], cache["set"] = y, shingles(y)
-    b = cache["set"]
-    if max(1, len(x) - SHINGLE + 1) < SIMILARITY * len(b):
+    a, b = cached(cache, x, shingles), cached(cache, y, shingles)
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return False
-    a = shingles(x)
     both = len(a & b)
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def _lines_of(batch: pa.RecordBatch) -> dict[int, str]:
-    """The distinct normalised lines of a batch, by id."""
-    return {line_id(n): n for t in batch.column("text").to_pylist() if t for x in t.split("\n") if (n := normalise(x))}
-
-
-def _occurrences(docs: DataFrame) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = pa.array([line_ids(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
-
-    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, ids array<long>")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, line (number), id and body of each line with a word."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    return rows.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "line", F.xxhash64("body").alias("id"), "body")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = _lines_of(batch)
+        found: dict[bytes, str] = {}
+        for raw in utf8(batch.column("text")):
+            for x in raw.split(b"\n"):
+                if x and x not in found and not x.isspace():
+                    found[x] = normalise(x.decode())
         if not found:
             return None
-        ids, lines = np.fromiter(found, np.int64, len(found)), list(found.values())
+        ids = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found)).view(np.int64)
+        lines = list(found.values())
         keys = np.concatenate([shingle_keys(lines[k : k + CHUNK]) for k in range(0, len(lines), CHUNK)])
-        flat = np.repeat(ids, keys.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(flat), pa.array(np.zeros(len(flat), np.int64))], ["key", "id", "fp"])
-
-    return map_batches(docs.select("text"), work, "key long, id long, fp long")
+        return key_blocks(keys, ids, None, buckets)
 
+    buckets = n_buckets(docs)
+    return map_batches(docs.select("text"), work, "bucket int, block binary")
 
-def _bodies(docs: DataFrame) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _lines_of(batch)
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["id", "body"])
 
-    return map_batches(docs.select("text"), work, "id long, body string")
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    bodies = fetch_by_id(lines_of(docs).select("id", "body"), ids)
+    return with_sketches(bodies, "string", lambda lines: shingle_hashes([normalise(x) for x in lines]))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, removed): the numbers (from 0) of the lines that go, for documents that lose any."""
-    lines = materialize(_occurrences(docs), "lines")
-    seen = lines.select("doc_id", F.posexplode("ids").alias("line", "id")).filter("id IS NOT NULL")
-    stars = similar_stars(_keys(docs), lambda ids: fetch_by_id(_bodies(docs), ids), alike)
+    seen = materialize(lines_of(docs).drop("body"), "lines")
+    stars = similar_stars(_keys(docs), 2, lambda ids: _texts(docs, ids), alike, SIMILARITY)
     firsts = materialize(seen.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "firsts")
     rooted = firsts.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = materialize(rooted, "rooted")

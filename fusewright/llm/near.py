@@ -5,10 +5,14 @@ keeps its least value, and an empty bin borrows from a bin that its own fixed pr
 full. ``BANDS`` bands of ``ROWS`` bins each make the keys: at a similarity of 0.8, 99.8 % of
 pairs share one.
 
-Texts that share a key are compared: all pairs of a group of up to ``ALL_PAIRS``, and in a larger
-one every text with ``CENTERS`` centers. Large groups are then looked at again until nothing is open: texts
-in one component need no further link, and texts outside the group's largest component become
-centers in turn, so every pair across components is compared in the end, however large the group.
+Texts that share a key form a group. First every text is compared with the least of its group, which joins
+most that belong together. Then only groups that hold several components are open, and all pairs of
+different components in them are looked at, by sketches: the parity of a text's shingles in ``SKETCH`` bits. Two parities
+differ in no more bits than the shingle sets have elements apart, so pairs too far apart are told in a few words
+and none that is similar is lost. What remains is joined from the closest pair on and verified exactly, until no group is open.
+Groups over ``CHUNK`` members are dealt as pairs of chunks, so no task holds a hot one.
+
+Keys travel as blocks of many, by bucket, which costs the shuffle far less than a row for each.
 """
 
 from __future__ import annotations
@@ -21,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
-from fusewright.llm.common import ship
+from fusewright.llm.common import map_batches, ship
 from fusewright.operators.components import component_stars
 
 BANDS, ROWS = 16, 5
 BINS = BANDS * ROWS
-ALL_PAIRS, CENTERS = 64, 16
+SKETCH, CHUNK = 2048, 16_384
+#: Closest pairs that a group has verified in one turn, for each of its members.
+PER_MEMBER = 16
+SKETCHED = 256
 #: Ids of candidate texts are sent to the scan that fetches the texts up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+CACHED_TEXTS = 2000
+_EMPTY = np.uint32(0xFFFFFFFF)
 _PROBES = np.random.RandomState(7).randint(0, BINS, (64, BINS))  # noqa: NPY002  fixed probe order
 
 
@@ -39,11 +47,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def mix32(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
 def band_keys(hashes: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
-    """(owners, BANDS) keys as int64 from mixed shingle hashes and the owner of each; every owner has a shingle."""
-    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+    """(owners, BANDS) keys as int64 from mixed 32-bit shingle hashes and the owner of each; every owner has a shingle."""
+    bins = ((hashes >> np.uint32(16)) * np.uint32(BINS)) >> np.uint32(16)
     sig = np.full(owners * BINS, _EMPTY)
-    np.minimum.at(sig, owner * BINS + bins.astype(np.int64), hashes & np.uint64(0xFFFFFFFF))
+    np.minimum.at(sig, owner * BINS + bins, hashes * np.uint32(0x9E3779B1))
     sig = sig.reshape(owners, BINS)
     full = sig != _EMPTY
     row, col = np.nonzero(~full)
@@ -52,118 +66,234 @@ def band_keys(hashes: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
             break
         source = probe[col]
         hit = full[row, source]
-        sig[row[hit], col[hit]] = sig[row[hit], source[hit]] + np.uint64((t + 1) << 32)
+        sig[row[hit], col[hit]] = sig[row[hit], source[hit]] + np.uint32((t + 1) * 0x632BE5AB & 0xFFFFFFFF)
         row, col = row[~hit], col[~hit]
     if len(row):  # few full bins: the next full one in circular order
         order = (col[:, None] + np.arange(1, BINS)) % BINS
         step = full[row[:, None], order].argmax(1)
-        sig[row, col] = sig[row, order[np.arange(len(row)), step]] + np.uint64(99 << 32)
+        sig[row, col] = sig[row, order[np.arange(len(row)), step]] + np.uint32(99)
     keys = np.zeros((owners, BANDS), np.uint64)
     for r in range(ROWS):
-        keys = mix(keys * np.uint64(31) + sig[:, r::ROWS][:, :BANDS] + np.uint64(r))
+        keys = mix(keys * np.uint64(31) + sig[:, r * BANDS : (r + 1) * BANDS] + np.uint64(r))
     return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 Links = Callable[[np.ndarray, np.ndarray], np.ndarray]
-Alike = Callable[[bytes, bytes, dict], bool]
+Body = str | bytes
+Alike = Callable[[Body, Body, dict], bool]
+
+
+def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
+def key_blocks(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, block): the (key, id[, fp]) of one bucket each. keys: (texts, BANDS); ids, fps: of the texts."""
+    columns = [keys.ravel(), *[np.repeat(c, keys.shape[1]) for c in ((ids,) if fps is None else (ids, fps))]]
+    bucket = (columns[0].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    rows = [np.stack([c[part] for c in columns]).tobytes() for part in np.split(order, cuts)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][np.concatenate(([0], cuts))]), pa.array(rows, pa.binary())], ["bucket", "block"])
+
+
+def n_buckets(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sketches(hashes: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct hashes, and (owners, SKETCH / 64) words of parities."""
+    distinct = np.unique(owner.astype(np.uint64) << np.uint64(32) | hashes)
+    who, h = (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF)
+    parity = np.bincount(who * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), minlength=owners * SKETCH) & 1
+    return np.bincount(who, minlength=owners), np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64).reshape(owners, -1)
 
 
-def _pairs(keys: DataFrame, possible: Links | None) -> DataFrame:
-    """kind 0: candidate pairs (a > b); kind 1: members (key, a) of groups over ``ALL_PAIRS``."""
+def _groups(keys: DataFrame, columns: int, possible: Links | None) -> DataFrame:
+    """kind 0: pairs (a > b) of a group's least id with the others that can be alike; kind 1: members (key, a) of groups of three or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("key").to_numpy(), b.column("id").to_numpy(), b.column("fp").to_numpy()) for b in batches if b.num_rows]
-        if not got:
+        blocks = [np.frombuffer(x, np.int64).reshape(columns, -1) for b in batches for x in b.column("block").to_pylist()]
+        if not blocks:
+            return
+        cols = np.concatenate(blocks, axis=1)
+        del blocks
+        order = np.argsort(cols[0], kind="stable")
+        key = cols[0][order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        order = order[np.repeat(sizes > 1, sizes)]  # most keys are alone
+        if not len(order):
             return
-        key, id_, fp = (np.concatenate(c) for c in zip(*got))
+        key, id_ = cols[0][order], cols[1][order]
+        fp = cols[2][order] if columns > 2 else np.zeros(len(order), np.int64)
         order = np.lexsort((id_, key))
         key, id_, fp = key[order], id_[order], fp[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])))
         key, id_, fp = key[new], id_[new], fp[new]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
-
-        def out(kind: int, k: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(k), pa.array(a), pa.array(b)], ["kind", "key", "a", "b"])
-
-        def linked(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            ok = possible(fp[i], fp[j]) if possible else slice(None)
-            i, j = i[ok], j[ok]
-            return out(0, key[i], np.maximum(id_[i], id_[j]), np.minimum(id_[i], id_[j]))
-
-        for n in np.unique(sizes[(sizes > 1) & (sizes <= ALL_PAIRS)]):
-            at = starts[sizes == n]
-            i, j = np.triu_indices(n, 1)
-            step = max(1, 65536 // len(i))
-            for k in range(0, len(at), step):
-                some = at[k : k + step, None]
-                yield linked((some + i).ravel(), (some + j).ravel())
-        for s, n in zip(starts[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS]):
-            members = np.arange(s, s + n)
-            yield out(1, key[members], id_[members], id_[members])
-            for c in range(s, s + CENTERS):
-                yield linked(np.full(s + n - c - 1, c), members[c - s + 1 :])
+        least = np.repeat(starts, sizes)
+        rest = np.flatnonzero(least != np.arange(len(key)))
+        if possible and len(rest):
+            rest = rest[possible(fp[rest], fp[least[rest]])]
+        many = np.repeat(sizes > 2, sizes)
+        if len(rest):
+            yield _batch({"kind": np.zeros(len(rest), np.int32), "key": key[rest], "a": id_[rest], "b": id_[least[rest]], "fp": fp[rest]})
+        if many.any():
+            yield _batch({"kind": np.ones(many.sum(), np.int32), "key": key[many], "a": id_[many], "b": id_[many], "fp": fp[many]})
 
     ship(keys.sparkSession)
-    return keys.select("key", "id", "fp").repartition("key").mapInArrow(run, "kind int, key long, a long, b long")
+    return keys.repartition("bucket").mapInArrow(run, "kind int, key long, a long, b long, fp long")
 
 
-def _verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], alike: Alike) -> DataFrame:
-    """(u, v) of the pairs whose texts are alike."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(fetch(materialize(ids, "ids")), "texts")
+def _too_far(n: np.ndarray, similarity: float) -> np.ndarray:
+    """The number of differing bits from which sets of ``n`` elements together cannot be similar; with some room for hashes that meet."""
+    return np.floor(n * ((1 - similarity) / (1 + similarity))) + 4
+
+
+def _near_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches allow the similarity."""
+    end = lambda c, n: texts.select(F.col("id").alias(c), F.col("n").alias(f"n{n}"), F.col("bits").alias(f"b{n}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("b1", "b2"))
+                n = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
+                ok = np.bitwise_count(x ^ y).sum(1) <= _too_far(n, similarity)
+                if ok.any():
+                    yield _batch({c: batch.column(c).to_numpy()[ok] for c in ("a", "b")})
+
+    return pairs.join(end("a", 1), "a").join(end("b", 2), "b").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, alike: Alike) -> DataFrame:
+    """(a, b, ok): whether the pairs' texts are alike."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            ok = [alike(x, y, cache) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            chosen = batch.filter(pa.array(ok, pa.bool_()))
-            if chosen.num_rows:
-                yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["u", "v"])
+            x, y = batch.column("x"), batch.column("y")
+            ok = np.fromiter((alike(x[k].as_py(), y[k].as_py(), cache) for k in range(batch.num_rows)), bool, batch.num_rows)
+            yield _batch({"a": batch.column("a").to_numpy(), "b": batch.column("b").to_numpy(), "ok": ok})
+
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean"), "links")
+
+
+def cached(cache: dict, text: Body, make: Callable[[Body], object]) -> object:
+    """``make(text)``, kept for the texts seen lately."""
+    found = cache.get(text)
+    if found is None:
+        if len(cache) >= CACHED_TEXTS:
+            cache.clear()
+        found = cache[text] = make(text)
+    return found
 
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long"), "links")
 
+def closest_links(id_: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, fp: np.ndarray, failed: set, similarity: float, possible: Links | None) -> list[tuple[int, int]]:
+    """Pairs of a group between components, of those whose sketches allow the similarity: the closest ``PER_MEMBER`` to a member, and what joins the components."""
+    near: list[tuple[int, int, int]] = []
+    rows = max(1, (1 << 22) // (len(id_) * bits.shape[1]))
+    for k in range(0, len(id_), rows):
+        apart = np.bitwise_count(bits[k : k + rows, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int32)
+        i, j = np.nonzero((apart <= _too_far(size[k : k + rows, None] + size[None, :], similarity)) & (root[k : k + rows, None] != root[None, :]))
+        d, i = apart[i, j], i + k
+        keep = i > j
+        i, j, d = i[keep], j[keep], d[keep]
+        if possible and len(i):
+            ok = possible(fp[i], fp[j])
+            i, j, d = i[ok], j[ok], d[ok]
+        near += zip(d.tolist(), i.tolist(), j.tolist())
+    parent: dict[int, int] = {}
 
-def _open_pairs(hot: DataFrame, stars: DataFrame, tested: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The next centers (key, id) of the large groups, their pairs with members of other components, and what could be a center."""
+    def find(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for _, i, j in sorted(near):
+        pair = (max(int(id_[i]), int(id_[j])), min(int(id_[i]), int(id_[j])))
+        if pair in failed:
+            continue
+        a, b = find(int(root[i])), find(int(root[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+        if a != b or len(out) < PER_MEMBER * len(id_):
+            out.append(pair)
+    return out
+
+
+def _open_links(members: DataFrame, stars: DataFrame, texts: DataFrame, failed: DataFrame, similarity: float, possible: Links | None) -> DataFrame:
+    """Pairs (a, b) to verify next: those that would join the components of the groups that are open."""
     labels = stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    members = materialize(hot.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "members")
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("main"))
-    outside = members.join(main, "key").filter("root <> main").join(tested, ["key", "id"], "left_anti")
-    outside = materialize(outside.select("key", "id", "root"), "outside")
-    counts = outside.groupBy("key").agg(F.ceil(F.count("*") / CENTERS).alias("every"))
-    centers = materialize(outside.join(counts, "key").filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("every")) == 0).select("key", F.col("id").alias("c"), F.col("root").alias("c_root")), "centers")
-    pairs = members.join(centers, "key").filter("root <> c_root").select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
-    return centers.select("key", F.col("c").alias("id")), pairs, outside
-
-
-def similar_stars(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], alike: Alike, possible: Links | None = None) -> DataFrame:
+    rooted = materialize(members.join(labels, "id", "left").select("key", "id", "fp", F.coalesce("root", "id").alias("root")), "members")
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).filter("least <> most")
+    several = materialize(several.select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open")
+    there = rooted.join(several, "key").join(texts.select("id", "n", "bits"), "id")
+    one = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = there.withColumn("c1", one).withColumn("c2", other).withColumns({"low": F.least("c1", "c2"), "high": F.greatest("c1", "c2")})
+    group = F.xxhash64("key", "low", "high").alias("group")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got).combine_chunks()
+        group, id_, root, n, fp = (rows.column(c).to_numpy() for c in ("group", "id", "root", "n", "fp"))
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(id_), -1)
+        bad = {(i, x) for i, xs in zip(id_.tolist(), rows.column("failed").to_pylist()) if xs for x in xs}
+        order = np.argsort(group, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            links = closest_links(id_[part], root[part], n[part], bits[part], fp[part], bad, similarity, possible)
+            if links:
+                a, b = zip(*links)
+                yield _batch({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    refused = failed.groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "id")
+    dealt = dealt.select(group, "id", "root", "n", "fp", "bits").join(refused, "id", "left")
+    return dealt.repartition("group").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_stars(keys: DataFrame, columns: int, fetch: Callable[[DataFrame], DataFrame], alike: Alike, similarity: float, possible: Links | None = None) -> DataFrame:
     """(u, v): every id that is not the least of its class of near-duplicates, with that least id.
 
-    keys: (key, id, fp); fetch: (id, body) of the ids of a table; alike: (body, body, cache) to bool; possible: which pairs of fps can be alike.
+    keys: ``key_blocks`` of (key, id) or (key, id, fp), as ``columns`` says; fetch: (id, body, n, bits) of the ids of a table; alike: (body, body, cache) to bool;
+    possible: the pairs of fps that can be alike.
     """
-    found = materialize(_pairs(keys, possible), "candidates")
-    links = _verified(materialize(found.filter("kind = 0").select("a", "b").distinct(), "pairs"), fetch, alike)
-    stars = component_stars(links)
-    hot = found.filter("kind = 1").select("key", F.col("a").alias("id"))
-    if hot.isEmpty():
-        return stars
-    tested = hot.limit(0)
-    turn = 0
+    found = materialize(_groups(keys, columns, possible), "candidates")
+    ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = materialize(fetch(materialize(ids, "ids")), "texts")
+    pairs = materialize(_near_pairs(found.filter("kind = 0").select("a", "b").distinct(), texts, similarity), "pairs")
+    checked = _verified(pairs, texts, alike)
+    stars = component_stars(checked.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    members = found.filter("kind = 1").select("key", F.col("a").alias("id"), "fp")
+    failed = checked.filter("NOT ok").select("a", "b")
     while True:
-        turn += 1
-        centers, pairs, outside = _open_pairs(hot, stars, tested, turn)
-        if outside.isEmpty():
+        pairs = materialize(_open_links(members, stars, texts, failed, similarity, possible), "pairs")
+        if pairs.isEmpty():
             return stars
-        if not pairs.isEmpty():
-            links = _verified(materialize(pairs, "pairs"), fetch, alike)
-            stars = component_stars(stars.unionByName(links))
-        tested = materialize(tested.unionByName(centers), "tested")
+        checked = _verified(pairs, texts, alike)
+        stars = component_stars(stars.unionByName(checked.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        failed = materialize(failed.unionByName(checked.filter("NOT ok").select("a", "b")), "failed")
 
 
 def fetch_by_id(bodies: DataFrame, ids: DataFrame) -> DataFrame:
     """One (id, body) for each of ``ids``; ``bodies`` is a scan of the corpus."""
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return bodies.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+
+def with_sketches(texts: DataFrame, kind: str, shingle_sets: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Adds n and bits to (id, body); ``shingle_sets`` gives the 32-bit hashes of all bodies' shingles and the owner of each."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bodies = batch.column("body").to_pylist()
+        parts = [sketches(*shingle_sets(part), len(part)) for k in range(0, len(bodies), SKETCHED) if (part := bodies[k : k + SKETCHED])]
+        n, bits = (np.concatenate(x) for x in zip(*parts))
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "body", "n", "bits"])
+
+    return map_batches(texts, work, f"id long, body {kind}, n long, bits binary")

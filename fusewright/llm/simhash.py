@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
 from fusewright.llm.common import map_batches, ship, utf8
-from fusewright.llm.near import band_keys, fetch_by_id, mix, similar_stars
+from fusewright.llm.near import band_keys, cached, fetch_by_id, key_blocks, mix32, n_buckets, similar_stars, with_sketches
 from fusewright.operators.components import component_stars
 
 BITS = 64
@@ -252,22 +252,22 @@ def _text_id(words: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint32) ^ (h >> np.uint64(32)).astype(np.uint32)
+
+
 def _similar_keys(docs: DataFrame, width: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = {_text_id(w): w for t in utf8(batch.column("text")) if (w := _words(t))}
-        out: list[list[np.ndarray]] = [[], [], []]
-        items = list(texts.items())
-        for k in range(0, len(items), 256):
-            part = items[k : k + 256]
-            hashes = [shingle_hashes(w, width) for _, w in part]
-            owner = np.repeat(np.arange(len(part)), [len(h) for h in hashes])
-            keys = band_keys(mix(np.concatenate(hashes)), owner, len(part))
-            out[0].append(keys.ravel())
-            out[1].append(np.repeat(np.array([i for i, _ in part], np.int64), keys.shape[1]))
-            out[2].append(np.repeat(np.array([fingerprint(h) for h in hashes], np.int64), keys.shape[1]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["key", "id", "fp"]) if items else None
+        if not texts:
+            return None
+        hashes = [shingle_hashes(w, width) for w in texts.values()]
+        owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        keys = band_keys(mix32(_short(np.concatenate(hashes))), owner, len(hashes))
+        return key_blocks(keys, np.array(list(texts), np.int64), np.array([fingerprint(h) for h in hashes], np.int64), buckets)
 
-    return map_batches(docs.select("text"), work, "key long, id long, fp long")
+    buckets = n_buckets(docs)
+    return map_batches(docs.select("text"), work, "bucket int, block binary")
 
 
 def _similar_bodies(docs: DataFrame) -> DataFrame:
@@ -290,17 +290,26 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         ids = [_text_id(_words(t)) for t in utf8(batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(ids, pa.int64())], ["row_key", "doc_id", "id"])
 
+    def distinct(words: bytes) -> np.ndarray:
+        return np.unique(shingle_hashes(words, width))
+
     def alike(x: bytes, y: bytes, cache: dict) -> bool:
-        if cache.get("text") != y:
-            cache["text"], cache["set"] = y, np.unique(shingle_hashes(y, width))
-        b = cache["set"]
-        a = np.unique(shingle_hashes(x, width))
+        a, b = cached(cache, x, distinct), cached(cache, y, distinct)
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+            return False
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= similarity * (len(a) + len(b) - both)
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
     rows = materialize(map_batches(keyed, identify, f"row_key long, doc_id {kind}, id long"), "rows")
-    stars = similar_stars(_similar_keys(docs, width), lambda ids: fetch_by_id(_similar_bodies(docs), ids), alike, possibly_similar)
+    def sets(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = [shingle_hashes(x, width) for x in bodies]
+        return _short(np.concatenate(hashes)), np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        return with_sketches(fetch_by_id(_similar_bodies(docs), ids), "binary", sets)
+
+    stars = similar_stars(_similar_keys(docs, width), 3, fetch, alike, similarity, possibly_similar)
     firsts = rows.groupBy("id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
     rooted = materialize(firsts.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
