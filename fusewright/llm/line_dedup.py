@@ -115,7 +115,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per document: row (its columns, with the text of the lines that stay), n_lines and removed (line numbers)."""
     gone = materialize(removed_lines(docs), "removed").select(F.col("doc_id").alias("r_doc"), "removed")
-    joined = docs.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id").eqNullSafe(F.col("r_doc")), "left")
+    # a merge join at every size: what goes grows with the documents
+    joined = docs.select(F.struct("*").alias("row")).join(gone.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("r_doc")), "left")
     parts = F.split(F.col("row.text"), "\n")
     stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("removed"), i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(stay)

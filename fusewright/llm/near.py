@@ -32,7 +32,7 @@ BANDS, ROWS = 16, 5
 BINS = BANDS * ROWS
 SKETCH, CHUNK = 2048, 16_384
 #: Closest pairs that a group has verified in one turn, for each of its members.
-PER_MEMBER = 16
+PER_MEMBER = 3
 SKETCHED = 256
 #: Ids of candidate texts are sent to the scan that fetches the texts up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
@@ -105,8 +105,9 @@ def sketches(hashes: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.nda
     """Number of distinct hashes, and (owners, SKETCH / 64) words of parities."""
     distinct = np.unique(owner.astype(np.uint64) << np.uint64(32) | hashes)
     who, h = (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF)
-    parity = np.bincount(who * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), minlength=owners * SKETCH) & 1
-    return np.bincount(who, minlength=owners), np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64).reshape(owners, -1)
+    parity = np.zeros(owners * SKETCH, np.uint8)
+    np.bitwise_xor.at(parity, who * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), np.uint8(1))
+    return np.bincount(who, minlength=owners), np.packbits(parity, bitorder="little").view(np.uint64).reshape(owners, -1)
 
 
 def _groups(keys: DataFrame, columns: int, possible: Links | None) -> DataFrame:
