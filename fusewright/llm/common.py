@@ -1,31 +1,16 @@
-"""What the operators share: shipping code to executors and reading tables."""
+"""What the operators share: batch functions and reading tables."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED: set[str] = set()
+from fusewright.functions.shipping import ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, through Spark's file server."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(), "fusewright.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(archive)
-    _SHIPPED.add(sc.applicationId)
+SLICE_BYTES = 4 << 20
+__all__ = ["SLICE_BYTES", "map_batches", "ship", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``df.mapInArrow`` for a function of one batch; empty batches and ``None`` are passed over."""
+    """``df.mapInArrow`` for a function of one batch of about ``SLICE_BYTES``; empty batches and ``None`` are passed over."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            rows = max(1, int(SLICE_BYTES * batch.num_rows / max(1, batch.nbytes)))
+            for first in range(0, batch.num_rows, rows):
+                if (out := work(batch.slice(first, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -141,7 +141,14 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with their columns. The measured rows are written once, so no text is shuffled."""
-    wrapped = docs.select(F.struct("*").alias("row"), "lang", "source", "text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wrapped.schema if f.name != "text")
-    measured = materialize(map_batches(wrapped, _counted, f"{kept}, " + ", ".join(f"{c} long" for c in COUNTS)), "quality")
+    wrapped = docs.select(F.struct("*").alias("row"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row = batch.column("row")
+        counts = [count_text(x) for x in utf8(row.field("text"))]
+        columns = [row, *[pa.array([r[i] for r in counts], pa.int64()) for i in range(len(COUNTS))]]
+        return pa.RecordBatch.from_arrays(columns, ["row", *COUNTS])
+
+    counted = map_batches(wrapped, work, f"row {wrapped.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    measured = materialize(counted, "quality").withColumns({"lang": F.col("row.lang"), "source": F.col("row.source")})
     return judge(measured).filter("kept").select("row.*")
