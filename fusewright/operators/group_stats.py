@@ -22,8 +22,7 @@ def group_stats(obs: DataFrame, n_groups: int | None = None, validate: bool = Tr
         positive_int(n_groups, "n_groups")
     if validate:
         check(obs, violations("group_id", non_negative=True, upper=n_groups, inclusive=False))
-    top = infer_n_groups(obs)
-    n = top if n_groups is None or not top else n_groups
+    n = infer_n_groups(obs) if n_groups is None or obs.isEmpty() else n_groups
     sums = obs.groupBy("group_id").agg(F.count("*").alias("size"), F.sum("y").cast("double").alias("sum"))
     padded = spine(obs.sparkSession, n).join(sums, "group_id", "left")
     size, total = F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("sum", F.lit(0.0)).alias("sum")

@@ -472,9 +472,9 @@ def solved(problems: DataFrame, nbrs: DataFrame) -> DataFrame:
 def flagship(spark, d):
     """Suppliers' mean prices, one sweep of the scalar problem along the chain of suppliers."""
     obs = src.supplier_prices(spark, d)
-    stats = group_stats(obs, validate=False)
-    theta = stats.select("group_id", F.when(F.col("size") > 0, F.col("mean")).alias("theta"))
     top = obs.agg(F.max("group_id")).head()[0] + 1
+    stats = group_stats(obs, top, validate=False)
+    theta = stats.select("group_id", F.when(F.col("size") > 0, F.col("mean")).alias("theta"))
     graph = FusionGraph(adaptive_weights(chain(spark, top), theta), top, validate=False)
     problems, nbrs = graph_problems(stats, graph.adjacency, theta, LAMBDA)
     fused = solve_scalar(problems, nbrs, validate=False)
