@@ -322,6 +322,7 @@ def remove_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
     classes = materialize(similar_classes(docs, width, similarity), "classes")
     stays = classes.filter("row_key = kept_key").groupBy("row_key").agg(F.count("*").alias("times"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct("*").alias("row"))
-    kept = keyed.join(materialize(stays, "stays"), "row_key")
+    # a shuffled join at every size, as what stays grows with the documents
+    kept = keyed.join(materialize(stays, "stays").hint("shuffle_hash"), "row_key")
     again = kept.filter("times > 1").withColumns({"a": F.col("row.doc_id"), "b": F.col("row.text")}).dropDuplicates(["a", "b"])
     return kept.filter("times = 1").select("row.*").unionByName(again.select("row.*"))
