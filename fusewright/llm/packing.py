@@ -45,7 +45,7 @@ MAX_ROUNDS = 6000
 #: Share of each class that the program plans; the rest is the stock from which best fit closes the rooms left by rounding.
 PLANNED = 0.8
 SALTS = 64
-CACHED_WORDS, CACHED_PARTS = 500_000, 1_000_000
+CACHED_WORDS, CACHED_PARTS = 300_000, 500_000
 #: The plan is broadcast up to so many intervals, and joined by a shuffle beyond.
 BROADCAST_INTERVALS = 500_000
 
