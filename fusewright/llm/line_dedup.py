@@ -71,9 +71,9 @@ def alike(x: str, y: str, cache: dict) -> bool:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line (number), id and body of each line with a word."""
+    """doc_id, line (number), id and body of each line."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    return rows.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "line", F.xxhash64("body").alias("id"), "body")
+    return rows.select("doc_id", "line", F.xxhash64("body").alias("id"), "body")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, removed): the numbers (from 0) of the lines that go, for documents that lose any."""
-    seen = materialize(lines_of(docs).drop("body"), "lines")
+    words = lines_of(docs).filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+    seen = materialize(words.drop("body"), "lines")
     stars = similar_stars(_keys(docs), 2, lambda ids: _texts(docs, ids), alike, SIMILARITY)
     firsts = materialize(seen.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "firsts")
     rooted = firsts.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -115,8 +116,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per document: row (its columns, with the text of the lines that stay), n_lines and removed (line numbers)."""
     gone = materialize(removed_lines(docs), "removed").select(F.col("doc_id").alias("r_doc"), "removed")
-    # a merge join at every size: what goes grows with the documents
-    joined = docs.select(F.struct("*").alias("row")).join(gone.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("r_doc")), "left")
+    # a shuffled join at every size, as what goes grows with the documents; hashed, so that texts need no sort
+    joined = docs.select(F.struct("*").alias("row")).join(gone.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("r_doc")), "left")
     parts = F.split(F.col("row.text"), "\n")
     stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("removed"), i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(stay)

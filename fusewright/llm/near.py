@@ -101,9 +101,15 @@ def n_buckets(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sorted_set(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order; by sorting, which for short arrays is far faster than ``np.unique``'s table."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def sketches(hashes: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of distinct hashes, and (owners, SKETCH / 64) words of parities."""
-    distinct = np.unique(owner.astype(np.uint64) << np.uint64(32) | hashes)
+    distinct = sorted_set(owner.astype(np.uint64) << np.uint64(32) | hashes)
     who, h = (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF)
     parity = np.zeros(owners * SKETCH, np.uint8)
     np.bitwise_xor.at(parity, who * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), np.uint8(1))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
 from fusewright.llm.common import map_batches, ship, utf8
-from fusewright.llm.near import band_keys, cached, fetch_by_id, key_blocks, mix32, n_buckets, similar_stars, with_sketches
+from fusewright.llm.near import band_keys, cached, fetch_by_id, key_blocks, mix32, n_buckets, similar_stars, sorted_set, with_sketches
 from fusewright.operators.components import component_stars
 
 BITS = 64
@@ -291,7 +291,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         return pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(ids, pa.int64())], ["row_key", "doc_id", "id"])
 
     def distinct(words: bytes) -> np.ndarray:
-        return np.unique(shingle_hashes(words, width))
+        return sorted_set(shingle_hashes(words, width))
 
     def alike(x: bytes, y: bytes, cache: dict) -> bool:
         a, b = cached(cache, x, distinct), cached(cache, y, distinct)
