@@ -47,7 +47,7 @@ def assign(sizes: dict[int, int], n_shards: int, n_slots: int = N_SLOTS) -> dict
 
 
 def rebalance(shards: dict[int, int], sizes: dict[int, int], n_shards: int, tolerance: float = 0.01) -> dict[int, int]:
-    """An edited map: slots leave the heaviest shard for the lightest until they differ by ``tolerance`` of the mean.
+    """An edited map: slots leave the heaviest shard for the lightest until they differ by ``tolerance`` of the mean, or a slot.
 
     Also grows or shrinks: shards from ``n_shards`` on are emptied first, and new shards start empty.
     """
@@ -66,12 +66,16 @@ def rebalance(shards: dict[int, int], sizes: dict[int, int], n_shards: int, tole
         new[slot] = to
         loads[to] += size
         held[to].append((size, slot))
-    mean = sum(loads.values()) / n_shards
+    # shards that were empty fill first and alone; no move mends less than a slot
+    allowed = max(tolerance * sum(loads.values()) / n_shards, max(sizes.values(), default=0))
+    fresh = [s for s in range(n_shards) if not held[s]]
     for _ in range(len(new)):
-        high, low = max(loads, key=lambda s: (loads[s], -s)), min(loads, key=lambda s: (loads[s], s))
+        high = max(loads, key=lambda s: (loads[s], -s))
+        into = fresh if fresh and loads[high] - min(loads[s] for s in fresh) > allowed else loads
+        low = min(into, key=lambda s: (loads[s], s))
         gap = loads[high] - loads[low]
         movable = [x for x in held[high] if 0 < x[0] < gap]
-        if gap <= tolerance * mean or not movable:
+        if gap <= allowed or not movable:
             break
         pick = min(movable, key=lambda x: (abs(gap / 2 - x[0]), x[1]))
         held[high].remove(pick)
