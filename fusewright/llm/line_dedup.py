@@ -88,7 +88,7 @@ def _keys(docs: DataFrame) -> DataFrame:
         ids = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found)).view(np.int64)
         lines = list(found.values())
         keys = np.concatenate([shingle_keys(lines[k : k + CHUNK]) for k in range(0, len(lines), CHUNK)])
-        return key_blocks(keys, ids, None, buckets)
+        return key_blocks(keys, ids, buckets)
 
     buckets = n_buckets(docs)
     return map_batches(docs.select("text"), work, "bucket int, block binary")
@@ -103,7 +103,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, removed): the numbers (from 0) of the lines that go, for documents that lose any."""
     words = lines_of(docs).filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
     seen = materialize(words.drop("body"), "lines")
-    stars = similar_stars(_keys(docs), 2, lambda ids: _texts(docs, ids), alike, SIMILARITY)
+    stars = similar_stars(_keys(docs), lambda ids: _texts(docs, ids), alike, SIMILARITY)
     firsts = materialize(seen.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "firsts")
     rooted = firsts.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = materialize(rooted, "rooted")

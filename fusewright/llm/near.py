@@ -78,7 +78,6 @@ def band_keys(hashes: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-Links = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Body = str | bytes
 Alike = Callable[[Body, Body, dict], bool]
 
@@ -87,9 +86,9 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
-def key_blocks(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, block): the (key, id[, fp]) of one bucket each. keys: (texts, BANDS); ids, fps: of the texts."""
-    columns = [keys.ravel(), *[np.repeat(c, keys.shape[1]) for c in ((ids,) if fps is None else (ids, fps))]]
+def key_blocks(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, block): the (key, id) of one bucket each. keys: (texts, BANDS); ids: of the texts."""
+    columns = [keys.ravel(), np.repeat(ids, keys.shape[1])]
     bucket = (columns[0].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -116,11 +115,11 @@ def sketches(hashes: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.nda
     return np.bincount(who, minlength=owners), np.packbits(parity, bitorder="little").view(np.uint64).reshape(owners, -1)
 
 
-def _groups(keys: DataFrame, columns: int, possible: Links | None) -> DataFrame:
-    """kind 0: pairs (a > b) of a group's least id with the others that can be alike; kind 1: members (key, a) of groups of three or more."""
+def _groups(keys: DataFrame) -> DataFrame:
+    """kind 0: pairs (a > b) of a group's least id with the others; kind 1: members (key, a) of groups of three or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [np.frombuffer(x, np.int64).reshape(columns, -1) for b in batches for x in b.column("block").to_pylist()]
+        blocks = [np.frombuffer(x, np.int64).reshape(2, -1) for b in batches for x in b.column("block").to_pylist()]
         if not blocks:
             return
         cols = np.concatenate(blocks, axis=1)
@@ -133,25 +132,22 @@ def _groups(keys: DataFrame, columns: int, possible: Links | None) -> DataFrame:
         if not len(order):
             return
         key, id_ = cols[0][order], cols[1][order]
-        fp = cols[2][order] if columns > 2 else np.zeros(len(order), np.int64)
         order = np.lexsort((id_, key))
-        key, id_, fp = key[order], id_[order], fp[order]
+        key, id_ = key[order], id_[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])))
-        key, id_, fp = key[new], id_[new], fp[new]
+        key, id_ = key[new], id_[new]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         least = np.repeat(starts, sizes)
         rest = np.flatnonzero(least != np.arange(len(key)))
-        if possible and len(rest):
-            rest = rest[possible(fp[rest], fp[least[rest]])]
         many = np.repeat(sizes > 2, sizes)
         if len(rest):
-            yield _batch({"kind": np.zeros(len(rest), np.int32), "key": key[rest], "a": id_[rest], "b": id_[least[rest]], "fp": fp[rest]})
+            yield _batch({"kind": np.zeros(len(rest), np.int32), "key": key[rest], "a": id_[rest], "b": id_[least[rest]]})
         if many.any():
-            yield _batch({"kind": np.ones(many.sum(), np.int32), "key": key[many], "a": id_[many], "b": id_[many], "fp": fp[many]})
+            yield _batch({"kind": np.ones(many.sum(), np.int32), "key": key[many], "a": id_[many], "b": id_[many]})
 
     ship(keys.sparkSession)
-    return keys.repartition("bucket").mapInArrow(run, "kind int, key long, a long, b long, fp long")
+    return keys.repartition("bucket").mapInArrow(run, "kind int, key long, a long, b long")
 
 
 def _too_far(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -199,7 +195,7 @@ def cached(cache: dict, text: Body, make: Callable[[Body], object]) -> object:
     return found
 
 
-def closest_links(id_: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, fp: np.ndarray, failed: set, similarity: float, possible: Links | None) -> list[tuple[int, int]]:
+def closest_links(id_: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, failed: set, similarity: float) -> list[tuple[int, int]]:
     """Pairs of a group between components, of those whose sketches allow the similarity: the closest ``PER_MEMBER`` to a member, and what joins the components."""
     near: list[tuple[int, int, int]] = []
     rows = max(1, (1 << 22) // (len(id_) * bits.shape[1]))
@@ -209,9 +205,6 @@ def closest_links(id_: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.
         d, i = apart[i, j], i + k
         keep = i > j
         i, j, d = i[keep], j[keep], d[keep]
-        if possible and len(i):
-            ok = possible(fp[i], fp[j])
-            i, j, d = i[ok], j[ok], d[ok]
         near += zip(d.tolist(), i.tolist(), j.tolist())
     parent: dict[int, int] = {}
 
@@ -233,10 +226,10 @@ def closest_links(id_: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.
     return out
 
 
-def _open_links(members: DataFrame, stars: DataFrame, texts: DataFrame, failed: DataFrame, similarity: float, possible: Links | None) -> DataFrame:
+def _open_links(members: DataFrame, stars: DataFrame, texts: DataFrame, failed: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) to verify next: those that would join the components of the groups that are open."""
     labels = stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    rooted = materialize(members.join(labels, "id", "left").select("key", "id", "fp", F.coalesce("root", "id").alias("root")), "members")
+    rooted = materialize(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "members")
     several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).filter("least <> most")
     several = materialize(several.select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open")
     there = rooted.join(several, "key").join(texts.select("id", "n", "bits"), "id")
@@ -250,37 +243,36 @@ def _open_links(members: DataFrame, stars: DataFrame, texts: DataFrame, failed:
         if not got:
             return
         rows = pa.Table.from_batches(got).combine_chunks()
-        group, id_, root, n, fp = (rows.column(c).to_numpy() for c in ("group", "id", "root", "n", "fp"))
+        group, id_, root, n = (rows.column(c).to_numpy() for c in ("group", "id", "root", "n"))
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(id_), -1)
         bad = {(i, x) for i, xs in zip(id_.tolist(), rows.column("failed").to_pylist()) if xs for x in xs}
         order = np.argsort(group, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            links = closest_links(id_[part], root[part], n[part], bits[part], fp[part], bad, similarity, possible)
+            links = closest_links(id_[part], root[part], n[part], bits[part], bad, similarity)
             if links:
                 a, b = zip(*links)
                 yield _batch({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     refused = failed.groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "id")
-    dealt = dealt.select(group, "id", "root", "n", "fp", "bits").join(refused, "id", "left")
+    dealt = dealt.select(group, "id", "root", "n", "bits").join(refused, "id", "left")
     return dealt.repartition("group").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_stars(keys: DataFrame, columns: int, fetch: Callable[[DataFrame], DataFrame], alike: Alike, similarity: float, possible: Links | None = None) -> DataFrame:
+def similar_stars(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], alike: Alike, similarity: float) -> DataFrame:
     """(u, v): every id that is not the least of its class of near-duplicates, with that least id.
 
-    keys: ``key_blocks`` of (key, id) or (key, id, fp), as ``columns`` says; fetch: (id, body, n, bits) of the ids of a table; alike: (body, body, cache) to bool;
-    possible: the pairs of fps that can be alike.
+    keys: ``key_blocks`` of (key, id); fetch: (id, body, n, bits) of the ids of a table; alike: (body, body, cache) to bool.
     """
-    found = materialize(_groups(keys, columns, possible), "candidates")
+    found = materialize(_groups(keys), "candidates")
     ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = materialize(fetch(materialize(ids, "ids")), "texts")
     pairs = materialize(_near_pairs(found.filter("kind = 0").select("a", "b").distinct(), texts, similarity), "pairs")
     checked = _verified(pairs, texts, alike)
     stars = component_stars(checked.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    members = found.filter("kind = 1").select("key", F.col("a").alias("id"), "fp")
+    members = found.filter("kind = 1").select("key", F.col("a").alias("id"))
     failed = checked.filter("NOT ok").select("a", "b")
     while True:
-        pairs = materialize(_open_links(members, stars, texts, failed, similarity, possible), "pairs")
+        pairs = materialize(_open_links(members, stars, texts, failed, similarity), "pairs")
         if pairs.isEmpty():
             return stars
         checked = _verified(pairs, texts, alike)

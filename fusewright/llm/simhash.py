@@ -13,8 +13,8 @@ advance one plane at a time in carry-save counters of a few words per 64 lanes,
 is abandoned once every lane is past the radius.
 
 ``similar_classes`` does it for a Jaccard similarity of word shingles: blocks come from min-wise
-bands, since the radius that such a similarity needs leaves no band of bits in common; the bit-sliced
-distances drop what cannot be similar, and the exact similarity decides.
+bands, since the radius that such a similarity needs leaves no band of bits in common; fingerprints
+decide nothing there, as no radius bounds the similarity: parity sketches drop what cannot be similar (``near.py``), and the exact similarity decides.
 
 Defined results: a null text has no words; texts without words have fingerprint zero; texts
 shorter than a shingle are one shingle; rows that repeat a doc_id keep their own fingerprint and
@@ -43,8 +43,6 @@ BLOCK = 2048
 QUERIES = 64
 LANES = 1 << 16
 SEED = 42
-#: Shingle sets of a Jaccard similarity of 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9; beyond this radius they are not compared.
-SIMILAR_RADIUS = 20
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -264,7 +262,7 @@ def _similar_keys(docs: DataFrame, width: int) -> DataFrame:
         hashes = [shingle_hashes(w, width) for w in texts.values()]
         owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         keys = band_keys(mix32(_short(np.concatenate(hashes))), owner, len(hashes))
-        return key_blocks(keys, np.array(list(texts), np.int64), np.array([fingerprint(h) for h in hashes], np.int64), buckets)
+        return key_blocks(keys, np.array(list(texts), np.int64), buckets)
 
     buckets = n_buckets(docs)
     return map_batches(docs.select("text"), work, "bucket int, block binary")
@@ -278,10 +276,6 @@ def _similar_bodies(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), work, "id long, body binary")
 
 
-def possibly_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return pair_links(a.view(np.uint64), b.view(np.uint64), SIMILAR_RADIUS)
-
-
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """row_key (of doc_id and text), doc_id, class_id (its smallest doc_id) and kept_key (the row_key that stands for the class) of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -309,7 +303,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     def fetch(ids: DataFrame) -> DataFrame:
         return with_sketches(fetch_by_id(_similar_bodies(docs), ids), "binary", sets)
 
-    stars = similar_stars(_similar_keys(docs, width), 3, fetch, alike, similarity, possibly_similar)
+    stars = similar_stars(_similar_keys(docs, width), fetch, alike, similarity)
     firsts = rows.groupBy("id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
     rooted = materialize(firsts.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))

@@ -169,6 +169,18 @@ def test_similarity_classes(spark, docs):
     assert simhash.remove_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_similar_texts_with_far_fingerprints(spark, docs):
+    rng = random.Random(13)
+    rows = []
+    for k in range(12):
+        body, phrase = sentence(rng, 300), sentence(rng, 4)
+        rows += [(2 * k, f"{body} {phrase}"), (2 * k + 1, f"{body} " + " ".join([phrase] * 50))]
+    fps = [brute_fingerprint(t, 5) for _, t in rows]
+    assert any((a ^ b).bit_count() > 20 for a, b in zip(fps[::2], fps[1::2]))
+    got = simhash.similar_classes(docs(*[(*r, "en", "s") for r in rows])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_similar(rows) == {k: k - k % 2 for k in range(24)}
+
+
 def brute_repeats(texts):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
