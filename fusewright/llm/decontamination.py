@@ -5,8 +5,8 @@ sentence) and units (a listed word after a number) become typed placeholders, ot
 are lower-cased, punctuation goes. Every window of ``WINDOW`` template tokens of a document is
 hashed and joined with the benchmark's windows, so a question with other numbers or names still
 matches. Matches of one alignment (document position minus item position) are slot-checked: an
-item's value must stand for one value of the document wherever it recurs. An item whose
-consistent windows cover ``COVERAGE`` of its tokens is a leak.
+item's value must stand for one value of the document wherever it recurs. Where it stands for two, windows
+that hold it go, but for those whose values equal the item's. An item whose windows that are left cover ``COVERAGE`` of its tokens is a leak.
 
 The benchmark's windows are broadcast while they number at most ``BROADCAST_WINDOWS``, and joined by a
 shuffle beyond. Only documents with matched slots are read again, for their values.
@@ -81,7 +81,7 @@ def slot_values(df: DataFrame, key: str) -> DataFrame:
 
 
 def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """(doc, item_id, shift) of the alignments in which an item's value stands for two values of the document."""
+    """doc, item_id and shift of the alignments in which an item's value stands for two values of the document, with the item's positions of such values (clash) and of values that differ (changed)."""
     ids = matches.select("doc").distinct()
     few = matches.count() <= BROADCAST_DOCS
     docs = docs.select("doc_id", "text")
@@ -90,10 +90,14 @@ def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame, width:
     ours = slot_values(items, "item_id").select(F.col("item_id").alias("i"), F.posexplode("slots").alias("at", "t")).filter(F.col("t.template").isin(NUMBER, NAME, UNIT))
     ours = ours.select("i", F.col("at").alias("item_at"), F.col("t.template").alias("kind"), F.col("t.value").alias("item_value"))
     places = matches.select("doc", "item_id", "shift", F.explode(F.sequence("item_position", F.col("item_position") + width - 1)).alias("item_at")).distinct()
-    pairs = places.join(ours, (F.col("i") == F.col("item_id")) & (ours["item_at"] == places["item_at"])).select("doc", "item_id", "shift", places["item_at"], "kind", "item_value")
-    pairs = pairs.join(theirs, F.col("doc").eqNullSafe(F.col("d")) & (F.col("at") == F.col("item_at") + F.col("shift")))
-    mapped = pairs.groupBy("doc", "item_id", "shift", "kind", "item_value").agg(F.min("doc_value").alias("a"), F.max("doc_value").alias("b"))
-    return mapped.filter("a <> b").select("doc", "item_id", "shift").distinct()
+    pairs = places.join(ours, (F.col("i") == F.col("item_id")) & (ours["item_at"] == places["item_at"])).select("doc", "item_id", "shift", places["item_at"].alias("place"), "kind", "item_value")
+    pairs = pairs.join(theirs, F.col("doc").eqNullSafe(F.col("d")) & (F.col("at") == F.col("place") + F.col("shift")))
+    # both lists are at most an item's tokens
+    changed = F.collect_set(F.when(F.col("item_value") != F.col("doc_value"), F.col("place")))
+    mapped = pairs.groupBy("doc", "item_id", "shift", "kind", "item_value").agg(F.min("doc_value").alias("a"), F.max("doc_value").alias("b"), F.collect_set("place").alias("places"), changed.alias("changed"))
+    clash = F.flatten(F.collect_list(F.when(F.col("a") != F.col("b"), F.col("places"))))
+    return mapped.groupBy("doc", "item_id", "shift").agg(clash.alias("clash"), F.flatten(F.collect_list("changed")).alias("changed")).filter(F.size("clash") > 0)
+
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -111,8 +115,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     found = materialize(found, "matches")
     slotted = found.filter("slotted")
     if not slotted.isEmpty():
-        bad = materialize(_inconsistent(slotted, docs, items, width), "inconsistent").select(F.col("doc").alias("b"), F.col("item_id").alias("bi"), F.col("shift").alias("bs"))
-        found = found.join(bad, F.col("doc").eqNullSafe(F.col("b")) & (F.col("item_id") == F.col("bi")) & (F.col("shift") == F.col("bs")), "left_anti")
+        bad = materialize(_inconsistent(slotted, docs, items, width), "inconsistent").select(F.col("doc").alias("b"), F.col("item_id").alias("bi"), F.col("shift").alias("bs"), "clash", "changed")
+        found = found.join(bad, F.col("doc").eqNullSafe(F.col("b")) & (F.col("item_id") == F.col("bi")) & (F.col("shift") == F.col("bs")), "left")
+        inside = lambda places: F.exists(places, lambda x: (x >= F.col("item_position")) & (x < F.col("item_position") + width))
+        found = found.filter(F.col("clash").isNull() | ~(inside("clash") & inside("changed")))
     held = found.groupBy("doc", "item_id").agg(F.array_sort(F.collect_set("item_position")).alias("at"))  # at most an item's windows
     gaps = F.transform("at", lambda p, i: F.when(i == 0, width).otherwise(F.least(F.lit(width), p - F.get("at", i - 1))))
     sizes = hashed.groupBy("item_id").agg(F.max(F.size("hashes")).alias("item_tokens"))

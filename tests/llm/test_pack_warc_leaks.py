@@ -139,6 +139,19 @@ def test_leaks(spark, docs):
     assert "Python" not in de.find_leaks(df, benchmark)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_one_slot_conflict_keeps_the_rest(spark, docs):
+    words = [f"q{c}{d}" for c in "abcdefgh" for d in "klmnopqrst"]
+    item = " ".join([*words[:10], "asked Anna", *words[10:50], "told Anna", *words[50:]])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    name = item.replace("asked Anna", "asked Anne")
+    got = {r["doc_id"]: (r["matched_windows"], r["covered_tokens"], r["item_tokens"]) for r in de.find_leaks(docs(name, item, item.replace("Anna", "Olga")), benchmark).collect()}
+    # 84 tokens, 77 windows: the eight that hold 'Anne' go, and only its own token is left uncovered
+    assert got == {0: (69, 83, 84), 1: (77, 84, 84), 2: (77, 84, 84)}
+    assert de.remove_contaminated(docs(name), benchmark).count() == 0
+    both = item.replace("asked Anna", "asked Olga").replace("told Anna", "told Irene")
+    assert [(r["matched_windows"], r["covered_tokens"]) for r in de.find_leaks(docs(both), benchmark).collect()] == [(61, 82)]
+
+
 def test_pipeline(spark, docs, tmp_path):
     from test_dedup import brute_lines, brute_similar, edited, sentence
 
