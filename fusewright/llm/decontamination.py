@@ -11,8 +11,10 @@ that hold it go, but for those whose values equal the item's. An item whose wind
 The benchmark's windows are broadcast while they number at most ``BROADCAST_WINDOWS``, and joined by a
 shuffle beyond. Only documents with matched slots are read again, for their values.
 
-Defined results: null or empty texts have no windows, as have texts and items of fewer than
-``WINDOW`` tokens, which never match; rows that repeat a doc_id count as one document, its
+An item of fewer tokens than a window is one window of its own length, which documents have at the lengths of
+such items; if it holds placeholders only, its values must be equal too.
+
+Defined results: null or empty texts have no windows and never match; rows that repeat a doc_id count as one document, its
 windows together; a null doc_id is one document too; repeated benchmark rows change nothing; empty tables give empty
 results; other columns are ignored or kept as they are (``remove_contaminated``).
 """
@@ -68,10 +70,13 @@ def templates(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.filter(hashed, lambda h: h != ended).alias("hashes"))
 
 
-def windows(hashed: DataFrame, key: str, width: int) -> DataFrame:
-    """key, position (from 0) and hash of every window of ``width`` template tokens."""
-    of = lambda all_: F.transform(F.slice(all_, 1, F.greatest(F.size(all_) - (width - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(all_, i + k) for k in range(1, width)]))
-    return hashed.select(key, F.posexplode(_let(F.col("hashes"), of)).alias("position", "hash"))
+def windows(hashed: DataFrame, key: str, *widths: int) -> DataFrame:
+    """key, position (from 0) and hash of every window of ``widths`` template tokens."""
+    of = lambda all_, width: F.transform(F.slice(all_, 1, F.greatest(F.size(all_) - (width - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(all_, i + k) for k in range(1, width)]))
+    if len(widths) == 1:
+        return hashed.select(key, F.posexplode(_let(F.col("hashes"), lambda all_: of(all_, widths[0]))).alias("position", "hash"))
+    placed = lambda all_: F.concat(*[F.transform(of(all_, w), lambda h, i: F.struct(i.alias("position"), h.alias("hash"))) for w in widths])
+    return hashed.select(key, F.explode(_let(F.col("hashes"), placed)).alias("x")).select(key, "x.*")
 
 
 def slot_values(df: DataFrame, key: str) -> DataFrame:
@@ -80,8 +85,8 @@ def slot_values(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.filter(both, lambda t: t["template"].isNotNull()).alias("slots"))
 
 
-def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """doc, item_id and shift of the alignments in which an item's value stands for two values of the document, with the item's positions of such values (clash) and of values that differ (changed)."""
+def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc, item_id and shift of the alignments with changed values, with the item's positions of values that stand for two of the document (clash) and of values that differ (changed)."""
     ids = matches.select("doc").distinct()
     few = matches.count() <= BROADCAST_DOCS
     docs = docs.select("doc_id", "text")
@@ -89,14 +94,14 @@ def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame, width:
     theirs = values.select(F.col("doc_id").alias("d"), F.posexplode("slots").alias("at", "t")).filter(F.col("t.template").isin(NUMBER, NAME, UNIT)).select("d", "at", F.col("t.value").alias("doc_value"))
     ours = slot_values(items, "item_id").select(F.col("item_id").alias("i"), F.posexplode("slots").alias("at", "t")).filter(F.col("t.template").isin(NUMBER, NAME, UNIT))
     ours = ours.select("i", F.col("at").alias("item_at"), F.col("t.template").alias("kind"), F.col("t.value").alias("item_value"))
-    places = matches.select("doc", "item_id", "shift", F.explode(F.sequence("item_position", F.col("item_position") + width - 1)).alias("item_at")).distinct()
+    places = matches.select("doc", "item_id", "shift", F.explode(F.sequence("item_position", F.col("item_position") + F.col("width") - 1)).alias("item_at")).distinct()
     pairs = places.join(ours, (F.col("i") == F.col("item_id")) & (ours["item_at"] == places["item_at"])).select("doc", "item_id", "shift", places["item_at"].alias("place"), "kind", "item_value")
     pairs = pairs.join(theirs, F.col("doc").eqNullSafe(F.col("d")) & (F.col("at") == F.col("place") + F.col("shift")))
     # both lists are at most an item's tokens
     changed = F.collect_set(F.when(F.col("item_value") != F.col("doc_value"), F.col("place")))
     mapped = pairs.groupBy("doc", "item_id", "shift", "kind", "item_value").agg(F.min("doc_value").alias("a"), F.max("doc_value").alias("b"), F.collect_set("place").alias("places"), changed.alias("changed"))
     clash = F.flatten(F.collect_list(F.when(F.col("a") != F.col("b"), F.col("places"))))
-    return mapped.groupBy("doc", "item_id", "shift").agg(clash.alias("clash"), F.flatten(F.collect_list("changed")).alias("changed")).filter(F.size("clash") > 0)
+    return mapped.groupBy("doc", "item_id", "shift").agg(clash.alias("clash"), F.flatten(F.collect_list("changed")).alias("changed")).filter(F.size("changed") > 0)
 
 
 
@@ -106,23 +111,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     hashed = materialize(templates(items, "item_id"), "items")
     slots = F.array(*[F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)])
     flagged = hashed.select("item_id", "hashes", F.transform("hashes", lambda h: F.array_contains(slots, h)).alias("slots"))
-    theirs = windows(hashed, "item_id", width).select("item_id", F.col("position").alias("item_position"), "hash").join(flagged.select("item_id", "slots"), "item_id")
-    theirs = theirs.select("item_id", "item_position", "hash", F.exists(F.slice("slots", F.col("item_position") + 1, width), lambda s: s).alias("slotted")).distinct()
+    short = F.least(F.size("hashes"), F.lit(width)).alias("width")
+    widths = sorted({width} | {r["width"] for r in hashed.select(short).filter("width > 0").distinct().collect()})  # at most ``width`` numbers
+    theirs = None
+    for w in widths:
+        own = windows(hashed.filter(short == w), "item_id", w).select("item_id", F.col("position").alias("item_position"), "hash")
+        part = own.join(flagged.filter(F.least(F.size("slots"), F.lit(width)) == w).select("item_id", "slots"), "item_id")
+        held = F.slice("slots", F.col("item_position") + 1, w)
+        bare = F.lit(w < width) & F.forall(held, lambda s: s)
+        part = part.select("item_id", "item_position", "hash", F.lit(w).alias("width"), F.exists(held, lambda s: s).alias("slotted"), bare.alias("bare")).distinct()
+        theirs = part if theirs is None else theirs.unionByName(part)
     theirs = materialize(theirs, "windows")
     small = theirs.count() <= BROADCAST_WINDOWS
-    ours = windows(templates(docs, "doc_id"), "doc_id", width)
-    found = ours.join(F.broadcast(theirs) if small else theirs, "hash").select(F.col("doc_id").alias("doc"), "item_id", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "slotted").distinct()
+    ours = windows(templates(docs, "doc_id"), "doc_id", *widths)
+    found = ours.join(F.broadcast(theirs) if small else theirs, "hash").select(F.col("doc_id").alias("doc"), "item_id", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "width", "slotted", "bare").distinct()
     found = materialize(found, "matches")
     slotted = found.filter("slotted")
     if not slotted.isEmpty():
-        bad = materialize(_inconsistent(slotted, docs, items, width), "inconsistent").select(F.col("doc").alias("b"), F.col("item_id").alias("bi"), F.col("shift").alias("bs"), "clash", "changed")
+        bad = materialize(_inconsistent(slotted, docs, items), "inconsistent").select(F.col("doc").alias("b"), F.col("item_id").alias("bi"), F.col("shift").alias("bs"), "clash", "changed")
         found = found.join(bad, F.col("doc").eqNullSafe(F.col("b")) & (F.col("item_id") == F.col("bi")) & (F.col("shift") == F.col("bs")), "left")
-        inside = lambda places: F.exists(places, lambda x: (x >= F.col("item_position")) & (x < F.col("item_position") + width))
-        found = found.filter(F.col("clash").isNull() | ~(inside("clash") & inside("changed")))
-    held = found.groupBy("doc", "item_id").agg(F.array_sort(F.collect_set("item_position")).alias("at"))  # at most an item's windows
-    gaps = F.transform("at", lambda p, i: F.when(i == 0, width).otherwise(F.least(F.lit(width), p - F.get("at", i - 1))))
+        inside = lambda places: F.exists(places, lambda x: (x >= F.col("item_position")) & (x < F.col("item_position") + F.col("width")))
+        found = found.filter(F.col("clash").isNull() | ~((inside("clash") | F.col("bare")) & inside("changed")))
+    held = found.groupBy("doc", "item_id").agg(F.collect_set(F.struct("item_position", "width")).alias("at"))  # at most an item's windows
+    tokens = F.flatten(F.transform("at", lambda w: F.sequence(w["item_position"], w["item_position"] + w["width"] - 1)))
     sizes = hashed.groupBy("item_id").agg(F.max(F.size("hashes")).alias("item_tokens"))
-    scored = held.select("doc", "item_id", F.size("at").alias("matched_windows"), F.aggregate(gaps, F.lit(0), lambda s, g: s + g).alias("covered_tokens")).join(sizes, "item_id")
+    scored = held.select("doc", "item_id", F.size("at").alias("matched_windows"), F.size(F.array_distinct(tokens)).alias("covered_tokens")).join(sizes, "item_id")
     return scored.filter(F.col("covered_tokens") >= coverage * F.col("item_tokens")).select(F.col("doc").alias("doc_id"), "item_id", "matched_windows", "covered_tokens", "item_tokens")
 
 

@@ -152,6 +152,16 @@ def test_one_slot_conflict_keeps_the_rest(spark, docs):
     assert [(r["matched_windows"], r["covered_tokens"]) for r in de.find_leaks(docs(both), benchmark).collect()] == [(61, 82)]
 
 
+def test_short_items(spark, docs):
+    items = [(1, "What is the capital of France?"), (2, "Name it."), (3, "42"), (4, ITEM), (5, ""), (6, "?"), (7, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = ["So: what is the capital of France? Paris.", "what is the capital of Spain", "what is a capital", "Please name it", f"x {ITEM}", "there are 42 of them", "there are 43 of them", "", None]
+    got = {(r["doc_id"], r["item_id"], r["matched_windows"], r["covered_tokens"], r["item_tokens"]) for r in de.find_leaks(docs(*rows), benchmark).collect()}
+    assert got == {(0, 1, 1, 6, 6), (1, 1, 1, 6, 6), (3, 2, 1, 2, 2), (4, 4, 18, 25, 25), (5, 3, 1, 1, 1)}
+    kept = de.remove_contaminated(docs(*rows), benchmark)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 6, 7, 8]
+
+
 def test_pipeline(spark, docs, tmp_path):
     from test_dedup import brute_lines, brute_similar, edited, sentence
 
