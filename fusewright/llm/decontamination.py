@@ -15,7 +15,8 @@ An item of fewer tokens than a window is one window of its own length, which doc
 such items; if it holds placeholders only, its values must be equal too.
 
 Defined results: null or empty texts have no windows and never match; rows that repeat a doc_id count as one document, its
-windows together; a null doc_id is one document too; repeated benchmark rows change nothing; empty tables give empty
+windows together; rows without a doc_id are documents by their text; repeated benchmark rows change nothing; rows without an
+item_id cannot be named in ``find_leaks``, which passes them over, but are items by their text in ``remove_contaminated``; empty tables give empty
 results; other columns are ignored or kept as they are (``remove_contaminated``).
 """
 
@@ -89,14 +90,13 @@ def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame) -> Data
     """doc, item_id and shift of the alignments with changed values, with the item's positions of values that stand for two of the document (clash) and of values that differ (changed)."""
     ids = matches.select("doc").distinct()
     few = matches.count() <= BROADCAST_DOCS
-    docs = docs.select("doc_id", "text")
-    values = slot_values(docs.join(F.broadcast(ids) if few else ids, F.col("doc").eqNullSafe(F.col("doc_id")), "left_semi"), "doc_id")
+    values = slot_values(docs.join(F.broadcast(ids) if few else ids, F.col("doc") == F.col("doc_id"), "left_semi"), "doc_id")
     theirs = values.select(F.col("doc_id").alias("d"), F.posexplode("slots").alias("at", "t")).filter(F.col("t.template").isin(NUMBER, NAME, UNIT)).select("d", "at", F.col("t.value").alias("doc_value"))
     ours = slot_values(items, "item_id").select(F.col("item_id").alias("i"), F.posexplode("slots").alias("at", "t")).filter(F.col("t.template").isin(NUMBER, NAME, UNIT))
     ours = ours.select("i", F.col("at").alias("item_at"), F.col("t.template").alias("kind"), F.col("t.value").alias("item_value"))
     places = matches.select("doc", "item_id", "shift", F.explode(F.sequence("item_position", F.col("item_position") + F.col("width") - 1)).alias("item_at")).distinct()
     pairs = places.join(ours, (F.col("i") == F.col("item_id")) & (ours["item_at"] == places["item_at"])).select("doc", "item_id", "shift", places["item_at"].alias("place"), "kind", "item_value")
-    pairs = pairs.join(theirs, F.col("doc").eqNullSafe(F.col("d")) & (F.col("at") == F.col("place") + F.col("shift")))
+    pairs = pairs.join(theirs, (F.col("doc") == F.col("d")) & (F.col("at") == F.col("place") + F.col("shift")))
     # both lists are at most an item's tokens
     changed = F.collect_set(F.when(F.col("item_value") != F.col("doc_value"), F.col("place")))
     mapped = pairs.groupBy("doc", "item_id", "shift", "kind", "item_value").agg(F.min("doc_value").alias("a"), F.max("doc_value").alias("b"), F.collect_set("place").alias("places"), changed.alias("changed"))
@@ -104,10 +104,20 @@ def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame) -> Data
     return mapped.groupBy("doc", "item_id", "shift").agg(clash.alias("clash"), F.flatten(F.collect_list("changed")).alias("changed")).filter(F.size("changed") > 0)
 
 
+def _doc_key() -> Column:
+    """A row's document, never null: its doc_id, or its text if it has none."""
+    return F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("text_key"))
+
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, matched_windows, covered_tokens and item_tokens of every document and item of which it holds ``coverage``."""
-    items = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").dropDuplicates(["item_id", "text"])
+    return _leaks(docs, benchmark.filter("item_id IS NOT NULL"), width, coverage).withColumn("doc_id", F.col("doc_id.doc_id"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float) -> DataFrame:
+    """``find_leaks`` with ``_doc_key`` in place of doc_id; no item_id is null."""
+    docs = docs.select(_doc_key().alias("doc_id"), "text")
+    items = benchmark.select("item_id", "text").dropDuplicates(["item_id", "text"])
     hashed = materialize(templates(items, "item_id"), "items")
     slots = F.array(*[F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)])
     flagged = hashed.select("item_id", "hashes", F.transform("hashes", lambda h: F.array_contains(slots, h)).alias("slots"))
@@ -129,7 +139,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     slotted = found.filter("slotted")
     if not slotted.isEmpty():
         bad = materialize(_inconsistent(slotted, docs, items), "inconsistent").select(F.col("doc").alias("b"), F.col("item_id").alias("bi"), F.col("shift").alias("bs"), "clash", "changed")
-        found = found.join(bad, F.col("doc").eqNullSafe(F.col("b")) & (F.col("item_id") == F.col("bi")) & (F.col("shift") == F.col("bs")), "left")
+        found = found.join(bad, (F.col("doc") == F.col("b")) & (F.col("item_id") == F.col("bi")) & (F.col("shift") == F.col("bs")), "left")
         inside = lambda places: F.exists(places, lambda x: (x >= F.col("item_position")) & (x < F.col("item_position") + F.col("width")))
         found = found.filter(F.col("clash").isNull() | ~((inside("clash") | F.col("bare")) & inside("changed")))
     held = found.groupBy("doc", "item_id").agg(F.collect_set(F.struct("item_position", "width")).alias("at"))  # at most an item's windows
@@ -141,8 +151,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The rows of documents that hold no item."""
-    leaks = materialize(find_leaks(docs, benchmark, width, coverage).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
+    item_key = F.when(F.col("item_id").isNotNull(), F.concat(F.lit("i"), F.col("item_id").cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    leaks = materialize(_leaks(docs, benchmark.select(item_key.alias("item_id"), "text"), width, coverage).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
     if leaks.count() <= BROADCAST_DOCS:
         leaks = F.broadcast(leaks)
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(leaks, F.col("row.doc_id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")
+    rows = docs.select(_doc_key().alias("doc"), F.struct("*").alias("row"))
+    return rows.join(leaks, F.col("doc") == F.col("leaked"), "left_anti").select("row.*")

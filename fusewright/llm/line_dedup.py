@@ -3,12 +3,12 @@
 A line's id is the XXH64 of its bytes. Each distinct line, lower-cased and with its white space
 collapsed, gets a min-wise signature of its ``SHINGLE``-character shingles, bands of it name
 candidates, the exact Jaccard similarity of the shingle sets decides (``near.py``), and of every
-component of alike lines only the first is kept, by (doc_id, line number). Blank lines stay.
+component of alike lines only the first is kept, by (doc_id, text's hash, line number). Blank lines stay.
 
 Texts are never shuffled for the comparison: ids and keys are, and the texts of candidate lines.
 
 Defined results: a null text has no lines and stays null; a null doc_id comes first; rows that
-repeat a doc_id lose the same line numbers; of equal lines in one document the first stays; lines shorter than a shingle
+repeat a doc_id, null included, are documents of their own unless they repeat the text too; of equal lines in one document the first stays; lines shorter than a shingle
 are one shingle; empty tables give empty results; other columns are kept in a struct, where no name clashes.
 """
 
@@ -71,9 +71,9 @@ def alike(x: str, y: str, cache: dict) -> bool:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line (number), id and body of each line."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    return rows.select("doc_id", "line", F.xxhash64("body").alias("id"), "body")
+    """row_key (of doc_id and text), doc_id, line (number), id and body of each line."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    return rows.select("row_key", "doc_id", "line", F.xxhash64("body").alias("id"), "body")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -100,24 +100,24 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): the numbers (from 0) of the lines that go, for documents that lose any."""
+    """(row_key, removed): the numbers (from 0) of the lines that go, for documents that lose any."""
     words = lines_of(docs).filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
     seen = materialize(words.drop("body"), "lines")
     stars = similar_stars(_keys(docs), lambda ids: _texts(docs, ids), alike, SIMILARITY)
-    firsts = materialize(seen.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "firsts")
+    firsts = materialize(seen.groupBy("id").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count("*").alias("n")), "firsts")
     rooted = firsts.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = materialize(rooted, "rooted")
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).filter("total > 1").select("root", "kept")
     repeated = materialize(rooted.join(materialize(kept, "kept"), "root").select("id", "kept"), "repeated")
-    again = seen.join(repeated, "id").filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
-    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))  # at most a document's own lines
+    again = seen.join(repeated, "id").filter((F.col("row_key") != F.col("kept.row_key")) | (F.col("line") != F.col("kept.line")))
+    return again.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))  # at most a document's own lines
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per document: row (its columns, with the text of the lines that stay), n_lines and removed (line numbers)."""
-    gone = materialize(removed_lines(docs), "removed").select(F.col("doc_id").alias("r_doc"), "removed")
+    gone = materialize(removed_lines(docs), "removed").select("row_key", "removed")
     # a shuffled join at every size, as what goes grows with the documents; hashed, so that texts need no sort
-    joined = docs.select(F.struct("*").alias("row")).join(gone.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("r_doc")), "left")
+    joined = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct("*").alias("row")).join(gone.hint("shuffle_hash"), "row_key", "left")
     parts = F.split(F.col("row.text"), "\n")
     stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("removed"), i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(stay)

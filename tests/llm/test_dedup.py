@@ -96,6 +96,15 @@ def test_chunked_groups_give_the_same(spark, docs, monkeypatch):
     assert {r["row"]["doc_id"]: set(r["removed"]) for r in out if r["removed"]} == brute_lines([(r[0], r[1]) for r in rows])
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_lines_of_rows_that_share_an_id(spark, docs, key):
+    rng = random.Random(14)
+    a, b, c, d, same = (sentence(rng) for _ in range(5))
+    rows = [(key, f"{a}\n{same}"), (key, f"{same}\n{b}"), (key, f"{c}\n{same}"), (8, f"{same}\n{d}")]
+    kept = [r["text"] for r in ld.dedup_documents(docs(*[(*r, "en", "s") for r in rows])).collect()]
+    assert len(kept) == 4 and sorted(x for t in kept for x in t.split("\n")) == sorted([a, b, c, d, same])
+
+
 def test_sketch_bound():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 32, 300, dtype=np.uint32)

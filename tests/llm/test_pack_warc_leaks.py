@@ -162,6 +162,16 @@ def test_short_items(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 6, 7, 8]
 
 
+def test_rows_without_ids(spark, docs):
+    other = "an item that no id names but that is long enough to make windows of its own"
+    benchmark = spark.createDataFrame([(1, ITEM), (None, other)], "item_id long, text string")
+    texts = [ITEM, "clean", None, f"see {other}", "clean too"]
+    df = docs(*[(None, t, "en", "s") for t in texts], (5, f"{other} again", "en", "s"), (6, "clean", "en", "s"))
+    assert [(r["doc_id"], r["item_id"]) for r in de.find_leaks(df, benchmark).collect()] == [(None, 1)]
+    kept = de.remove_contaminated(df, benchmark).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == [("6", "clean"), ("None", "None"), ("None", "clean"), ("None", "clean too")]
+
+
 def test_pipeline(spark, docs, tmp_path):
     from test_dedup import brute_lines, brute_similar, edited, sentence
 
