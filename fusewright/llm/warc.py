@@ -4,7 +4,7 @@ Writing: payload digests are grouped by partial aggregation; the smallest page_i
 group becomes a ``response`` and the others ``revisit`` records that name it. Every task
 writes files of its own, one gzip member per record, and reports them; the report,
 committed by Spark, is the archive's manifest, so files of lost or repeated attempts are
-never read.
+never read. It holds where every record starts; a range in which the reader finds another number of records is an error.
 
 Reading: the manifest's files are split into byte ranges. A task scans its range for the
 gzip magic, accepts a candidate only if it decodes to a WARC header and, in the end, to the length
@@ -39,7 +39,6 @@ MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 32 << 20
 READ_BYTES = 1 << 20
 ROLL_BYTES = 256 << 20
-HEADER_LIMIT = 64 << 10
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, content binary"
 
@@ -90,36 +89,37 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_archives(typed: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Write rows of ``record_types`` below ``folder``; returns the manifest (path, bytes, records)."""
+    """Write rows of ``record_types`` below ``folder``; returns the manifest (path, bytes, records, starts)."""
     spark = typed.sparkSession
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)
         store.create_dir(top, recursive=True)
-        done: list[tuple[str, int, int]] = []
-        out, name, size, n = None, "", 0, 0
+        done: list[tuple[str, int, int, list[int]]] = []
+        out, name, size, starts = None, "", 0, []
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in ("record_type", "page_id", "url", "refers_to")]
             for kind, page_id, url, refers_to, payload in zip(*columns, utf8(batch.column("html"))):
                 if out is None:
-                    name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0  # a name for this attempt alone
+                    name, size, starts = f"{uuid.uuid4().hex}.warc.gz", 0, []  # a name for this attempt alone
                     out = store.open_output_stream(f"{top}/{name}", compression=None)
                 record = member(kind, page_id, url, payload, refers_to)
                 out.write(record)
-                size, n = size + len(record), n + 1
+                starts.append(size)
+                size += len(record)
                 if size >= roll_bytes:
                     out.close()
-                    done.append((name, size, n))
+                    done.append((name, size, len(starts), starts))
                     out = None
         if out is not None:
             out.close()
-            done.append((name, size, n))
+            done.append((name, size, len(starts), starts))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["name", "bytes", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["name", "bytes", "records", "starts"])
 
-    written = typed.mapInArrow(run, "name string, bytes long, records long")
-    return materialize(written.select(F.concat(F.lit(folder + "/"), "name").alias("path"), "bytes", "records"), "manifest")
+    written = typed.mapInArrow(run, "name string, bytes long, records long, starts array<long>")
+    return materialize(written.select(F.concat(F.lit(folder + "/"), "name").alias("path"), "bytes", "records", "starts"), "manifest")
 
 
 class _Source:
@@ -160,9 +160,10 @@ def _decode(source: _Source, at: int) -> tuple[bytes, int] | None:
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes] | None:
     """Headers (lower-case names) and block of a record, or None if its lengths disagree."""
-    head, found, rest = raw[:HEADER_LIMIT].partition(b"\r\n\r\n")
-    if not found:
+    end = raw.find(b"\r\n\r\n")
+    if end < 0:
         return None
+    head = raw[:end]
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
     fields = {k.lower(): v for k, v in fields.items()}
     block = raw[len(head) + 4 :]
@@ -202,8 +203,10 @@ def _payload(block: bytes) -> bytes:
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of a manifest's files: ``RECORDS``; content is null for revisits. Digests are recomputed from stored payloads."""
     ship(manifest.sparkSession)
-    starts = F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")
-    ranges = manifest.filter("bytes > 0").select("path", "bytes", F.explode(starts).alias("first"))
+    firsts = F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")
+    ranges = manifest.filter("bytes > 0 OR records > 0").select("path", "bytes", "records", "starts", F.explode(firsts).alias("first"))
+    inside = F.filter("starts", lambda s: (s >= F.col("first")) & (s < F.col("first") + split_bytes))
+    ranges = ranges.select("path", "bytes", "first", F.size(inside).cast("long").alias("expected"), (F.size("starts") == F.col("records")).alias("whole"))
     parts = max(1, ranges.count())
     ranges = ranges.repartition(min(parts, 100_000), F.xxhash64("path", "first"))
 
@@ -214,10 +217,14 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
         held = 0
         number = lambda v: None if v is None else int(v)
         for batch in batches:
-            for path, size, first in zip(*[batch.column(c).to_pylist() for c in ("path", "bytes", "first")]):
+            for path, size, first, expected, whole in zip(*[batch.column(c).to_pylist() for c in ("path", "bytes", "first", "expected", "whole")]):
+                if not whole:
+                    raise ValueError(f"{path}: the manifest's count of records is not that of their starts")
+                found = 0
                 store, name = _open(path)
                 with store.open_input_file(name) as file:
                     for _, head, block in scan_range(file, size, first, min(size, first + split_bytes)):
+                        found += 1
                         kind = head.get("warc-type")
                         body = _payload(block) if kind == "response" else None
                         stored = head.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -229,6 +236,8 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                         if held >= 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                             rows, held = [], 0
+                if found != expected:
+                    raise ValueError(f"{path}: {found} records start in the range from byte {first}, but {expected} in the manifest")
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 

@@ -122,6 +122,21 @@ def test_false_magic_is_refused():
     assert warc.parse_record(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nxx\r\n\r\n") is None
 
 
+def test_long_urls_and_lost_records(spark, tmp_path):
+    rows = [(k, "http://h/" + "u" * n, f"<p>{k}</p>") for k, n in enumerate((5, 70_000, 3_000_000, 9))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.record_types(df), f"file://{tmp_path}/a")
+    for split in (97, 1 << 25):
+        assert sorted((r["page_id"], r["url"], r["content"].decode()) for r in warc.read_archives(manifest, split).collect()) == rows
+    with pytest.raises(Exception, match="manifest"):
+        warc.read_archives(manifest.withColumn("records", F.col("records") + 1)).collect()
+    path = manifest.filter("records > 0").head()["path"].removeprefix("file://")
+    with open(path, "r+b") as file:
+        file.write(b"\0")  # the first record is none any more
+    with pytest.raises(Exception, match="manifest"):
+        warc.read_archives(manifest).collect()
+
+
 ITEM = "A train leaves Berlin at 7 with Anna and covers 120 km before Anna meets Boris who then travels 7 more km with Carla today"
 
 
