@@ -1,19 +1,18 @@
 """Connected components by alternating large and small stars, and queries on them.
 
-Every round rewires each node to the least neighbour it knows, first upwards, then
+First every task contracts its share of the edges to stars, block by block of ``BLOCK_EDGES``, which keeps its memory bounded and leaves at
+most an edge for each node of a block. Then every round rewires each node to the least neighbour it knows, first upwards, then
 downwards; the edge set shrinks to stars around the least node of each component in a
-number of rounds that grows with the logarithm of the size. Each round's edges are
+number of rounds that grows with the logarithm of the size, and the rounds end once it consists of such stars. Each round's edges are
 written to the shared folder, so lineage stays short, executors may be lost, and a hub's
-side of a join can be split at run time because both sides are plain tables.
-
-Up to ``LOCAL_EDGES`` distinct edges, 16 bytes each, the rounds would cost more than the work: one task then
-joins them all in memory, with the same result.
+side of a join can be split at run time because both sides are plain tables. The same steps run at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,32 +20,52 @@ from pyspark.sql import functions as F
 from fusewright.functions.shipping import ship
 from fusewright.functions.storage import materialize
 
-LOCAL_EDGES = 1_000_000
+BLOCK_EDGES = 1 << 18
+
+
+def block_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges' components as stars: every node but the least of its component, with that least node."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    inner = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[inner], nodes[root[inner]]
 
 
-def _join_in_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parent: dict[int, int] = {}
+def contract(edges: DataFrame, block_edges: int) -> DataFrame:
+    """Each task's edges as stars, of ``block_edges`` at a time."""
 
-    def root(x: int) -> int:
-        top = x
-        while (up := parent.get(top, top)) != top:
-            top = up
-        while x != top:
-            parent[x], x = top, parent.get(x, x)
-        return top
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-    for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-            a, b = root(u), root(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+        def stars() -> pa.RecordBatch:
+            u, v = block_stars(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+        for batch in batches:
+            u, v = batch.column("u").to_numpy(), batch.column("v").to_numpy()
+            for k in range(0, len(u), block_edges):
+                held.append((u[k : k + block_edges], v[k : k + block_edges]))
+                size += len(held[-1][0])
+                if size >= block_edges:
+                    yield stars()
+                    size = 0
+        if held:
+            yield stars()
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
+    ship(edges.sparkSession)
+    return edges.mapInArrow(run, "u long, v long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -62,20 +81,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def component_stars(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one parent, which has none: then the least node of a component is its only parent."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    nodes = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return nodes.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
+def component_stars(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(u, v): every node of an edge but the least of its component, with that least node. Loops and nulls are passed over."""
     stars = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    if dict(stars.dtypes) == {"u": "bigint", "v": "bigint"}:
+        stars = contract(stars, block_edges)
     stars = materialize(stars, "edges")
-    before = _fingerprint(stars)
-    if 0 < before[0] <= local_edges and dict(stars.dtypes) == {"u": "bigint", "v": "bigint"}:
-        ship(edges.sparkSession)
-        return materialize(stars.coalesce(1).mapInArrow(_join_in_memory, "u long, v long"), "stars")
-    while before[0]:
+    while not _are_stars(stars):
         stars = materialize(_small_star(materialize(_large_star(stars), "edges")), "edges")
-        after = _fingerprint(stars)
-        if after == before:
-            break
-        before = after
     return stars
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from fusewright.functions.schemas import obs_from_arrays, pairs_from_array
@@ -120,8 +121,26 @@ def test_random_and_long_components(spark):
     assert rows(graph_labels(spark, 500, edges), "node") == [(k, find(k)) for k in range(500)]
     table = spark.createDataFrame(edges, "u long, v long")
     expected = [(k, find(k)) for k in range(500) if find(k) != k]
-    for local in (0, 10**6):  # by rounds, and in memory
-        assert rows(comp.component_stars(table, local), "u") == expected
+    for block in (1, 7, 1 << 18):  # little or nothing contracted before the rounds, and all
+        assert rows(comp.component_stars(table, block), "u") == expected
+    assert comp.component_stars(table.select(*[table[c].cast("string").alias(c) for c in "uv"])).count() == len(expected)  # other names than numbers
+
+
+def test_blocks_of_edges_become_stars():
+    rng = np.random.default_rng(4)
+    u, v = rng.integers(0, 60, (2, 45))
+    x, y = comp.block_stars(u, v)
+    left = dict(zip(x.tolist(), y.tolist()))
+    at = lambda n: left.get(n, n)
+    assert all(at(a) == at(b) for a, b in zip(u.tolist(), v.tolist())) and all(b < a and b not in left for a, b in left.items())
+    sets = {frozenset((a, b)) for a, b in zip(u.tolist(), v.tolist())}
+    reach = {n: {n} for n in range(60)}
+    for _ in range(60):
+        for a, b in map(lambda s: (min(s), max(s)), sets):
+            both = reach[a] | reach[b]
+            for n in both:
+                reach[n] = both
+    assert all(at(n) == min(reach[n]) for n in range(60))
 
 
 def test_disjoint_sets(spark):
