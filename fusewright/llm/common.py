@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fusewright.functions.shipping import ship
+from fusewright.functions import shipping
 
 SLICE_BYTES = 4 << 20
-__all__ = ["SLICE_BYTES", "map_batches", "ship", "table", "utf8"]
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, and bound the batches that Spark sends to Python unless the session has a lower bound; they are held on both sides."""
+    shipping.ship(spark)
+    conf = spark._jsparkSession.sessionState().conf()
+    if conf.arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

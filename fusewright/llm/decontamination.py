@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
+from fusewright.llm.common import let
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -43,11 +44,6 @@ TOKEN = r"\$?[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{M}]+|[.!?\n]"
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
@@ -61,13 +57,13 @@ def _template(x: Column, before: Column) -> Column:
         title = (low != x) & before.isNotNull() & ~end(before) & (F.length(x) > 1) & (F.substring(x, 2, 1 << 20) == F.substring(low, 2, 1 << 20))
         return F.when(number(before) & low.isin(UNITS), UNIT).when(title, NAME).otherwise(low)
 
-    return F.when(end(x), None).when(number(x), NUMBER).otherwise(_let(F.lower(x), word))
+    return F.when(end(x), None).when(number(x), NUMBER).otherwise(let(F.lower(x), word))
 
 
 def templates(df: DataFrame, key: str) -> DataFrame:
     """key and hashes: the template tokens' hashes of each row."""
     ended = F.xxhash64(F.lit(None).cast("string"))  # what a sentence's end hashes to
-    hashed = _let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: F.xxhash64(_template(x, F.get(t, i - 1)))))
+    hashed = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: F.xxhash64(_template(x, F.get(t, i - 1)))))
     return df.select(key, F.filter(hashed, lambda h: h != ended).alias("hashes"))
 
 
@@ -75,14 +71,14 @@ def windows(hashed: DataFrame, key: str, *widths: int) -> DataFrame:
     """key, position (from 0) and hash of every window of ``widths`` template tokens."""
     of = lambda all_, width: F.transform(F.slice(all_, 1, F.greatest(F.size(all_) - (width - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(all_, i + k) for k in range(1, width)]))
     if len(widths) == 1:
-        return hashed.select(key, F.posexplode(_let(F.col("hashes"), lambda all_: of(all_, widths[0]))).alias("position", "hash"))
+        return hashed.select(key, F.posexplode(let(F.col("hashes"), lambda all_: of(all_, widths[0]))).alias("position", "hash"))
     placed = lambda all_: F.concat(*[F.transform(of(all_, w), lambda h, i: F.struct(i.alias("position"), h.alias("hash"))) for w in widths])
-    return hashed.select(key, F.explode(_let(F.col("hashes"), placed)).alias("x")).select(key, "x.*")
+    return hashed.select(key, F.explode(let(F.col("hashes"), placed)).alias("x")).select(key, "x.*")
 
 
 def slot_values(df: DataFrame, key: str) -> DataFrame:
     """key and slots: (template, value) of each template token, in order."""
-    both = _let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: F.struct(_template(x, F.get(t, i - 1)).alias("template"), x.alias("value"))))
+    both = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: F.struct(_template(x, F.get(t, i - 1)).alias("template"), x.alias("value"))))
     return df.select(key, F.filter(both, lambda t: t["template"].isNotNull()).alias("slots"))
 
 

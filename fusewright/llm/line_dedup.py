@@ -3,13 +3,14 @@
 A line's id is the XXH64 of its bytes. Each distinct line, lower-cased and with its white space
 collapsed, gets a min-wise signature of its ``SHINGLE``-character shingles, bands of it name
 candidates, the exact Jaccard similarity of the shingle sets decides (``near.py``), and of every
-component of alike lines only the first is kept, by (doc_id, text's hash, line number). Blank lines stay.
+component of alike lines, which a distributed union-find gives, only the first is kept, by (doc_id, text's hash, line number). Blank lines stay.
 
-Texts are never shuffled for the comparison: ids and keys are, and the texts of candidate lines.
+Texts are never shuffled for the comparison: ids and keys are, and the texts of candidate lines. Lines are taken as equal by 128 bits,
+the id and a second hash.
 
 Defined results: a null text has no lines and stays null; a null doc_id comes first; rows that
 repeat a doc_id, null included, are documents of their own unless they repeat the text too; of equal lines in one document the first stays; lines shorter than a shingle
-are one shingle; empty tables give empty results; other columns are kept in a struct, where no name clashes.
+are one shingle; very long texts and lines are compared whole; empty tables give empty results; other columns are kept in a struct, where no name clashes.
 """
 
 from __future__ import annotations
@@ -17,16 +18,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
-from fusewright.llm.common import map_batches, utf8
-from fusewright.llm.near import band_keys, cached, fetch_by_id, key_blocks, mix32, n_buckets, similar_stars, with_sketches
+from fusewright.llm.common import let, map_batches, utf8
+from fusewright.llm.near import BLOCKS, band_keys, cached, fetch_by_id, key_blocks, may_hold, mix32, n_buckets, similar_stars, with_sketches
 
 SHINGLE, SIMILARITY = 7, 0.8
 CHUNK = 512
 SEED = 42  # of Spark's xxhash64
+CHECK = 7  # hashed before a line, it makes the second hash
+CHECK_SEED = xxhash.xxh64_intdigest(CHECK.to_bytes(4, "little"), SEED)
+SPACES = " \t\n\x0b\x0c\r"
 _B, _B2, _B3 = (np.uint32(0x01000193**k % (1 << 32)) for k in (1, 2, 3))
 
 
@@ -71,9 +76,9 @@ def alike(x: str, y: str, cache: dict) -> bool:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """row_key (of doc_id and text), doc_id, line (number), id and body of each line."""
+    """row_key (of doc_id and text), doc_id, line (number), id, check and body of each line."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    return rows.select("row_key", "doc_id", "line", F.xxhash64("body").alias("id"), "body")
+    return rows.select("row_key", "doc_id", "line", F.xxhash64("body").alias("id"), F.xxhash64(F.lit(CHECK), "body").alias("check"), "body")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -91,36 +96,56 @@ def _keys(docs: DataFrame) -> DataFrame:
         return key_blocks(keys, ids, buckets)
 
     buckets = n_buckets(docs)
-    return map_batches(docs.select("text"), work, "bucket int, block binary")
+    return map_batches(docs.select("text"), work, BLOCKS)
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    bodies = fetch_by_id(lines_of(docs).select("id", "body"), ids)
-    return with_sketches(bodies, "string", lambda lines: shingle_hashes([normalise(x) for x in lines]))
+    def bodies(wanted: Broadcast) -> DataFrame:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            lines = list(dict.fromkeys(x for raw in utf8(batch.column("text")) for x in raw.split(b"\n")))
+            ids = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in lines), np.uint64, len(lines)).view(np.int64)
+            at = np.flatnonzero(may_hold(wanted.value, ids))
+            if not len(at):
+                return None
+            found = [lines[k] for k in at]
+            check = np.fromiter((xxhash.xxh64_intdigest(x, CHECK_SEED) for x in found), np.uint64, len(found)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(check), pa.array(found, pa.binary()).cast(pa.string())], ["id", "check", "body"])
+
+        return map_batches(docs.select("text"), work, "id long, check long, body string")
+
+    return with_sketches(fetch_by_id(bodies, ids), "string", lambda lines: shingle_hashes([normalise(x) for x in lines]))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(row_key, removed): the numbers (from 0) of the lines that go, for documents that lose any."""
-    words = lines_of(docs).filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
-    seen = materialize(words.drop("body"), "lines")
-    stars = similar_stars(_keys(docs), lambda ids: _texts(docs, ids), alike, SIMILARITY)
-    firsts = materialize(seen.groupBy("id").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count("*").alias("n")), "firsts")
-    rooted = firsts.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = materialize(rooted, "rooted")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).filter("total > 1").select("root", "kept")
-    repeated = materialize(rooted.join(materialize(kept, "kept"), "root").select("id", "kept"), "repeated")
-    again = seen.join(repeated, "id").filter((F.col("row_key") != F.col("kept.row_key")) | (F.col("line") != F.col("kept.line")))
-    return again.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))  # at most a document's own lines
+    """(row_key, doc_id, removed): the numbers (from 0) of the lines that go, for documents that lose any."""
+    seen = materialize(lines_of(docs).filter(F.length(F.btrim("body", F.lit(SPACES))) > 0).drop("body"), "lines")
+    classes = similar_stars(_keys(docs), lambda ids: _texts(docs, ids), alike, SIMILARITY)
+    counts = seen.groupBy("id", "check").agg(F.count("*").alias("n")).join(classes.hint("shuffle_hash"), ["id", "check"], "left")
+    # most lines are alone: only those that are repeated or like another go on
+    of_class = F.struct(F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("check")).otherwise(0).alias("check"), F.col("root").isNull().alias("equal"))
+    several = materialize(counts.filter("n > 1 OR root IS NOT NULL").select("id", "check", of_class.alias("class")), "several")
+    places = materialize(seen.join(several.hint("shuffle_hash"), ["id", "check"]).select("class", "doc_id", "row_key", "line"), "places")
+    firsts = materialize(places.groupBy("class").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("kept")), "firsts")
+    again = places.join(firsts.hint("shuffle_hash"), "class")
+    again = again.filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("row_key") == F.col("kept.row_key")) & (F.col("line") == F.col("kept.line"))))
+    return again.groupBy("row_key", "doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))  # at most a document's own lines
+
+
+def _without(parts: Column, removed: Column) -> Column:
+    """The lines between those removed, each stretch copied once."""
+    ends = F.concat(F.array(F.lit(-1)), removed)
+    between = lambda p, r: F.transform(r, lambda x, i: F.slice(p, x + 2, F.coalesce(F.get(r, i + 1), F.size(p)) - x - 1))
+    return let(parts, lambda p: let(ends, lambda r: F.array_join(F.flatten(between(p, r)), "\n")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per document: row (its columns, with the text of the lines that stay), n_lines and removed (line numbers)."""
-    gone = materialize(removed_lines(docs), "removed").select("row_key", "removed")
+    gone = materialize(removed_lines(docs), "removed").select(F.col("row_key").alias("gone_key"), F.col("doc_id").alias("gone_id"), "removed")
     # a shuffled join at every size, as what goes grows with the documents; hashed, so that texts need no sort
-    joined = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct("*").alias("row")).join(gone.hint("shuffle_hash"), "row_key", "left")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct("*").alias("row"))
+    joined = rows.join(gone.hint("shuffle_hash"), (F.col("row_key") == F.col("gone_key")) & F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left")
     parts = F.split(F.col("row.text"), "\n")
-    stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("removed"), i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(stay)
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(_without(parts, F.col("removed")))
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts))
     return joined.select(F.col("row").withField("text", text).alias("row"), n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 

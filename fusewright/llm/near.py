@@ -6,13 +6,19 @@ full. ``BANDS`` bands of ``ROWS`` bins each make the keys: at a similarity of 0.
 pairs share one.
 
 Texts that share a key form a group. First every text is compared with the least of its group, which joins
-most that belong together. Then only groups that hold several components are open, and all pairs of
-different components in them are looked at, by sketches: the parity of a text's shingles in ``SKETCH`` bits. Two parities
-differ in no more bits than the shingle sets have elements apart, so pairs too far apart are told in a few words
-and none that is similar is lost. What remains is joined from the closest pair on and verified exactly, until no group is open.
-Groups over ``CHUNK`` members are dealt as pairs of chunks, so no task holds a hot one.
-
-Keys travel as blocks of many, by bucket, which costs the shuffle far less than a row for each.
+most that belong together. Then only groups that hold several components are open, and all members
+outside a group's largest component are compared with all others, by sketches: the parity of a text's shingles in ``SKETCH`` bits.
+Two parities differ in no more bits than the shingle sets have elements apart, so pairs too far apart are told in a few words
+and none that is similar is lost. Large groups compare sketches bit-sliced: bit planes stored vertically, many distances advanced
+at once in carry-save counters, blocks abandoned once all are past the radius. Of what remains, each member's closest pairs are verified
+exactly; a turn takes ``GROWTH`` times as many to a member as the one before, until no group is open.
+
+Skew: keys that a slice of the input holds ``LOCAL`` times or more are grouped there and travel as one member, the others of
+the slice going to any task; groups over ``CHUNK`` members are dealt as pairs of chunks. No task holds a hot key.
+
+Keys travel as blocks of many, by bucket, which costs the shuffle far less than a row for each. Bodies are fetched by a second scan
+behind a Bloom filter of the candidates' ids, of ``FILTER_BITS`` bits at most, whatever their number, and joined with the ids by a shuffle.
+Ids are 64-bit hashes; a second hash, ``check``, tells the body that was compared from others of the same id, which join no class.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +38,13 @@ from fusewright.operators.components import component_stars
 BANDS, ROWS = 16, 5
 BINS = BANDS * ROWS
 SKETCH, CHUNK = 2048, 16_384
-#: Closest pairs that a group has verified in one turn, for each of its members.
-PER_MEMBER = 3
+LOCAL, MAX_BUCKETS = 16, 65_536
+#: Closest pairs that a member has verified in the first turn, and the factor from turn to turn.
+PER_MEMBER, GROWTH = 4, 4
+#: Members from which a group is compared bit-sliced; numpy's calls cost more than the work below. Queries at a time, planes between tests for abandonment.
+SLICED, QUERIES, TESTED = 1024, 64, 128
 SKETCHED = 256
-#: Ids of candidate texts are sent to the scan that fetches the texts up to so many, and joined by a shuffle beyond.
-BROADCAST_IDS = 2_000_000
+FILTER_BITS = 1 << 28
 CACHED_TEXTS = 2000
 _EMPTY = np.uint32(0xFFFFFFFF)
 _PROBES = np.random.RandomState(7).randint(0, BINS, (64, BINS))  # noqa: NPY002  fixed probe order
@@ -86,18 +95,38 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
-def key_blocks(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, block): the (key, id) of one bucket each. keys: (texts, BANDS); ids: of the texts."""
-    columns = [keys.ravel(), np.repeat(ids, keys.shape[1])]
-    bucket = (columns[0].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    rows = [np.stack([c[part] for c in columns]).tobytes() for part in np.split(order, cuts)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[order][np.concatenate(([0], cuts))]), pa.array(rows, pa.binary())], ["bucket", "block"])
+def n_buckets(df: DataFrame) -> int:
+    return min(8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
 
 
-def n_buckets(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def key_blocks(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, grouped, block). keys: (texts, BANDS); ids: of the texts.
+
+    Blocks hold the (key, id) of one bucket; grouped ones the (key, id, least id) of a key that the texts hold ``LOCAL`` times or more, of which only the
+    least id is in the bucket of the key.
+    """
+    key, id_ = keys.ravel().view(np.uint64), np.repeat(ids, keys.shape[1])
+    order = np.argsort(key)
+    key, id_ = key[order], id_[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    stays = np.ones(len(key), bool)
+    rows: list[tuple[int, bool, bytes]] = []
+    for s, n in zip(starts[sizes >= LOCAL].tolist(), sizes[sizes >= LOCAL].tolist()):
+        members = id_[s : s + n]
+        at = s + int(members.argmin())
+        stays[s : s + n] = False
+        stays[at] = True
+        rows.append((int(mix(key[s] ^ members[:1].view(np.uint64))[0] % np.uint64(buckets)), True, np.stack((key[s : s + n].view(np.int64), members, np.full(n, id_[at]))).tobytes()))
+    key, id_ = key[stays], id_[stays]
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # rises with the key
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist()):
+        rows.append((int(bucket[s]), False, np.stack((key[s:e].view(np.int64), id_[s:e])).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "grouped", "block"])
+
+
+BLOCKS = "bucket int, grouped boolean, block binary"
 
 
 def sorted_set(values: np.ndarray) -> np.ndarray:
@@ -115,39 +144,55 @@ def sketches(hashes: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.nda
     return np.bincount(who, minlength=owners), np.packbits(parity, bitorder="little").view(np.uint64).reshape(owners, -1)
 
 
+def _starred(blocks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """``_groups`` of the (key, id) of one bucket."""
+    cols = np.concatenate(blocks, axis=1)
+    order = np.argsort(cols[0])
+    key = cols[0][order]
+    same = key[1:] == key[:-1]
+    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # most keys are alone
+    if not len(order):
+        return
+    key, id_ = cols[0][order], cols[1][order]
+    order = np.lexsort((id_, key))
+    key, id_ = key[order], id_[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])))
+    key, id_ = key[new], id_[new]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    least = np.repeat(starts, sizes)
+    rest = np.flatnonzero(least != np.arange(len(key)))
+    many = np.repeat(sizes > 2, sizes)
+    if len(rest):
+        yield _batch({"kind": np.zeros(len(rest), np.int32), "key": key[rest], "a": id_[rest], "b": id_[least[rest]]})
+    if many.any():
+        yield _batch({"kind": np.ones(many.sum(), np.int32), "key": key[many], "a": id_[many], "b": id_[many]})
+
+
 def _groups(keys: DataFrame) -> DataFrame:
-    """kind 0: pairs (a > b) of a group's least id with the others; kind 1: members (key, a) of groups of three or more."""
+    """kind 0: pairs (a > b) of the least id known of a group with the others; kind 1: members (key, a) of groups of three or more, some repeatedly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [np.frombuffer(x, np.int64).reshape(2, -1) for b in batches for x in b.column("block").to_pylist()]
-        if not blocks:
-            return
-        cols = np.concatenate(blocks, axis=1)
-        del blocks
-        order = np.argsort(cols[0], kind="stable")
-        key = cols[0][order]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.append(starts, len(key)))
-        order = order[np.repeat(sizes > 1, sizes)]  # most keys are alone
-        if not len(order):
-            return
-        key, id_ = cols[0][order], cols[1][order]
-        order = np.lexsort((id_, key))
-        key, id_ = key[order], id_[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])))
-        key, id_ = key[new], id_[new]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.append(starts, len(key)))
-        least = np.repeat(starts, sizes)
-        rest = np.flatnonzero(least != np.arange(len(key)))
-        many = np.repeat(sizes > 2, sizes)
-        if len(rest):
-            yield _batch({"kind": np.zeros(len(rest), np.int32), "key": key[rest], "a": id_[rest], "b": id_[least[rest]]})
-        if many.any():
-            yield _batch({"kind": np.ones(many.sum(), np.int32), "key": key[many], "a": id_[many], "b": id_[many]})
+        held: list[np.ndarray] = []
+        last = None
+        for batch in batches:  # sorted, so a bucket's blocks come together
+            for bucket, grouped, block in zip(*[batch.column(c).to_pylist() for c in ("bucket", "grouped", "block")]):
+                if grouped:
+                    key, id_, least = np.frombuffer(block, np.int64).reshape(3, -1)
+                    rest = id_ != least
+                    yield _batch({"kind": np.zeros(rest.sum(), np.int32), "key": key[rest], "a": id_[rest], "b": least[rest]})
+                    yield _batch({"kind": np.ones(len(key), np.int32), "key": key, "a": id_, "b": id_})
+                    continue
+                if bucket != last and held:
+                    yield from _starred(held)
+                    held = []
+                last = bucket
+                held.append(np.frombuffer(block, np.int64).reshape(2, -1))
+        if held:
+            yield from _starred(held)
 
     ship(keys.sparkSession)
-    return keys.repartition("bucket").mapInArrow(run, "kind int, key long, a long, b long")
+    return keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, key long, a long, b long")
 
 
 def _too_far(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -195,104 +240,214 @@ def cached(cache: dict, text: Body, make: Callable[[Body], object]) -> object:
     return found
 
 
-def closest_links(id_: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, failed: set, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of a group between components, of those whose sketches allow the similarity: the closest ``PER_MEMBER`` to a member, and what joins the components."""
-    near: list[tuple[int, int, int]] = []
-    rows = max(1, (1 << 22) // (len(id_) * bits.shape[1]))
-    for k in range(0, len(id_), rows):
-        apart = np.bitwise_count(bits[k : k + rows, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int32)
-        i, j = np.nonzero((apart <= _too_far(size[k : k + rows, None] + size[None, :], similarity)) & (root[k : k + rows, None] != root[None, :]))
-        d, i = apart[i, j], i + k
-        keep = i > j
-        i, j, d = i[keep], j[keep], d[keep]
-        near += zip(d.tolist(), i.tolist(), j.tolist())
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while x in parent:
-            x = parent[x]
-        return x
-
-    out: list[tuple[int, int]] = []
-    for _, i, j in sorted(near):
-        pair = (max(int(id_[i]), int(id_[j])), min(int(id_[i]), int(id_[j])))
-        if pair in failed:
-            continue
-        a, b = find(int(root[i])), find(int(root[j]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-        if a != b or len(out) < PER_MEMBER * len(id_):
-            out.append(pair)
+def _planes(bits: np.ndarray) -> np.ndarray:
+    """(SKETCH, words): lane k of row b is bit b of sketch k."""
+    lanes = np.zeros((-(-len(bits) // 64) * 64, bits.shape[1]), np.uint64)
+    lanes[: len(bits)] = bits
+    out = np.empty((SKETCH, len(lanes) // 64), np.uint64)
+    for k in range(0, len(lanes), 4096):
+        part = np.unpackbits(lanes[k : k + 4096].view(np.uint8), axis=1, bitorder="little")
+        out[:, k // 64 : (k + 4096) // 64] = np.packbits(np.ascontiguousarray(part.T), axis=1, bitorder="little").view(np.uint64)
     return out
 
 
-def _open_links(members: DataFrame, stars: DataFrame, texts: DataFrame, failed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) to verify next: those that would join the components of the groups that are open."""
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A carry-save adder: sum and carry of three bits in every lane."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def sliced_distances(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray | None:
+    """(queries, lanes) distances of sketches to the lanes of bit planes; None once all are past the radius."""
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    masks = np.where(np.unpackbits(queries.view(np.uint8), axis=1, bitorder="little").T, full, np.uint64(0))
+    shape = (len(queries), planes.shape[1])
+    low = [np.zeros(shape, np.uint64) for _ in range(4)]  # ones, twos, fours, eights
+    high = [np.zeros(shape, np.uint64) for _ in range((SKETCH // 16).bit_length())]  # sixteens and above
+    for first in range(0, SKETCH, 16):
+        row = [planes[b][None, :] ^ masks[b][:, None] for b in range(first, first + 16)]
+        for k in range(4):
+            carries = []
+            for x, y in zip(row[::2], row[1::2]):
+                low[k], c = _add(low[k], x, y)
+                carries.append(c)
+            row = carries
+        carry = row[0]
+        for c in high:
+            carry, c[...] = c & carry, c ^ carry
+        if (first + 16) % TESTED == 0:
+            within, equal = np.zeros(shape, np.uint64), np.full(shape, full)
+            for k in reversed(range(len(high))):  # compared with radius // 16, from the highest counter down
+                if radius // 16 >> k & 1:
+                    within |= equal & ~high[k]
+                    equal &= high[k]
+                else:
+                    equal &= ~high[k]
+            if not (within | equal).any():
+                return None
+    out = np.zeros((len(queries), planes.shape[1] * 64), np.int16)
+    for k, c in enumerate(low + high):
+        out += np.unpackbits(c.view(np.uint8), axis=1, bitorder="little").astype(np.int16) << k
+    return out
+
+
+def _distances(left: np.ndarray, right: np.ndarray, radii: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances of some rows of ``left`` to all of ``right``), without rows of which all are past their radius (of ``left``'s rows, at most)."""
+    if len(right) < SLICED:
+        rows = max(1, (1 << 20) // (len(right) * right.shape[1]))
+        for k in range(0, len(left), rows):
+            yield k, np.bitwise_count(left[k : k + rows, None, :] ^ right[None, :, :]).sum(2, dtype=np.int32)
+        return
+    planes = _planes(right)
+    for k in range(0, len(left), QUERIES):
+        found = sliced_distances(planes, left[k : k + QUERIES], int(radii[k : k + QUERIES].max()))
+        if found is not None:
+            yield k, found[:, : len(right)]
+
+
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def closest_links(left: Side, right: Side | None, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (a > b) between components whose sketches allow the similarity: of each of ``left`` the ``most`` closest of ``right`` (none: of those
+    before it in ``left``), and whether some were left out. A side: ids, roots, sizes and bits."""
+    id_, root, size, bits = left
+    other = left if right is None else right
+    a, b, more = [], [], False
+    for k, apart in _distances(bits, other[3], _too_far(size + other[2].max(), similarity)):
+        rows = slice(k, k + len(apart))
+        ok = (apart <= _too_far(size[rows, None] + other[2][None, :], similarity)) & (root[rows, None] != other[1][None, :])
+        if right is None:
+            ok &= np.arange(len(id_))[None, :] < np.arange(k, k + len(apart))[:, None]
+        i, j = np.nonzero(ok)
+        order = np.lexsort((other[0][j], apart[i, j], i))
+        i, j = i[order], j[order]
+        start = np.searchsorted(i, np.arange(len(apart)))
+        near = np.arange(len(i)) - start[i] < most
+        more |= not near.all()
+        x, y = id_[rows][i[near]], other[0][j[near]]
+        a.append(np.maximum(x, y))
+        b.append(np.minimum(x, y))
+    none = np.empty(0, np.int64)
+    return np.concatenate(a or [none]), np.concatenate(b or [none]), more
+
+
+def _open_links(members: DataFrame, stars: DataFrame, texts: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) between the components of the groups that are open, the ``most`` closest to a member; a row of nulls if there are more."""
     labels = stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
     rooted = materialize(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "members")
-    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).filter("least <> most")
-    several = materialize(several.select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open")
+    counts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    several = counts.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("roots")).filter("roots > 1")
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    several = materialize(several.select("key", "main", chunks(F.col("total") - F.col("most")).alias("minor"), chunks(F.col("most")).alias("major")), "open")
     there = rooted.join(several, "key").join(texts.select("id", "n", "bits"), "id")
-    one = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = there.withColumn("c1", one).withColumn("c2", other).withColumns({"low": F.least("c1", "c2"), "high": F.greatest("c1", "c2")})
-    group = F.xxhash64("key", "low", "high").alias("group")
+    # chunks outside the largest component, then those of it; the former meet all, the latter only the former
+    inner = F.col("root") == F.col("main")
+    own = F.when(inner, F.col("minor") + F.pmod(F.xxhash64("id"), F.col("major"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minor"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(inner, F.col("minor") - 1).otherwise(F.col("minor") + F.col("major") - 1))
+    dealt = there.withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "root", "n", "bits")
+
+    def solve(part: pa.Table) -> pa.RecordBatch | None:
+        own, id_, root, n = (part.column(c).to_numpy() for c in ("own", "id", "root", "n"))
+        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(id_), -1)
+        sides = []
+        for chunk in dict.fromkeys((part.column("low")[0].as_py(), part.column("high")[0].as_py())):
+            at = np.flatnonzero(own == chunk)
+            at = at[np.unique(id_[at], return_index=True)[1]]
+            sides.append((id_[at], root[at], n[at], bits[at]))
+        if not all(len(x[0]) for x in sides):
+            return None
+        a, b, more = closest_links(sides[0], sides[1] if len(sides) > 1 else None, most, similarity)
+        if more:
+            return pa.RecordBatch.from_arrays([pa.array([None, *a.tolist()], pa.int64()), pa.array([None, *b.tolist()], pa.int64())], ["a", "b"])
+        return _batch({"a": a, "b": b})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        rows = pa.Table.from_batches(got).combine_chunks()
-        group, id_, root, n = (rows.column(c).to_numpy() for c in ("group", "id", "root", "n"))
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(id_), -1)
-        bad = {(i, x) for i, xs in zip(id_.tolist(), rows.column("failed").to_pylist()) if xs for x in xs}
-        order = np.argsort(group, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            links = closest_links(id_[part], root[part], n[part], bits[part], bad, similarity)
-            if links:
-                a, b = zip(*links)
-                yield _batch({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    refused = failed.groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "id")
-    dealt = dealt.select(group, "id", "root", "n", "bits").join(refused, "id", "left")
-    return dealt.repartition("group").mapInArrow(run, "a long, b long").distinct()
+        held: list[pa.RecordBatch] = []  # of the last group, which may go on in the next batch
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, low, high = (batch.column(c).to_numpy() for c in ("key", "low", "high"))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1).tolist(), len(key)]
+            for s, e in zip(cuts, cuts[1:]):
+                name = (key[s], low[s], high[s])
+                if name != last and held:
+                    if (out := solve(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                last = name
+                held.append(batch.slice(s, e - s))
+        if held and (out := solve(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_stars(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], alike: Alike, similarity: float) -> DataFrame:
-    """(u, v): every id that is not the least of its class of near-duplicates, with that least id.
+    """(id, check, root): every text of a class of two or more near-duplicates, with the least id of the class.
 
-    keys: ``key_blocks`` of (key, id); fetch: (id, body, n, bits) of the ids of a table; alike: (body, body, cache) to bool.
+    keys: ``key_blocks`` of (key, id); fetch: (id, check, body, n, bits) of the ids of a table; alike: (body, body, cache) to bool.
     """
     found = materialize(_groups(keys), "candidates")
-    ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(fetch(materialize(ids, "ids")), "texts")
-    pairs = materialize(_near_pairs(found.filter("kind = 0").select("a", "b").distinct(), texts, similarity), "pairs")
-    checked = _verified(pairs, texts, alike)
+    pairs = found.filter("kind = 0").select("a", "b").distinct()
+    texts = materialize(fetch(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")), "texts")
+    checked = _verified(materialize(_near_pairs(pairs, texts, similarity), "pairs"), texts, alike)
     stars = component_stars(checked.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))
     members = found.filter("kind = 1").select("key", F.col("a").alias("id"))
     failed = checked.filter("NOT ok").select("a", "b")
+    most = PER_MEMBER
     while True:
-        pairs = materialize(_open_links(members, stars, texts, failed, similarity), "pairs")
-        if pairs.isEmpty():
-            return stars
-        checked = _verified(pairs, texts, alike)
-        stars = component_stars(stars.unionByName(checked.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        failed = materialize(failed.unionByName(checked.filter("NOT ok").select("a", "b")), "failed")
+        links = materialize(_open_links(members, stars, texts, most, similarity), "links")
+        pairs = materialize(links.filter("a IS NOT NULL").join(failed, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            checked = _verified(pairs, texts, alike)
+            stars = component_stars(stars.unionByName(checked.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+            failed = failed.unionByName(checked.filter("NOT ok").select("a", "b"))
+        elif links.filter("a IS NULL").isEmpty():
+            break
+        most *= GROWTH
+    ends = stars.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    return materialize(texts.select("id", "check").join(ends, "id"), "classes")
+
+
+def id_filter(ids: DataFrame) -> Broadcast:
+    """Two bits an id in ``FILTER_BITS`` bits at most, for ``may_hold``."""
+    spark = ids.sparkSession
+    n_bits = min(max(1 << 15, 1 << (16 * ids.count()).bit_length()), FILTER_BITS)
+    at = lambda shift: F.shiftrightunsigned("id", shift).bitwiseAND(n_bits - 1)
+    places = ids.select(F.explode(F.array(at(0), at(32))).alias("at"))
+    pages = places.groupBy(F.shiftright("at", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("bits"))
+    bits = bytearray(n_bits // 8)
+    for r in pages.collect():  # FILTER_BITS in all
+        bits[r["page"] << 12 : (r["page"] + 1) << 12] = r["bits"]
+    return spark.sparkContext.broadcast(bytes(bits))
+
+
+def may_hold(bits: bytes, ids: np.ndarray) -> np.ndarray:
+    """Which of the ids (int64) the filter may hold: all that it does, and few others."""
+    bitmap = np.frombuffer(bits, np.uint8)
+    mask = np.uint64(8 * len(bitmap) - 1)
+    ok = np.ones(len(ids), bool)
+    for shift in (0, 32):
+        at = (ids.view(np.uint64) >> np.uint64(shift)) & mask
+        ok &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return ok
 
 
-def fetch_by_id(bodies: DataFrame, ids: DataFrame) -> DataFrame:
-    """One (id, body) for each of ``ids``; ``bodies`` is a scan of the corpus."""
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return bodies.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+def fetch_by_id(bodies: Callable[[Broadcast], DataFrame], ids: DataFrame) -> DataFrame:
+    """One (id, check, body) for each of ``ids``; ``bodies`` scans the corpus for what a filter may hold."""
+    return bodies(id_filter(ids)).join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def with_sketches(texts: DataFrame, kind: str, shingle_sets: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Adds n and bits to (id, body); ``shingle_sets`` gives the 32-bit hashes of all bodies' shingles and the owner of each."""
+    """Adds n and bits to (id, check, body); ``shingle_sets`` gives the 32-bit hashes of all bodies' shingles and the owner of each."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         bodies = batch.column("body").to_pylist()
         parts = [sketches(*shingle_sets(part), len(part)) for k in range(0, len(bodies), SKETCHED) if (part := bodies[k : k + SKETCHED])]
         n, bits = (np.concatenate(x) for x in zip(*parts))
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "body", "n", "bits"])
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "check", "body")], pa.array(n, pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "check", "body", "n", "bits"])
 
-    return map_batches(texts, work, f"id long, body {kind}, n long, bits binary")
+    return map_batches(texts, work, f"id long, check long, body {kind}, n long, bits binary")

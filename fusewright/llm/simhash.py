@@ -12,12 +12,12 @@ In a block the fingerprints are stored as bit planes. All distances from a group
 advance one plane at a time in carry-save counters of a few words per 64 lanes, and a group
 is abandoned once every lane is past the radius.
 
-``similar_classes`` does it for a Jaccard similarity of word shingles: blocks come from min-wise
-bands, since the radius that such a similarity needs leaves no band of bits in common; fingerprints
-decide nothing there, as no radius bounds the similarity: parity sketches drop what cannot be similar (``near.py``), and the exact similarity decides.
+``similar_classes`` does it for a Jaccard similarity of word shingles, which no radius of majority bits bounds and for which its radius would leave no
+band of bits in common: blocks come from min-wise bands there, and the fingerprints are parity sketches, whose distance bounds that of the shingle
+sets. Large blocks of them are compared bit-sliced in the same way, and the exact similarity decides (``near.py``).
 
 Defined results: a null text has no words; texts without words have fingerprint zero; texts
-shorter than a shingle are one shingle; rows that repeat a doc_id keep their own fingerprint and
+shorter than a shingle are one shingle; very long texts are read whole; rows that repeat a doc_id keep their own fingerprint and
 share nothing else; a null doc_id never names a component unless all are null; empty tables give
 empty results; other columns are ignored or carried in a struct.
 """
@@ -30,19 +30,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
 from fusewright.llm.common import map_batches, ship, utf8
-from fusewright.llm.near import band_keys, cached, fetch_by_id, key_blocks, mix32, n_buckets, similar_stars, sorted_set, with_sketches
+from fusewright.llm.near import BLOCKS, band_keys, cached, fetch_by_id, key_blocks, may_hold, mix32, n_buckets, similar_stars, sorted_set, with_sketches
 from fusewright.operators.components import component_stars
 
 BITS = 64
 BLOCK = 2048
 QUERIES = 64
 LANES = 1 << 16
-SEED = 42
+SEED, CHECK_SEED = 42, 7
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -101,14 +102,14 @@ def _past(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarr
     return over | above
 
 
-def within(planes: np.ndarray, masks: np.ndarray, radius: int) -> np.ndarray | None:
-    """Lanes (as words) within the radius. planes: (64, words); masks: (64, queries), all ones where the query's bit is set.
+def within(planes: np.ndarray, masks: np.ndarray, radius: int, over: np.ndarray | None = None) -> np.ndarray | None:
+    """Lanes (as words) within the radius. planes: (64, words); masks: (64, queries), all ones where the query's bit is set; over: lanes not to look at.
 
     None once every lane of the group is past the radius.
     """
     shape = (masks.shape[1], planes.shape[1])
     counters = [np.zeros(shape, np.uint64) for _ in range(radius.bit_length())]
-    over = np.zeros(shape, np.uint64)
+    over = np.zeros(shape, np.uint64) if over is None else over.copy()
     for b in range(BITS):
         carry = planes[b][None, :] ^ masks[b][:, None]
         for c in counters:
@@ -127,15 +128,14 @@ def block_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     for q in range(0, len(fps), step):
         bits = np.unpackbits(fps[q : q + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        words = (q + step + 63) // 64  # only lanes up to the queries
-        lanes = within(planes[:, :words], np.where(bits.T, full, np.uint64(0)), radius)
+        words = min((q + step + 63) // 64, planes.shape[1])  # only lanes up to the queries
+        later = np.arange(64 * words)[None, :] >= np.arange(q, q + len(bits))[:, None]  # the query itself and those after it
+        lanes = within(planes[:, :words], np.where(bits.T, full, np.uint64(0)), radius, np.packbits(later, axis=1, bitorder="little").view(np.uint64))
         if lanes is None:
             continue
         i, j = np.nonzero(np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little"))
-        i += q
-        keep = j < i
-        left.append(i[keep])
-        right.append(j[keep])
+        left.append(i + q)
+        right.append(j)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
@@ -245,8 +245,8 @@ def _words(raw: bytes) -> bytes:
     return b" ".join(raw.lower().split())
 
 
-def _text_id(words: bytes) -> int:
-    h = xxhash.xxh64_intdigest(words, SEED)
+def _text_id(words: bytes, seed: int = SEED) -> int:
+    h = xxhash.xxh64_intdigest(words, seed)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -265,24 +265,31 @@ def _similar_keys(docs: DataFrame, width: int) -> DataFrame:
         return key_blocks(keys, np.array(list(texts), np.int64), buckets)
 
     buckets = n_buckets(docs)
-    return map_batches(docs.select("text"), work, "bucket int, block binary")
+    return map_batches(docs.select("text"), work, BLOCKS)
 
 
-def _similar_bodies(docs: DataFrame) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _similar_bodies(docs: DataFrame, wanted: Broadcast) -> DataFrame:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = {_text_id(w): w for t in utf8(batch.column("text")) if (w := _words(t))}
-        return pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()), pa.binary())], ["id", "body"])
+        ids = np.array(list(texts), np.int64)
+        at = np.flatnonzero(may_hold(wanted.value, ids))
+        if not len(at):
+            return None
+        bodies = list(texts.values())
+        found = [bodies[k] for k in at]
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([_text_id(w, CHECK_SEED) for w in found], pa.int64()), pa.array(found, pa.binary())], ["id", "check", "body"])
 
-    return map_batches(docs.select("text"), work, "id long, body binary")
+    return map_batches(docs.select("text"), work, "id long, check long, body binary")
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """row_key (of doc_id and text), doc_id, class_id (its smallest doc_id) and kept_key (the row_key that stands for the class) of each row."""
+    """row_key (of doc_id and text), doc_id, class_id (its smallest doc_id), kept_key and kept_id (row_key and doc_id that stand for the class) of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def identify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [_text_id(_words(t)) for t in utf8(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(ids, pa.int64())], ["row_key", "doc_id", "id"])
+        words = [_words(t) for t in utf8(batch.column("text"))]
+        hashes = [pa.array([_text_id(w, seed) for w in words], pa.int64()) for seed in (SEED, CHECK_SEED)]
+        return pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), *hashes], ["row_key", "doc_id", "id", "check"])
 
     def distinct(words: bytes) -> np.ndarray:
         return sorted_set(shingle_hashes(words, width))
@@ -294,29 +301,30 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= similarity * (len(a) + len(b) - both)
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
-    rows = materialize(map_batches(keyed, identify, f"row_key long, doc_id {kind}, id long"), "rows")
     def sets(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         hashes = [shingle_hashes(x, width) for x in bodies]
         return _short(np.concatenate(hashes)), np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
 
     def fetch(ids: DataFrame) -> DataFrame:
-        return with_sketches(fetch_by_id(_similar_bodies(docs), ids), "binary", sets)
+        return with_sketches(fetch_by_id(lambda wanted: _similar_bodies(docs, wanted), ids), "binary", sets)
 
-    stars = similar_stars(_similar_keys(docs, width), fetch, alike, similarity)
-    firsts = rows.groupBy("id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    rooted = materialize(firsts.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
-    classes = materialize(rooted.join(materialize(kept, "kept"), "root").select("id", F.col("kept.doc_id").alias("class_id"), F.col("kept.row_key").alias("kept_key")), "classes")
-    return rows.join(classes, "id").select("row_key", "doc_id", "class_id", "kept_key")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+    rows = materialize(map_batches(keyed, identify, f"row_key long, doc_id {kind}, id long, check long"), "rows")
+    classes = similar_stars(_similar_keys(docs, width), fetch, alike, similarity)
+    firsts = rows.groupBy("id", "check").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).join(classes.hint("shuffle_hash"), ["id", "check"], "left")
+    of_class = F.struct(F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("check")).otherwise(0).alias("check"), F.col("root").isNull().alias("equal"))
+    rooted = materialize(firsts.select("id", "check", "first", of_class.alias("class")), "rooted")
+    kept = materialize(rooted.groupBy("class").agg(F.min("first").alias("kept")), "kept")
+    named = rooted.join(kept.hint("shuffle_hash"), "class").select("id", "check", F.col("kept.doc_id").alias("class_id"), F.col("kept.row_key").alias("kept_key"))
+    return rows.join(materialize(named, "classes").hint("shuffle_hash"), ["id", "check"]).select("row_key", "doc_id", "class_id", "kept_key", F.col("class_id").alias("kept_id"))
 
 
 def remove_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of one document per class of near-duplicates: the one with the smallest doc_id. Of rows equal in doc_id and text one stays."""
-    classes = materialize(similar_classes(docs, width, similarity), "classes")
-    stays = classes.filter("row_key = kept_key").groupBy("row_key").agg(F.count("*").alias("times"))
+    stand = (F.col("row_key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    stays = similar_classes(docs, width, similarity).filter(stand).groupBy(F.col("row_key").alias("stay_key"), F.col("doc_id").alias("stay_id")).agg(F.count("*").alias("times"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct("*").alias("row"))
     # a shuffled join at every size, as what stays grows with the documents
-    kept = keyed.join(materialize(stays, "stays").hint("shuffle_hash"), "row_key")
+    kept = keyed.join(materialize(stays, "stays").hint("shuffle_hash"), (F.col("row_key") == F.col("stay_key")) & F.col("row.doc_id").eqNullSafe(F.col("stay_id")))
     again = kept.filter("times > 1").withColumns({"a": F.col("row.doc_id"), "b": F.col("row.text")}).dropDuplicates(["a", "b"])
     return kept.filter("times = 1").select("row.*").unionByName(again.select("row.*"))

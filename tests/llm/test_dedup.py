@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -115,6 +116,94 @@ def test_sketch_bound():
         assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= apart and n.tolist() == [len(set(a.tolist())), len(set(b.tolist()))]
 
 
+def near_sketches(rng, n, size=300, edits=12):
+    base = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+    sets = [np.concatenate((base[edits:], rng.integers(0, 1 << 32, rng.integers(1, edits + 1), dtype=np.uint32))) for _ in range(n)]
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    return near.sketches(np.concatenate(sets), owner, n)
+
+
+@pytest.mark.parametrize("most", [2, 10_000])
+@pytest.mark.parametrize("sliced", [8, 10_000])
+def test_closest_links(monkeypatch, most, sliced):
+    monkeypatch.setattr(near, "SLICED", sliced)
+    rng = np.random.default_rng(5)
+    n, bits = near_sketches(rng, 150)
+    far, far_bits = near_sketches(rng, 50)
+    n, bits = np.concatenate((n, far)), np.concatenate((bits, far_bits))
+    ids, root = rng.permutation(200), rng.integers(0, 3, 200)
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2, dtype=np.int64)
+    ok = (apart <= near._too_far(n[:, None] + n[None], 0.8)) & (root[:, None] != root[None])
+    for split in (None, 120):
+        left, right = (slice(0, split), slice(split, None)) if split else (slice(None), None)
+        side = lambda s: (ids[s], root[s], n[s], bits[s])
+        a, b, more = near.closest_links(side(left), side(right) if split else None, most, 0.8)
+        expected = set()
+        for i in range(200)[left]:
+            mates = sorted((apart[i, j], ids[j]) for j in (range(200)[right] if split else range(i)) if ok[i, j])
+            expected |= {(max(ids[i], j), min(ids[i], j)) for _, j in mates[:most]}
+        assert set(zip(a.tolist(), b.tolist())) == expected and len(expected) > 100 and more == (most == 2)
+
+
+def test_closest_links_of_a_large_group_stay_small():
+    rng = np.random.default_rng(6)
+    n, bits = near_sketches(rng, 16_000)
+    root = np.zeros(16_000, np.int64)
+    root[:300] = np.arange(300) + 1
+    tracemalloc.start()
+    a, _, more = near.closest_links((np.arange(300), root[:300], n[:300], bits[:300]), (np.arange(300, 16_000), root[300:], n[300:], bits[300:]), 4, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 1200 and more and peak < 500 << 20
+
+
+def test_abandoned_planes():
+    rng = np.random.default_rng(7)
+    a, b = (rng.integers(0, 1 << 63, (70, near.SKETCH // 64), dtype=np.uint64) for _ in range(2))
+    assert near.sliced_distances(near._planes(a), b, 200) is None  # about half of all bits differ
+    assert (near.sliced_distances(near._planes(a), b, near.SKETCH)[:, :70] == np.bitwise_count(b[:, None] ^ a[None]).sum(2)).all()
+
+
+def test_keys_of_a_slice_are_grouped_first():
+    rng = np.random.default_rng(8)
+    ids, keys = rng.permutation(300).astype(np.int64), rng.integers(-1 << 63, 1 << 63, (300, near.BANDS))
+    keys[:100, 3] = 77
+    keys[100:103, 5] = -9
+    rows = near.key_blocks(keys, ids, 8).to_pylist()
+    shape = lambda r: np.frombuffer(r["block"], np.int64).reshape(3 if r["grouped"] else 2, -1)
+    whole = [shape(r) for r in rows if r["grouped"]]
+    assert len(whole) == 1 and set(whole[0][1]) == set(ids[:100]) and set(whole[0][2]) == {ids[:100].min()} and set(whole[0][0]) == {77}
+    sent = {(k, i) for r in rows if not r["grouped"] for k, i in shape(r).T.tolist()}
+    every = {(int(k), int(i)) for i, ks in zip(ids, keys) for k in ks}
+    assert every - sent == {(77, int(i)) for i in ids[:100]} - {(77, int(ids[:100].min()))} and sent <= every
+    pairs = {(x["a"], x["b"]) for batch in near._starred([shape(r) for r in rows if not r["grouped"]]) for x in batch.to_pylist() if x["kind"] == 0}
+    assert pairs == {(int(i), int(ids[100:103].min())) for i in ids[100:103]} - {(int(ids[100:103].min()),) * 2}
+
+
+def test_id_filter(spark):
+    rng = np.random.default_rng(9)
+    ids = rng.integers(-1 << 63, 1 << 63, 5000)
+    bits = near.id_filter(spark.createDataFrame([(int(i),) for i in ids], "id long")).value
+    assert near.may_hold(bits, ids).all() and near.may_hold(bits, rng.integers(-1 << 63, 1 << 63, 20_000)).mean() < 0.05
+
+
+@pytest.mark.parametrize("length", [12, 40, 200])
+def test_bands_find_what_is_similar(length):
+    rng = random.Random(length)
+    found, pairs = 0, 0
+    while pairs < 400:
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(length))
+        y = list(x)
+        for _ in range(rng.randrange(1, 3)):
+            y[rng.choice((0, 1, -1, -2))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        a, b = ld.shingles(x), ld.shingles("".join(y))
+        if 0.8 <= len(a & b) / len(a | b) < 1:
+            keys = ld.shingle_keys([ld.normalise(x), ld.normalise("".join(y))])
+            found += bool((keys[0] == keys[1]).any())
+            pairs += 1
+    assert found >= 0.99 * pairs
+
+
 def brute_fingerprint(text, width=3):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([b" ".join(words)] if words else [])
