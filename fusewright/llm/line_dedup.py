@@ -15,6 +15,8 @@ are one shingle; very long texts and lines are compared whole; empty tables give
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,14 +26,13 @@ from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
 from fusewright.llm.common import let, map_batches, utf8
-from fusewright.llm.near import BLOCKS, band_keys, cached, fetch_by_id, key_blocks, may_hold, mix32, n_buckets, similar_stars, with_sketches
+from fusewright.llm.near import BLOCKS, band_keys, cached, common_ends, fetch_by_id, key_blocks, may_hold, mix32, n_buckets, similar_stars, surely_alike, with_sketches
 
 SHINGLE, SIMILARITY = 7, 0.8
 CHUNK = 512
 SEED = 42  # of Spark's xxhash64
 CHECK = 7  # hashed before a line, it makes the second hash
 CHECK_SEED = xxhash.xxh64_intdigest(CHECK.to_bytes(4, "little"), SEED)
-SPACES = " \t\n\x0b\x0c\r"
 _B, _B2, _B3 = (np.uint32(0x01000193**k % (1 << 32)) for k in (1, 2, 3))
 
 
@@ -66,15 +67,29 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def alike(x: str, y: str, cache: dict) -> bool:
-    """Whether the exact Jaccard similarity of the shingle sets is at least ``SIMILARITY``."""
-    a, b = cached(cache, x, shingles), cached(cache, y, shingles)
+def alike(x: str, y: str, n: int, m: int, cache: dict) -> bool:
+    """Whether the exact Jaccard similarity of the shingle sets is at least ``SIMILARITY``; n, m: elements that the sets have at least."""
+    p, q = cached(cache, x, _Line), cached(cache, y, _Line)
+    start, end = common_ends(p.text, q.text)
+    # shingles that touch what differs
+    if surely_alike(n, m, *(len(z.text) - start - end + SHINGLE - 1 for z in (p, q)), SIMILARITY):
+        return True
+    a, b = p.shingles, q.shingles
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return False
     both = len(a & b)
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
+class _Line:
+    def __init__(self, line: str):
+        self.text = normalise(line)
+
+    @cached_property
+    def shingles(self) -> set[str]:
+        return shingles(self.text)
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """row_key (of doc_id and text), doc_id, line (number), id, check and body of each line."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
@@ -118,7 +133,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(row_key, doc_id, removed): the numbers (from 0) of the lines that go, for documents that lose any."""
-    seen = materialize(lines_of(docs).filter(F.length(F.btrim("body", F.lit(SPACES))) > 0).drop("body"), "lines")
+    seen = materialize(lines_of(docs).filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).drop("body"), "lines")
     classes = similar_stars(_keys(docs), lambda ids: _texts(docs, ids), alike, SIMILARITY)
     counts = seen.groupBy("id", "check").agg(F.count("*").alias("n")).join(classes.hint("shuffle_hash"), ["id", "check"], "left")
     # most lines are alone: only those that are repeated or like another go on

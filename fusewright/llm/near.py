@@ -43,6 +43,8 @@ LOCAL, MAX_BUCKETS = 16, 65_536
 PER_MEMBER, GROWTH = 4, 4
 #: Members from which a group is compared bit-sliced; numpy's calls cost more than the work below. Queries at a time, planes between tests for abandonment.
 SLICED, QUERIES, TESTED = 1024, 64, 128
+#: Groups of so many are compared together, so many pairs at a time.
+SMALL, LANES = 128, 1 << 14
 SKETCHED = 256
 FILTER_BITS = 1 << 28
 CACHED_TEXTS = 2000
@@ -88,7 +90,7 @@ def band_keys(hashes: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
 
 
 Body = str | bytes
-Alike = Callable[[Body, Body, dict], bool]
+Alike = Callable[[Body, Body, int, int, dict], bool]
 
 
 def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -218,16 +220,36 @@ def _near_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFr
 
 def _verified(pairs: DataFrame, texts: DataFrame, alike: Alike) -> DataFrame:
     """(a, b, ok): whether the pairs' texts are alike."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+    end = lambda c, x: texts.select(F.col("id").alias(c), F.col("body").alias(x), F.col("n").alias(f"n_{x}"))
+    both = pairs.join(end("a", "x"), "a").join(end("b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            ok = np.fromiter((alike(x[k].as_py(), y[k].as_py(), cache) for k in range(batch.num_rows)), bool, batch.num_rows)
+            ends = zip(*[batch.column(c) for c in ("x", "y")], *[batch.column(c).to_pylist() for c in ("n_x", "n_y")])
+            ok = np.fromiter((alike(x.as_py(), y.as_py(), n, m, cache) for x, y, n, m in ends), bool, batch.num_rows)
             yield _batch({"a": batch.column("a").to_numpy(), "b": batch.column("b").to_numpy(), "ok": ok})
 
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean"), "links")
+    return materialize(both.select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(run, "a long, b long, ok boolean"), "links")
+
+
+def common_ends(x: Body, y: Body) -> tuple[int, int]:
+    """Lengths of the common beginning and of the common end after it, by halving."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
+    start, low, high = low, 0, min(len(x), len(y)) - low
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x[len(x) - mid : len(x) - low] == y[len(y) - mid : len(y) - low] else (low, mid - 1)
+    return start, low
+
+
+def surely_alike(n: int, m: int, left: int, right: int, similarity: float) -> bool:
+    """Whether sets of at least ``n`` and ``m`` elements, of which at most ``left`` and ``right`` are not in the other, are similar whatever they hold."""
+    both = max(n - left, m - right)
+    return both >= similarity * (both + left + right)
 
 
 def cached(cache: dict, text: Body, make: Callable[[Body], object]) -> object:
@@ -308,6 +330,16 @@ def _distances(left: np.ndarray, right: np.ndarray, radii: np.ndarray) -> Iterat
 Side = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
+def _closest(owner: np.ndarray, apart: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the ``most`` pairs of least (apart, other) of every owner, and the owners that have more."""
+    order = np.lexsort((other, apart, owner))
+    who = owner[order]
+    first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(first, len(who)))
+    near = np.arange(len(who)) - np.repeat(first, sizes) < most
+    return order[near], who[first[sizes > most]]
+
+
 def closest_links(left: Side, right: Side | None, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs (a > b) between components whose sketches allow the similarity: of each of ``left`` the ``most`` closest of ``right`` (none: of those
     before it in ``left``), and whether some were left out. A side: ids, roots, sizes and bits."""
@@ -320,11 +352,8 @@ def closest_links(left: Side, right: Side | None, most: int, similarity: float)
         if right is None:
             ok &= np.arange(len(id_))[None, :] < np.arange(k, k + len(apart))[:, None]
         i, j = np.nonzero(ok)
-        order = np.lexsort((other[0][j], apart[i, j], i))
-        i, j = i[order], j[order]
-        start = np.searchsorted(i, np.arange(len(apart)))
-        near = np.arange(len(i)) - start[i] < most
-        more |= not near.all()
+        near, cut = _closest(i, apart[i, j], other[0][j], most)
+        more |= len(cut) > 0
         x, y = id_[rows][i[near]], other[0][j[near]]
         a.append(np.maximum(x, y))
         b.append(np.minimum(x, y))
@@ -332,63 +361,101 @@ def closest_links(left: Side, right: Side | None, most: int, similarity: float)
     return np.concatenate(a or [none]), np.concatenate(b or [none]), more
 
 
+def small_links(starts: np.ndarray, sizes: np.ndarray, side: Side, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many small groups at once, runs of ``side`` sorted by id; the third are places in groups of which some were left out."""
+    id_, root, size, bits = side
+    left, right, none = [], [], np.empty(0, np.int64)
+    for n in np.unique(sizes):
+        j, i = np.triu_indices(n, 1)
+        at = starts[sizes == n]
+        step = max(1, LANES // max(1, len(i)))
+        for k in range(0, len(at), step):
+            x, y = ((at[k : k + step, None] + c).ravel() for c in (i, j))
+            apart = root[x] != root[y]
+            left.append(x[apart])
+            right.append(y[apart])
+    i, j = np.concatenate(left or [none]), np.concatenate(right or [none])
+    far = [np.bitwise_count(bits[i[k : k + LANES]] ^ bits[j[k : k + LANES]]).sum(1, dtype=np.int32) for k in range(0, len(i), LANES)]
+    apart = np.concatenate(far or [none])
+    ok = apart <= _too_far(size[i] + size[j], similarity)
+    i, j, apart = i[ok], j[ok], apart[ok]
+    near, cut = _closest(i, apart, id_[j], most)
+    x, y = id_[i[near]], id_[j[near]]
+    return np.maximum(x, y), np.minimum(x, y), cut
+
+
 def _open_links(members: DataFrame, stars: DataFrame, texts: DataFrame, most: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) between the components of the groups that are open, the ``most`` closest to a member; a row of nulls if there are more."""
+    """Pairs (a, b) between the components of the groups that are open, the ``most`` closest to a member; ``key`` without a pair names a group that has more."""
     labels = stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
     rooted = materialize(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "members")
     counts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     several = counts.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("roots")).filter("roots > 1")
     chunks = lambda n: F.ceil(n / CHUNK).cast("int")
-    several = materialize(several.select("key", "main", chunks(F.col("total") - F.col("most")).alias("minor"), chunks(F.col("most")).alias("major")), "open")
+    several = materialize(several.select("key", "main", chunks(F.col("total") - F.col("most")).alias("minor"), chunks(F.col("most")).alias("major"), (F.col("total") <= SMALL).alias("small")), "open")
     there = rooted.join(several, "key").join(texts.select("id", "n", "bits"), "id")
-    # chunks outside the largest component, then those of it; the former meet all, the latter only the former
+    # chunks outside the largest component, then those of it; the former meet all, the latter only the former. Small groups are one chunk
     inner = F.col("root") == F.col("main")
     own = F.when(inner, F.col("minor") + F.pmod(F.xxhash64("id"), F.col("major"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minor"))).cast("int")
     others = F.sequence(F.lit(0), F.when(inner, F.col("minor") - 1).otherwise(F.col("minor") + F.col("major") - 1))
-    dealt = there.withColumn("own", own).withColumn("other", F.explode(others))
+    one = F.array(F.lit(0))
+    dealt = there.withColumn("own", F.when(F.col("small"), 0).otherwise(own)).withColumn("other", F.explode(F.when(F.col("small"), one).otherwise(others)))
     dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "root", "n", "bits")
-
-    def solve(part: pa.Table) -> pa.RecordBatch | None:
-        own, id_, root, n = (part.column(c).to_numpy() for c in ("own", "id", "root", "n"))
-        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(id_), -1)
-        sides = []
-        for chunk in dict.fromkeys((part.column("low")[0].as_py(), part.column("high")[0].as_py())):
-            at = np.flatnonzero(own == chunk)
-            at = at[np.unique(id_[at], return_index=True)[1]]
-            sides.append((id_[at], root[at], n[at], bits[at]))
-        if not all(len(x[0]) for x in sides):
-            return None
-        a, b, more = closest_links(sides[0], sides[1] if len(sides) > 1 else None, most, similarity)
-        if more:
-            return pa.RecordBatch.from_arrays([pa.array([None, *a.tolist()], pa.int64()), pa.array([None, *b.tolist()], pa.int64())], ["a", "b"])
-        return _batch({"a": a, "b": b})
+    names = ("key", "low", "high")
+
+    def answer(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """Pairs, and the keys of groups that have more."""
+        none = [None] * len(key)
+        return pa.RecordBatch.from_arrays([pa.array([*none, *a.tolist()], pa.int64()), pa.array([*none, *b.tolist()], pa.int64()), pa.array([*key.tolist(), *[None] * len(a)], pa.int64())], ["a", "b", "key"])
+
+    def solve(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Whole groups, in order."""
+        col = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        order = np.lexsort((col["id"], col["high"], col["low"], col["key"]))
+        new = np.concatenate(([True], np.any([col[c][order][1:] != col[c][order][:-1] for c in (*names, "id")], axis=0)))
+        col = {c: x[order[new]] for c, x in col.items()}
+        starts = np.flatnonzero(np.concatenate(([True], np.any([col[c][1:] != col[c][:-1] for c in names], axis=0))))
+        sizes = np.diff(np.append(starts, len(col["key"])))
+        side = tuple(col[c] for c in ("id", "root", "n", "bits"))
+        small = sizes <= SMALL
+        if small.any():
+            # chunks of large groups that are small themselves meet by the rules of their sides
+            whole = small & (col["low"][starts] == col["high"][starts])
+            a, b, cut = small_links(starts[whole], sizes[whole], side, most, similarity)
+            yield answer(np.unique(col["key"][cut]), a, b)
+            small = whole
+        for s, e in zip(starts[~small].tolist(), (starts + sizes)[~small].tolist()):
+            sides = [tuple(x[s:e][col["own"][s:e] == chunk] for x in side) for chunk in dict.fromkeys((int(col["low"][s]), int(col["high"][s])))]
+            if all(len(x[0]) for x in sides):
+                a, b, more = closest_links(sides[0], sides[1] if len(sides) > 1 else None, most, similarity)
+                yield answer(col["key"][s : s + more], a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of the last group, which may go on in the next batch
-        last = None
+        held: list[dict[str, np.ndarray]] = []  # groups whose last may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, low, high = (batch.column(c).to_numpy() for c in ("key", "low", "high"))
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1).tolist(), len(key)]
-            for s, e in zip(cuts, cuts[1:]):
-                name = (key[s], low[s], high[s])
-                if name != last and held:
-                    if (out := solve(pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held = []
-                last = name
-                held.append(batch.slice(s, e - s))
-        if held and (out := solve(pa.Table.from_batches(held))) is not None:
-            yield out
+            part = {c: batch.column(c).to_numpy() for c in (*names, "own", "id", "root", "n")}
+            part["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            last = np.flatnonzero(np.any([part[c] != part[c][-1] for c in names], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            goes_on = held and not cut and all(held[-1][c][-1] == part[c][0] for c in names)
+            if held and not goes_on:
+                held.append({c: x[:cut] for c, x in part.items()})
+                yield from solve(held)
+                held = []
+            elif cut:
+                yield from solve([{c: x[:cut] for c, x in part.items()}])
+            held.append({c: x[cut:] for c, x in part.items()})
+        if held:
+            yield from solve(held)
 
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long, key long").distinct()
 
 
 def similar_stars(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], alike: Alike, similarity: float) -> DataFrame:
     """(id, check, root): every text of a class of two or more near-duplicates, with the least id of the class.
 
-    keys: ``key_blocks`` of (key, id); fetch: (id, check, body, n, bits) of the ids of a table; alike: (body, body, cache) to bool.
+    keys: ``key_blocks`` of (key, id); fetch: (id, check, body, n, bits) of the ids of a table; alike: (body, body, n, n, cache) to bool.
     """
     found = materialize(_groups(keys), "candidates")
     pairs = found.filter("kind = 0").select("a", "b").distinct()
@@ -400,13 +467,14 @@ def similar_stars(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], alik
     most = PER_MEMBER
     while True:
         links = materialize(_open_links(members, stars, texts, most, similarity), "links")
-        pairs = materialize(links.filter("a IS NOT NULL").join(failed, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            checked = _verified(pairs, texts, alike)
-            stars = component_stars(stars.unionByName(checked.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
-            failed = failed.unionByName(checked.filter("NOT ok").select("a", "b"))
-        elif links.filter("a IS NULL").isEmpty():
+        checked = _verified(links.filter("a IS NOT NULL").select("a", "b").join(failed, ["a", "b"], "left_anti"), texts, alike)
+        stars = component_stars(stars.unionByName(checked.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        # of other groups all pairs that the sketches allow are verified
+        unfinished = links.filter("key IS NOT NULL").select("key").distinct()
+        if unfinished.isEmpty():
             break
+        failed = failed.unionByName(checked.filter("NOT ok").select("a", "b"))
+        members = materialize(members.join(unfinished, "key", "left_semi"), "unfinished")
         most *= GROWTH
     ends = stars.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
     return materialize(texts.select("id", "check").join(ends, "id"), "classes")

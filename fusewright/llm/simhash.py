@@ -294,7 +294,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     def distinct(words: bytes) -> np.ndarray:
         return sorted_set(shingle_hashes(words, width))
 
-    def alike(x: bytes, y: bytes, cache: dict) -> bool:
+    def alike(x: bytes, y: bytes, n: int, m: int, cache: dict) -> bool:
         a, b = cached(cache, x, distinct), cached(cache, y, distinct)
         if min(len(a), len(b)) < similarity * max(len(a), len(b)):
             return False

@@ -93,6 +93,8 @@ def test_line_dedup(spark, docs):
 def test_chunked_groups_give_the_same(spark, docs, monkeypatch):
     rows = [(k, t, "en", "s") for k, t in enumerate(corpus(4, 30))]
     monkeypatch.setattr(near, "CHUNK", 8)
+    monkeypatch.setattr(near, "SMALL", 3)
+    monkeypatch.setattr(near, "PER_MEMBER", 1)
     out = ld.dedup_lines(docs(*rows)).collect()
     assert {r["row"]["doc_id"]: set(r["removed"]) for r in out if r["removed"]} == brute_lines([(r[0], r[1]) for r in rows])
 
@@ -145,6 +147,38 @@ def test_closest_links(monkeypatch, most, sliced):
         assert set(zip(a.tolist(), b.tolist())) == expected and len(expected) > 100 and more == (most == 2)
 
 
+def test_small_groups_are_compared_together():
+    rng = np.random.default_rng(10)
+    n, bits = near_sketches(rng, 200)
+    root, sizes = rng.integers(0, 4, 200), np.array([2, 30, 2, 64, 1, 101])
+    starts = np.cumsum(sizes) - sizes
+    side = (np.arange(200), root, n, bits)
+    for most in (2, 1000):
+        a, b, cut = near.small_links(starts, sizes, side, most, 0.8)
+        pairs, more = set(), set()
+        for k, (s, e) in enumerate(zip(starts, starts + sizes)):
+            x, y, left = near.closest_links(tuple(c[s:e] for c in side), None, most, 0.8)
+            pairs |= set(zip(x.tolist(), y.tolist()))
+            more |= {k} if left else set()
+        assert set(zip(a.tolist(), b.tolist())) == pairs and set((np.searchsorted(starts, cut, side="right") - 1).tolist()) == more
+
+
+def test_common_ends_prove_what_is_alike():
+    rng = random.Random(11)
+    assert near.common_ends("abcxyz", "abqyz") == (2, 2) and near.common_ends("aa", "aaa") == (2, 0) and near.common_ends("", "a") == (0, 0)
+    accepted = 0
+    for _ in range(300):
+        x = sentence(rng, rng.randrange(1, 40))
+        y = edited(rng, x, rng.randrange(3)) if rng.random() < 0.8 else sentence(rng, 20)
+        a, b = ld.shingles(x), ld.shingles(y)
+        exact = len(a & b) >= 0.8 * len(a | b)
+        start, end = near.common_ends(ld.normalise(x), ld.normalise(y))
+        sure = near.surely_alike(len(a), len(b), *(len(ld.normalise(z)) - start - end + 6 for z in (x, y)), 0.8)
+        assert ld.alike(x, y, len(a), len(b), {}) == exact and exact >= sure
+        accepted += sure
+    assert accepted > 50
+
+
 def test_closest_links_of_a_large_group_stay_small():
     rng = np.random.default_rng(6)
     n, bits = near_sketches(rng, 16_000)
