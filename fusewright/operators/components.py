@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars, and queries on them.
 
-First every task contracts its share of the edges to stars, block by block of ``BLOCK_EDGES``, which keeps its memory bounded and leaves at
-most an edge for each node of a block. Then every round rewires each node to the least neighbour it knows, first upwards, then
+First the edges are contracted to stars in blocks of ``BLOCK_EDGES``, a task each, which keeps memory bounded and leaves at
+most an edge for each node of a block, and again while that halves them; one block is a result. Then every round rewires each node to the least neighbour it knows, first upwards, then
 downwards; the edge set shrinks to stars around the least node of each component in a
 number of rounds that grows with the logarithm of the size, and the rounds end once it consists of such stars. Each round's edges are
 written to the shared folder, so lineage stays short, executors may be lost, and a hub's
@@ -41,8 +41,9 @@ def block_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[inner], nodes[root[inner]]
 
 
-def contract(edges: DataFrame, block_edges: int) -> DataFrame:
-    """Each task's edges as stars, of ``block_edges`` at a time."""
+def contract(edges: DataFrame, n_edges: int, block_edges: int) -> tuple[DataFrame, int]:
+    """Stars of blocks of ``block_edges``, a task each, and the number of blocks."""
+    blocks = max(1, -(-n_edges // block_edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -58,14 +59,14 @@ def contract(edges: DataFrame, block_edges: int) -> DataFrame:
             for k in range(0, len(u), block_edges):
                 held.append((u[k : k + block_edges], v[k : k + block_edges]))
                 size += len(held[-1][0])
-                if size >= block_edges:
+                if size >= 2 * block_edges:  # tasks are not dealt evenly
                     yield stars()
                     size = 0
         if held:
             yield stars()
 
     ship(edges.sparkSession)
-    return edges.mapInArrow(run, "u long, v long")
+    return materialize(edges.coalesce(blocks).mapInArrow(run, "u long, v long").distinct() if blocks > 1 else edges.coalesce(1).mapInArrow(run, "u long, v long"), "edges"), blocks
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -91,9 +92,15 @@ def _are_stars(edges: DataFrame) -> bool:
 def component_stars(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(u, v): every node of an edge but the least of its component, with that least node. Loops and nulls are passed over."""
     stars = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    if dict(stars.dtypes) == {"u": "bigint", "v": "bigint"}:
-        stars = contract(stars, block_edges)
     stars = materialize(stars, "edges")
+    if dict(stars.dtypes) == {"u": "bigint", "v": "bigint"}:
+        before, n, blocks = 0, stars.count(), 2
+        while blocks > 1 and (not before or 2 * n <= before):  # fewer blocks meet more edges of a component
+            before = n
+            stars, blocks = contract(stars, n, block_edges)
+            n = stars.count()
+        if blocks == 1:
+            return stars
     while not _are_stars(stars):
         stars = materialize(_small_star(materialize(_large_star(stars), "edges")), "edges")
     return stars
