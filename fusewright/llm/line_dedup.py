@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
 from fusewright.llm.common import let, map_batches, utf8
-from fusewright.llm.near import BLOCKS, band_keys, cached, common_ends, fetch_by_id, key_blocks, may_hold, mix32, n_buckets, similar_stars, surely_alike, with_sketches
+from fusewright.llm.near import BLOCKS, band_keys, cached, common_ends, fetch_by_id, key_blocks, may_hold, mix32, n_buckets, similar_stars, sorted_set, surely_alike, with_sketches
 
 SHINGLE, SIMILARITY = 7, 0.8
 CHUNK = 512
@@ -67,6 +67,33 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+class _Line:
+    """A line to compare. Shingles of characters below 512 are seven times nine bits of one number, so they are compared exactly as numbers."""
+
+    def __init__(self, line: str):
+        self.text = normalise(line)
+
+    @cached_property
+    def numbers(self) -> np.ndarray | None:
+        c = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(c) - SHINGLE + 1
+        if n < 1 or c.max() >= 512:
+            return None
+        two = c[:-1] << np.uint64(9) | c[1:]
+        four = two[:-2] << np.uint64(18) | two[2:]
+        three = two[:-1] << np.uint64(9) | c[2:]
+        return sorted_set(four[:n] << np.uint64(27) | three[4 : 4 + n])
+
+    def meets(self, other: _Line) -> tuple[int, int, int]:
+        """Numbers of shingles of both, of this one and of the other."""
+        a, b = self.numbers, other.numbers
+        if a is not None and b is not None:
+            both = np.sort(np.concatenate((a, b)))
+            return int((both[1:] == both[:-1]).sum()), len(a), len(b)
+        x, y = shingles(self.text), shingles(other.text)
+        return len(x & y), len(x), len(y)
+
+
 def alike(x: str, y: str, n: int, m: int, cache: dict) -> bool:
     """Whether the exact Jaccard similarity of the shingle sets is at least ``SIMILARITY``; n, m: elements that the sets have at least."""
     p, q = cached(cache, x, _Line), cached(cache, y, _Line)
@@ -74,20 +101,8 @@ def alike(x: str, y: str, n: int, m: int, cache: dict) -> bool:
     # shingles that touch what differs
     if surely_alike(n, m, *(len(z.text) - start - end + SHINGLE - 1 for z in (p, q)), SIMILARITY):
         return True
-    a, b = p.shingles, q.shingles
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= SIMILARITY * (len(a) + len(b) - both)
-
-
-class _Line:
-    def __init__(self, line: str):
-        self.text = normalise(line)
-
-    @cached_property
-    def shingles(self) -> set[str]:
-        return shingles(self.text)
+    both, a, b = p.meets(q)
+    return both >= SIMILARITY * (a + b - both)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
