@@ -77,12 +77,10 @@ def rebalance(shards: dict[Slot, int], sizes: dict[Slot, int], n_shards: int, to
         new[slot] = to
         loads[to] += size
         held[to].append((size, slot))
-    # shards that were empty fill first and alone, up to a slot; what they leave is not shuffled among the others
-    fresh = [s for s in range(n_shards) if not held[s]]
-    allowed = max(tolerance * sum(loads.values()) / n_shards, max(sizes.values(), default=0) if fresh else 0)
+    allowed = tolerance * sum(loads.values()) / n_shards
+    into = [s for s in range(n_shards) if not held[s]] or list(loads)  # with empty shards, nothing moves but into them
     for _ in range(4 * len(new)):
         high = max(loads, key=lambda s: (loads[s], -s))
-        into = fresh if fresh and loads[high] - min(loads[s] for s in fresh) > allowed else loads
         low = min(into, key=lambda s: (loads[s], s))
         gap = loads[high] - loads[low]
         movable = [x for x in held[high] if 0 < x[0] < gap]
