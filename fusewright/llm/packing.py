@@ -6,18 +6,19 @@
    (fewest sequences so that every class is covered, one variable per way to fill a
    sequence) is solved by multiplicative weights: each class has a price, a knapsack
    dynamic program finds the filling of highest price, its variable grows by ``STEP`` of its scarcest
-   class, and the prices of what it covers fall.
-4. The variables are scaled so that no class is over-covered and rounded down. Their slots
+   class, and the prices of what it covers fall by exp(-``SHARPNESS`` * share covered); a class covered in full has no price, so none is over-covered. Any
+   prices, scaled so that no filling is worth more than one, are a solution of the dual program, which gives a lower bound.
+4. The variables are rounded down. Their slots
    take real pieces, longest first, while there is room; what remains is put by best fit into the room that is left,
-   longest first, then into new sequences.
+   longest first, then into new sequences. Best fit alone is planned too, and the plan with fewer sequences taken.
 5. The plan names runs of equal fillings, so its size follows the number of distinct
    lengths, not of documents. Pieces find their place by their rank among the pieces of equal length.
 
-Ranks are counted in ``SALTS`` salted parts of each length, so one length that holds a
-third of all pieces is no hot task.
+Ranks are counted in salted parts of each length, of which there are more as the pieces are, so one length that holds a
+third of all pieces is no hot task; and a part meets only the plan's intervals of its own ranks.
 
 Defined results: a null or empty text is one piece of the end token alone; a null doc_id is kept; rows that
-repeat a doc_id are packed as rows of their own; empty tables give an empty result; other columns are ignored.
+repeat a doc_id are packed as rows of their own; very long texts are cut into as many pieces as they need; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +41,12 @@ from fusewright.functions.storage import materialize
 from fusewright.llm.common import map_batches, ship, utf8
 
 UNITS = 256
-STEP = 0.25
-MAX_ROUNDS = 6000
-#: Share of each class that the program plans; the rest is the stock from which best fit closes the rooms left by rounding.
-PLANNED = 0.8
-SALTS = 64
+STEP, SHARPNESS = 0.05, 5.0
+#: Parts in which the ranks of a length are counted: so many at least, and one for so many pieces.
+SALTS, PART_PIECES = 64, 1 << 22
 CACHED_WORDS, CACHED_PARTS = 300_000, 500_000
 #: The plan is broadcast up to so many intervals, and joined by a shuffle beyond.
-BROADCAST_INTERVALS = 500_000
+BROADCAST_INTERVALS = 200_000
 
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
 #: Byte-level vocabularies write the bytes 0x80 to 0xa0 and 0xad of UTF-8 as characters from U+0122 on, in turn, and others as themselves.
@@ -149,30 +148,41 @@ def dearest_filling(prices: np.ndarray) -> np.ndarray:
     return counts
 
 
-def solve_configurations(demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Fillings and how often to use each: the program's solution, scaled and rounded down.
+@dataclass
+class Program:
+    """Fillings and how often to use each (a real number), their sum, and a lower bound of the optimum, in classes."""
 
-    Prices start at the classes' sizes over capacity and fall by exp(-STEP * share covered); a class covered in full has no price.
-    """
+    fillings: list[tuple[np.ndarray, float]]
+    objective: float
+    bound: float
+
+
+def solve_configurations(demand: np.ndarray) -> Program:
+    """The configuration program of the classes' demands; stops when less than one sequence is uncovered. Prices start at the classes' sizes over capacity."""
     demand = demand.astype(float)
-    units = len(demand)
+    units, on = len(demand), demand > 0
     size = np.arange(1, units + 1) / units
-    covered = np.zeros(units)
+    covered, average = np.zeros(units), np.zeros(units)
     used: dict[bytes, float] = defaultdict(float)
-    for _ in range(MAX_ROUNDS):
-        share = np.divide(covered, demand, out=np.ones(units), where=demand > 0)
+    bound = float(demand @ size)
+    while True:
+        share = np.divide(covered, demand, out=np.ones(units), where=on)
         open_ = share < 1 - 1e-9
         if not open_.any() or (size * (demand - covered))[open_].sum() < 1:
             break
-        filling = dearest_filling(np.where(open_, size * np.exp(-share), 0.0))
+        prices = np.where(open_, size * np.exp(-SHARPNESS * share), 0.0)
+        filling = dearest_filling(prices)
+        bound = max(bound, float(demand @ prices / (filling @ prices)))
         inside = filling > 0
-        room = np.where(inside, (demand - covered) / np.maximum(filling, 1), np.inf).min()
+        room = ((demand - covered)[inside] / filling[inside]).min()
         grow = max(min(room, STEP * (demand[inside] / filling[inside]).min()), min(room, 1.0))
-        if grow <= 1e-9:
-            break
         used[filling.tobytes()] += grow
         covered += grow * filling
-    return [(np.frombuffer(k, np.int64), int(v + 1e-9)) for k, v in used.items() if v + 1e-9 >= 1]
+        average += grow * np.where(on, size * np.exp(-SHARPNESS * share), 0.0) / (filling @ prices)
+    objective = sum(used.values())
+    if objective:
+        bound = max(bound, float(demand @ average / (dearest_filling(average) @ average)))
+    return Program([(np.frombuffer(k, np.int64), v) for k, v in used.items()], objective, bound)
 
 
 @dataclass
@@ -184,18 +194,28 @@ class Run:
 
 
 def plan_runs(histogram: dict[int, int], capacity: int) -> list[Run]:
-    """Runs of sequences that hold every piece of the histogram once."""
+    """Runs of sequences that hold every piece of the histogram once: by the program or by best fit alone, whichever takes fewer."""
+    unit = max(1, capacity // UNITS)
+    demand = np.zeros(_class(capacity, unit), np.int64)
+    for n, k in histogram.items():
+        demand[_class(n, unit) - 1] += k
+    program = solve_configurations(demand)
+    plans = [fill(histogram, capacity, [(f, int(v + 1e-9)) for f, v in program.fillings if v + 1e-9 >= 1]), fill(histogram, capacity, [])]
+    return min(plans, key=lambda runs: sum(r.times for r in runs))
+
+
+def _class(n: int, unit: int) -> int:
+    return max(1, (n + unit // 2) // unit)
+
+
+def fill(histogram: dict[int, int], capacity: int, fillings: list[tuple[np.ndarray, int]]) -> list[Run]:
+    """Runs of sequences from fillings of classes, then best fit."""
     left = {n: k for n, k in histogram.items() if k}
     unit = max(1, capacity // UNITS)
-    of = lambda n: max(1, (n + unit // 2) // unit)
     top = lambda c: c * unit + unit - unit // 2 - 1
-    demand = np.zeros(of(capacity), np.int64)
-    for n in left:
-        demand[of(n) - 1] += left[n]
-    demand = (demand * PLANNED).astype(np.int64)
     stock = sorted(left)  # lengths of which some are left
     runs: list[Run] = []
-    for filling, times in solve_configurations(demand):
+    for filling, times in fillings:
         slots = [c + 1 for c in np.flatnonzero(filling)[::-1] for _ in range(filling[c])]
         while times:
             takes: dict[int, int] = defaultdict(int)
@@ -270,20 +290,23 @@ def intervals(runs: list[Run]) -> list[tuple[int, int, int, int, int, int]]:
 def pack_pieces(cut: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length; ``cut`` is read three times."""
     spark = cut.sparkSession
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, -(-cut.count() // PART_PIECES))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     rows = intervals(plan_runs(histogram, capacity))
-    schema = "p_length long, rank_from long, rank_to long, first_sequence long, per_sequence long, at long"
-    plan = spark.createDataFrame(rows, schema)
+    schema = "length long, rank_from long, rank_to long, first_sequence long, per_sequence long, at long"
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), "n")
+    own = (F.col("rank_from") < F.col("before") + F.col("n")) & (F.col("rank_to") > F.col("before"))
+    plan = materialize(starts.join(spark.createDataFrame(rows, schema), "length").filter(own).drop("n"), "plan")
     inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("inside", inside).join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("inside"))
-    if len(rows) <= BROADCAST_INTERVALS:
+    ranked = salted.withColumn("inside", inside)
+    if plan.count() <= BROADCAST_INTERVALS:
         plan = F.broadcast(plan)
-    placed = ranked.join(plan, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
-    past = F.col("rank") - F.col("rank_from")
+    rank = F.col("before") + F.col("inside")
+    placed = ranked.join(plan, ["length", "salt"]).filter((rank >= F.col("rank_from")) & (rank < F.col("rank_to")))
+    past = rank - F.col("rank_from")
     sequence = F.col("first_sequence") + F.floor(past / F.col("per_sequence"))
     offset = F.col("at") + F.pmod(past, F.col("per_sequence")) * F.col("length")
     return placed.select(*cut.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))

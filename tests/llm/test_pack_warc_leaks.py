@@ -45,6 +45,34 @@ def test_plans_are_near_the_bound():
     assert check_runs({1365: 300}) == 100
 
 
+def test_program_beats_best_fit_where_rooms_are_awkward():
+    rng = random.Random(2)
+    uniform, skewed = {}, {}
+    for _ in range(250_000):
+        n = rng.randrange(1000, 2000)
+        uniform[n] = uniform.get(n, 0) + 1
+        n = min(4096, max(1, int(rng.lognormvariate(6, 1.2))))
+        skewed[n] = skewed.get(n, 0) + 1
+    for histogram, most in ((uniform, 96_675), (skewed, None)):
+        alone, used = sum(r.times for r in pk.fill(histogram, 4096, [])), check_runs(histogram)
+        bound = -(-sum(k * v for k, v in histogram.items()) // 4096)
+        assert bound <= used <= (most or 1.001 * bound) and used <= alone
+
+
+def test_program_and_its_bound():
+    demand = np.zeros(16, np.int64)
+    demand[[8, 6]] = 60, 60  # 9 and 7 of 16 units pair exactly
+    program = pk.solve_configurations(demand)
+    assert 60 - 1e-6 <= program.bound + 1e-6 and program.bound <= program.objective + 1 and program.objective < 61
+    covered = sum(v * f for f, v in program.fillings)
+    assert (covered <= demand + 1e-6).all() and (demand - covered) @ np.arange(1, 17) < 16
+    demand[:] = 0
+    demand[8] = 100  # 9 of 16: one to a sequence, which bytes do not tell
+    program = pk.solve_configurations(demand)
+    assert abs(program.bound - 100) < 1e-6 and 99 <= program.objective <= 100 + 1e-6
+    assert pk.solve_configurations(np.zeros(16, np.int64)).fillings == []
+
+
 def test_knapsack():
     prices = np.zeros(16)
     prices[4], prices[2] = 5.0, 2.9  # sizes 5 and 3
