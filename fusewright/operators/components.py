@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.shipping import ship
-from fusewright.functions.storage import materialize
+from fusewright.functions.storage import materialize, scope
 
 BLOCK_EDGES = 1 << 18
 
@@ -91,6 +91,11 @@ def _are_stars(edges: DataFrame) -> bool:
 
 def component_stars(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(u, v): every node of an edge but the least of its component, with that least node. Loops and nulls are passed over."""
+    with scope(edges.sparkSession) as keep:
+        return keep(_stars(edges, block_edges))
+
+
+def _stars(edges: DataFrame, block_edges: int) -> DataFrame:
     stars = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     stars = materialize(stars, "edges")
     if dict(stars.dtypes) == {"u": "bigint", "v": "bigint"}:
@@ -139,7 +144,11 @@ def connected(labels: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 class DisjointSets:
-    """A partition of 0..n-1 that grows by batches of edges; representatives are least members."""
+    """A partition of 0..n-1 that grows by batches of edges, or pair by pair; representatives are least members.
+
+    The labels are a stored table. Pairs merged one by one since it was stored are kept as merged representatives on the driver, one entry a call, and join the
+    edges when labels are asked for, so a pair costs two look-ups and no new table.
+    """
 
     def __init__(self, spark, n: int):
         if n < 0:
@@ -148,45 +157,62 @@ class DisjointSets:
         self.reset()
 
     def reset(self) -> None:
-        self._edges = self._spark.createDataFrame([], "u long, v long")
-        self._labels: DataFrame | None = None
+        self._edges: DataFrame | None = None  # not yet in the labels
+        self._merged: dict[int, int] = {}
+        nodes = self._spark.range(self.n)
+        self._labels = nodes.select(F.col("id").alias("node"), F.col("id").alias("component"))
 
     def union(self, edges: DataFrame) -> DisjointSets:
         """Merge along ``edges`` (u, v)."""
-        self._edges = self._edges.unionByName(edges.select(F.col("u").cast("long"), F.col("v").cast("long")))
-        self._labels = None
+        new = edges.select(F.col("u").cast("long"), F.col("v").cast("long"))
+        self._edges = new if self._edges is None else self._edges.unionByName(new)
         return self
 
     def union_pair(self, x: int, y: int) -> bool:
         """Merge two elements; True if they were apart."""
-        self._check(x, y)
-        apart = not self.connected(x, y)
-        if apart:
-            self.union(self._spark.createDataFrame([(x, y)], "u long, v long"))
-        return apart
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self._merged[max(a, b)] = min(a, b)
+        return a != b
 
     def _check(self, *xs: int) -> None:
         for x in xs:
             if not 0 <= x < self.n:
                 raise IndexError(f"element {x} is out of range [0, {self.n})")
 
+    def _settle(self) -> DataFrame:
+        """The stored labels, with all batches in them."""
+        if self._edges is not None:
+            # components are nodes of the new edges, so what was merged before is not looked at again
+            at = lambda c: self._labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+            moved = self._edges.join(at("u"), "u").join(at("v"), "v").select(F.col("u_in").alias("u"), F.col("v_in").alias("v"))
+            if self._merged:
+                moved = moved.unionByName(self._spark.createDataFrame(list(self._merged.items()), "u long, v long"))
+            roots = component_stars(moved).select(F.col("u").alias("component"), F.col("v").alias("root"))
+            labels = self._labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            self._labels, self._edges, self._merged = materialize(labels, "labels"), None, {}
+        return self._labels
+
     @property
     def labels(self) -> DataFrame:
-        if self._labels is None:
-            nodes = self._spark.range(self.n).withColumnRenamed("id", "node")
-            self._labels = materialize(connected_components(nodes, self._edges), "labels")
-        return self._labels
+        """(node, component)."""
+        if self._merged and self._edges is None:
+            self._edges = self._spark.createDataFrame([], "u long, v long")
+        return self._settle()
 
     def find(self, x: int) -> int:
         self._check(x)
-        return self.labels.filter(F.col("node") == x).head()["component"]
+        root = self._settle().filter(F.col("node") == x).head()["component"]
+        while root in self._merged:
+            root = self._merged[root]
+        return root
 
     def connected(self, x: int, y: int) -> bool:
         return self.find(x) == self.find(y)
 
     @property
     def n_components(self) -> int:
-        return self.labels.filter("node = component").count()
+        return self._settle().filter("node = component").count() - len(self._merged)
 
     def __len__(self) -> int:
         return self.n

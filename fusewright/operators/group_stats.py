@@ -24,7 +24,12 @@ def group_stats(obs: DataFrame, n_groups: int | None = None, validate: bool = Tr
         check(obs, violations("group_id", non_negative=True, upper=n_groups, inclusive=False))
     n = infer_n_groups(obs) if n_groups is None or obs.isEmpty() else n_groups
     sums = obs.groupBy("group_id").agg(F.count("*").alias("size"), F.sum("y").cast("double").alias("sum"))
-    padded = spine(obs.sparkSession, n).join(sums, "group_id", "left")
+    return padded_stats(sums, n)
+
+
+def padded_stats(sums: DataFrame, n: int) -> DataFrame:
+    """group_id, size, sum and mean of ids 0 to ``n`` - 1 from the size and sum of groups with rows."""
+    padded = spine(sums.sparkSession, n).join(sums, "group_id", "left")
     size, total = F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("sum", F.lit(0.0)).alias("sum")
     return padded.select("group_id", size, total, F.when(F.col("size") > 0, F.col("sum") / F.col("size")).otherwise(0.0).alias("mean"))
 

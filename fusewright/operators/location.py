@@ -1,16 +1,31 @@
 """Location of each group: mean, median, trimmed mean, Huber's M-estimate, least trimmed squares.
 
-All are lazy plans. The robust ones first count equal values of a group, a partial aggregation
-that spreads a hot group over all tasks, and then work on its distinct values. Groups of one or two rows have their mean.
+Median, trimmed mean and Huber first count equal values of a group, a partial aggregation
+that spreads a hot group over all tasks, and then work on its distinct values; least trimmed squares needs the rows' ranks. No group is held in
+an array or map: ranks, running sums and running minima are windows, which spill. Groups of one or two rows have their mean.
+
+Huber's reweighting has no closed form. Its values are dealt in blocks of ``BLOCK`` distinct ones. A group of one block is
+solved where it is, with others like it, in NumPy over Arrow batches; a larger one takes a round over its blocks for each step, whose sums are added, until it converges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusewright.functions.schemas import require, spine
+from fusewright.functions.shipping import ship
+from fusewright.functions.storage import materialize
 from fusewright.functions.validation import METHODS, check, check_groups, choice, fraction, violations
+from fusewright.operators.group_stats import infer_n_groups
+
+BLOCK = 1 << 16
+#: Values in a matrix of groups that are solved together.
+CELLS = 1 << 20
 
 
 def _mean(obs: DataFrame) -> DataFrame:
@@ -18,7 +33,8 @@ def _mean(obs: DataFrame) -> DataFrame:
 
 
 def _median(obs: DataFrame) -> DataFrame:
-    return obs.groupBy("group_id").agg(F.median(F.col("y").cast("double")).alias("theta"))
+    """The mean of the middle one or two, which is what trimming half of each end leaves."""
+    return _trimmed(obs, 0.5)
 
 
 def _counted(obs: DataFrame) -> DataFrame:
@@ -39,56 +55,127 @@ def _trimmed(obs: DataFrame, trim: float) -> DataFrame:
     return kept.groupBy("group_id").agg((F.sum(F.col("y") * F.col("inside").cast("int")).cast("double") / F.sum("inside")).alias("theta"))
 
 
+def _weights(y: np.ndarray, k: np.ndarray, t: np.ndarray, delta: float) -> np.ndarray:
+    """Weights of values that occur ``k`` times, around ``t``."""
+    r = np.abs(y - t)
+    return np.where(r <= delta, k, k * (delta / np.where(r > delta, r, 1.0)))
+
+
+def _steps(y: np.ndarray, k: np.ndarray, t: np.ndarray, delta: float, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and whether they converged. y, k: (values, groups), k is 0 below a group's values; sums run down the columns in order."""
+    t, done = t.copy(), np.zeros(len(t), bool)
+    for _ in range(max_iter):
+        at = np.flatnonzero(~done)
+        if not len(at):
+            break
+        w = _weights(y[:, at], k[:, at], t[at], delta)
+        new = (w * y[:, at]).sum(0) / w.sum(0)
+        done[at] = np.abs(new - t[at]) < tol
+        t[at] = np.where(done[at], t[at], new)  # on convergence the estimate before the last step is the result
+    return t, done
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], solve: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``solve`` of group_id, y, k and start in slices of whole groups; the batches are sorted by group."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        part = tuple(batch.column(c).to_numpy() for c in ("group_id", "y", "k", "start"))
+        if not len(part[0]):
+            continue
+        cut = int(np.searchsorted(part[0], part[0][-1]))  # the last group may go on
+        if held and (cut or held[-1][0][-1] != part[0][0]):
+            held.append(tuple(c[:cut] for c in part))
+            size += cut
+            part = tuple(c[cut:] for c in part)
+            if size >= CELLS:
+                yield solve(*(np.concatenate(c) for c in zip(*held)))
+                held, size = [], 0
+        held.append(part)
+        size += len(part[0])
+    if held:
+        yield solve(*(np.concatenate(c) for c in zip(*held)))
+
+
 def _huber(obs: DataFrame, delta: float, max_iter: int, tol: float) -> DataFrame:
-    """Reweighting from the median; on convergence the estimate before the last step is the result."""
+    """group_id, theta and converged: reweighting from the median."""
+    spark = obs.sparkSession
+    ship(spark)
+    middle = _counted(obs).withColumns({"low": F.expr("(n + 1) div 2"), "high": F.expr("(n + 2) div 2")})
+    covers = F.greatest(F.lit(0), F.least("high", "upto") - F.greatest(F.col("low") - 1, F.col("upto") - F.col("k")))
+    w = Window.partitionBy("group_id")
     y = F.col("y").cast("double")
-    values = obs.groupBy("group_id", "y").agg(F.count("*").alias("k"))
-    # rows with equal values share a weight, so a value enters as often as it occurs
-    lists = values.groupBy("group_id").agg(
-        F.array_sort(F.collect_list(F.struct(y.alias("y"), F.col("k").cast("double").alias("k")))).alias("vals"),
-        F.sum("k").alias("n"), F.expr("percentile(CAST(y AS DOUBLE), 0.5D, k)").alias("mid"), (F.sum(F.col("y") * F.col("k").cast("int")).cast("double") / F.sum("k")).alias("mean"),
-    )
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wy"))
-
-    def add(acc: Column, v: Column, t: Column) -> Column:
-        r = F.abs(v["y"] - t)
-        w = F.when(r <= delta, v["k"]).otherwise(v["k"] * (F.lit(delta) / F.when(r > delta, r)))
-        return F.struct((acc["w"] + w).alias("w"), (acc["wy"] + w * v["y"]).alias("wy"))
-
-    def step(state: Column, _: Column) -> Column:
-        t = state["t"]
-        new = F.aggregate("vals", zero, lambda a, v: add(a, v, t), lambda a: a["wy"] / a["w"])
-        moved = F.transform(F.array(new), lambda x: F.when(F.abs(x - t) < tol, F.struct(t.alias("t"), F.lit(True).alias("done"))).otherwise(F.struct(x.alias("t"), F.lit(False).alias("done"))))[0]
-        return F.when(state["done"], state).otherwise(moved)
-
-    start = F.struct(F.col("mid").alias("t"), F.lit(False).alias("done"))
-    turns = F.sequence(F.lit(1), F.lit(max_iter)) if max_iter > 0 else F.array().cast("array<int>")
-    fold = F.aggregate(turns, start, step, lambda s: s["t"])
-    return lists.select("group_id", F.when(F.col("n") <= 2, F.col("mean")).otherwise(fold).alias("theta"))
+    start = F.sum(y * covers).over(w) / F.sum(covers).over(w)
+    values = middle.select("group_id", y.alias("y"), F.col("k").cast("double").alias("k"), "n", start.alias("start"), F.floor((F.row_number().over(w.orderBy("y")) - 1) / BLOCK).alias("block"), F.count("*").over(w).alias("distinct"))
+    values = materialize(values.filter("n > 2"), "values")
+    few = obs.groupBy("group_id").agg((F.sum("y").cast("double") / F.count("*")).alias("theta"), F.count("*").alias("n")).filter("n <= 2").select("group_id", "theta", F.lit(True).alias("converged"))
+
+    def solve(group: np.ndarray, y: np.ndarray, k: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        sizes = np.diff(np.append(first, len(group)))
+        theta, done = np.empty(len(first)), np.empty(len(first), bool)
+        order = np.argsort(sizes, kind="stable")
+        while len(order):
+            # groups of alike sizes, so that little of the matrix is empty
+            most = min(len(order), max(1, CELLS // max(1, 2 * int(sizes[order[0]]))))
+            some = order[:most][sizes[order[:most]] <= 2 * sizes[order[0]]]
+            order = order[len(some) :]
+            row = np.concatenate([np.arange(n) for n in sizes[some]])
+            column, at = np.repeat(np.arange(len(some)), sizes[some]), np.repeat(first[some], sizes[some]) + row
+            ys, ks = (np.zeros((int(sizes[some].max()), len(some))) for _ in range(2))
+            ys[row, column], ks[row, column] = y[at], k[at]
+            theta[some], done[some] = _steps(ys, ks, start[first[some]], delta, max_iter, tol)
+        return pa.RecordBatch.from_arrays([pa.array(group[first]), pa.array(theta), pa.array(done)], ["group_id", "theta", "converged"])
+
+    one_block = values.filter(F.col("distinct") <= BLOCK).select("group_id", "y", "k", "start").repartition("group_id").sortWithinPartitions("group_id", "y")
+    solved = one_block.mapInArrow(lambda batches: _whole_groups(batches, solve), "group_id long, theta double, converged boolean")
+    return few.unionByName(solved).unionByName(_large_huber(values.filter(F.col("distinct") > BLOCK), delta, max_iter, tol))
+
+
+def _large_huber(values: DataFrame, delta: float, max_iter: int, tol: float) -> DataFrame:
+    """The same for groups of several blocks, a round over all blocks for each step."""
+    at = materialize(values.select("group_id", F.col("start").alias("t")).distinct(), "estimates")
+    result = at.select("group_id", F.col("t").alias("theta"), F.lit(False).alias("converged")).limit(0)
+    for _ in range(max_iter):
+        if at.isEmpty():
+            break
+        r = F.abs(F.col("y") - F.col("t"))
+        weight = F.when(r <= delta, F.col("k")).otherwise(F.col("k") * (F.lit(delta) / F.when(r > delta, r)))
+        blocks = values.join(at, "group_id").groupBy("group_id", "block", "t").agg(F.sum(weight).alias("w"), F.sum(weight * F.col("y")).alias("wy"))
+        moved = blocks.groupBy("group_id", "t").agg((F.sum("wy") / F.sum("w")).alias("new"))
+        moved = materialize(moved, "moved")
+        near = F.abs(F.col("new") - F.col("t")) < tol
+        result = result.unionByName(moved.filter(near).select("group_id", F.col("t").alias("theta"), F.lit(True).alias("converged")))
+        at = moved.filter(~near).select("group_id", F.col("new").alias("t"))
+    return result.unionByName(at.select("group_id", F.col("t").alias("theta"), F.lit(False).alias("converged")))
+
+
+def huber_report(obs: DataFrame, delta: float = 1.345, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
+    """group_id, theta and converged: whether the last step of a group was below ``tol``."""
+    return _huber(require(obs, "group_id", "y"), delta, max_iter, tol)
 
 
 def _lts(obs: DataFrame, trim: float, patience: int, tol: float) -> DataFrame:
-    """The mean of the best run of h sorted values; runs are looked at in order until ``patience`` in a row are no better by ``tol``."""
+    """The mean of the best run of h sorted values; runs are looked at in order until ``patience`` in a row are no better by ``tol`` than the best before."""
     w = Window.partitionBy("group_id")
     order = w.orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
     h = F.greatest(F.lit(1), F.least(F.ceil((F.lit(1.0) - F.lit(trim)) * F.col("n")).cast("long"), F.col("n")))
-    sums = obs.select("group_id", "y", F.row_number().over(w.orderBy("y")).alias("rn"), F.count("*").over(w).alias("n"), F.sum("y").over(order).cast("double").alias("s1"), F.sum(F.col("y") * F.col("y")).over(order).cast("double").alias("s2"))
-    sums = sums.withColumn("h", h)
-    ends = sums.select("group_id", (F.col("rn") - F.col("h")).alias("k"), F.col("s1").alias("e1"), F.col("s2").alias("e2"), "n", "h", F.col("y").cast("double").alias("y")).filter("k >= 0")
-    starts = sums.select("group_id", F.col("rn").alias("k"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    runs = ends.join(starts, ["group_id", "k"], "left").withColumns({"t1": F.col("e1") - F.coalesce("b1", F.lit(0.0)), "t2": F.col("e2") - F.coalesce("b2", F.lit(0.0))})
-    one = F.struct("k", (F.col("t2") - F.col("t1") * F.col("t1") / F.col("h")).alias("sse"), (F.col("t1") / F.col("h")).alias("mean"))
-    lists = runs.groupBy("group_id").agg(F.array_sort(F.collect_list(one)).alias("runs"))
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(None).cast("double").alias("mean"), F.lit(0).alias("stale"))
-
-    def step(s: Column, r: Column) -> Column:
-        better = F.struct(r["sse"].alias("best"), r["mean"].alias("mean"), F.lit(0).alias("stale"))
-        worse = F.struct(s["best"].alias("best"), s["mean"].alias("mean"), (s["stale"] + 1).alias("stale"))
-        return F.when(s["stale"] >= patience, s).when(r["sse"] < s["best"] - tol, better).otherwise(worse)
-
-    best = lists.select("group_id", F.aggregate("runs", start, step, lambda s: s["mean"]).alias("best"))
+    sums = obs.select("group_id", F.row_number().over(w.orderBy("y")).alias("rn"), F.count("*").over(w).alias("n"), F.sum("y").over(order).cast("double").alias("s1"), F.sum(F.col("y") * F.col("y")).over(order).cast("double").alias("s2"))
+    # each row twice, as the end of the run that starts after place rn - h and as what comes before the run after place rn, so that the two meet without a join
+    ends = F.array(F.struct(F.col("rn").alias("k"), F.lit(0).alias("end")), F.struct((F.col("rn") - F.col("h")).alias("k"), F.lit(1).alias("end")))
+    marks = sums.withColumn("h", h).select("group_id", "n", "h", "s1", "s2", F.explode(ends).alias("m")).select("group_id", "n", "h", "s1", "s2", "m.k", "m.end").filter("k >= 0")
+    upto = w.orderBy("k", "end").rowsBetween(Window.unboundedPreceding, 0)
+    begin = lambda c: F.coalesce(F.last(F.when(F.col("end") == 0, F.col(c)), ignorenulls=True).over(upto), F.lit(0.0))
+    runs = marks.withColumns({"t1": F.col("s1") - begin("s1"), "t2": F.col("s2") - begin("s2")}).filter("end = 1")
+    runs = runs.select("group_id", "k", "n", (F.col("t2") - F.col("t1") * F.col("t1") / F.col("h")).alias("sse"), (F.col("t1") / F.col("h")).alias("mean"))
+    before = w.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.min("sse").over(before)
+    better = runs.withColumn("best", best).filter(F.col("best").isNull() | (F.col("sse") < F.col("best") - tol))
+    late = F.col("k") - F.lag("k").over(w.orderBy("k")) > patience
+    reached = better.withColumn("stopped", F.max(late).over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))).filter("stopped IS NULL OR NOT stopped")
     means = obs.groupBy("group_id").agg((F.sum("y").cast("double") / F.count("*")).alias("mean"), F.count("*").alias("n"))
-    return means.join(best, "group_id").select("group_id", F.when(F.col("n") <= 2, F.col("mean")).otherwise(F.col("best")).alias("theta"))
+    last = reached.groupBy("group_id").agg(F.max_by("mean", "k").alias("best"))
+    return means.join(last, "group_id").select("group_id", F.when(F.col("n") <= 2, F.col("mean")).otherwise(F.col("best")).alias("theta"))
 
 
 def location(
@@ -102,9 +189,9 @@ def location(
         check(obs, violations("y"))
         n_groups = check_groups(obs, n_groups)
     elif n_groups is None:
-        n_groups = (obs.agg(F.max("group_id")).head()[0] or -1) + 1
+        n_groups = infer_n_groups(obs)
     theta = {
         "mean": lambda: _mean(obs), "median": lambda: _median(obs), "trimmed_mean": lambda: _trimmed(obs, trim),
         "huber": lambda: _huber(obs, huber_delta, max_iter, tol), "lts": lambda: _lts(obs, trim, lts_patience, lts_tol),
     }[method]()
-    return spine(obs.sparkSession, n_groups).join(theta, "group_id", "left")
+    return spine(obs.sparkSession, n_groups).join(theta.select("group_id", "theta"), "group_id", "left")

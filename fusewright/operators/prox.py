@@ -39,7 +39,9 @@ def solve_scalar(problems: DataFrame, nbrs: DataFrame, validate: bool = True) ->
     candidates = F.array_compact(F.array(F.col("z"), at(F.col("cw")), first))
     # n = 0: only the weighted median's own candidates
     middle = F.when(F.col("total") > 0, F.col("cw") >= F.col("total") / 2).otherwise(F.col("k") == F.floor(F.col("r") / 2) + 1)
-    smooth = rows.filter("n > 0").select("problem_id", F.explode(candidates).alias("c")).groupBy("problem_id").agg(F.median("c").alias("x"))
+    # the median of 2 r + 1 candidates is the one of rank r + 1
+    ranked = rows.filter("n > 0").select("problem_id", F.coalesce("r", F.lit(0)).alias("r"), F.explode(candidates).alias("c")).withColumn("rank", F.row_number().over(w.orderBy("c")))
+    smooth = ranked.filter(F.col("rank") == F.col("r") + 1).select("problem_id", F.col("c").alias("x"))
     flat = rows.filter("n = 0").groupBy("problem_id").agg(F.coalesce(F.min(F.when(middle, F.col("z"))), F.lit(0.0)).alias("x"))
     return smooth.unionByName(flat)
 

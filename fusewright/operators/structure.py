@@ -30,16 +30,18 @@ class FusionGraph:
     @cached_property
     def adjacency(self) -> DataFrame:
         """node, nbr and weight, both ways."""
-        return self.pairs.select(F.col("u").alias("node"), F.col("v").alias("nbr"), "weight").unionByName(self.pairs.select(F.col("v").alias("node"), F.col("u").alias("nbr"), "weight"))
+        way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("nbr"), "weight")
+        return self.pairs.select(F.explode(F.array(way("u", "v"), way("v", "u"))).alias("e")).select("e.*")
 
     @cached_property
     def n_pairs(self) -> int:
         return self.pairs.count()
 
     def neighbor_data(self, node: int) -> DataFrame:
-        """nbr and weight by nbr; the filter reaches the pairs, so only rows of the node are expanded."""
+        """nbr and weight by nbr, from the node's pairs alone."""
         check_index(node, self.n_params)
-        return self.adjacency.filter(F.col("node") == node).select("nbr", "weight").orderBy("nbr")
+        own = self.pairs.filter((F.col("u") == node) | (F.col("v") == node))
+        return own.select(F.when(F.col("u") == node, F.col("v")).otherwise(F.col("u")).alias("nbr"), "weight").orderBy("nbr")
 
     def neighbors(self, node: int) -> list[int]:
         return [r["nbr"] for r in self.neighbor_data(node).collect()]
@@ -48,8 +50,7 @@ class FusionGraph:
         return [r["weight"] for r in self.neighbor_data(node).collect()]
 
     def degree(self, node: int) -> int:
-        check_index(node, self.n_params)
-        return self.adjacency.filter(F.col("node") == node).count()
+        return self.neighbor_data(node).count()
 
     def _padded(self, per_node: DataFrame) -> DataFrame:
         return spine(self._spark, self.n_params, "node").join(per_node, "node", "left")

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fusewright.functions.storage import materialize
 from fusewright.functions.validation import group_report, pair_report
 from fusewright.operators import components as comp
 from fusewright.operators.encoding import LabelEncoder
-from fusewright.operators.group_stats import group_stats, grouping_flag
+from fusewright.operators.group_stats import group_stats, grouping_flag, infer_n_groups, padded_stats
 from fusewright.operators.location import location
 from fusewright.operators.pairs import canonicalize, chain
 from fusewright.operators.prox import graph_problems, objective, solve_scalar, weighted_median
@@ -291,10 +292,10 @@ def _(spark, d):
     return encoder.inverse_transform_pairs(encoder.transform_pairs(names).select("u", "v"))
 
 
-@query("encode_unknown_labels", "SELECT DISTINCT p_type AS label FROM part WHERE p_partkey % 2 = 1 AND p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 2 = 0)")
+@query("encode_unknown_labels", "SELECT DISTINCT s_name AS label FROM supplier WHERE s_name NOT IN (SELECT s_name FROM supplier WHERE s_suppkey % 3 = 0)")
 def _(spark, d):
-    part = src.table(spark, d, "part")
-    return LabelEncoder().fit(part.filter("p_partkey % 2 = 0"), "p_type").unknown_labels(part.filter("p_partkey % 2 = 1"), "p_type")
+    supplier = src.table(spark, d, "supplier")
+    return LabelEncoder().fit(supplier.filter("s_suppkey % 3 = 0"), "s_name").unknown_labels(supplier, "s_name")
 
 
 def supplier_chain(spark, d, method: str = "mean") -> tuple[DataFrame, DataFrame]:
@@ -459,9 +460,19 @@ def prox_sql(base: str, lam: str, select: str) -> str:
     return f"WITH {base}{SUMS}, problems AS (SELECT group_id AS problem_id, n, s, {lam} AS lam FROM st), nbrs AS (SELECT node AS problem_id, nbr, theta AS z, w FROM adj JOIN t ON t.group_id = nbr){PROX} {select}"
 
 
+def chain_stats(spark, d) -> tuple[DataFrame, DataFrame, FusionGraph]:
+    """The suppliers' statistics from one scan of the line items, written since all else is built on them, their means, and the graph of the chain."""
+    obs = src.supplier_prices(spark, d)
+    sums = materialize(obs.groupBy("group_id").agg(F.count("*").alias("size"), F.sum("y").alias("sum")), "stats")
+    top = infer_n_groups(sums)
+    stats = padded_stats(sums.withColumn("sum", F.col("sum").cast("double")), top)
+    theta = stats.select("group_id", F.when(F.col("size") > 0, F.col("mean")).alias("theta"))
+    return stats, theta, FusionGraph(adaptive_weights(chain(spark, top), theta), top, validate=False)
+
+
 def chain_problems(spark, d, lam: float) -> tuple[DataFrame, DataFrame]:
-    theta, graph = chain_graph(spark, d)
-    return graph_problems(group_stats(src.supplier_prices(spark, d), len(graph), validate=False), graph.adjacency, theta, lam)
+    stats, theta, graph = chain_stats(spark, d)
+    return graph_problems(stats, graph.adjacency, theta, lam)
 
 
 def solved(problems: DataFrame, nbrs: DataFrame) -> DataFrame:
@@ -471,11 +482,7 @@ def solved(problems: DataFrame, nbrs: DataFrame) -> DataFrame:
 @query("flagship_fused_suppliers", prox_sql(SUPPLIERS + CHAIN_ADJ, "1e8", "SELECT group_id AS supplier, CAST(n AS BIGINT) AS items, round(s / n, 6) AS mean, round(x, 6) AS fused FROM solved JOIN st ON group_id = problem_id"))
 def flagship(spark, d):
     """Suppliers' mean prices, one sweep of the scalar problem along the chain of suppliers."""
-    obs = src.supplier_prices(spark, d)
-    top = obs.agg(F.max("group_id")).head()[0] + 1
-    stats = group_stats(obs, top, validate=False)
-    theta = stats.select("group_id", F.when(F.col("size") > 0, F.col("mean")).alias("theta"))
-    graph = FusionGraph(adaptive_weights(chain(spark, top), theta), top, validate=False)
+    stats, theta, graph = chain_stats(spark, d)
     problems, nbrs = graph_problems(stats, graph.adjacency, theta, LAMBDA)
     fused = solve_scalar(problems, nbrs, validate=False)
     return stats.join(fused, F.col("group_id") == F.col("problem_id")).select(F.col("group_id").alias("supplier"), F.col("size").alias("items"), r6("mean").alias("mean"), r6("x").alias("fused"))

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from fusewright.plans import catalog
+from fusewright.plans import catalog, checks  # noqa: F401
 from fusewright.streaming.incremental import stream_group_stats, stream_pairs
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +43,17 @@ def test_plans_push_down(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_the_flagship_scans_once(spark):
+    plan = catalog.QUERIES["flagship_fused_suppliers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "stats-" in plan  # all is built on what one scan has left
+
+
+@pytest.mark.parametrize("name", ["loc_median", "loc_huber", "loc_lts", "prox_chain"])
+def test_no_group_becomes_an_array(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("collect_list", "percentile", "median(", "BatchEvalPython"))
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(0, 1.0), (1, 4.0), (0, 3.0)], "group_id long, y double").write.parquet(str(tmp_path / "obs"))
     stream = spark.readStream.schema("group_id long, y double").parquet(str(tmp_path / "obs"))

@@ -3,11 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fusewright.functions.schemas import obs_from_arrays, pairs_from_array, require
+from fusewright.functions.storage import materialize, scope
 from fusewright.functions.validation import check_array, check_groups
+from fusewright.operators import location as loc
 from fusewright.operators.group_stats import group_stats, grouping_flag
 from fusewright.operators.location import location
 from fusewright.operators.prox import objective, solve_scalar, solve_scalar_row, weighted_median
@@ -168,3 +171,40 @@ def test_scalar_rejects(spark):
 def test_weighted_median(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0), (0, 5.0, 1.0), (0, 9.0, 1.0), (1, 1.0, 0.0), (1, 2.0, 0.0)], "key long, z double, w double")
     assert {r["key"]: r["x"] for r in weighted_median(df).collect()} == {0: 1.0, 1: 2.0}
+
+
+def test_huber_by_blocks_and_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, k % 5 if k < 200 else 5, float(v)) for k, v in enumerate(np.round(rng.standard_t(2, 260) * 10, 1))] + [(300, 6, 4.0), (301, 6, 8.0), (302, 8, 1.0)]
+    obs = spark.createDataFrame(rows, "obs_idx long, group_id long, y double")
+    results = []
+    for block, cells in ((1 << 16, 1 << 20), (8, 1 << 20), (1 << 16, 16)):
+        monkeypatch.setattr(loc, "BLOCK", block)
+        monkeypatch.setattr(loc, "CELLS", cells)
+        results.append({r["group_id"]: (r["theta"], r["converged"]) for r in loc.huber_report(obs, 5.0, 40, 1e-4).collect()})
+    for g in range(6):
+        y = np.sort([v for _, k, v in rows if k == g])
+        t, done = np.median(y), False
+        for _ in range(40):
+            w = np.minimum(1, 5.0 / np.maximum(np.abs(y - t), 1e-300))
+            new = (w * y).sum() / w.sum()
+            done = abs(new - t) < 1e-4
+            if done:
+                break
+            t = new
+        assert all(r[g][1] == done and abs(r[g][0] - t) < 1e-6 for r in results)
+    assert all(r[6] == (6.0, True) and r[8] == (1.0, True) and 7 not in r for r in results)
+
+
+def test_tables_last_as_long_as_their_scope(spark):
+    table = spark.range(3)
+    with scope(spark) as keep:
+        kept = keep(materialize(table))
+        with scope(spark):
+            inner = materialize(table)
+        with pytest.raises(Exception, match="exist"):
+            inner.count()
+        gone = materialize(table)
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="exist"):
+        gone.count()
