@@ -14,8 +14,8 @@ Defined results: turns are ordered by turn (null first), speaker and text, so ti
 repeated rows have fixed places; a null text is empty; a null role is the speaker
 ``unknown``, who is no participant; ``system`` turns keep their role and are no
 participant either, so a conversation of only such turns has no rows; a null conv_id is
-a conversation of its own; markers inside texts are broken by a space; empty tables give
-empty results; other columns are ignored.
+a conversation of its own; markers inside texts and shown names are broken by a space, and line breaks in shown names are spaces; very long
+texts are whole segments; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +30,18 @@ START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM, NOBODY = "system", "unknown"
 
 
+def _broken(text: Column) -> Column:
+    """No markers but those of the format."""
+    return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
+
+
 def _header(role: Column, name: Column) -> Column:
     return F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
 
 
 def rotate_perspectives(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, participant, position, turn, role, name, segment, start, stop, mask_start, mask_stop (null: not trained on)."""
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("< |im_"))
+    text = _broken(F.coalesce("text", F.lit("")))
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(NOBODY)).alias("speaker"), text.alias("text"))
     turns = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)))
     speakers = turns.filter(~F.col("speaker").isin(SYSTEM, NOBODY)).select(F.col("conv_id").alias("p_conv"), F.col("speaker").alias("participant")).distinct()
@@ -44,7 +49,8 @@ def rotate_perspectives(conversations: DataFrame, block: int = BLOCK) -> DataFra
     rotated = turns.join(materialize(speakers, "speakers"), F.col("conv_id").eqNullSafe(F.col("p_conv"))).drop("p_conv")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("participant"), "assistant").otherwise("user")
     rotated = rotated.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    rotated = rotated.withColumn("head", F.length(_header(F.col("role"), F.col("name")))).withColumn("segment", F.concat(_header(F.col("role"), F.col("name")), F.col("text"), F.lit(END + "\n")))
+    header = _header(F.col("role"), F.translate(_broken(F.col("name")), "\r\n", "  "))
+    rotated = rotated.withColumn("head", F.length(header)).withColumn("segment", F.concat(header, F.col("text"), F.lit(END + "\n")))
     rotated = rotated.withColumn("size", F.length("segment").cast("long"))
 
     dialogue = [F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("d_conv"), F.col("conv_id").isNull().alias("d_null")]

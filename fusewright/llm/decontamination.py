@@ -17,7 +17,7 @@ such items; if it holds placeholders only, its values must be equal too.
 Defined results: null or empty texts have no windows and never match; rows that repeat a doc_id count as one document, its
 windows together; rows without a doc_id are documents by their text; repeated benchmark rows change nothing; rows without an
 item_id cannot be named in ``find_leaks``, which passes them over, but are items by their text in ``remove_contaminated``; empty tables give empty
-results; other columns are ignored or kept as they are (``remove_contaminated``).
+results; very long texts are read whole; other columns are ignored or kept as they are (``remove_contaminated``).
 """
 
 from __future__ import annotations

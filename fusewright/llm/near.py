@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusewright.functions.storage import materialize
+from fusewright.functions.storage import materialize, scope
 from fusewright.llm.common import map_batches, ship
 from fusewright.operators.components import component_stars
 
@@ -457,6 +457,11 @@ def similar_stars(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], alik
 
     keys: ``key_blocks`` of (key, id); fetch: (id, check, body, n, bits) of the ids of a table; alike: (body, body, n, n, cache) to bool.
     """
+    with scope(keys.sparkSession) as keep:
+        return keep(_classes(keys, fetch, alike, similarity))
+
+
+def _classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], alike: Alike, similarity: float) -> DataFrame:
     found = materialize(_groups(keys), "candidates")
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     texts = materialize(fetch(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")), "texts")

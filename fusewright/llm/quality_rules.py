@@ -9,7 +9,7 @@ and joined back to the documents. Groups of under ``MIN_GROUP`` documents use th
 sketch of their language, and rare languages that of all documents.
 
 Defined results: a null text is an empty one; null ``lang`` or ``source`` is a group
-of its own; empty tables give empty results; rows are judged one by one, so repeated
+of its own; very long texts are counted whole; empty tables give empty results; rows are judged one by one, so repeated
 rows get the same verdict; other columns are ignored (``measure``) or carried in a
 struct, where no name can clash (``filter_documents``).
 """

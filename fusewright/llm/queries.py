@@ -89,7 +89,7 @@ WITH t AS (
   FROM t JOIN (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker NOT IN ('system', 'unknown')) p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), h AS (
   SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
-    '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS header FROM r
+    '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || translate(replace(speaker, '<|im_', '< |im_'), chr(13) || chr(10), '  ') ELSE '' END || chr(10) AS header FROM r
 ), s AS (
   SELECT *, header || text || '<|im_end|>' || chr(10) AS segment FROM h
 ), w AS (

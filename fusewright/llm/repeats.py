@@ -11,7 +11,8 @@ what a plain merge of the shards' Burrows-Wheeler transforms costs; here only an
 3. The other slices meet by anchor, one copy each, from whatever shard they come. The merge
    starts with one block per anchor and refines by one column a round: to the right of the anchor
    (blocks of common prefixes by length) and to the left of it, as the transform's
-   backward step does. Blocks with one suffix are settled and take no further part; nothing is sorted anew.
+   backward step does. Blocks with one suffix are settled and take no further part; a round sorts the live suffixes' block numbers with one
+   symbol each, never suffixes.
 4. A window's block is its right block and its left block together; blocks of two or more are the
    repeated intervals, from which the bytes to remove follow.
 
@@ -19,8 +20,8 @@ Anchors with more than ``HOT`` distinct slices are resolved by counting their wi
 with partial aggregation, so no task holds a hot anchor.
 
 Defined results: a null or empty text has no bytes and the digest of nothing; texts shorter than
-``LENGTH`` lose nothing; rows that repeat a doc_id are documents of their own; rows equal in
-doc_id and text get the same result, and as copies lose all windows; empty tables give empty results; other columns are ignored.
+``LENGTH`` lose nothing; very long texts are cut into overlapping segments and treated whole; rows that repeat a doc_id are documents of their own; rows equal in
+doc_id and text get the same result, and as copies lose all windows; rows are named by 64 bits of doc_id and text; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ places that each URL could match (its host suffixes times its path prefixes) wit
 rules by equality instead, with the same result.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, which no
-rule fits; so do hosts and paths that are empty. Repeated rows get the same verdict, empty tables
-give empty results and other columns are ignored.
+rule fits; so do hosts and paths that are empty. Repeated rows get the same verdict, very long
+URLs and rules are walked whole, empty tables give empty results and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,8 +66,8 @@ class UrlTrie:
     """Longest-match lookups over a rule list."""
 
     def __init__(self, rules: Iterable[UrlRule]):
-        self.root = _Node()
-        for rule in rules:
+        self.root, self.rules = _Node(), list(rules)
+        for rule in self.rules:
             node = self.root
             for label in reversed(rule.host.split(".")):
                 node = node.labels.setdefault(label, _Node())
@@ -77,6 +77,10 @@ class UrlTrie:
             node.ends.append((rest, rule.place, rule.verdict))
         self._order(self.root)
 
+    def __reduce__(self):
+        """Sent as its rules: a trie may be deeper than pickling recurses."""
+        return UrlTrie, (self.rules,)
+
     def _order(self, root: _Node) -> None:
         todo = [root]
         while todo:

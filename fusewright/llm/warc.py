@@ -14,14 +14,16 @@ end where the last one goes on. Nothing but the file's bytes is needed to begin
 Files are opened with ``pyarrow.fs``, so the folder may be any store that it knows.
 
 Defined results: a null html is an empty payload; a null page_id or url is written as an absent
-header and read as null; rows that repeat a page_id and payload are one response and
-revisits of themselves; ties cannot occur otherwise; empty tables make empty archives; other columns are ignored.
+header and read as null; a url with line breaks is kept whole in a header of its own; rows that repeat a page_id and payload are one response and
+revisits of themselves; a payload none of whose rows has a page_id is a response each time, as none can be named; very long pages are read whole; empty tables make empty
+archives; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
@@ -56,6 +58,7 @@ def member(kind: str, page_id: int | None, url: str | None, payload: bytes, refe
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}:{url}')}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", None if url is None else re.sub(r"[\r\n]", "", url)),
+        ("WARC-Page-URL", json.dumps(url) if url is not None and re.search(r"[\r\n]", url) else None),  # whole, if it holds line breaks
         ("WARC-Page-ID", page_id),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
         ("WARC-Payload-Length", len(payload)),
@@ -72,15 +75,23 @@ def member(kind: str, page_id: int | None, url: str | None, payload: bytes, refe
 def record_types(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html, record_type and refers_to of each row.
 
-    Of the rows with one payload of ``least`` bytes or more, the one with the smallest page_id is the response.
+    Of the rows with one payload of ``least`` bytes or more, one of those with the smallest page_id is the response.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("size"))
-    groups = rows.filter(F.col("size") >= least).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    per_page = rows.filter(F.col("size") >= least).groupBy("sha1", "size", "page_id").agg(F.count("*").alias("n"))
+    groups = per_page.groupBy(F.col("sha1").alias("g_sha1"), F.col("size").alias("g_size")).agg(F.min("page_id").alias("first"), F.min_by("n", "page_id").alias("n_first"), F.sum("n").alias("n"))
     # only groups of two or more, written first: a hot group's side of the join can then be split at run time
-    shared = materialize(groups.filter("n > 1").select(F.col("sha1").alias("g_sha1"), F.col("size").alias("g_size"), "first"), "payloads")
+    shared = materialize(groups.filter("n > 1"), "payloads")
     joined = rows.join(shared, (F.col("sha1") == F.col("g_sha1")) & (F.col("size") == F.col("g_size")), "left")
     revisit = F.col("g_sha1").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    if not shared.filter("n_first > 1").isEmpty():
+        # rows that repeat the smallest page_id: all but the first by url revisit it
+        repeats = (F.col("page_id") == F.col("first")) & (F.col("n_first") > 1)
+        order = F.row_number().over(Window.partitionBy("sha1", "size").orderBy("url"))
+        ranked = joined.filter(repeats).withColumn("rank", order)
+        joined = joined.filter(~F.coalesce(repeats, F.lit(False))).withColumn("rank", F.lit(1)).unionByName(ranked)
+        revisit = revisit | (F.col("rank") > 1)
     return joined.select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
@@ -231,7 +242,8 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                         if body is not None and digest(body) != stored:
                             raise ValueError(f"{path}: the payload of page {head.get('warc-page-id')} does not match its digest")
                         length = len(body) if body is not None else int(head["warc-payload-length"])
-                        rows.append((number(head.get("warc-page-id")), head.get("warc-target-uri"), length, stored, kind, number(head.get("warc-refers-to-page-id")), body))
+                        url = json.loads(head["warc-page-url"]) if "warc-page-url" in head else head.get("warc-target-uri")
+                        rows.append((number(head.get("warc-page-id")), url, length, stored, kind, number(head.get("warc-refers-to-page-id")), body))
                         held += len(body or b"") + 100
                         if held >= 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)

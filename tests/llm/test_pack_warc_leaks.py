@@ -126,19 +126,32 @@ def test_archives(spark, tmp_path):
     for k, _, h in rows:
         if k is not None:
             first[h or ""] = min(first.get(h or "", k), k)
-    expected = sorted(((k, len((h or "").encode()), warc.digest((h or "").encode()), "response" if k is None or first[h or ""] == k else "revisit", None if k is None or first[h or ""] == k else first[h or ""]) for k, _, h in rows), key=str)
+    expected, named = [], set()
+    for k, _, h in rows:
+        response = k is None or (first[h or ""] == k and h not in named)
+        named |= {h} if k is not None and first[h or ""] == k else set()
+        expected.append((k, len((h or "").encode()), warc.digest((h or "").encode()), "response" if response else "revisit", None if response else first[h or ""]))
+    expected.sort(key=str)
     manifest = warc.write_archives(warc.record_types(df), f"file://{tmp_path}/a", roll_bytes=3000)
     assert manifest.count() > 4
     for split in (97, 1000, 1 << 25):  # ranges smaller than a record, and larger than a file
         got = warc.read_archives(manifest, split).collect()
         assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == expected
     assert {r["content"].decode() for r in got if r["record_type"] == "response"} == {h or "" for _, _, h in rows}
+    assert {r["url"] for r in got} == {u for _, u, _ in rows}
     for f in (tmp_path / "a").iterdir():  # any gzip reader reads the members in turn
         assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n")
     assert warc.archive_pages(df.limit(0), f"file://{tmp_path}/b").count() == 0
     assert warc.record_types(df, 10_000).filter("record_type = 'revisit'").count() == 0
 
 
+def test_rows_that_repeat_a_page(spark, tmp_path):
+    rows = [(5, f"http://{u}", "<p>same</p>") for u in "caab"] + [(7, "http://z", "<p>same</p>"), (None, "http://x", "<p>same</p>"), (None, "http://y", "<p>none named</p>"), (None, "http://y", "<p>none named</p>")]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/a").collect()
+    assert sorted((r["record_type"], r["url"], r["refers_to"]) for r in got if r["page_id"] == 5) == [("response", "http://a", None), ("revisit", "http://a", 5), ("revisit", "http://b", 5), ("revisit", "http://c", 5)]
+    assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in got if r["page_id"] != 5) == [("7", "revisit", 5), *[("None", "response", None)] * 2, ("None", "revisit", 5)]
+
+
 def test_false_magic_is_refused():
     good = warc.member("response", 1, "http://a", b"payload", None)
     fake = gzip.compress(b"not a record at all") + warc.MAGIC + b"garbage" + good[: len(good) // 2]
@@ -226,7 +239,10 @@ def test_pipeline(spark, docs, tmp_path):
     df = docs(*rows)
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, leaked)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    packed = result.collect()
+    with pytest.raises(Exception, match="Path"):
+        spark.read.parquet(result._stored_at.replace("best-fit-packing", "quality-rules")).count()
 
     kept = {r["doc_id"] for r in quality_rules.quality_verdicts(df).filter("kept").collect()}
     assert kept == {r[0] for r in rows} - {201, 202, 203}
