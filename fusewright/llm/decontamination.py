@@ -1,12 +1,12 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Texts become token templates: numbers, names (title-case words that do not begin a
-sentence) and units (a listed word after a number) become typed placeholders, other words
-are lower-cased, punctuation goes. Every window of ``WINDOW`` template tokens of a document is
+Texts become token templates: numbers, names (title-case words) and units (a listed word after a number) become typed placeholders, other words
+are lower-cased, punctuation goes. A title-case word at the beginning of a sentence may be a name or not, so
+windows that hold one have two templates: with the word as it is, and with the placeholder for a name (open). Every window of ``WINDOW`` template tokens of a document is
 hashed and joined with the benchmark's windows, so a question with other numbers or names still
 matches. Matches of one alignment (document position minus item position) are slot-checked: an
 item's value must stand for one value of the document wherever it recurs. Where it stands for two, windows
-that hold it go, but for those whose values equal the item's. An item whose windows that are left cover ``COVERAGE`` of its tokens is a leak.
+that hold it go, but for those whose values equal the item's; open windows are checked with the names that they suppose, others without. An item whose windows that are left cover ``COVERAGE`` of its tokens is a leak.
 
 The benchmark's windows are broadcast while they number at most ``BROADCAST_WINDOWS``, and joined by a
 shuffle beyond. Only documents with matched slots are read again, for their values.
@@ -14,8 +14,9 @@ shuffle beyond. Only documents with matched slots are read again, for their valu
 An item of fewer tokens than a window is one window of its own length, which documents have at the lengths of
 such items; if it holds placeholders only, its values must be equal too.
 
-Defined results: null or empty texts have no windows and never match; rows that repeat a doc_id count as one document, its
-windows together; rows without a doc_id are documents by their text; repeated benchmark rows change nothing; rows without an
+Defined results: null or empty texts have no windows and never match; in ``find_leaks``, rows that repeat a doc_id count as one document, its
+windows together, and rows without one are documents by their text; ``remove_contaminated`` takes every row by itself (rows equal in doc_id and text alike);
+repeated benchmark rows change nothing; rows without an
 item_id cannot be named in ``find_leaks``, which passes them over, but are items by their text in ``remove_contaminated``; empty tables give empty
 results; very long texts are read whole; other columns are ignored or kept as they are (``remove_contaminated``).
 """
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from fusewright.functions.storage import materialize
 from fusewright.llm.common import let
 
+#: Tokens of a window. An item of fewer is one window.
 WINDOW = 8
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 2_000_000
@@ -48,94 +50,106 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def _template(x: Column, before: Column) -> Column:
-    """Template of a token after another; null for a sentence's end."""
+def _token(x: Column, before: Column) -> Column:
+    """template of a token after another (null for a sentence's end), and whether it may be a name but begins a sentence (open)."""
     end = lambda y: (y < "$") | (y == ".") | (y == "?")
     number = lambda y: (y >= "$") & (y < ":") & (y != ".")
+    of = lambda template, may: F.struct(template.alias("template"), may.alias("open"))
 
     def word(low: Column) -> Column:
-        title = (low != x) & before.isNotNull() & ~end(before) & (F.length(x) > 1) & (F.substring(x, 2, 1 << 20) == F.substring(low, 2, 1 << 20))
-        return F.when(number(before) & low.isin(UNITS), UNIT).when(title, NAME).otherwise(low)
+        title = (low != x) & (F.length(x) > 1) & (F.substring(x, 2, 1 << 20) == F.substring(low, 2, 1 << 20))
+        begins = before.isNull() | end(before)
+        return F.when(number(before) & low.isin(UNITS), of(F.lit(UNIT), F.lit(False))).when(title, of(F.when(begins, low).otherwise(NAME), begins)).otherwise(of(low, F.lit(False)))
 
-    return F.when(end(x), None).when(number(x), NUMBER).otherwise(let(F.lower(x), word))
+    return F.when(end(x), of(F.lit(None).cast("string"), F.lit(False))).when(number(x), of(F.lit(NUMBER), F.lit(False))).otherwise(let(F.lower(x), word))
 
 
 def templates(df: DataFrame, key: str) -> DataFrame:
-    """key and hashes: the template tokens' hashes of each row."""
+    """key, hashes (the template tokens' hashes of each row) and supposed (those with names supposed where sentences begin)."""
     ended = F.xxhash64(F.lit(None).cast("string"))  # what a sentence's end hashes to
-    hashed = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: F.xxhash64(_template(x, F.get(t, i - 1)))))
-    return df.select(key, F.filter(hashed, lambda h: h != ended).alias("hashes"))
+    hashed = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: let(_token(x, F.get(t, i - 1)), lambda y: F.struct(F.xxhash64(y["template"]).alias("hash"), y["open"].alias("open")))))
+    kept = df.select(key, F.filter(hashed, lambda h: h["hash"] != ended).alias("tokens"))
+    name = F.xxhash64(F.lit(NAME))
+    return kept.select(key, F.col("tokens.hash").alias("hashes"), F.transform("tokens", lambda h: F.when(h["open"], name).otherwise(h["hash"])).alias("supposed"))
 
 
 def windows(hashed: DataFrame, key: str, *widths: int) -> DataFrame:
-    """key, position (from 0) and hash of every window of ``widths`` template tokens."""
+    """key, position (from 0), hash and open (whether names are supposed) of every window of ``widths`` template tokens."""
     of = lambda all_, width: F.transform(F.slice(all_, 1, F.greatest(F.size(all_) - (width - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(all_, i + k) for k in range(1, width)]))
-    if len(widths) == 1:
-        return hashed.select(key, F.posexplode(let(F.col("hashes"), lambda all_: of(all_, widths[0]))).alias("position", "hash"))
-    placed = lambda all_: F.concat(*[F.transform(of(all_, w), lambda h, i: F.struct(i.alias("position"), h.alias("hash"))) for w in widths])
-    return hashed.select(key, F.explode(let(F.col("hashes"), placed)).alias("x")).select(key, "x.*")
+    placed = lambda hashes, open_: F.transform(hashes, lambda h, i: F.struct(i.alias("position"), h.alias("hash"), F.lit(open_).alias("open")))
+    other = lambda a, b: F.filter(placed(b, True), lambda w: w["hash"] != F.get(a, w["position"]))
+    both = lambda w: let(of(F.col("hashes"), w), lambda a: let(of(F.col("supposed"), w), lambda b: F.concat(placed(a, False), other(a, b))))
+    return hashed.select(key, F.explode(F.concat(*[both(w) for w in widths])).alias("x")).select(key, "x.*")
 
 
 def slot_values(df: DataFrame, key: str) -> DataFrame:
-    """key and slots: (template, value) of each template token, in order."""
-    both = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: F.struct(_template(x, F.get(t, i - 1)).alias("template"), x.alias("value"))))
+    """key and slots: (template, open, value) of each template token, in order."""
+    both = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: let(_token(x, F.get(t, i - 1)), lambda y: F.struct(y["template"].alias("template"), y["open"].alias("open"), x.alias("value")))))
     return df.select(key, F.filter(both, lambda t: t["template"].isNotNull()).alias("slots"))
 
 
 def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc, item_id and shift of the alignments with changed values, with the item's positions of values that stand for two of the document (clash) and of values that differ (changed)."""
+    """doc, item_id, shift and open of the alignments with changed values, with the item's positions of values that stand for two of the document (clash) and of values that differ (changed)."""
     ids = matches.select("doc").distinct()
     few = matches.count() <= BROADCAST_DOCS
     values = slot_values(docs.join(F.broadcast(ids) if few else ids, F.col("doc") == F.col("doc_id"), "left_semi"), "doc_id")
-    theirs = values.select(F.col("doc_id").alias("d"), F.posexplode("slots").alias("at", "t")).filter(F.col("t.template").isin(NUMBER, NAME, UNIT)).select("d", "at", F.col("t.value").alias("doc_value"))
-    ours = slot_values(items, "item_id").select(F.col("item_id").alias("i"), F.posexplode("slots").alias("at", "t")).filter(F.col("t.template").isin(NUMBER, NAME, UNIT))
-    ours = ours.select("i", F.col("at").alias("item_at"), F.col("t.template").alias("kind"), F.col("t.value").alias("item_value"))
-    places = matches.select("doc", "item_id", "shift", F.explode(F.sequence("item_position", F.col("item_position") + F.col("width") - 1)).alias("item_at")).distinct()
-    pairs = places.join(ours, (F.col("i") == F.col("item_id")) & (ours["item_at"] == places["item_at"])).select("doc", "item_id", "shift", places["item_at"].alias("place"), "kind", "item_value")
+    slot = F.col("t.open") | F.col("t.template").isin(NUMBER, NAME, UNIT)
+    theirs = values.select(F.col("doc_id").alias("d"), F.posexplode("slots").alias("at", "t")).filter(slot).select("d", "at", F.col("t.value").alias("doc_value"))
+    ours = slot_values(items, "item_id").select(F.col("item_id").alias("i"), F.posexplode("slots").alias("at", "t")).filter(slot)
+    ours = ours.select("i", F.col("at").alias("item_at"), F.when(F.col("t.open"), NAME).otherwise(F.col("t.template")).alias("kind"), F.col("t.open").alias("supposed"), F.col("t.value").alias("item_value"))
+    # what supposes no names is checked without them, and once more with them, for the windows that do
+    ways = F.explode(F.when(F.col("open"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("open")
+    places = matches.select("doc", "item_id", "shift", "item_position", "width", ways)
+    places = places.select("doc", "item_id", "shift", "open", F.explode(F.sequence("item_position", F.col("item_position") + F.col("width") - 1)).alias("item_at")).distinct()
+    pairs = places.join(ours, (F.col("i") == F.col("item_id")) & (ours["item_at"] == places["item_at"]) & (F.col("open") | ~F.col("supposed")))
+    pairs = pairs.select("doc", "item_id", "shift", "open", places["item_at"].alias("place"), "kind", "item_value")
     pairs = pairs.join(theirs, (F.col("doc") == F.col("d")) & (F.col("at") == F.col("place") + F.col("shift")))
     # both lists are at most an item's tokens
     changed = F.collect_set(F.when(F.col("item_value") != F.col("doc_value"), F.col("place")))
-    mapped = pairs.groupBy("doc", "item_id", "shift", "kind", "item_value").agg(F.min("doc_value").alias("a"), F.max("doc_value").alias("b"), F.collect_set("place").alias("places"), changed.alias("changed"))
+    mapped = pairs.groupBy("doc", "item_id", "shift", "open", "kind", "item_value").agg(F.min("doc_value").alias("a"), F.max("doc_value").alias("b"), F.collect_set("place").alias("places"), changed.alias("changed"))
     clash = F.flatten(F.collect_list(F.when(F.col("a") != F.col("b"), F.col("places"))))
-    return mapped.groupBy("doc", "item_id", "shift").agg(clash.alias("clash"), F.flatten(F.collect_list("changed")).alias("changed")).filter(F.size("changed") > 0)
+    return mapped.groupBy("doc", "item_id", "shift", "open").agg(clash.alias("clash"), F.flatten(F.collect_list("changed")).alias("changed")).filter(F.size("changed") > 0)
 
 
-def _doc_key() -> Column:
-    """A row's document, never null: its doc_id, or its text if it has none."""
-    return F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("text_key"))
+def _doc_key(every_row: bool) -> Column:
+    """A document, never null: its doc_id, and its text if it has none or every row is one."""
+    return F.struct("doc_id", F.when(F.lit(every_row) | F.col("doc_id").isNull(), F.xxhash64("text")).alias("text_key"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, matched_windows, covered_tokens and item_tokens of every document and item of which it holds ``coverage``."""
-    return _leaks(docs, benchmark.filter("item_id IS NOT NULL"), width, coverage).withColumn("doc_id", F.col("doc_id.doc_id"))
+    keyed = docs.select(_doc_key(False).alias("doc_id"), "text")
+    return _leaks(keyed, benchmark.filter("item_id IS NOT NULL"), width, coverage).withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float) -> DataFrame:
-    """``find_leaks`` with ``_doc_key`` in place of doc_id; no item_id is null."""
-    docs = docs.select(_doc_key().alias("doc_id"), "text")
+    """``find_leaks`` of documents by ``_doc_key``; no item_id is null."""
     items = benchmark.select("item_id", "text").dropDuplicates(["item_id", "text"])
     hashed = materialize(templates(items, "item_id"), "items")
     slots = F.array(*[F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)])
-    flagged = hashed.select("item_id", "hashes", F.transform("hashes", lambda h: F.array_contains(slots, h)).alias("slots"))
+    is_slot = lambda c: F.transform(c, lambda h: F.array_contains(slots, h))
+    flagged = hashed.select("item_id", "hashes", is_slot("hashes").alias("slots"), is_slot("supposed").alias("open_slots"))
     short = F.least(F.size("hashes"), F.lit(width)).alias("width")
     widths = sorted({width} | {r["width"] for r in hashed.select(short).filter("width > 0").distinct().collect()})  # at most ``width`` numbers
     theirs = None
     for w in widths:
-        own = windows(hashed.filter(short == w), "item_id", w).select("item_id", F.col("position").alias("item_position"), "hash")
-        part = own.join(flagged.filter(F.least(F.size("slots"), F.lit(width)) == w).select("item_id", "slots"), "item_id")
-        held = F.slice("slots", F.col("item_position") + 1, w)
+        own = windows(hashed.filter(short == w), "item_id", w).withColumnRenamed("position", "item_position")
+        part = own.join(flagged.filter(F.least(F.size("slots"), F.lit(width)) == w).select("item_id", "slots", "open_slots"), "item_id")
+        held = F.slice(F.when(F.col("open"), F.col("open_slots")).otherwise(F.col("slots")), F.col("item_position") + 1, w)
         bare = F.lit(w < width) & F.forall(held, lambda s: s)
-        part = part.select("item_id", "item_position", "hash", F.lit(w).alias("width"), F.exists(held, lambda s: s).alias("slotted"), bare.alias("bare")).distinct()
+        part = part.select("item_id", "item_position", "hash", "open", F.lit(w).alias("width"), F.exists(held, lambda s: s).alias("slotted"), bare.alias("bare")).distinct()
         theirs = part if theirs is None else theirs.unionByName(part)
     theirs = materialize(theirs, "windows")
     small = theirs.count() <= BROADCAST_WINDOWS
-    ours = windows(templates(docs, "doc_id"), "doc_id", *widths)
-    found = ours.join(F.broadcast(theirs) if small else theirs, "hash").select(F.col("doc_id").alias("doc"), "item_id", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "width", "slotted", "bare").distinct()
+    ours = windows(templates(docs, "doc_id"), "doc_id", *widths).drop("open")
+    columns = ["item_id", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "open", "width", "slotted", "bare"]
+    found = ours.join(F.broadcast(theirs) if small else theirs, "hash").select(F.col("doc_id").alias("doc"), *columns).distinct()
     found = materialize(found, "matches")
     slotted = found.filter("slotted")
     if not slotted.isEmpty():
-        bad = materialize(_inconsistent(slotted, docs, items), "inconsistent").select(F.col("doc").alias("b"), F.col("item_id").alias("bi"), F.col("shift").alias("bs"), "clash", "changed")
-        found = found.join(bad, (F.col("doc") == F.col("b")) & (F.col("item_id") == F.col("bi")) & (F.col("shift") == F.col("bs")), "left")
+        bad = materialize(_inconsistent(slotted, docs, items), "inconsistent").select(F.col("doc").alias("b"), F.col("item_id").alias("bi"), F.col("shift").alias("bs"), F.col("open").alias("bo"), "clash", "changed")
+        same = (F.col("doc") == F.col("b")) & (F.col("item_id") == F.col("bi")) & (F.col("shift") == F.col("bs")) & (F.col("open") == F.col("bo"))
+        found = found.join(bad, same, "left")
         inside = lambda places: F.exists(places, lambda x: (x >= F.col("item_position")) & (x < F.col("item_position") + F.col("width")))
         found = found.filter(F.col("clash").isNull() | ~((inside("clash") | F.col("bare")) & inside("changed")))
     held = found.groupBy("doc", "item_id").agg(F.collect_set(F.struct("item_position", "width")).alias("at"))  # at most an item's windows
@@ -146,10 +160,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float) -
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of documents that hold no item."""
+    """The rows that hold no item."""
     item_key = F.when(F.col("item_id").isNotNull(), F.concat(F.lit("i"), F.col("item_id").cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    leaks = materialize(_leaks(docs, benchmark.select(item_key.alias("item_id"), "text"), width, coverage).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
+    keyed = docs.select(_doc_key(True).alias("doc_id"), "text")
+    leaks = materialize(_leaks(keyed, benchmark.select(item_key.alias("item_id"), "text"), width, coverage).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
     if leaks.count() <= BROADCAST_DOCS:
         leaks = F.broadcast(leaks)
-    rows = docs.select(_doc_key().alias("doc"), F.struct("*").alias("row"))
+    rows = docs.select(_doc_key(True).alias("doc"), F.struct("*").alias("row"))
     return rows.join(leaks, F.col("doc") == F.col("leaked"), "left_anti").select("row.*")

@@ -190,7 +190,8 @@ def test_leaks(spark, docs):
     got = {(r["doc_id"], r["item_id"]) for r in de.find_leaks(df, benchmark).collect()}
     assert got == {(10, 1), (11, 1), (None, 1), (18, 4)}
     kept = de.remove_contaminated(df, benchmark)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [12, 13, 14, 15, 16, 17]
+    # a row that repeats the id of a leak is judged by itself
+    assert kept.columns == df.columns and sorted((r["doc_id"], (r["text"] or "")[:5]) for r in kept.collect()) == [(10, "again"), (12, mixed[:5]), (13, "nothi"), (14, ""), (15, ""), (16, ITEM.upper()[:5]), (17, ITEM[:5])]
     assert de.find_leaks(df.limit(0), benchmark).count() == 0 and de.find_leaks(df, benchmark.limit(0)).count() == 0
     assert "Python" not in de.find_leaks(df, benchmark)._jdf.queryExecution().optimizedPlan().toString()
 
@@ -208,6 +209,18 @@ def test_one_slot_conflict_keeps_the_rest(spark, docs):
     assert [(r["matched_windows"], r["covered_tokens"]) for r in de.find_leaks(docs(both), benchmark).collect()] == [(61, 82)]
 
 
+def test_names_that_begin_sentences(spark, docs):
+    item = "Tom has 3 apples. Ann has 5 pears. Bob has 2 plums. Who has the most fruit?"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("Tom", "Sam").replace("Ann", "Eva").replace("Bob", "Max").replace("3", "7").replace("5", "1").replace("2", "9")
+    recurs = "Tom buys 3 books for 4 dollars. Tom sells 2 books again. Tom keeps what is left of them."
+    twice = spark.createDataFrame([(2, recurs)], "item_id long, text string")
+    got = {r["doc_id"]: (r["covered_tokens"], r["item_tokens"]) for r in de.find_leaks(docs(item, other, other.replace("apples", "stones").replace("pears", "coins").replace("plums", "shells")), benchmark).collect()}
+    assert got == {0: (17, 17), 1: (17, 17)}
+    one, two = recurs.replace("Tom", "Lea"), recurs.replace("Tom buys", "Lea buys").replace("Tom sells", "Ida sells").replace("Tom keeps", "Uwe keeps")
+    assert {r["doc_id"] for r in de.find_leaks(docs(one, two), twice).collect()} == {0}
+
+
 def test_short_items(spark, docs):
     items = [(1, "What is the capital of France?"), (2, "Name it."), (3, "42"), (4, ITEM), (5, ""), (6, "?"), (7, None)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
