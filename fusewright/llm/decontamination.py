@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Texts become token templates: numbers, names (title-case words) and units (a listed word after a number) become typed placeholders, other words
-are lower-cased, punctuation goes. A title-case word at the beginning of a sentence may be a name or not, so
-windows that hold one have two templates: with the word as it is, and with the placeholder for a name (open). Every window of ``WINDOW`` template tokens of a document is
+are lower-cased, punctuation goes. A title-case word at the beginning of a sentence may be a name or not: in a document it is
+a placeholder, and an item's windows that hold one have two templates, with the word as it is and with a name supposed (open). Every window of ``WINDOW`` template tokens of a document is
 hashed and joined with the benchmark's windows, so a question with other numbers or names still
 matches. Matches of one alignment (document position minus item position) are slot-checked: an
 item's value must stand for one value of the document wherever it recurs. Where it stands for two, windows
@@ -35,7 +35,7 @@ from fusewright.llm.common import let
 WINDOW = 8
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 2_000_000
-BROADCAST_DOCS = 100_000
+BROADCAST_DOCS = 500_000
 #: Units of measure that may follow a number, lower-case.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms oz ounce ounces lb lbs pound pounds ton tons "
@@ -50,53 +50,53 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def _token(x: Column, before: Column) -> Column:
-    """template of a token after another (null for a sentence's end), and whether it may be a name but begins a sentence (open)."""
-    end = lambda y: (y < "$") | (y == ".") | (y == "?")
+def _ends(x: Column) -> Column:
+    return (x < "$") | (x == ".") | (x == "?")
+
+
+def _template(x: Column, before: Column, supposed: bool) -> Column:
+    """Template of a token after another; null for a sentence's end. ``supposed``: title-case words that begin a sentence are names."""
     number = lambda y: (y >= "$") & (y < ":") & (y != ".")
-    of = lambda template, may: F.struct(template.alias("template"), may.alias("open"))
 
     def word(low: Column) -> Column:
         title = (low != x) & (F.length(x) > 1) & (F.substring(x, 2, 1 << 20) == F.substring(low, 2, 1 << 20))
-        begins = before.isNull() | end(before)
-        return F.when(number(before) & low.isin(UNITS), of(F.lit(UNIT), F.lit(False))).when(title, of(F.when(begins, low).otherwise(NAME), begins)).otherwise(of(low, F.lit(False)))
+        if not supposed:
+            title = title & before.isNotNull() & ~_ends(before)
+        return F.when(number(before) & low.isin(UNITS), UNIT).when(title, NAME).otherwise(low)
 
-    return F.when(end(x), of(F.lit(None).cast("string"), F.lit(False))).when(number(x), of(F.lit(NUMBER), F.lit(False))).otherwise(let(F.lower(x), word))
+    return F.when(_ends(x), None).when(number(x), NUMBER).otherwise(let(F.lower(x), word))
 
 
-def templates(df: DataFrame, key: str) -> DataFrame:
-    """key, hashes (the template tokens' hashes of each row) and supposed (those with names supposed where sentences begin)."""
+def templates(df: DataFrame, key: str, supposed: bool = True, name: str = "hashes") -> DataFrame:
+    """key and hashes: the template tokens' hashes of each row."""
     ended = F.xxhash64(F.lit(None).cast("string"))  # what a sentence's end hashes to
-    hashed = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: let(_token(x, F.get(t, i - 1)), lambda y: F.struct(F.xxhash64(y["template"]).alias("hash"), y["open"].alias("open")))))
-    kept = df.select(key, F.filter(hashed, lambda h: h["hash"] != ended).alias("tokens"))
-    name = F.xxhash64(F.lit(NAME))
-    return kept.select(key, F.col("tokens.hash").alias("hashes"), F.transform("tokens", lambda h: F.when(h["open"], name).otherwise(h["hash"])).alias("supposed"))
+    hashed = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: F.xxhash64(_template(x, F.get(t, i - 1), supposed))))
+    return df.select(key, F.filter(hashed, lambda h: h != ended).alias(name))
 
 
-def windows(hashed: DataFrame, key: str, *widths: int) -> DataFrame:
-    """key, position (from 0), hash and open (whether names are supposed) of every window of ``widths`` template tokens."""
+def windows(hashed: DataFrame, key: str, *widths: int, hashes: str = "hashes") -> DataFrame:
+    """key, position (from 0) and hash of every window of ``widths`` template tokens."""
     of = lambda all_, width: F.transform(F.slice(all_, 1, F.greatest(F.size(all_) - (width - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(all_, i + k) for k in range(1, width)]))
-    placed = lambda hashes, open_: F.transform(hashes, lambda h, i: F.struct(i.alias("position"), h.alias("hash"), F.lit(open_).alias("open")))
-    other = lambda a, b: F.filter(placed(b, True), lambda w: w["hash"] != F.get(a, w["position"]))
-    both = lambda w: let(of(F.col("hashes"), w), lambda a: let(of(F.col("supposed"), w), lambda b: F.concat(placed(a, False), other(a, b))))
-    return hashed.select(key, F.explode(F.concat(*[both(w) for w in widths])).alias("x")).select(key, "x.*")
+    if len(widths) == 1:
+        return hashed.select(key, F.posexplode(let(F.col(hashes), lambda all_: of(all_, widths[0]))).alias("position", "hash"))
+    placed = lambda all_: F.concat(*[F.transform(of(all_, w), lambda h, i: F.struct(i.alias("position"), h.alias("hash"))) for w in widths])
+    return hashed.select(key, F.explode(let(F.col(hashes), placed)).alias("x")).select(key, "x.*")
 
 
 def slot_values(df: DataFrame, key: str) -> DataFrame:
-    """key and slots: (template, open, value) of each template token, in order."""
-    both = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: let(_token(x, F.get(t, i - 1)), lambda y: F.struct(y["template"].alias("template"), y["open"].alias("open"), x.alias("value")))))
-    return df.select(key, F.filter(both, lambda t: t["template"].isNotNull()).alias("slots"))
+    """key, at (position), kind, open and value of each slot: a number, unit or title-case word; open ones begin a sentence."""
+    of = lambda t, x, i: F.struct(_template(x, F.get(t, i - 1), True).alias("kind"), _template(x, F.get(t, i - 1), False).alias("sure"), x.alias("value"))
+    all_ = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: of(t, x, i)))
+    rows = df.select(key, F.posexplode(F.filter(all_, lambda t: t["kind"].isNotNull())).alias("at", "t"))
+    return rows.filter(F.col("t.kind").isin(NUMBER, NAME, UNIT)).select(key, "at", "t.kind", (F.col("t.kind") != F.col("t.sure")).alias("open"), "t.value")
 
 
 def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc, item_id, shift and open of the alignments with changed values, with the item's positions of values that stand for two of the document (clash) and of values that differ (changed)."""
-    ids = matches.select("doc").distinct()
-    few = matches.count() <= BROADCAST_DOCS
-    values = slot_values(docs.join(F.broadcast(ids) if few else ids, F.col("doc") == F.col("doc_id"), "left_semi"), "doc_id")
-    slot = F.col("t.open") | F.col("t.template").isin(NUMBER, NAME, UNIT)
-    theirs = values.select(F.col("doc_id").alias("d"), F.posexplode("slots").alias("at", "t")).filter(slot).select("d", "at", F.col("t.value").alias("doc_value"))
-    ours = slot_values(items, "item_id").select(F.col("item_id").alias("i"), F.posexplode("slots").alias("at", "t")).filter(slot)
-    ours = ours.select("i", F.col("at").alias("item_at"), F.when(F.col("t.open"), NAME).otherwise(F.col("t.template")).alias("kind"), F.col("t.open").alias("supposed"), F.col("t.value").alias("item_value"))
+    ids = materialize(matches.select("doc").distinct(), "ids")
+    few = ids.count() <= BROADCAST_DOCS
+    theirs = slot_values(docs.join(F.broadcast(ids) if few else ids, F.col("doc") == F.col("doc_id"), "left_semi"), "doc_id").select(F.col("doc_id").alias("d"), "at", F.col("value").alias("doc_value"))
+    ours = slot_values(items, "item_id").select(F.col("item_id").alias("i"), F.col("at").alias("item_at"), "kind", F.col("open").alias("supposed"), F.col("value").alias("item_value"))
     # what supposes no names is checked without them, and once more with them, for the windows that do
     ways = F.explode(F.when(F.col("open"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("open")
     places = matches.select("doc", "item_id", "shift", "item_position", "width", ways)
@@ -111,6 +111,13 @@ def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame) -> Data
     return mapped.groupBy("doc", "item_id", "shift", "open").agg(clash.alias("clash"), F.flatten(F.collect_list("changed")).alias("changed")).filter(F.size("changed") > 0)
 
 
+def _item_templates(items: DataFrame) -> DataFrame:
+    """item_id, hashes and supposed (with names at the beginning of sentences)."""
+    texts = items.select(F.struct("item_id", "text").alias("row"), "text")
+    sure = templates(texts, "row", False)
+    return templates(sure.select(F.struct("row.item_id", "hashes").alias("kept"), "row.text"), "kept", True, "supposed").select("kept.*", "supposed")
+
+
 def _doc_key(every_row: bool) -> Column:
     """A document, never null: its doc_id, and its text if it has none or every row is one."""
     return F.struct("doc_id", F.when(F.lit(every_row) | F.col("doc_id").isNull(), F.xxhash64("text")).alias("text_key"))
@@ -125,23 +132,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
 def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float) -> DataFrame:
     """``find_leaks`` of documents by ``_doc_key``; no item_id is null."""
     items = benchmark.select("item_id", "text").dropDuplicates(["item_id", "text"])
-    hashed = materialize(templates(items, "item_id"), "items")
+    hashed = materialize(_item_templates(items), "items")
     slots = F.array(*[F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)])
-    is_slot = lambda c: F.transform(c, lambda h: F.array_contains(slots, h))
-    flagged = hashed.select("item_id", "hashes", is_slot("hashes").alias("slots"), is_slot("supposed").alias("open_slots"))
     short = F.least(F.size("hashes"), F.lit(width)).alias("width")
     widths = sorted({width} | {r["width"] for r in hashed.select(short).filter("width > 0").distinct().collect()})  # at most ``width`` numbers
     theirs = None
     for w in widths:
-        own = windows(hashed.filter(short == w), "item_id", w).withColumnRenamed("position", "item_position")
-        part = own.join(flagged.filter(F.least(F.size("slots"), F.lit(width)) == w).select("item_id", "slots", "open_slots"), "item_id")
-        held = F.slice(F.when(F.col("open"), F.col("open_slots")).otherwise(F.col("slots")), F.col("item_position") + 1, w)
-        bare = F.lit(w < width) & F.forall(held, lambda s: s)
-        part = part.select("item_id", "item_position", "hash", "open", F.lit(w).alias("width"), F.exists(held, lambda s: s).alias("slotted"), bare.alias("bare")).distinct()
-        theirs = part if theirs is None else theirs.unionByName(part)
+        some = hashed.filter(short == w)
+        for open_, column in ((False, "hashes"), (True, "supposed")):
+            held = F.slice(column, F.col("position") + 1, w)
+            is_slot = F.transform(held, lambda h: F.array_contains(slots, h))
+            own = windows(some.withColumn("row", F.struct("item_id", "hashes", "supposed")), "row", w, hashes=column).select("row.*", "position", "hash")
+            own = own.filter(held != F.slice("hashes", F.col("position") + 1, w)) if open_ else own
+            bare = F.lit(w < width) & F.forall(is_slot, lambda s: s)
+            part = own.select("item_id", F.col("position").alias("item_position"), "hash", F.lit(open_).alias("open"), F.lit(w).alias("width"), F.exists(is_slot, lambda s: s).alias("slotted"), bare.alias("bare")).distinct()
+            theirs = part if theirs is None else theirs.unionByName(part)
     theirs = materialize(theirs, "windows")
     small = theirs.count() <= BROADCAST_WINDOWS
-    ours = windows(templates(docs, "doc_id"), "doc_id", *widths).drop("open")
+    ours = windows(templates(docs, "doc_id"), "doc_id", *widths)
     columns = ["item_id", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "open", "width", "slotted", "bare"]
     found = ours.join(F.broadcast(theirs) if small else theirs, "hash").select(F.col("doc_id").alias("doc"), *columns).distinct()
     found = materialize(found, "matches")

@@ -168,10 +168,10 @@ WITH raw AS (
       template := CASE WHEN y.number THEN '<number>' WHEN y.unit THEN '<unit>' WHEN y.title AND NOT y.first THEN '<name>' ELSE lower(y.value) END)) AS t FROM shaped
 ), win AS (
   SELECT side, id, p, supposed, g FROM (
-    SELECT side, id, unnest(range(0, len(t) - 7)) AS p, false AS supposed, unnest(list_transform(range(0, len(t) - 7), lambda p: list_transform(t[p + 1:p + 8], lambda y: y.template))) AS g FROM typed
+    SELECT side, id, unnest(range(0, len(t) - 7)) AS p, false AS supposed, unnest(list_transform(range(0, len(t) - 7), lambda p: list_transform(t[p + 1:p + 8], lambda y: y.template))) AS g FROM typed WHERE side = 'b'
     UNION ALL
     SELECT side, id, p, true, list_transform(s, lambda y: CASE WHEN y.open THEN '<name>' ELSE y.template END) FROM (
-      SELECT side, id, unnest(range(0, len(t) - 7)) AS p, unnest(list_transform(range(0, len(t) - 7), lambda p: t[p + 1:p + 8])) AS s FROM typed) WHERE len(list_filter(s, lambda y: y.open)) > 0)
+      SELECT side, id, unnest(range(0, len(t) - 7)) AS p, unnest(list_transform(range(0, len(t) - 7), lambda p: t[p + 1:p + 8])) AS s FROM typed) WHERE side = 'd' OR len(list_filter(s, lambda y: y.open)) > 0)
 ), m AS (
   SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.p - b.p AS shift, b.p AS p, b.supposed FROM win d JOIN win b ON d.g = b.g WHERE d.side = 'd' AND b.side = 'b'
 ), slots AS (
