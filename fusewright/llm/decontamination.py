@@ -23,8 +23,6 @@ results; very long texts are read whole; other columns are ignored or kept as th
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
