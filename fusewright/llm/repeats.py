@@ -21,7 +21,7 @@ with partial aggregation, so no task holds a hot anchor.
 
 Defined results: a null or empty text has no bytes and the digest of nothing; texts shorter than
 ``LENGTH`` lose nothing; very long texts are cut into overlapping segments and treated whole; rows that repeat a doc_id are documents of their own; rows equal in
-doc_id and text get the same result, and as copies lose all windows; rows are named by 64 bits of doc_id and text; empty tables give empty results; other columns are ignored.
+doc_id and text get the same result, and as copies lose all windows; rows are named by 128 bits of doc_id and text; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 20
 BATCH = 20_000
 HOT = 20_000
+#: Two hashes of doc_id and text name a row.
+KEY = ("dk", "dk2")
 
 
 def _sliding_min(a: np.ndarray, n: int) -> np.ndarray:
@@ -93,7 +95,7 @@ def _segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """dk, h, sid and the places p, s0, s1 of every run; sid names the slice's bytes and the anchor's place in it."""
+    """dk, dk2, h, sid and the places p, s0, s1 of every run; sid names the slice's bytes and the anchor's place in it."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[list] = [[], [], [], [], [], []]
@@ -108,9 +110,9 @@ def _runs(docs: DataFrame) -> DataFrame:
         cols = [np.concatenate(o) for o in out]
         if not len(cols[0]):
             return None
-        return pa.RecordBatch.from_arrays([batch.column("dk").take(pa.array(cols[0])), *[pa.array(c) for c in cols[1:]]], ["dk", "h", "sid", "p", "s0", "s1"])
+        return pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(cols[0])) for c in KEY], *[pa.array(c) for c in cols[1:]]], [*KEY, "h", "sid", "p", "s0", "s1"])
 
-    return map_batches(docs.select("dk", "text"), work, "dk long, h long, sid long, p long, s0 long, s1 long")
+    return map_batches(docs.select(*KEY, "text"), work, "dk long, dk2 long, h long, sid long, p long, s0 long, s1 long")
 
 
 def refine(group: np.ndarray, weight: np.ndarray, slices: list[bytes], low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -185,7 +187,7 @@ def _merged(slices: DataFrame) -> DataFrame:
                 if x[0] != last and len(held) >= BATCH:
                     yield solve(held)
                     held = []
-                if not held or held[-1][:2] != x[:2]:  # a slice that its document holds twice comes twice
+                if not held or held[-1][:2] != x[:2]:  # rows equal in doc_id and text give the same slices
                     held.append(x)
                 last = x[0]
         if held:
@@ -212,34 +214,35 @@ def _counted(slices: DataFrame) -> DataFrame:
 
 
 def repeated_bytes(keyed: DataFrame, hot: int = HOT) -> DataFrame:
-    """(dk, start, stop) of bytes to remove; ``keyed`` has dk and text, and may give intervals that overlap."""
+    """(dk, dk2, start, stop) of bytes to remove, in intervals that may overlap; ``keyed`` has ``KEY`` and text."""
     runs = materialize(_runs(keyed), "runs")
     twice = materialize(runs.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "anchors")
     runs = materialize(runs.join(twice, "h", "left_semi"), "runs")
-    names = materialize(runs.groupBy("h", "sid").agg(F.count("*").alias("n"), F.min("dk").alias("dk")), "slices")
+    place = (*KEY, "p", "s0", "s1")  # of one run, as ``dropDuplicates`` takes it
+    names = materialize(runs.groupBy("h", "sid").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in place]), "slices")
     # an anchor whose slices all repeat as they are needs no merge
     mixed = names.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("slices")).filter("least = 1 AND slices > 1").select("h", "slices")
-    wanted = names.join(materialize(mixed, "mixed"), "h")
-    places = runs.join(materialize(wanted, "wanted"), ["h", "sid", "dk"]).select("dk", "h", "sid", "n", "slices", "p", "s0", "s1")
-    per_text = materialize(places.groupBy("dk").agg(F.collect_list(F.struct("h", "sid", "n", "slices", "p", "s0", "s1")).alias("cuts")), "cuts")  # of one text each
+    places = names.join(materialize(mixed, "mixed"), "h")
+    per_text = materialize(places.groupBy(*KEY).agg(F.collect_list(F.struct("h", "sid", "n", "slices", "p", "s0", "s1")).alias("cuts")), "cuts")  # of one text each
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = dict(zip(zip(*[batch.column(c).to_pylist() for c in KEY]), zip(utf8(batch.column("text")), batch.column("cuts").to_pylist())))  # equal rows once
         out = [
             (c["h"], c["sid"], c["n"], c["slices"], t[c["s0"] : c["s1"] + LENGTH], c["p"] - c["s1"], c["p"] - c["s0"])
-            for t, cuts in zip(utf8(batch.column("text")), batch.column("cuts").to_pylist())
+            for t, cuts in texts.values()
             for c in cuts
         ]
         kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h", "sid", "n", "slices", "bytes", "low", "high"])
 
-    slices = materialize(map_batches(keyed.join(per_text, "dk").select("text", "cuts"), cut, "h long, sid long, n long, slices long, bytes binary, low long, high long"), "slices")
+    slices = materialize(map_batches(keyed.join(per_text, [*KEY]).select(*KEY, "text", "cuts"), cut, "h long, sid long, n long, slices long, bytes binary, low long, high long"), "slices")
     found = _merged(slices.filter(F.col("slices") <= hot).drop("slices"))
     if not slices.filter(F.col("slices") > hot).isEmpty():
         found = found.unionByName(_counted(slices.filter(F.col("slices") > hot).drop("slices")))
     found = materialize(found, "found")
     single = names.filter("n = 1").select("h", "sid")
-    whole = runs.join(single, ["h", "sid"], "left_anti").select("dk", F.col("s0").alias("start"), (F.col("s1") + LENGTH).alias("stop"))
-    part = runs.join(found, ["h", "sid"]).select("dk", (F.col("p") + F.col("a")).alias("start"), (F.col("p") + F.col("b")).alias("stop"))
+    whole = runs.join(single, ["h", "sid"], "left_anti").select(*KEY, F.col("s0").alias("start"), (F.col("s1") + LENGTH).alias("stop"))
+    part = runs.join(found, ["h", "sid"]).select(*KEY, (F.col("p") + F.col("a")).alias("start"), (F.col("p") + F.col("b")).alias("stop"))
     return whole.unionByName(part)
 
 
@@ -258,9 +261,9 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) and kept_sha256 of each row."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
-    spans = repeated_bytes(keyed.select("dk", "text"), hot)
-    per_text = materialize(spans.groupBy("dk").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")  # of one text each
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"), F.xxhash64(F.lit(7), "doc_id", "text").alias("dk2"))
+    spans = repeated_bytes(keyed.select(*KEY, "text"), hot)
+    per_text = materialize(spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")  # of one text each
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -275,5 +278,5 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         kinds = [pa.int64()] * 3 + [pa.binary(), pa.string()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    joined = keyed.join(per_text, "dk", "left").select("doc_id", "text", "spans")
+    joined = keyed.join(per_text, [*KEY], "left").select("doc_id", "text", "spans")
     return map_batches(joined, work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
