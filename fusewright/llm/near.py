@@ -38,7 +38,7 @@ from fusewright.operators.components import component_stars
 BANDS, ROWS = 16, 5
 BINS = BANDS * ROWS
 SKETCH, CHUNK = 2048, 16_384
-LOCAL, MAX_BUCKETS = 16, 65_536
+LOCAL, MAX_BUCKETS = 16, 1 << 20
 #: Closest pairs that a member has verified in the first turn, and the factor from turn to turn.
 PER_MEMBER, GROWTH = 4, 4
 #: Members from which a group is compared bit-sliced; numpy's calls cost more than the work below. Queries at a time, planes between tests for abandonment.
