@@ -14,7 +14,7 @@
 5. The plan names runs of equal fillings, so its size follows the number of distinct
    lengths, not of documents. Pieces find their place by their rank among the pieces of equal length.
 
-Ranks are counted in salted parts of each length, of which there are more as the pieces are, so one length that holds a
+Ranks are counted in salted parts of each length, by rows' own numbers, and of parts there are more as the pieces are, so one length or one repeated row that holds a
 third of all pieces is no hot task; and a part meets only the plan's intervals of its own ranks.
 
 Defined results: a null or empty text is one piece of the end token alone; a null doc_id is kept; rows that
@@ -288,10 +288,10 @@ def intervals(runs: list[Run]) -> list[tuple[int, int, int, int, int, int]]:
 
 
 def pack_pieces(cut: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece and length; ``cut`` is read three times."""
+    """Adds sequence_id and offset to pieces; ``cut`` is a stored table, read three times, with length and row, a number of each row's own."""
     spark = cut.sparkSession
     salts = max(SALTS, -(-cut.count() // PART_PIECES))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     counts = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     rows = intervals(plan_runs(histogram, capacity))
@@ -300,7 +300,7 @@ def pack_pieces(cut: DataFrame, capacity: int) -> DataFrame:
     starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), "n")
     own = (F.col("rank_from") < F.col("before") + F.col("n")) & (F.col("rank_to") > F.col("before"))
     plan = materialize(starts.join(spark.createDataFrame(rows, schema), "length").filter(own).drop("n"), "plan")
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1
     ranked = salted.withColumn("inside", inside)
     if plan.count() <= BROADCAST_INTERVALS:
         plan = F.broadcast(plan)
@@ -309,10 +309,10 @@ def pack_pieces(cut: DataFrame, capacity: int) -> DataFrame:
     past = rank - F.col("rank_from")
     sequence = F.col("first_sequence") + F.floor(past / F.col("per_sequence"))
     offset = F.col("at") + F.pmod(past, F.col("per_sequence")) * F.col("length")
-    return placed.select(*cut.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    return placed.select(*[c for c in cut.columns if c != "row"], sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document."""
     ship(docs.sparkSession)
-    return pack_pieces(materialize(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack_pieces(materialize(pieces(docs, tokenizer, end_id, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
