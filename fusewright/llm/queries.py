@@ -13,6 +13,7 @@ from fusewright.llm.common import table
 from fusewright.llm.decontamination import UNITS, find_leaks
 from fusewright.llm.line_dedup import dedup_lines
 from fusewright.llm.packing import pack_documents
+from fusewright.llm.periodic import periodic_runs, planted
 from fusewright.llm.quality_rules import quality_verdicts
 from fusewright.llm.repeats import remove_repeats
 from fusewright.llm.sharding import shard_documents
@@ -75,7 +76,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op7_repeats, op8_virtual_slots, op9_simhash, op10_warc)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the runs of ``planted`` documents; the longest run's four columns are null where there is none."""
+    found = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
+    # of equal lengths the first by start, then period
+    ordered = F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("k"), r["start"].alias("start"), r["period"].alias("period"))))
+    best = F.get(ordered, F.lit(0))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), (-best["k"]).alias("length"), best["period"].alias("period"),
+        F.floor(-best["k"] * 1000 / best["period"]).cast("long").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op7_repeats, op8_virtual_slots, op9_simhash, op10_warc, op13_periodic_runs)}
 
 QUERIES["pipeline"] = corpus_pipeline.run
 
