@@ -53,6 +53,10 @@ def _repeated_cover(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     inside = doc[:n] == doc[GRAM - 1 :]
     at = np.flatnonzero(inside)
     h = mix(h[at] ^ mix(doc[at].astype(np.uint64) + np.uint64(0x51ED27)))
+    # most are alone in their slot of a table of counts, and need no sorting
+    slot = (h >> np.uint64(64 - min(30, len(h).bit_length() + 2))).astype(np.int64)
+    shared = np.bincount(slot)[slot] > 1
+    h, at = h[shared], at[shared]
     ordered = np.sort(h)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
