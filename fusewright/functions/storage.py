@@ -80,11 +80,11 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             _delete(spark, uri)
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends here."""
+def materialize(df: DataFrame, label: str = "table", **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with the writer's ``options``, and read it back: the lineage ends here."""
     spark = df.sparkSession
     uri = scratch(spark, label)
-    df.write.parquet(uri)
+    df.write.options(**options).parquet(uri)
     stored = spark.read.schema(df.schema).parquet(uri)
     stored._stored_at = uri
     return stored
