@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import scratch
+from fusewright.llm.alignment import align_documents
 from fusewright.llm.chat_rotation import rotate_perspectives
 from fusewright.llm.common import table
 from fusewright.llm.decontamination import UNITS, find_leaks
@@ -76,6 +80,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _digest(groups: Iterable[str]) -> str:
+    """Of the groups of a document's pieces, joined by semicolons."""
+    digest, lead = hashlib.sha256(), ""
+    for g in groups:
+        digest.update((lead + g).encode())
+        lead = ";"
+    return digest.hexdigest()
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), _digest)
+    return aligned.select(F.col("doc_id").cast("long"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the runs of ``planted`` documents; the longest run's four columns are null where there is none."""
     found = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
@@ -89,7 +107,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op7_repeats, op8_virtual_slots, op9_simhash, op10_warc, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op7_repeats, op8_virtual_slots, op9_simhash, op10_warc, op12_token_alignment, op13_periodic_runs)}
 
 QUERIES["pipeline"] = corpus_pipeline.run
 
