@@ -15,6 +15,7 @@ from fusewright.llm.alignment import align_documents
 from fusewright.llm.chat_rotation import rotate_perspectives
 from fusewright.llm.common import table
 from fusewright.llm.decontamination import UNITS, find_leaks
+from fusewright.llm.embedding_join import similar_embeddings
 from fusewright.llm.line_dedup import dedup_lines
 from fusewright.llm.packing import pack_documents
 from fusewright.llm.periodic import periodic_runs, planted
@@ -80,6 +81,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_embedding_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_embeddings(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def _digest(groups: Iterable[str]) -> str:
     """Of the groups of a document's pieces, joined by semicolons."""
     digest, lead = hashlib.sha256(), ""
@@ -107,7 +112,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op7_repeats, op8_virtual_slots, op9_simhash, op10_warc, op12_token_alignment, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_config_lp_packing, op2_chat_rotation, op3_quality_rules, op4_line_dedup, op5_url_filter, op6_template_decontamination, op7_repeats, op8_virtual_slots, op9_simhash, op10_warc, op11_embedding_pigeonhole, op12_token_alignment, op13_periodic_runs)}
 
 QUERIES["pipeline"] = corpus_pipeline.run
 
