@@ -1,17 +1,21 @@
 """The scalar problem: minimise n/2 x**2 - s x + lam * sum w |x - z| for every row of a table at once.
 
 With the neighbours sorted by z, cw their running weights and W the total, the minimiser is the
-median of all z and all (s - lam (2 cw_k - W)) / n for k = 0 to r, as the former rise and the latter fall. For n = 0 it is
+median of all z and all (s - lam (2 cw_k - W)) / n for k = 0 to r, as the former rise and the latter fall: of the first z that is not
+below its own (s - lam (2 cw_k - W)) / n and the one of k - 1, the smaller. For n = 0 it is
 the lower weighted median of z, whatever lam; without weights the upper middle z; without neighbours 0.
+
+Which z is first is a selection (``selection.py``), so a hub's neighbours are counted where they are and never sorted in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.schemas import require
 from fusewright.functions.validation import check, violations
+from fusewright.operators.selection import LEAF, crossings
 
 #: Largest number of neighbours for the row-local form, whose running weights cost the square of it.
 ROW_LOCAL = 64
@@ -25,25 +29,31 @@ def check_problems(problems: DataFrame, nbrs: DataFrame) -> None:
         raise ValueError("there are neighbours of unknown problems")
 
 
-def solve_scalar(problems: DataFrame, nbrs: DataFrame, validate: bool = True) -> DataFrame:
-    """problem_id and x. Relational: windows spill, so hubs need no large arrays."""
+def _median_targets(values: DataFrame, key: str) -> DataFrame:
+    """key, t, total and r: the weight and number of the values."""
+    return values.groupBy(key).agg(F.sum("w").alias("total"), F.count("*").alias("r")).withColumn("t", F.lit(0))
+
+
+def _is_median(cw: Column) -> Column:
+    """Whether the running weight reaches half; of values without weight, the running number the upper middle."""
+    return F.when(F.col("total") > 0, cw >= F.col("total") / 2).otherwise(cw >= F.floor(F.col("r") / 2) + 1)
+
+
+def solve_scalar(problems: DataFrame, nbrs: DataFrame, validate: bool = True, leaf: int = LEAF) -> DataFrame:
+    """problem_id and x. Problems of over ``leaf`` neighbours are narrowed by counting before anything is sorted."""
     problems, nbrs = require(problems, "problem_id", "n", "s", "lam"), require(nbrs, "problem_id", "nbr", "z", "w")
     if validate:
         check_problems(problems, nbrs)
-    w = Window.partitionBy("problem_id")
-    ordered = w.orderBy("z", "nbr").rowsBetween(Window.unboundedPreceding, 0)
-    running = nbrs.select("problem_id", "z", F.sum("w").over(ordered).alias("cw"), F.sum("w").over(w).alias("total"), F.row_number().over(w.orderBy("z", "nbr")).alias("k"), F.count("*").over(w).alias("r"))
-    rows = problems.join(running, "problem_id", "left")
+    sums = _median_targets(nbrs, "problem_id")
+    targets = problems.join(sums, "problem_id", "left").withColumns({"t": F.lit(0), "total": F.coalesce("total", F.lit(0.0)), "r": F.coalesce("r", F.lit(0))})
     at = lambda cw: (F.col("s") - F.col("lam") * (2 * cw - F.col("total"))) / F.when(F.col("n") > 0, F.col("n"))
-    first = F.when(F.col("k") == 1, at(F.lit(0.0))).when(F.col("k").isNull(), F.col("s") / F.when(F.col("n") > 0, F.col("n")))
-    candidates = F.array_compact(F.array(F.col("z"), at(F.col("cw")), first))
-    # n = 0: only the weighted median's own candidates
-    middle = F.when(F.col("total") > 0, F.col("cw") >= F.col("total") / 2).otherwise(F.col("k") == F.floor(F.col("r") / 2) + 1)
-    # the median of 2 r + 1 candidates is the one of rank r + 1
-    ranked = rows.filter("n > 0").select("problem_id", F.coalesce("r", F.lit(0)).alias("r"), F.explode(candidates).alias("c")).withColumn("rank", F.row_number().over(w.orderBy("c")))
-    smooth = ranked.filter(F.col("rank") == F.col("r") + 1).select("problem_id", F.col("c").alias("x"))
-    flat = rows.filter("n = 0").groupBy("problem_id").agg(F.coalesce(F.min(F.when(middle, F.col("z"))), F.lit(0.0)).alias("x"))
-    return smooth.unionByName(flat)
+    holds = lambda z, cw: F.when(F.col("n") > 0, at(cw) <= z).otherwise(_is_median(cw))
+    # values without weight count as one each where a weighted median is asked for
+    flat = targets.filter("n = 0 AND total = 0 AND r > 0").select("problem_id", F.lit(True).alias("flat"))
+    weighed = nbrs.join(flat, "problem_id", "left").select("problem_id", "z", F.col("nbr").alias("tie"), F.when(F.col("flat"), 1.0).otherwise(F.col("w")).alias("w"))
+    first = crossings(weighed, targets, "problem_id", holds, leaf)
+    smooth = F.when(F.col("z").isNull(), at(F.col("total"))).otherwise(F.least(F.col("z"), at(F.col("before"))))
+    return first.select("problem_id", F.when(F.col("n") > 0, smooth).otherwise(F.coalesce("z", F.lit(0.0))).alias("x"))
 
 
 def solve_scalar_row(n: Column, s: Column, lam: Column, nbrs: Column) -> Column:
@@ -63,13 +73,12 @@ def objective(solved: DataFrame, problems: DataFrame, nbrs: DataFrame) -> DataFr
     return at.join(pull, "problem_id", "left").select("problem_id", value.alias("objective"))
 
 
-def weighted_median(values: DataFrame) -> DataFrame:
+def weighted_median(values: DataFrame, leaf: int = LEAF) -> DataFrame:
     """key and x of rows (key, z, w): the least z whose running weight reaches half; without weights the upper middle z."""
-    w = Window.partitionBy("key")
-    order = w.orderBy("z", "w")
-    rows = values.select("key", "z", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cw"), F.sum("w").over(w).alias("total"), F.row_number().over(order).alias("k"), F.count("*").over(w).alias("r"))
-    middle = F.when(F.col("total") > 0, F.col("cw") >= F.col("total") / 2).otherwise(F.col("k") == F.floor(F.col("r") / 2) + 1)
-    return rows.groupBy("key").agg(F.min(F.when(middle, F.col("z"))).alias("x"))
+    targets = _median_targets(values, "key")
+    flat = targets.filter("total = 0").select("key", F.lit(True).alias("flat"))
+    weighed = values.join(flat, "key", "left").select("key", "z", F.col("w").alias("tie"), F.when(F.col("flat"), 1.0).otherwise(F.col("w").cast("double")).alias("w"))
+    return crossings(weighed, targets, "key", lambda z, cw: _is_median(cw), leaf).select("key", F.col("z").alias("x"))
 
 
 def graph_problems(stats: DataFrame, adjacency: DataFrame, theta: DataFrame, lam: float) -> tuple[DataFrame, DataFrame]:
