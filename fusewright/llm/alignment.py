@@ -35,13 +35,12 @@ from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
 from fusewright.llm.common import SLICE_BYTES, ship
+from fusewright.llm.near import sorted_set
 
 #: Characters of a text cut at a time, and pieces given to a tokenizer as one string.
 BLOCK, TOGETHER = 1 << 20, 256
 MARK = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces that are encoded alone: what stands beside them in a text might matter.
-_ALONE = re.compile(rf"\A \s|\s\Z|{MARK}")
 
 
 class ByteLevel:
@@ -63,7 +62,7 @@ class ByteLevel:
             self.bytes[k] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:
@@ -90,6 +89,11 @@ def _token_sizes(path: str) -> np.ndarray:
     return np.array([len(b) for b in load(path).bytes], np.int64)
 
 
+@lru_cache(maxsize=4)
+def _names(path: str) -> list[str]:
+    return list(map(str, range(len(load(path).bytes))))
+
+
 def cut_pieces(text: str) -> Iterator[list[str]]:
     """The text's pieces in order, in lists of about ``BLOCK`` characters; the single spaces between them are left out."""
     at = 0
@@ -113,35 +117,45 @@ def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def encode_pieces(path: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of all pieces, number of each piece's, whether they hold the piece's bytes); a piece is a text that begins with a space."""
-    tokenizer, sizes = load(path), _token_sizes(path)
-    raw = [p.encode() for p in pieces]
-    length = np.array([len(r) for r in raw], np.int64)
-    alone = np.array([_ALONE.search(p) is not None for p in pieces], bool)
-    sure = np.flatnonzero(~alone)
-    counts, ids = np.zeros(len(pieces), np.int64), [np.empty(0, np.int64)] * 2
-    if len(sure):
-        joined = ["".join([pieces[k] for k in sure[s : s + TOGETHER].tolist()]) for s in range(0, len(sure), TOGETHER)]
-        flat = np.fromiter(chain.from_iterable(tokenizer.encode(joined)), np.int64)
-        ends, stops = np.cumsum(sizes[flat]), np.cumsum(length[sure])
-        last = np.searchsorted(ends, stops)
-        whole = len(ends) and ends[-1] == stops[-1] and (ends[last] == stops).all()
-        if whole and b"".join(map(tokenizer.bytes.__getitem__, flat.tolist())) == b"".join([raw[k] for k in sure.tolist()]):
-            counts[sure] = np.diff(np.concatenate(([-1], last)))
-            ids[0] = flat
-        else:  # some characters have no token of their bytes
-            alone[:] = True
-    ok = np.ones(len(pieces), bool)
-    single = np.flatnonzero(alone)
-    lists = tokenizer.encode([pieces[k] for k in single.tolist()]) if len(single) else []
-    for k, x in zip(single.tolist(), lists):
-        ok[k] = b"".join(map(tokenizer.bytes.__getitem__, x)) == raw[k]
-        counts[k] = len(x)
-    ids[1] = np.fromiter(chain.from_iterable(lists), np.int64)
-    # back in the pieces' order
-    owner = np.concatenate((np.repeat(np.flatnonzero(~alone), counts[~alone]), np.repeat(single, counts[single])))
-    return np.concatenate(ids)[np.argsort(owner, kind="stable")], counts, ok
+class Distinct:
+    """Texts that begin with a space, cut where no tokenizer joins anything, and which of them are encoded alone."""
+
+    def __init__(self, pieces: list[str]):
+        self.pieces = [" " + p for p in pieces]
+        self.raw = [p.encode() for p in self.pieces]
+        self.sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        # what stands beside these in a text might matter
+        self.alone = np.fromiter((p[0].isspace() or p[-1].isspace() or MARK in p for p in pieces), bool, len(pieces))
+
+    def encode(self, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of each piece's, whether they hold the piece's bytes)."""
+        tokenizer, sizes = load(path), _token_sizes(path)
+        alone = self.alone
+        sure = np.flatnonzero(~alone)
+        counts, ids = np.zeros(len(self.pieces), np.int64), [np.empty(0, np.int64)] * 2
+        if len(sure):
+            pieces, raw = (x if len(sure) == len(x) else [x[k] for k in sure.tolist()] for x in (self.pieces, self.raw))
+            flat = np.fromiter(chain.from_iterable(tokenizer.encode(["".join(pieces[s : s + TOGETHER]) for s in range(0, len(pieces), TOGETHER)])), np.int64)
+            ends, stops = np.cumsum(sizes[flat]), np.cumsum(self.sizes[sure])
+            last = np.searchsorted(ends, stops)
+            whole = len(ends) and ends[-1] == stops[-1] and (ends[last] == stops).all()
+            if whole and b"".join(map(tokenizer.bytes.__getitem__, flat.tolist())) == b"".join(raw):
+                counts[sure] = np.diff(np.concatenate(([-1], last)))
+                ids[0] = flat
+            else:  # some characters have no token of their bytes
+                alone = np.ones(len(alone), bool)
+        ok = np.ones(len(self.pieces), bool)
+        single = np.flatnonzero(alone)
+        if not len(single):
+            return ids[0], counts, ok
+        lists = tokenizer.encode([self.pieces[k] for k in single.tolist()])
+        for k, x in zip(single.tolist(), lists):
+            ok[k] = b"".join(map(tokenizer.bytes.__getitem__, x)) == self.raw[k]
+            counts[k] = len(x)
+        ids[1] = np.fromiter(chain.from_iterable(lists), np.int64)
+        # back in the pieces' order
+        owner = np.concatenate((np.repeat(np.flatnonzero(~alone), counts[~alone]), np.repeat(single, counts[single])))
+        return np.concatenate(ids)[np.argsort(owner, kind="stable")], counts, ok
 
 
 class Chunk:
@@ -158,25 +172,27 @@ class Chunk:
         self.texts.append(np.concatenate(parts or [np.empty(0, np.int32)]))
 
     def align(self) -> None:
-        pieces = [" " + p for p in self._number]
+        pieces = Distinct(list(self._number))
         self._number = {}
-        (ids_a, n_a, ok_a), (ids_b, n_b, ok_b) = (encode_pieces(path, pieces) for path in (self._a, self._b))
+        (ids_a, n_a, ok_a), (ids_b, n_b, ok_b) = (pieces.encode(path) for path in (self._a, self._b))
+        n = len(pieces.pieces)
         self.ok = ok_a & ok_b
         ids_a, ids_b = ids_a[np.repeat(self.ok, n_a)], ids_b[np.repeat(self.ok, n_b)]
         self.n_a, self.n_b = np.where(self.ok, n_a, 0), np.where(self.ok, n_b, 0)
         # the stretches between neighbouring ends of tokens: one for each overlapping pair
         ends_a, ends_b = np.cumsum(_token_sizes(self._a)[ids_a]), np.cumsum(_token_sizes(self._b)[ids_b])
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")  # a merge of two runs
+        ends = ends[np.concatenate((ends[1:] != ends[:-1], [True]))] if len(ends) else ends
         a, b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         root = union_find(len(ids_a) + len(ids_b), a, len(ids_a) + b)  # a component's least node is its first A token
         root_a, root_b = root[: len(ids_a)], root[len(ids_a) :]
         first_a = np.flatnonzero(root_a == np.arange(len(ids_a)))
         first_b = np.searchsorted(root_b, first_a)  # components rise with their tokens
-        owner = np.repeat(np.arange(len(pieces)), self.n_a)
-        self.n_groups = np.bincount(owner[first_a], minlength=len(pieces))
-        self.n_links = np.bincount(owner[a], minlength=len(pieces))
+        owner = np.repeat(np.arange(n), self.n_a)
+        self.n_groups = np.bincount(owner[first_a], minlength=n)
+        self.n_links = np.bincount(owner[a], minlength=n)
         self.pairs, self.links = np.unique(ids_a[a] << 32 | ids_b[b], return_inverse=True)
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        names_a, names_b = (list(map(_names(path).__getitem__, x.tolist())) for path, x in ((self._a, ids_a), (self._b, ids_b)))
         cuts = zip(first_a.tolist(), [*first_a[1:].tolist(), len(ids_a)], first_b.tolist(), [*first_b[1:].tolist(), len(ids_b)])
         groups = [f"{','.join(names_a[s:e])}|{','.join(names_b[t:u])}" for s, e, t, u in cuts]
         stops = np.cumsum(self.n_groups).tolist()
@@ -186,10 +202,10 @@ class Chunk:
         """How many of the texts hold each pair."""
         n, starts = max(1, len(self.pairs)), np.cumsum(self.n_links) - self.n_links
         who = np.repeat(np.arange(len(self.texts)), [len(t) for t in self.texts])
-        who, piece = np.divmod(np.unique(who * max(1, len(self.n_links)) + np.concatenate([*self.texts, np.empty(0, np.int64)])), max(1, len(self.n_links)))
+        who, piece = np.divmod(sorted_set(who * max(1, len(self.n_links)) + np.concatenate([*self.texts, np.empty(0, np.int64)])), max(1, len(self.n_links)))
         size = self.n_links[piece]
         link = np.repeat(starts[piece] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        held = np.unique(np.repeat(who, size) * n + self.links[link])
+        held = sorted_set(np.repeat(who, size) * n + self.links[link])
         return np.bincount(held % n, minlength=len(self.pairs))
 
 

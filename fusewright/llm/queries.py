@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterator
+from itertools import islice
 
 import corpus_pipeline
 import public_tokenizers
@@ -85,11 +86,11 @@ def op11_embedding_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_embeddings(table(spark, sf_dir, "embeddings"), 0.98)
 
 
-def _digest(groups: Iterable[str]) -> str:
+def _digest(groups: Iterator[str]) -> str:
     """Of the groups of a document's pieces, joined by semicolons."""
     digest, lead = hashlib.sha256(), ""
-    for g in groups:
-        digest.update((lead + g).encode())
+    while part := list(islice(groups, 1 << 14)):
+        digest.update((lead + ";".join(part)).encode())
         lead = ";"
     return digest.hexdigest()
 
