@@ -5,7 +5,11 @@ most an edge for each node of a block, and again while that halves them; one blo
 downwards; the edge set shrinks to stars around the least node of each component in a
 number of rounds that grows with the logarithm of the size, and the rounds end once it consists of such stars. Each round's edges are
 written to the shared folder, so lineage stays short, executors may be lost, and a hub's
-side of a join can be split at run time because both sides are plain tables. The same steps run at every size.
+side of a join can be split at run time because both sides are plain tables. Graphs of one block end after the first step; tests and queries take small blocks through all of them.
+
+``spanning_forest`` tells which pairs of an ordered table merge two sets when they are joined one after another: the least spanning forest by
+position, by Borůvka's rounds. A pair that closes a cycle of earlier pairs within its block closes it in the whole table, so blocks drop such pairs
+first, each in a task; then in every round each set takes the least pair that leaves it, and the sets that meet are one set of the next round.
 """
 
 from __future__ import annotations
@@ -111,6 +115,102 @@ def _stars(edges: DataFrame, block_edges: int) -> DataFrame:
     return stars
 
 
+def block_forest(order: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places of the pairs that merge two sets when joined in ``order``; loops never do."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    rank = np.empty(len(u), np.int64)
+    rank[np.argsort(order, kind="stable")] = np.arange(len(u))
+    place, root, taken = np.arange(len(u)), np.arange(len(nodes)), np.zeros(len(u), bool)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, rank, place, x, y = (c[apart] for c in (a, b, rank, place, x, y))
+        if not len(a):
+            return np.flatnonzero(taken)
+        least = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(least, x, rank)
+        np.minimum.at(least, y, rank)
+        first = (least[x] == rank) | (least[y] == rank)
+        taken[place[first]] = True
+        # the chosen pairs make no cycle; hook greater to lesser roots until all agree
+        x, y = x[first], y[first]
+        while len(x):
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+            x, y = root[x], root[y]
+            x, y = x[x != y], y[x != y]
+
+
+def _cut_cycles(pairs: DataFrame, blocks: int, block_edges: int) -> DataFrame:
+    """The pairs (pair_idx, u, v, x, y) that close no cycle of earlier pairs in their block; x and y are the sets of u and v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def forest() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            keep = block_forest(*(rows.column(c).to_numpy() for c in ("pair_idx", "x", "y")))
+            return rows.take(pa.array(keep)).combine_chunks().to_batches(max_chunksize=None)[0] if len(keep) else None
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, block_edges):
+                held.append(batch.slice(k, block_edges))
+                size += held[-1].num_rows
+                if size >= 2 * block_edges:  # tasks are not dealt evenly
+                    if (out := forest()) is not None:
+                        yield out
+                    size = 0
+        if held and (out := forest()) is not None:
+            yield out
+
+    ship(pairs.sparkSession)
+    return materialize(pairs.coalesce(blocks).mapInArrow(run, "pair_idx long, u long, v long, x long, y long"), "forest")
+
+
+def spanning_forest(pairs: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """pair_idx, u and v of the ``pairs`` that merge two sets when all are joined in order of their unique pair_idx. Loops and nulls merge nothing."""
+    with scope(pairs.sparkSession) as keep:
+        return keep(materialize(_forest(pairs, block_edges), "forest"))
+
+
+def _forest(pairs: DataFrame, block_edges: int) -> DataFrame:
+    names = ("pair_idx", "u", "v")
+    long_ = [F.col(c).cast("long").alias(c) for c in names]
+    left = pairs.filter("u <> v").select(*long_).withColumns({"x": F.col("u"), "y": F.col("v")})
+    left = materialize(left, "pairs")
+    found = left.select(*names).limit(0)
+    while not left.isEmpty():
+        before, n, blocks = 0, left.count(), 2
+        while blocks > 1 and (not before or 2 * n <= before):  # fewer blocks close more cycles
+            before, blocks = n, max(1, -(-n // block_edges))
+            left = _cut_cycles(left, blocks, block_edges)
+            n = left.count()
+        if blocks == 1:
+            return found.unionByName(left.select(*names))
+        ends = left.select(F.explode(F.array("x", "y")).alias("set"), "pair_idx")
+        least = ends.groupBy("set").agg(F.min("pair_idx").alias("pair_idx")).select("pair_idx").distinct()
+        chosen = materialize(left.join(least, "pair_idx"), "chosen")
+        found = found.unionByName(chosen.select(*names))
+        stars = component_stars(chosen.select(F.col("x").alias("u"), F.col("y").alias("v")), block_edges)
+        to = lambda c: stars.select(F.col("u").alias(c), F.col("v").alias(f"{c}_to"))  # noqa: B023, E731
+        moved = left.join(to("x"), "x", "left").join(to("y"), "y", "left")
+        moved = moved.select(*names, F.coalesce("x_to", "x").alias("x"), F.coalesce("y_to", "y").alias("y")).filter("x <> y")
+        # of pairs between the same two sets the first alone can merge them
+        first = moved.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min_by(F.struct(*names), "pair_idx").alias("p"))
+        left = materialize(first.select("p.*", "x", "y"), "pairs")
+    return found
+
+
+def merges(pairs: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """The rows of ``pairs`` with ``merged``: whether u and v were apart when their turn came, in order of the unique pair_idx."""
+    forest = spanning_forest(pairs, block_edges).select("pair_idx", F.lit(True).alias("merged"))
+    return pairs.join(forest, "pair_idx", "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) for every row of ``nodes``; a component is named by its least node."""
     stars = component_stars(edges).select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -168,6 +268,19 @@ class DisjointSets:
         self._edges = new if self._edges is None else self._edges.unionByName(new)
         return self
 
+    def union_ordered(self, pairs: DataFrame) -> DataFrame:
+        """Merge along ``pairs`` (pair_idx, u, v) one after another, and tell of each whether it merged two sets: pair_idx, u, v and merged."""
+        bad = pairs.agg(F.count_if((F.least("u", "v") < 0) | (F.greatest("u", "v") >= self.n))).head()[0]
+        if bad:
+            raise IndexError(f"pairs must be in [0, {self.n}) ({bad} rows are not)")
+        labels = self._settle()
+        at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        inside = pairs.select("pair_idx", "u", "v").join(at("u"), "u").join(at("v"), "v").select("pair_idx", F.col("u_in").alias("u"), F.col("v_in").alias("v"))
+        forest = spanning_forest(inside)
+        self.union(forest.select("u", "v"))
+        merged = forest.select("pair_idx", F.lit(True).alias("merged"))
+        return pairs.select("pair_idx", "u", "v").join(merged, "pair_idx", "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
+
     def union_pair(self, x: int, y: int) -> bool:
         """Merge two elements; True if they were apart."""
         a, b = self.find(x), self.find(y)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fusewright.functions import validation as val
 from fusewright.functions.schemas import pairs_from_array
-from fusewright.operators.components import DisjointSets
+from fusewright.operators.components import DisjointSets, component_stars, merges
 from fusewright.operators.encoding import LabelEncoder
 from fusewright.operators.group_stats import group_stats
 from fusewright.operators.location import huber_report, location
@@ -229,3 +229,39 @@ def _(spark, d):
     sets.reset()
     rows.append((6, sets.connected(3, 0), len(sets) if sets.n_components == cat.N_NODES else -1, sets.find(3)))
     return spark.createDataFrame(rows, "k long, merged boolean, n_components long, found long")
+
+
+_MERGES = f"""WITH RECURSIVE p AS ({cat.PAIRS}), e AS (SELECT least(u, v) AS u, greatest(u, v) AS v, min(pair_idx) AS k FROM p WHERE u <> v{{first}} GROUP BY ALL), s AS (
+  SELECT CAST(-1 AS BIGINT) AS k, {{start}} AS sets
+  UNION ALL
+  SELECT k, list_transform(sets, lambda x: CASE WHEN x = greatest(a, b) THEN least(a, b) ELSE x END) FROM (
+    SELECT min(e.k) AS k, any_value(sets) AS sets, arg_min(sets[u + 1], e.k) AS a, arg_min(sets[v + 1], e.k) AS b FROM s JOIN e ON e.k > s.k AND sets[u + 1] <> sets[v + 1] HAVING count(*) > 0)
+) SELECT p.pair_idx, CAST(p.u AS BIGINT) AS u, CAST(p.v AS BIGINT) AS v, p.pair_idx IN (SELECT k FROM s) AS merged FROM p"""
+#: Blocks so small that the given tables take many of them, and then the rounds between blocks.
+SMALL_BLOCKS = 40
+
+
+@query("union_merges", _MERGES.format(first="", start=f"range({cat.N_USERS})"))
+def _(spark, d):
+    pairs = src.event_pairs(spark, d).select("pair_idx", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    return merges(pairs, SMALL_BLOCKS)
+
+
+@query("union_merges_into_sets", _MERGES.format(first="", start=f"list_transform(range({cat.N_USERS}), lambda x: x // 3 * 3)"))
+def _(spark, d):
+    """The same into sets of three that an earlier batch of unions made."""
+    pairs = src.event_pairs(spark, d).select("pair_idx", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    sets = DisjointSets(spark, pairs.agg(F.max(F.greatest("u", "v"))).head()[0] + 1)
+    threes = spark.range(sets.n).select((F.col("id") - F.col("id") % 3).alias("u"), F.col("id").alias("v"))
+    return sets.union(threes).union_ordered(pairs)
+
+
+@query(
+    "components_star_rounds",
+    f"""WITH RECURSIVE p AS (SELECT DISTINCT u, v FROM ({cat.PAIRS}) WHERE u <> v AND (u + v) % 7 < 2), adj AS (SELECT u AS a, v AS b FROM p UNION SELECT v, u FROM p),
+reach(a, b) AS (SELECT a, a FROM adj UNION SELECT r.a, adj.b FROM reach r JOIN adj ON adj.a = r.b)
+SELECT CAST(a AS BIGINT) AS node, CAST(min(b) AS BIGINT) AS component FROM reach GROUP BY a HAVING min(b) < a""",
+)
+def _(spark, d):
+    edges = src.event_pairs(spark, d).filter("(u + v) % 7 < 2").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    return component_stars(edges, 7).select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -143,6 +143,54 @@ def test_blocks_of_edges_become_stars():
     assert all(at(n) == min(reach[n]) for n in range(60))
 
 
+def _sequential(n, pairs):
+    """Whether each pair merges two sets, by joining them in order."""
+    parent, out = list(range(n)), {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k, u, v in sorted((p for p in pairs if p[1] is not None and p[2] is not None), key=lambda p: p[0]):
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+        out[k] = a != b
+    return {k: out.get(k, False) for k, _, _ in pairs}
+
+
+@pytest.mark.parametrize("shape", ["sparse", "dense", "path", "star"])
+def test_merges(spark, shape):
+    rng = random.Random(shape)
+    n = 150
+    ends = {
+        "sparse": [(rng.randrange(n), rng.randrange(n)) for _ in range(120)], "dense": [(rng.randrange(30), rng.randrange(30)) for _ in range(500)],
+        "path": [(k, k + 1) for k in rng.sample(range(n - 1), n - 1)], "star": [(0, k) for k in rng.sample(range(1, n), n - 1)] * 2,
+    }[shape]
+    pairs = [(k * 3 - 50, u, v) for k, (u, v) in zip(rng.sample(range(len(ends)), len(ends)), ends)] + [(9000, None, 3), (9001, 4, None), (9002, 5, 5)]
+    table = spark.createDataFrame([(*p, "x") for p in pairs], "pair_idx long, u long, v long, merged_before string").repartition(5)
+    expected = _sequential(n, pairs)
+    for block in (4, 37, 1 << 18):
+        got = comp.merges(table, block)
+        assert got.columns == ["pair_idx", "u", "v", "merged_before", "merged"]
+        assert {r["pair_idx"]: r["merged"] for r in got.collect()} == expected
+    assert comp.merges(table.limit(0)).collect() == []
+
+
+def test_ordered_unions_go_on_from_what_is_merged(spark):
+    rng = random.Random(8)
+    batches = [[(100 * b + k, rng.randrange(40), rng.randrange(40)) for k in range(25)] for b in range(3)]
+    sets = comp.DisjointSets(spark, 40)
+    expected = _sequential(40, [p for b in batches for p in b])
+    for batch in batches:
+        got = sets.union_ordered(spark.createDataFrame(batch, "pair_idx long, u long, v long"))
+        assert {r["pair_idx"]: r["merged"] for r in got.collect()} == {k: expected[k] for k, _, _ in batch}
+    assert sets.n_components == 40 - sum(expected.values())
+    with pytest.raises(IndexError, match="2 rows"):
+        sets.union_ordered(spark.createDataFrame([(0, 1, 40), (1, -1, 2), (2, 3, 4)], "pair_idx long, u long, v long"))
+
+
 def test_disjoint_sets(spark):
     sets = comp.DisjointSets(spark, 4)
     assert sets.union_pair(0, 1) and not sets.union_pair(1, 0)
