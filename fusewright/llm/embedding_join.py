@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,10 +214,9 @@ def _trees(distinct: DataFrame, similarity: float) -> dict[tuple, list[Tree]]:
     return found
 
 
-def _placed(distinct: DataFrame, similarity: float, vectors: bool) -> DataFrame:
+def _placed(distinct: DataFrame, trees: Broadcast, similarity: float, vectors: bool) -> DataFrame:
     """A row for every cell of every block that a vector is at home in or visits."""
     kinds = dict(distinct.dtypes)
-    trees = distinct.sparkSession.sparkContext.broadcast(_trees(distinct, similarity))  # bounded by the sample
     carried = ["id", "n", "vector"] if vectors else []
     schema = f"label {kinds['label']}, dim int, block int, leaf int, home boolean" + (f", id long, n long, vector {kinds['vector']}" if vectors else "")
 
@@ -242,9 +242,10 @@ def _placed(distinct: DataFrame, similarity: float, vectors: bool) -> DataFrame:
 
 def _links(distinct: DataFrame, similarity: float) -> DataFrame:
     """(id, n, root): parts of the link counts, and edges that span the links."""
+    trees = distinct.sparkSession.sparkContext.broadcast(_trees(distinct, similarity))  # bounded by the sample
     homes, visits = F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visits")
-    large = materialize(_placed(distinct, similarity, False).groupBy(*CELL).agg(homes, visits).filter(F.col("homes") + F.col("visits") > CHUNK), "cells")
-    there = _placed(distinct, similarity, True).join(large, [*CELL], "left")
+    large = materialize(_placed(distinct, trees, similarity, False).groupBy(*CELL).agg(homes, visits).filter(F.col("homes") + F.col("visits") > CHUNK), "cells")
+    there = _placed(distinct, trees, similarity, True).join(large, [*CELL], "left")
     h, v = (F.coalesce(F.ceil(F.col(c) / CHUNK), F.lit(1)).cast("int") for c in ("homes", "visits"))
     whole = F.col("homes").isNull()
     spread = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
