@@ -83,9 +83,32 @@ def group_report(obs: DataFrame, column: str = "group_id") -> DataFrame:
     )
 
 
+def survey(obs: DataFrame, counts: dict[str, Column], column: str = "group_id") -> dict[str, int | None]:
+    """What ``group_report`` says, ``largest`` (rows of the largest group) and named ``counts`` of offending rows, in one job with one partial aggregation by group."""
+    g = F.col(column)
+    bad = g.isNull() | F.isnan(g.cast("double")) | (g.cast("double") != F.floor(g.cast("double")))
+    own = obs.groupBy(column).agg(F.count("*").alias("n_"), *[c.alias(f"c{k}_") for k, c in enumerate(counts.values())])
+    row = own.agg(
+        F.sum("n_").alias("n_rows"), F.sum(F.when(bad, F.col("n_"))).alias("n_invalid"), F.sum(F.when(g < 0, F.col("n_"))).alias("n_negative"), F.count(g).alias("n_unique"),
+        F.min(g).cast("long").alias("min_id"), F.max(g).cast("long").alias("max_id"), F.max("n_").alias("largest"), *[F.sum(f"c{k}_").alias(name) for k, name in enumerate(counts)],
+    ).head().asDict()
+    return {k: row[k] if k in ("min_id", "max_id", "largest") else row[k] or 0 for k in row}
+
+
+def raise_first(report: dict[str, int | None]) -> None:
+    """Raise for the first of ``survey``'s counts that is not zero."""
+    for name in list(report)[7:]:
+        if report[name]:
+            raise ValueError(f"{name} ({report[name]} rows)")
+
+
 def check_groups(obs: DataFrame, n_groups: int | None = None, column: str = "group_id") -> int:
     """The number of groups. Without ``n_groups`` the ids must be 0 to k-1; with it, gaps are fine but id 0 must occur. No rows: ``n_groups`` or 0."""
-    r = group_report(obs, column).head()
+    return settle_groups(survey(obs, {}, column), n_groups, column)
+
+
+def settle_groups(r: dict[str, int | None], n_groups: int | None = None, column: str = "group_id") -> int:
+    """``check_groups`` of a ``survey``."""
     if not r["n_rows"]:
         return n_groups or 0
     if r["n_invalid"]:

@@ -1,10 +1,13 @@
 """Location of each group: mean, median, trimmed mean, Huber's M-estimate, least trimmed squares.
 
-Median, trimmed mean and Huber first count equal values of a group, a partial aggregation
-that spreads a hot group over all tasks, and then work on its distinct values; least trimmed squares needs the rows' ranks. No group is held in
-an array or map: ranks, running sums and running minima are windows, which spill. Groups of one or two rows have their mean.
-
-Huber's reweighting has no closed form. Its values are dealt in blocks of ``BLOCK`` distinct ones. A group of one block is
+No group is held in an array or map. Groups of at most ``HOT`` rows are ranked in windows, which spill: median, trimmed mean and least trimmed
+squares after one shuffle by group. A larger group is spread over tasks: the median and the trimmed mean select the
+values at their two ranks by rounds of counting (``selection.py``) and sum what lies between, a partial aggregation; least trimmed squares takes ranks
+and running sums in two levels, parts of a group and offsets of the parts, joins both ends of its runs by rank and finds the best so far in two levels again.
+Groups of one or two rows have their mean.
+
+Huber first counts equal values of a group, a partial aggregation that spreads a hot group over all tasks.
+Its reweighting has no closed form. Its values are dealt in blocks of ``BLOCK`` distinct ones. A group of one block is
 solved where it is, with others like it, in NumPy over Arrow batches; a larger one takes a round over its blocks for each step, whose sums are added, until it converges.
 """
 
@@ -17,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fusewright.functions.ordering import in_parts, running
 from fusewright.functions.schemas import require, spine
 from fusewright.functions.shipping import ship
 from fusewright.functions.storage import materialize
-from fusewright.functions.validation import METHODS, check, check_groups, choice, fraction, violations
-from fusewright.operators.group_stats import infer_n_groups
+from fusewright.functions.validation import METHODS, choice, fraction, raise_first, settle_groups, survey, violations
+from fusewright.operators.selection import crossings
 
 BLOCK = 1 << 16
+#: Rows of a group from which it is spread over tasks.
+HOT = 1 << 18
 #: Values in a matrix of groups that are solved together.
 CELLS = 1 << 20
 
@@ -32,9 +38,41 @@ def _mean(obs: DataFrame) -> DataFrame:
     return obs.groupBy("group_id").agg((F.sum("y").cast("double") / F.count("*")).alias("theta"))
 
 
-def _median(obs: DataFrame) -> DataFrame:
-    """The mean of the middle one or two, which is what trimming half of each end leaves."""
-    return _trimmed(obs, 0.5)
+def _kept_ranks(trim: float) -> tuple[Column, Column]:
+    """Ranks low + 1 to high count, of n: all of one or two, the middle if trimming leaves nothing, else all but the cut ends."""
+    n, cut = F.col("n"), F.floor(F.lit(trim) * F.col("n")).cast("long")
+    low = F.when(n <= 2, 0).when(2 * cut >= n, F.expr("(n + 1) div 2 - 1")).otherwise(cut)
+    high = F.when(n <= 2, n).when(2 * cut >= n, F.expr("(n + 2) div 2")).otherwise(n - cut)
+    return low.cast("long"), high.cast("long")
+
+
+def _trimmed(obs: DataFrame, trim: float) -> DataFrame:
+    """The mean of the kept ranks. The median is what trimming half of each end leaves, the mean of the middle one or two."""
+    w = Window.partitionBy("group_id")
+    low, high = _kept_ranks(trim)
+    ranks = obs.withColumns({"k": F.row_number().over(w.orderBy("y")), "n": F.count("*").over(w)})
+    return ranks.filter((F.col("k") > low) & (F.col("k") <= high)).groupBy("group_id").agg((F.sum("y").cast("double") / F.count("*")).alias("theta"))
+
+
+def _large_trimmed(obs: DataFrame, trim: float, hot: int) -> DataFrame:
+    """The same for large groups, without ranks: the values at the ends of what is kept, and the sum of what lies between."""
+    low, high = _kept_ranks(trim)
+    ranks = obs.groupBy("group_id").agg(F.count("*").alias("n")).select("group_id", low.alias("low"), high.alias("high"))
+    ends = F.array(F.struct(F.lit(0).alias("t"), (F.col("low") + 1).alias("rank")), F.struct(F.lit(1).alias("t"), F.col("high").alias("rank")))
+    targets = ranks.select("group_id", F.explode(ends).alias("x")).select("group_id", "x.*")
+    values = obs.select("group_id", F.col("y").alias("z"), F.lit(0).alias("tie"), F.lit(1).cast("long").alias("w"))
+    at = crossings(values, targets, "group_id", lambda z, upto: upto >= F.col("rank"), hot)
+    first, last = (at.filter(F.col("t") == t).select("group_id", F.col("z").alias(name), F.col("rank").alias(f"{name}_rank")) for t, name in enumerate(("first", "last")))
+    y, below, at_first, at_last = F.col("y"), F.col("y") < F.col("first"), F.col("y") == F.col("first"), F.col("y") == F.col("last")
+    sums = obs.join(first.join(last, "group_id"), "group_id").groupBy("group_id", "first", "last", "first_rank", "last_rank").agg(
+        F.count_if(below).alias("under"), F.count_if(below | at_first).alias("through"), F.count_if(y < F.col("last")).alias("under_last"),
+        F.sum(F.when(~below & ~at_first & ~at_last & (y < F.col("last")), y)).alias("between"), F.count_if(at_last).alias("equal"),
+    )
+    kept = F.col("last_rank") - F.col("first_rank") + 1
+    of_first = (F.col("through") - F.col("first_rank") + 1).cast("int")
+    of_last = (F.col("last_rank") - F.col("under_last")).cast("int")
+    total = (F.coalesce("between", F.lit(0)) + F.col("first") * of_first + F.col("last") * of_last).cast("double")
+    return sums.select("group_id", F.when(F.col("first") == F.col("last"), F.col("first").cast("double")).otherwise(total / kept).alias("theta"))
 
 
 def _counted(obs: DataFrame) -> DataFrame:
@@ -44,17 +82,6 @@ def _counted(obs: DataFrame) -> DataFrame:
     return values.withColumns({"upto": F.sum("k").over(w.orderBy("y").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(w)})
 
 
-def _trimmed(obs: DataFrame, trim: float) -> DataFrame:
-    """Ranks low+1 to high count: all of one or two, the middle if trimming leaves nothing, else all but the cut ends."""
-    n, cut = F.col("n"), F.floor(F.lit(trim) * F.col("n")).cast("long")
-    low = F.when(n <= 2, 0).when(2 * cut >= n, F.expr("(n + 1) div 2 - 1")).otherwise(cut)
-    high = F.when(n <= 2, n).when(2 * cut >= n, F.expr("(n + 2) div 2")).otherwise(n - cut)
-    ranks = _counted(obs).withColumns({"low": low, "high": high})
-    inside = F.greatest(F.lit(0), F.least("high", "upto") - F.greatest(F.col("low"), F.col("upto") - F.col("k")))
-    kept = ranks.withColumn("inside", inside).filter("inside > 0")
-    return kept.groupBy("group_id").agg((F.sum(F.col("y") * F.col("inside").cast("int")).cast("double") / F.sum("inside")).alias("theta"))
-
-
 def _weights(y: np.ndarray, k: np.ndarray, t: np.ndarray, delta: float) -> np.ndarray:
     """Weights of values that occur ``k`` times, around ``t``."""
     r = np.abs(y - t)
@@ -178,20 +205,52 @@ def _lts(obs: DataFrame, trim: float, patience: int, tol: float) -> DataFrame:
     return means.join(last, "group_id").select("group_id", F.when(F.col("n") <= 2, F.col("mean")).otherwise(F.col("best")).alias("theta"))
 
 
+def _large_lts(obs: DataFrame, trim: float, patience: int, tol: float) -> DataFrame:
+    """The same for large groups: no window over a group, but for a row for each of its parts."""
+    parts = in_parts(obs.select("group_id", "y"), "group_id", "y")
+    sums = running(parts, "group_id", "y", {"rn": ("sum", F.lit(1).cast("long")), "s1": ("sum", F.col("y")), "s2": ("sum", F.col("y") * F.col("y"))})
+    n = parts.groupBy("group_id").agg(F.count("*").alias("n"))
+    h = F.greatest(F.lit(1), F.least(F.ceil((F.lit(1.0) - F.lit(trim)) * F.col("n")).cast("long"), F.col("n")))
+    sums = materialize(sums.select("group_id", "rn", F.col("s1").cast("double").alias("s1"), F.col("s2").cast("double").alias("s2")), "sums")
+    ends = sums.join(n.select("group_id", h.alias("h")), "group_id").filter("rn >= h").select("group_id", (F.col("rn") - F.col("h")).alias("k"), "h", "s1", "s2")
+    begins = sums.select("group_id", F.col("rn").alias("k"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    t1, t2 = (F.col(f"s{x}") - F.coalesce(f"b{x}", F.lit(0.0)) for x in (1, 2))
+    runs = ends.join(begins, ["group_id", "k"], "left").select("group_id", "k", (t2 - t1 * t1 / F.col("h")).alias("sse"), (t1 / F.col("h")).alias("mean"))
+    runs = running(in_parts(runs, "group_id", "k"), "group_id", "k", {"best": ("min", F.col("sse"))}, before=True)
+    better = materialize(runs.filter(F.col("best").isNull() | (F.col("sse") < F.col("best") - tol)).drop("best"), "better")
+    late = running(better, "group_id", "k", {"last": ("max", F.col("k"))}, before=True)
+    stop = late.filter(F.col("k") - F.col("last") > patience).groupBy("group_id").agg(F.min("k").alias("stop"))
+    reached = better.join(stop, "group_id", "left").filter(F.col("stop").isNull() | (F.col("k") < F.col("stop")))
+    return reached.groupBy("group_id").agg(F.max_by("mean", "k").alias("theta"))
+
+
 def location(
     obs: DataFrame, method: str = "mean", n_groups: int | None = None, *, trim: float = 0.1, huber_delta: float = 1.345, max_iter: int = 100, tol: float = 1e-6,
-    lts_patience: int = 5, lts_tol: float = 1e-12, validate: bool = True,
+    lts_patience: int = 5, lts_tol: float = 1e-12, validate: bool = True, hot: int = HOT,
 ) -> DataFrame:
-    """group_id and theta of every group from 0 to ``n_groups`` - 1; null for a group without rows."""
+    """group_id and theta of every group from 0 to ``n_groups`` - 1; null for a group without rows. Groups of over ``hot`` rows are spread over tasks."""
     method, trim = choice(method, METHODS, "method"), fraction(trim)
     obs = require(obs, "group_id", "y")
-    if validate:
-        check(obs, violations("y"))
-        n_groups = check_groups(obs, n_groups)
-    elif n_groups is None:
-        n_groups = infer_n_groups(obs)
+    trim = 0.5 if method == "median" else trim
+    ranked = method in ("median", "trimmed_mean", "lts")
+    if validate or n_groups is None or ranked:
+        # one job for all that has to be known before the plan: whether the rows are sound, how many groups, how large the largest
+        known = survey(obs, violations("y") if validate else {})
+        if validate:
+            raise_first(known)
+            n_groups = settle_groups(known, n_groups)
+        elif n_groups is None:
+            n_groups = 0 if known["max_id"] is None else known["max_id"] + 1
+    spread = ranked and (known["largest"] or 0) > hot
+    if spread:
+        sizes = materialize(obs.groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("group_id"), "hot")
+        few, many = obs.join(sizes, "group_id", "left_anti"), obs.join(sizes, "group_id", "left_semi")
+    else:
+        few, many = obs, None
     theta = {
-        "mean": lambda: _mean(obs), "median": lambda: _median(obs), "trimmed_mean": lambda: _trimmed(obs, trim),
-        "huber": lambda: _huber(obs, huber_delta, max_iter, tol), "lts": lambda: _lts(obs, trim, lts_patience, lts_tol),
-    }[method]()
-    return spine(obs.sparkSession, n_groups).join(theta.select("group_id", "theta"), "group_id", "left")
+        "mean": lambda: _mean(obs), "median": lambda: _trimmed(few, trim), "trimmed_mean": lambda: _trimmed(few, trim),
+        "huber": lambda: _huber(obs, huber_delta, max_iter, tol), "lts": lambda: _lts(few, trim, lts_patience, lts_tol),
+    }[method]().select("group_id", "theta")
+    if spread:
+        theta = theta.unionByName(_large_lts(many, trim, lts_patience, lts_tol) if method == "lts" else _large_trimmed(many, trim, hot))
+    return spine(obs.sparkSession, n_groups).join(theta, "group_id", "left")
