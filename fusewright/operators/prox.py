@@ -39,8 +39,11 @@ def _is_median(cw: Column) -> Column:
     return F.when(F.col("total") > 0, cw >= F.col("total") / 2).otherwise(cw >= F.floor(F.col("r") / 2) + 1)
 
 
-def solve_scalar(problems: DataFrame, nbrs: DataFrame, validate: bool = True, leaf: int = LEAF) -> DataFrame:
-    """problem_id and x. Problems of over ``leaf`` neighbours are narrowed by counting before anything is sorted."""
+def solve_scalar(problems: DataFrame, nbrs: DataFrame, validate: bool = True, leaf: int = LEAF, largest: int | None = None) -> DataFrame:
+    """problem_id and x. Problems of over ``leaf`` neighbours are narrowed by counting before anything is sorted.
+
+    largest: a bound of a problem's neighbours, if known (2 on a chain); no job then has to look for hubs.
+    """
     problems, nbrs = require(problems, "problem_id", "n", "s", "lam"), require(nbrs, "problem_id", "nbr", "z", "w")
     if validate:
         check_problems(problems, nbrs)
@@ -51,11 +54,26 @@ def solve_scalar(problems: DataFrame, nbrs: DataFrame, validate: bool = True, le
     # values without weight count as one each where a weighted median is asked for
     flat = targets.filter("n = 0 AND total = 0 AND r > 0").select("problem_id", F.lit(True).alias("flat"))
     weighed = nbrs.join(flat, "problem_id", "left").select("problem_id", "z", F.col("nbr").alias("tie"), F.when(F.col("flat"), 1.0).otherwise(F.col("w")).alias("w"))
-    first = crossings(weighed, targets, "problem_id", holds, leaf)
+    first = crossings(weighed, targets, "problem_id", holds, leaf, largest)
     smooth = F.when(F.col("z").isNull(), at(F.col("total"))).otherwise(F.least(F.col("z"), at(F.col("before"))))
     return first.select("problem_id", F.when(F.col("n") > 0, smooth).otherwise(F.coalesce("z", F.lit(0.0))).alias("x"))
 
 
+def solve_scalar_small(problems: DataFrame, nbrs: DataFrame) -> DataFrame:
+    """problem_id and x of problems of at most ``ROW_LOCAL`` neighbours, each solved in its row after one aggregation; more are an error of the job."""
+    problems, nbrs = require(problems, "problem_id", "n", "s", "lam"), require(nbrs, "problem_id", "nbr", "z", "w")
+    few = F.assert_true(F.count("*") <= ROW_LOCAL, F.lit(f"a problem has over {ROW_LOCAL} neighbours")).isNull()
+    lists = nbrs.groupBy("problem_id").agg(F.when(few, F.collect_list(F.struct("z", "w"))).alias("nbrs"))
+    rows = problems.join(lists, "problem_id", "left").withColumn("nbrs", F.coalesce("nbrs", F.array().cast("array<struct<z:double,w:double>>")))
+    ordered, size = F.array_sort("nbrs"), F.size("nbrs")
+    total = F.aggregate("nbrs", F.lit(0.0), lambda a, e: a + e["w"])
+    # the running weights below half of the whole, or the lower half of the values if none has weight
+    under = F.aggregate(ordered, F.struct(F.lit(0.0).alias("cw"), F.lit(0).alias("k")), lambda a, e: F.struct((a["cw"] + e["w"]).alias("cw"), (a["k"] + (a["cw"] + e["w"] < total / 2).cast("int")).alias("k")))["k"]
+    flat = F.coalesce(F.get(ordered, F.when(total > 0, under).otherwise(F.floor(size / 2).cast("int")))["z"], F.lit(0.0))
+    smooth = solve_scalar_row(F.when(F.col("n") > 0, F.col("n")), F.col("s"), F.col("lam"), F.col("nbrs"))
+    return rows.select("problem_id", F.when(F.col("n") > 0, smooth).otherwise(flat).alias("x"))
+
+
 def solve_scalar_row(n: Column, s: Column, lam: Column, nbrs: Column) -> Column:
     """The same for one row with n > 0 and an array of (z, w) of at most ``ROW_LOCAL`` neighbours."""
     ordered = F.array_sort(nbrs)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.ordering import with_rank
-from fusewright.functions.schemas import spine
+from fusewright.functions.schemas import require, spine
 from fusewright.functions.validation import check_index
 from fusewright.operators.group_stats import infer_n_groups
 from fusewright.operators.location import location
@@ -19,8 +19,12 @@ from fusewright.operators.weights import adaptive_weights, uniform_weights
 class FusionGraph:
     """Canonical weighted pairs over nodes 0 to ``n_params`` - 1, as lazy tables."""
 
-    def __init__(self, pairs: DataFrame, n_params: int | None = None, how: str = "first", validate: bool = True):
-        if validate:
+    def __init__(self, pairs: DataFrame, n_params: int | None = None, how: str = "first", validate: bool = True, canonical: bool = False):
+        """canonical: the pairs are so already (u < v, one row each), as a chain's are, and need no merging; only without ``validate``."""
+        if canonical and not validate:
+            self.pairs = require(pairs, "u", "v", "weight")
+            self.n_params = infer_n_params(self.pairs) if n_params is None else n_params
+        elif validate:
             self.pairs, self.n_params = check_fusion_pairs(pairs, n_params, how)
         else:
             self.pairs = canonicalize(pairs, how)

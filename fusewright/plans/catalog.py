@@ -18,7 +18,7 @@ from fusewright.operators.encoding import LabelEncoder
 from fusewright.operators.group_stats import group_stats, grouping_flag, infer_n_groups, padded_stats
 from fusewright.operators.location import location
 from fusewright.operators.pairs import canonicalize, chain
-from fusewright.operators.prox import graph_problems, objective, solve_scalar, weighted_median
+from fusewright.operators.prox import graph_problems, objective, solve_scalar, solve_scalar_small, weighted_median
 from fusewright.operators.structure import FusionGraph, build_graph
 from fusewright.operators.weights import adaptive_weights, distance_weights, uniform_weights
 from fusewright.sources import tables as src
@@ -467,7 +467,7 @@ def chain_stats(spark, d) -> tuple[DataFrame, DataFrame, FusionGraph]:
     top = infer_n_groups(sums)
     stats = padded_stats(sums.withColumn("sum", F.col("sum").cast("double")), top)
     theta = stats.select("group_id", F.when(F.col("size") > 0, F.col("mean")).alias("theta"))
-    return stats, theta, FusionGraph(adaptive_weights(chain(spark, top), theta), top, validate=False)
+    return stats, theta, FusionGraph(adaptive_weights(chain(spark, top), theta), top, validate=False, canonical=True)
 
 
 def chain_problems(spark, d, lam: float) -> tuple[DataFrame, DataFrame]:
@@ -475,8 +475,12 @@ def chain_problems(spark, d, lam: float) -> tuple[DataFrame, DataFrame]:
     return graph_problems(stats, graph.adjacency, theta, lam)
 
 
-def solved(problems: DataFrame, nbrs: DataFrame) -> DataFrame:
-    return solve_scalar(problems, nbrs, validate=False).select("problem_id", r6("x").alias("x"))
+#: Neighbours on a chain.
+BOTH_SIDES = 2
+
+
+def solved(problems: DataFrame, nbrs: DataFrame, **options: int) -> DataFrame:
+    return solve_scalar(problems, nbrs, validate=False, **options).select("problem_id", r6("x").alias("x"))
 
 
 @query("flagship_fused_suppliers", prox_sql(SUPPLIERS + CHAIN_ADJ, "1e8", "SELECT group_id AS supplier, CAST(n AS BIGINT) AS items, round(s / n, 6) AS mean, round(x, 6) AS fused FROM solved JOIN st ON group_id = problem_id"))
@@ -484,19 +488,19 @@ def flagship(spark, d):
     """Suppliers' mean prices, one sweep of the scalar problem along the chain of suppliers."""
     stats, theta, graph = chain_stats(spark, d)
     problems, nbrs = graph_problems(stats, graph.adjacency, theta, LAMBDA)
-    fused = solve_scalar(problems, nbrs, validate=False)
+    fused = solve_scalar_small(problems, nbrs)
     return stats.join(fused, F.col("group_id") == F.col("problem_id")).select(F.col("group_id").alias("supplier"), F.col("size").alias("items"), r6("mean").alias("mean"), r6("x").alias("fused"))
 
 
 @query("prox_chain", prox_sql(SUPPLIERS + CHAIN_ADJ, "1e7", "SELECT problem_id, round(x, 6) AS x FROM solved"))
 def _(spark, d):
-    return solved(*chain_problems(spark, d, 1e7))
+    return solved(*chain_problems(spark, d, 1e7), largest=BOTH_SIDES)
 
 
 @query("prox_objective", prox_sql(SUPPLIERS + CHAIN_ADJ, "1e7", "SELECT p.problem_id, round((n * x * x / 2 - s * x + lam * (SELECT sum(w * abs(x - z)) FROM nbrs b WHERE b.problem_id = p.problem_id)) / 1e6, 4) AS millions FROM problems p JOIN solved q ON q.problem_id = p.problem_id"))
 def _(spark, d):
     problems, nbrs = chain_problems(spark, d, 1e7)
-    return objective(solve_scalar(problems, nbrs, validate=False), problems, nbrs).select("problem_id", F.round(F.col("objective") / 1e6, 4).alias("millions"))
+    return objective(solve_scalar(problems, nbrs, validate=False, largest=BOTH_SIDES), problems, nbrs).select("problem_id", F.round(F.col("objective") / 1e6, 4).alias("millions"))
 
 
 NATION_BASE = f"obs AS ({CUSTOMERS}), {MEAN_T}, p AS ({NATION_PAIRS}), adj AS (SELECT u AS node, v AS nbr, CAST(1 AS DOUBLE) AS w FROM p UNION ALL SELECT v, u, CAST(1 AS DOUBLE) FROM p)"
@@ -522,7 +526,7 @@ def _(spark, d):
     path = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lam).alias("l")) for k, lam in enumerate(PATH)]))
     many = problems.withColumn("e", path).select((F.col("problem_id") * len(PATH) + F.col("e.k")).alias("problem_id"), "n", "s", F.col("e.l").alias("lam"))
     near = nbrs.withColumn("e", path).select((F.col("problem_id") * len(PATH) + F.col("e.k")).alias("problem_id"), "nbr", "z", "w")
-    return solve_scalar(many, near, validate=False).join(many, "problem_id").select(F.expr(f"problem_id div {len(PATH)}").alias("supplier"), "lam", r6("x").alias("x"))
+    return solve_scalar(many, near, validate=False, largest=BOTH_SIDES).join(many, "problem_id").select(F.expr(f"problem_id div {len(PATH)}").alias("supplier"), "lam", r6("x").alias("x"))
 
 
 @query("prox_isolated", stats_sql(CUSTOMERS, "25").replace("SELECT CAST(g AS BIGINT) AS group_id, coalesce(size, 0) AS size, round(coalesce(sum, 0), 6) AS sum, round(coalesce(sum / size, 0), 6) AS mean", "SELECT CAST(g AS BIGINT) AS problem_id, round(coalesce(sum / size, 0), 6) AS x"))

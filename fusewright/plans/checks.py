@@ -265,3 +265,41 @@ SELECT CAST(a AS BIGINT) AS node, CAST(min(b) AS BIGINT) AS component FROM reach
 def _(spark, d):
     edges = src.event_pairs(spark, d).filter("(u + v) % 7 < 2").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     return component_stars(edges, 7).select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+#: A third of all events in one group, and bounds so low that it and others are spread over tasks.
+_HOT = cat.VALUES.replace("user_id AS group_id", "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS group_id")
+SPREAD_FROM = 40
+
+
+def _hot_values(spark, d) -> DataFrame:
+    return src.user_values(spark, d).withColumn("group_id", F.when(F.col("obs_idx") % 3 == 0, 0).otherwise(F.col("group_id")))
+
+
+@query("loc_median_hot", cat.theta_sql(f"obs AS ({_HOT}), t AS (SELECT group_id, median(CAST(y AS DOUBLE)) AS theta FROM obs GROUP BY group_id)", cat.N_USERS))
+def _(spark, d):
+    return cat.theta_of(_hot_values(spark, d), "median", hot=SPREAD_FROM)
+
+
+@query("loc_trimmed_hot", cat.trimmed_sql(_HOT, cat.N_USERS, 0.2))
+def _(spark, d):
+    return cat.theta_of(_hot_values(spark, d), "trimmed_mean", trim=0.2, hot=SPREAD_FROM)
+
+
+@query("loc_lts_hot", cat.lts_sql(_HOT, cat.N_USERS, 0.3, 50))
+def _(spark, d):
+    return cat.theta_of(_hot_values(spark, d), "lts", trim=0.3, lts_patience=50, hot=SPREAD_FROM)
+
+
+_HUBS = """nbrs AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id + 1 END AS problem_id, event_id AS nbr, CAST(value AS DOUBLE) AS z, CAST(event_id % 4 AS DOUBLE) AS w FROM events),
+problems AS (SELECT problem_id, CAST(3 + problem_id % 5 AS DOUBLE) AS n, CAST(100 * (problem_id % 7) AS DOUBLE) AS s, CAST(problem_id % 3 AS DOUBLE) / 4 AS lam FROM (SELECT DISTINCT problem_id FROM nbrs))"""
+
+
+@query("prox_hubs", f"WITH {_HUBS}{cat.PROX} SELECT CAST(problem_id AS BIGINT) AS problem_id, round(x, 6) AS x FROM solved")
+def _(spark, d):
+    """A problem that a third of all events are neighbours of, and others over the bound, narrowed by rounds of counting."""
+    events = src.table(spark, d, "events")
+    nbrs = events.select(F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id") + 1).cast("long").alias("problem_id"), F.col("event_id").alias("nbr"), F.col("value").cast("double").alias("z"), (F.col("event_id") % 4).cast("double").alias("w"))
+    k = F.col("problem_id")
+    problems = nbrs.select("problem_id").distinct().select("problem_id", (3 + k % 5).cast("double").alias("n"), (100 * (k % 7)).cast("double").alias("s"), ((k % 3) / 4).alias("lam"))
+    return cat.solved(problems, nbrs, leaf=SPREAD_FROM)

@@ -13,7 +13,7 @@ from fusewright.functions.validation import check_array, check_groups
 from fusewright.operators import location as loc
 from fusewright.operators.group_stats import group_stats, grouping_flag
 from fusewright.operators.location import location
-from fusewright.operators.prox import objective, solve_scalar, solve_scalar_row, weighted_median
+from fusewright.operators.prox import objective, solve_scalar, solve_scalar_row, solve_scalar_small, weighted_median
 from fusewright.operators.weights import adaptive_weights, distance_weights, uniform_weights
 
 
@@ -137,8 +137,10 @@ def problem_tables(spark, rows):
 
 
 def test_scalar_worked_values(spark):
-    got = {r["problem_id"]: r["x"] for r in solve_scalar(*problem_tables(spark, PROBLEMS)).collect()}
-    assert [got[k] for k in range(len(PROBLEMS))] == pytest.approx([p[-1] for p in PROBLEMS])
+    tables = problem_tables(spark, PROBLEMS)
+    for solved in (solve_scalar(*tables), solve_scalar(*tables, largest=3), solve_scalar_small(*tables)):
+        got = {r["problem_id"]: r["x"] for r in solved.collect()}
+        assert [got[k] for k in range(len(PROBLEMS))] == pytest.approx([p[-1] for p in PROBLEMS])
 
 
 def test_scalar_is_optimal_and_forms_agree(spark):
@@ -162,6 +164,11 @@ def test_scalar_is_optimal_and_forms_agree(spark):
             assert cost(r["x"]) <= cost(r["x"] + step) + 1e-9
 
 
+def test_small_problems_are_small(spark):
+    with pytest.raises(Exception, match="over 64 neighbours"):
+        solve_scalar_small(*problem_tables(spark, [(1, 1, [1.0] * 65, [1.0] * 65, 1)])).collect()
+
+
 def test_scalar_rejects(spark):
     for row in ((1, 1, [], [], -1), (-1, 1, [], [], 1), (1, 1, [1], [-1], 1)):
         with pytest.raises(ValueError):
