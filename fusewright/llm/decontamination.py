@@ -11,8 +11,11 @@ that hold it go, but for those whose values equal the item's; open windows are c
 The benchmark's windows are broadcast while they number at most ``BROADCAST_WINDOWS``, and joined by a
 shuffle beyond. Only documents with matched slots are read again, for their values.
 
+A window of placeholders only says nothing about a question, and a list of numbers or names would match any other. Such a window is hashed by its values instead, so that
+it is evidence where they are equal, and no hash is shared by all lists.
+
 An item of fewer tokens than a window is one window of its own length, which documents have at the lengths of
-such items; if it holds placeholders only, its values must be equal too.
+such items.
 
 Defined results: null or empty texts have no windows and never match; in ``find_leaks``, rows that repeat a doc_id count as one document, its
 windows together, and rows without one are documents by their text; ``remove_contaminated`` takes every row by itself (rows equal in doc_id and text alike);
@@ -23,6 +26,8 @@ results; very long texts are read whole; other columns are ignored or kept as th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,19 +71,33 @@ def _template(x: Column, before: Column, supposed: bool) -> Column:
 
 
 def templates(df: DataFrame, key: str, supposed: bool = True, name: str = "hashes") -> DataFrame:
-    """key and hashes: the template tokens' hashes of each row."""
+    """key, hashes (of the template tokens) and values (of the tokens as they are) of each row."""
     ended = F.xxhash64(F.lit(None).cast("string"))  # what a sentence's end hashes to
-    hashed = let(_tokens(F.col("text")), lambda t: F.transform(t, lambda x, i: F.xxhash64(_template(x, F.get(t, i - 1), supposed))))
-    return df.select(key, F.filter(hashed, lambda h: h != ended).alias(name))
+    hashed = lambda t: F.filter(F.transform(t, lambda x, i: F.xxhash64(_template(x, F.get(t, i - 1), supposed))), lambda h: h != ended)
+    values = lambda t: F.transform(F.filter(t, lambda x: ~_ends(x)), lambda x: F.xxhash64(x))
+    both = let(_tokens(F.col("text")), lambda t: F.struct(hashed(t).alias("h"), values(t).alias("v")))
+    return df.select(key, both.alias("x_")).select(key, F.col("x_.h").alias(name), F.col("x_.v").alias("values"))
+
+
+def _is_slot(h: Column) -> Column:
+    return reduce(lambda a, b: a | b, [h == F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)])
 
 
 def windows(hashed: DataFrame, key: str, *widths: int, hashes: str = "hashes") -> DataFrame:
-    """key, position (from 0) and hash of every window of ``widths`` template tokens."""
-    of = lambda all_, width: F.transform(F.slice(all_, 1, F.greatest(F.size(all_) - (width - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(all_, i + k) for k in range(1, width)]))
+    """key, position (from 0) and hash of every window of ``widths`` template tokens; of placeholders only, by their values."""
+
+    def of(x: Column, width: int) -> Column:
+        def window(h: Column, i: Column) -> Column:
+            bare = reduce(lambda a, b: a & b, [_is_slot(h), *[_is_slot(F.get(x["h"], i + k)) for k in range(1, width)]])  # most end at the first token
+            return F.when(bare, F.xxhash64(F.lit("values"), *[F.get(x["v"], i + k) for k in range(width)])).otherwise(F.xxhash64(h, *[F.get(x["h"], i + k) for k in range(1, width)]))
+
+        return F.transform(F.slice(x["h"], 1, F.greatest(F.size(x["h"]) - (width - 1), F.lit(0))), window)
+
+    both = F.struct(F.col(hashes).alias("h"), F.col("values").alias("v"))
     if len(widths) == 1:
-        return hashed.select(key, F.posexplode(let(F.col(hashes), lambda all_: of(all_, widths[0]))).alias("position", "hash"))
-    placed = lambda all_: F.concat(*[F.transform(of(all_, w), lambda h, i: F.struct(i.alias("position"), h.alias("hash"))) for w in widths])
-    return hashed.select(key, F.explode(let(F.col(hashes), placed)).alias("x")).select(key, "x.*")
+        return hashed.select(key, F.posexplode(let(both, lambda x: of(x, widths[0]))).alias("position", "hash"))
+    placed = lambda x: F.concat(*[F.transform(of(x, w), lambda h, i: F.struct(i.alias("position"), h.alias("hash"))) for w in widths])
+    return hashed.select(key, F.explode(let(both, placed)).alias("x")).select(key, "x.*")
 
 
 def slot_values(df: DataFrame, key: str) -> DataFrame:
@@ -110,10 +129,10 @@ def _inconsistent(matches: DataFrame, docs: DataFrame, items: DataFrame) -> Data
 
 
 def _item_templates(items: DataFrame) -> DataFrame:
-    """item_id, hashes and supposed (with names at the beginning of sentences)."""
+    """item_id, hashes, supposed (with names at the beginning of sentences) and values."""
     texts = items.select(F.struct("item_id", "text").alias("row"), "text")
     sure = templates(texts, "row", False)
-    return templates(sure.select(F.struct("row.item_id", "hashes").alias("kept"), "row.text"), "kept", True, "supposed").select("kept.*", "supposed")
+    return templates(sure.select(F.struct("row.item_id", "hashes").alias("kept"), "row.text"), "kept", True, "supposed").select("kept.*", "supposed", "values")
 
 
 def _doc_key(every_row: bool) -> Column:
@@ -131,7 +150,6 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float) -
     """``find_leaks`` of documents by ``_doc_key``; no item_id is null."""
     items = benchmark.select("item_id", "text").dropDuplicates(["item_id", "text"])
     hashed = materialize(_item_templates(items), "items")
-    slots = F.array(*[F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)])
     short = F.least(F.size("hashes"), F.lit(width)).alias("width")
     widths = sorted({width} | {r["width"] for r in hashed.select(short).filter("width > 0").distinct().collect()})  # at most ``width`` numbers
     theirs = None
@@ -139,16 +157,14 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float) -
         some = hashed.filter(short == w)
         for open_, column in ((False, "hashes"), (True, "supposed")):
             held = F.slice(column, F.col("position") + 1, w)
-            is_slot = F.transform(held, lambda h: F.array_contains(slots, h))
             own = windows(some.withColumn("row", F.struct("item_id", "hashes", "supposed")), "row", w, hashes=column).select("row.*", "position", "hash")
             own = own.filter(held != F.slice("hashes", F.col("position") + 1, w)) if open_ else own
-            bare = F.lit(w < width) & F.forall(is_slot, lambda s: s)
-            part = own.select("item_id", F.col("position").alias("item_position"), "hash", F.lit(open_).alias("open"), F.lit(w).alias("width"), F.exists(is_slot, lambda s: s).alias("slotted"), bare.alias("bare")).distinct()
+            part = own.select("item_id", F.col("position").alias("item_position"), "hash", F.lit(open_).alias("open"), F.lit(w).alias("width"), F.exists(held, _is_slot).alias("slotted")).distinct()
             theirs = part if theirs is None else theirs.unionByName(part)
     theirs = materialize(theirs, "windows")
     small = theirs.count() <= BROADCAST_WINDOWS
     ours = windows(templates(docs, "doc_id"), "doc_id", *widths)
-    columns = ["item_id", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "open", "width", "slotted", "bare"]
+    columns = ["item_id", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "open", "width", "slotted"]
     found = ours.join(F.broadcast(theirs) if small else theirs, "hash").select(F.col("doc_id").alias("doc"), *columns).distinct()
     found = materialize(found, "matches")
     slotted = found.filter("slotted")
@@ -157,7 +173,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float) -
         same = (F.col("doc") == F.col("b")) & (F.col("item_id") == F.col("bi")) & (F.col("shift") == F.col("bs")) & (F.col("open") == F.col("bo"))
         found = found.join(bad, same, "left")
         inside = lambda places: F.exists(places, lambda x: (x >= F.col("item_position")) & (x < F.col("item_position") + F.col("width")))
-        found = found.filter(F.col("clash").isNull() | ~((inside("clash") | F.col("bare")) & inside("changed")))
+        found = found.filter(F.col("clash").isNull() | ~(inside("clash") & inside("changed")))
     held = found.groupBy("doc", "item_id").agg(F.collect_set(F.struct("item_position", "width")).alias("at"))  # at most an item's windows
     tokens = F.flatten(F.transform("at", lambda w: F.sequence(w["item_position"], w["item_position"] + w["width"] - 1)))
     sizes = hashed.groupBy("item_id").agg(F.max(F.size("hashes")).alias("item_tokens"))

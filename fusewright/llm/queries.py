@@ -196,7 +196,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
     "op6_template_decontamination": r"""
 WITH raw AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(coalesce(text, ''), '\$?[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{M}]+|[.!?\n]') AS w FROM documents
-  UNION ALL SELECT 'b', item_id, regexp_extract_all(coalesce(text, ''), '\$?[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{M}]+|[.!?\n]') FROM benchmark
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(coalesce(text, ''), '\$?[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{M}]+|[.!?\n]') FROM benchmark WHERE item_id IS NOT NULL
 ), shaped AS (
   SELECT side, id, list_filter(list_transform(w, lambda x, i: struct_pack(value := x, ends := x IN ('.', '!', '?', chr(10)), number := regexp_matches(x, '^[$0-9]'),
       unit := i > 1 AND regexp_matches(w[i - 1], '^[$0-9]') AND lower(x) IN (UNIT_LIST), first := i = 1 OR w[i - 1] IN ('.', '!', '?', chr(10)),
@@ -204,21 +204,26 @@ WITH raw AS (
 ), typed AS (
   SELECT side, id, list_transform(t, lambda y: struct_pack(value := y.value, open := y.title AND y.first AND NOT y.unit AND NOT y.number,
       template := CASE WHEN y.number THEN '<number>' WHEN y.unit THEN '<unit>' WHEN y.title AND NOT y.first THEN '<name>' ELSE lower(y.value) END)) AS t FROM shaped
+), widths AS (
+  SELECT DISTINCT least(len(t), 8) AS w FROM typed WHERE side = 'b' AND len(t) > 0
+), span AS (
+  SELECT side, id, w, unnest(range(0, len(t) - w + 1)) AS p, unnest(list_transform(range(0, len(t) - w + 1), lambda p: t[p + 1:p + w])) AS s
+  FROM typed JOIN widths ON side = 'd' OR w = least(len(t), 8)
+), kinds AS (
+  SELECT side, id, w, p, s, false AS supposed, list_transform(s, lambda y: y.template) AS k FROM span WHERE side = 'b'
+  UNION ALL
+  SELECT side, id, w, p, s, true, list_transform(s, lambda y: CASE WHEN y.open THEN '<name>' ELSE y.template END) FROM span WHERE side = 'd' OR len(list_filter(s, lambda y: y.open)) > 0
 ), win AS (
-  SELECT side, id, p, supposed, g FROM (
-    SELECT side, id, unnest(range(0, len(t) - 7)) AS p, false AS supposed, unnest(list_transform(range(0, len(t) - 7), lambda p: list_transform(t[p + 1:p + 8], lambda y: y.template))) AS g FROM typed WHERE side = 'b'
-    UNION ALL
-    SELECT side, id, p, true, list_transform(s, lambda y: CASE WHEN y.open THEN '<name>' ELSE y.template END) FROM (
-      SELECT side, id, unnest(range(0, len(t) - 7)) AS p, unnest(list_transform(range(0, len(t) - 7), lambda p: t[p + 1:p + 8])) AS s FROM typed) WHERE side = 'd' OR len(list_filter(s, lambda y: y.open)) > 0)
+  SELECT side, id, w, p, supposed, CASE WHEN len(list_filter(k, lambda x: x NOT IN ('<number>', '<name>', '<unit>'))) = 0 THEN list_prepend('values', list_transform(s, lambda y: y.value)) ELSE k END AS g FROM kinds
 ), m AS (
-  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.p - b.p AS shift, b.p AS p, b.supposed FROM win d JOIN win b ON d.g = b.g WHERE d.side = 'd' AND b.side = 'b'
+  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.p - b.p AS shift, b.p AS p, b.w, b.supposed FROM win d JOIN win b ON d.w = b.w AND d.g = b.g WHERE d.side = 'd' AND b.side = 'b'
 ), slots AS (
   SELECT side, id, unnest(range(0, len(t))) AS p, unnest(t) AS t FROM typed
 ), ways AS (
   SELECT *, supposed AS way FROM m UNION ALL SELECT *, true FROM m WHERE NOT supposed
 ), pairs AS (
   SELECT DISTINCT m.doc_id, m.item_id, m.shift, m.way, m.p, CASE WHEN b.t.open THEN '<name>' ELSE b.t.template END AS kind, b.t.value AS ours, d.t.value AS theirs
-  FROM (SELECT DISTINCT doc_id, item_id, shift, way, unnest(range(p, p + 8)) AS p FROM ways) m
+  FROM (SELECT DISTINCT doc_id, item_id, shift, way, unnest(range(p, p + w)) AS p FROM ways) m
   JOIN slots b ON b.side = 'b' AND b.id = m.item_id AND b.p = m.p AND (b.t.template IN ('<number>', '<name>', '<unit>') OR (b.t.open AND m.way))
   JOIN slots d ON d.side = 'd' AND d.id = m.doc_id AND d.p = m.p + m.shift
 ), clash AS (
@@ -226,15 +231,15 @@ WITH raw AS (
     SELECT doc_id, item_id, shift, way, kind, ours FROM pairs GROUP BY ALL HAVING count(DISTINCT theirs) > 1) USING (doc_id, item_id, shift, way, kind, ours)
 ), gone AS (
   SELECT DISTINCT m.doc_id, m.item_id, m.shift, m.supposed, m.p FROM m
-  JOIN clash c ON c.doc_id = m.doc_id AND c.item_id = m.item_id AND c.shift = m.shift AND c.way = m.supposed AND c.p BETWEEN m.p AND m.p + 7
-  JOIN pairs x ON x.doc_id = m.doc_id AND x.item_id = m.item_id AND x.shift = m.shift AND x.way = m.supposed AND x.p BETWEEN m.p AND m.p + 7 AND x.ours <> x.theirs
+  JOIN clash c ON c.doc_id = m.doc_id AND c.item_id = m.item_id AND c.shift = m.shift AND c.way = m.supposed AND c.p BETWEEN m.p AND m.p + m.w - 1
+  JOIN pairs x ON x.doc_id = m.doc_id AND x.item_id = m.item_id AND x.shift = m.shift AND x.way = m.supposed AND x.p BETWEEN m.p AND m.p + m.w - 1 AND x.ours <> x.theirs
 ), ok AS (
-  SELECT doc_id, item_id, p FROM m WHERE NOT EXISTS (
+  SELECT doc_id, item_id, p, w FROM m WHERE NOT EXISTS (
     SELECT 1 FROM gone g WHERE g.doc_id = m.doc_id AND g.item_id = m.item_id AND g.shift = m.shift AND g.supposed = m.supposed AND g.p = m.p)
 ), covered AS (
   SELECT doc_id, item_id, count(DISTINCT p) AS matched_windows FROM ok GROUP BY ALL
 ), tokens AS (
-  SELECT doc_id, item_id, count(DISTINCT x) AS covered_tokens FROM (SELECT doc_id, item_id, unnest(range(p, p + 8)) AS x FROM ok) GROUP BY ALL
+  SELECT doc_id, item_id, count(DISTINCT x) AS covered_tokens FROM (SELECT doc_id, item_id, unnest(range(p, p + w)) AS x FROM ok) GROUP BY ALL
 )
 SELECT c.doc_id, c.item_id, CAST(matched_windows AS INT) AS matched_windows, CAST(covered_tokens AS INT) AS covered_tokens, CAST(len(t.t) AS INT) AS item_tokens
 FROM covered c JOIN tokens k ON c.doc_id = k.doc_id AND c.item_id = k.item_id JOIN typed t ON t.side = 'b' AND t.id = c.item_id

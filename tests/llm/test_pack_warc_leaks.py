@@ -273,3 +273,52 @@ def test_stages_keep_the_columns(spark, docs, tmp_path):
     df = docs("a b", None).limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).columns == df.columns
+
+
+def test_lists_of_numbers_and_names_are_no_leaks(spark, docs):
+    rng = random.Random(12)
+    numbers = lambda n: " ".join(str(rng.randrange(10_000, 99_999)) for _ in range(n))
+    names = ["".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3)).title() for _ in range(120)]
+    items = [(k, numbers(20)) for k in range(20)] + [(100 + k, "see " + " ".join(names[20 * k : 20 * k + 18])) for k in range(3)]
+    mixed = "a farmer sells 12 crates of plums to Anna for 30 dollars and then 45 crates of pears to Boris for 90 dollars"
+    items += [(200, mixed), (201, "4711 1234"), (202, "Anna Boris")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    again = mixed.replace("12", "7").replace("Anna", "Clara").replace("30", "81").replace("45", "3").replace("Boris", "Denis").replace("90", "15")
+    texts = [numbers(2000), "they list " + " ".join(names[60:]), "before " + items[5][1] + " after", "so: " + items[20][1], again, "1234 4711 99 4711 1234 8", "x Boris Anna y"]
+    got = {(r["doc_id"], r["item_id"]) for r in de.find_leaks(docs(*texts), benchmark).collect()}
+    assert got == {(2, 5), (3, 100), (4, 200), (5, 201)}
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_lists_of_numbers_make_few_matches(spark, docs, monkeypatch, n):
+    """Windows of placeholders only share no hash: twenty items of twenty numbers against one list of ``n``."""
+    rng = random.Random(n)
+    numbers = lambda k: " ".join(str(rng.randrange(10_000, 99_999)) for _ in range(k))
+    benchmark = spark.createDataFrame([(k, numbers(20)) for k in range(20)], "item_id long, text string")
+    stored, materialize = {}, de.materialize
+    monkeypatch.setattr(de, "materialize", lambda df, label: stored.setdefault(label, materialize(df, label)))
+    assert de.find_leaks(docs(numbers(n)), benchmark).count() == 0
+    assert stored["matches"].count() < 100
+
+
+def test_leaks_equal_their_sql(spark, docs):
+    """Short items, lists, names at the beginning of sentences and conflicts, by the query's SQL."""
+    import duckdb
+
+    queries = pytest.importorskip("fusewright.llm.queries")
+    rng = random.Random(4)
+    base = ["Tom has 3 apples", "Ann buys 5 kg of pears", "who has the most fruit?", "Bob", "17 18 19 20", "What is the capital of France?", "a train leaves at 9 and goes 70 km in 2 hours.", "Eva", "the sum", "12 %", "no.", "Mia Leo Kim"]
+    items = [(k, " ".join(rng.choice(base) for _ in range(rng.randrange(1, 5)))) for k in range(40)] + [(None, "a null item")]
+    swap = str.maketrans("0123456789", "5550123456")
+    texts = []
+    for _ in range(60):
+        text = " ".join(rng.choice(items)[1] for _ in range(rng.randrange(1, 3)))
+        texts.append(rng.choice([text, text.translate(swap), text.replace("Tom", "Max").replace("Eva", "Ida"), text.lower(), text.replace("3", "4", 1)]))
+    documents, benchmark = docs(*texts, None, ""), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    con.register("benchmark", benchmark.toPandas().astype({"item_id": "Int64"}))
+    expected = con.sql(queries.ORACLE_SQL["op6_template_decontamination"])
+    got = de.find_leaks(documents, benchmark)
+    assert sorted(tuple(r[c] for c in expected.columns) for r in got.collect()) == sorted(expected.fetchall())
+    assert got.count() > 50
