@@ -45,6 +45,26 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+class ByteCache(dict):
+    """A dict of at most ``most`` bytes: of keys, of values as ``keep`` says, and ``EACH`` for an entry."""
+
+    EACH = 200
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, key: str | bytes, value: object, size: int, renew: bool = False) -> None:
+        """Store ``value`` of ``size`` bytes while there is room; with ``renew``, all others go to make room. What is too large for the cache is not stored."""
+        size += len(key) + self.EACH
+        if self.held + size > self.most and renew and size <= self.most:
+            self.clear()
+            self.held = 0
+        if self.held + size <= self.most:
+            self[key] = value
+            self.held += size
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The strings as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
-from fusewright.llm.common import let, map_batches, utf8
+from fusewright.llm.common import ByteCache, let, map_batches, utf8
 from fusewright.llm.near import BLOCKS, band_keys, cached, common_ends, fetch_by_id, key_blocks, may_hold, mix32, n_buckets, similar_stars, sorted_set, surely_alike, with_sketches
 
 SHINGLE, SIMILARITY = 7, 0.8
@@ -73,6 +73,11 @@ class _Line:
     def __init__(self, line: str):
         self.text = normalise(line)
 
+    @property
+    def nbytes(self) -> int:
+        """With the numbers, which may come later."""
+        return 12 * len(self.text)
+
     @cached_property
     def numbers(self) -> np.ndarray | None:
         c = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -94,7 +99,7 @@ class _Line:
         return len(x & y), len(x), len(y)
 
 
-def alike(x: str, y: str, n: int, m: int, cache: dict) -> bool:
+def alike(x: str, y: str, n: int, m: int, cache: ByteCache) -> bool:
     """Whether the exact Jaccard similarity of the shingle sets is at least ``SIMILARITY``; n, m: elements that the sets have at least."""
     p, q = cached(cache, x, _Line), cached(cache, y, _Line)
     start, end = common_ends(p.text, q.text)

@@ -17,7 +17,7 @@ Skew: keys that a slice of the input holds ``LOCAL`` times or more are grouped t
 the slice going to any task; groups over ``CHUNK`` members are dealt as pairs of chunks. No task holds a hot key.
 
 Keys travel as blocks of many, by bucket, which costs the shuffle far less than a row for each. Bodies are fetched by a second scan
-behind a Bloom filter of the candidates' ids, of ``FILTER_BITS`` bits at most, whatever their number, and joined with the ids by a shuffle.
+behind a Bloom filter of the candidates' ids, of ``FILTER_BITS`` bits at most and left out where they would fill it, and joined with the ids by a shuffle.
 Ids are 64-bit hashes; a second hash, ``check``, tells the body that was compared from others of the same id, which join no class.
 """
 
@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize, scope
-from fusewright.llm.common import map_batches, ship
+from fusewright.llm.common import ByteCache, map_batches, ship
 from fusewright.operators.components import component_stars
 
 BANDS, ROWS = 16, 5
 BINS = BANDS * ROWS
 SKETCH, CHUNK = 2048, 16_384
-LOCAL, MAX_BUCKETS = 16, 1 << 20
+#: Input bytes of a bucket of keys: there are so many buckets that none is larger, whatever the number of shuffle partitions.
+LOCAL, BUCKET_BYTES, MAX_BUCKETS = 16, 1 << 20, 1 << 24
 #: Closest pairs that a member has verified in the first turn, and the factor from turn to turn.
 PER_MEMBER, GROWTH = 4, 4
 #: Members from which a group is compared bit-sliced; numpy's calls cost more than the work below. Queries at a time, planes between tests for abandonment.
@@ -47,7 +48,8 @@ SLICED, QUERIES, TESTED = 1024, 64, 128
 SMALL, LANES = 128, 1 << 14
 SKETCHED = 256
 FILTER_BITS = 1 << 28
-CACHED_TEXTS = 2000
+#: Bytes of the texts, and of what is made of them, that a task keeps while it verifies pairs.
+CACHED_TEXTS = 64 << 20
 _EMPTY = np.uint32(0xFFFFFFFF)
 _PROBES = np.random.RandomState(7).randint(0, BINS, (64, BINS))  # noqa: NPY002  fixed probe order
 
@@ -90,7 +92,7 @@ def band_keys(hashes: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
 
 
 Body = str | bytes
-Alike = Callable[[Body, Body, int, int, dict], bool]
+Alike = Callable[[Body, Body, int, int, ByteCache], bool]
 
 
 def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -98,7 +100,9 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def n_buckets(df: DataFrame) -> int:
-    return min(8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+    """For the keys of ``df``: by the bytes that its plan reads, and several for each task."""
+    read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-read // BUCKET_BYTES)), MAX_BUCKETS)
 
 
 def key_blocks(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -224,7 +228,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, alike: Alike) -> DataFrame:
     both = pairs.join(end("a", "x"), "a").join(end("b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
+        cache = ByteCache(CACHED_TEXTS)
         for batch in batches:
             ends = zip(*[batch.column(c) for c in ("x", "y")], *[batch.column(c).to_pylist() for c in ("n_x", "n_y")])
             ok = np.fromiter((alike(x.as_py(), y.as_py(), n, m, cache) for x, y, n, m in ends), bool, batch.num_rows)
@@ -252,13 +256,15 @@ def surely_alike(n: int, m: int, left: int, right: int, similarity: float) -> bo
     return both >= similarity * (both + left + right)
 
 
-def cached(cache: dict, text: Body, make: Callable[[Body], object]) -> object:
-    """``make(text)``, kept for the texts seen lately."""
+def cached(cache: ByteCache | dict, text: Body, make: Callable[[Body], object]) -> object:
+    """``make(text)``, kept for the texts seen lately, or for all in a plain dict; ``nbytes`` of what is made tells its size."""
     found = cache.get(text)
     if found is None:
-        if len(cache) >= CACHED_TEXTS:
-            cache.clear()
-        found = cache[text] = make(text)
+        found = make(text)
+        if isinstance(cache, ByteCache):
+            cache.keep(text, found, found.nbytes, renew=True)
+        else:
+            cache[text] = found
     return found
 
 
@@ -486,9 +492,12 @@ def _classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], alike: Al
 
 
 def id_filter(ids: DataFrame) -> Broadcast:
-    """Two bits an id in ``FILTER_BITS`` bits at most, for ``may_hold``."""
+    """Two bits an id in ``FILTER_BITS`` bits at most, for ``may_hold``; empty, and holding all, where so many ids would fill it."""
     spark = ids.sparkSession
-    n_bits = min(max(1 << 15, 1 << (16 * ids.count()).bit_length()), FILTER_BITS)
+    n = ids.count()
+    if 4 * n > FILTER_BITS:  # over a third of the bits would be set
+        return spark.sparkContext.broadcast(b"")
+    n_bits = min(max(1 << 15, 1 << (16 * n).bit_length()), FILTER_BITS)
     at = lambda shift: F.shiftrightunsigned("id", shift).bitwiseAND(n_bits - 1)
     places = ids.select(F.explode(F.array(at(0), at(32))).alias("at"))
     pages = places.groupBy(F.shiftright("at", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("bits"))
@@ -500,6 +509,8 @@ def id_filter(ids: DataFrame) -> Broadcast:
 
 def may_hold(bits: bytes, ids: np.ndarray) -> np.ndarray:
     """Which of the ids (int64) the filter may hold: all that it does, and few others."""
+    if not bits:
+        return np.ones(len(ids), bool)
     bitmap = np.frombuffer(bits, np.uint8)
     mask = np.uint64(8 * len(bitmap) - 1)
     ok = np.ones(len(ids), bool)

@@ -23,6 +23,7 @@ repeat a doc_id are packed as rows of their own; very long texts are cut into as
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
@@ -38,13 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
-from fusewright.llm.common import map_batches, ship, utf8
+from fusewright.llm.common import ByteCache, map_batches, ship, utf8
 
 UNITS = 256
 STEP, SHARPNESS = 0.05, 5.0
 #: Parts in which the ranks of a length are counted: so many at least, and one for so many pieces.
 SALTS, PART_PIECES = 64, 1 << 22
-CACHED_WORDS, CACHED_PARTS = 300_000, 500_000
+#: Bytes of a worker's caches of words and of their parts, and of the longest word in them: text without spaces is one word, and seen once.
+CACHED_WORDS, CACHED_PARTS, CACHED_WORD = 64 << 20, 96 << 20, 64
 #: The plan is broadcast up to so many intervals, and joined by a shuffle beyond.
 BROADCAST_INTERVALS = 200_000
 
@@ -54,22 +56,23 @@ _SHIFTED = {b: chr(0x122 + k) for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
 _ALPHABET = {c: "".join(_SHIFTED.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
-class _Parts(dict):
+class _Parts(ByteCache):
     """Ids by lower-case letters or by punctuation, straight from the tokenizer's model, whose alphabet stands for UTF-8 bytes."""
 
     def __init__(self, tokenizer):
-        super().__init__({"": b""})
+        super().__init__(CACHED_PARTS)
+        self[""] = b""
         self.tokenize = tokenizer.model.tokenize
 
     def __missing__(self, part: str) -> bytes:
         ids = [t.id for t in self.tokenize(part if part.isascii() else part.translate(_ALPHABET))]
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < CACHED_PARTS:
-            self[part] = packed
+        if len(part) <= CACHED_WORD:
+            self.keep(part, packed, len(packed))
         return packed
 
 
-class WordCache(dict):
+class WordCache(ByteCache):
     """Token ids, as little-endian unsigned 32-bit integers, by word between ASCII spaces.
 
     The vocabulary drops white space before it splits, so no token crosses a space and a text's ids
@@ -82,7 +85,7 @@ class WordCache(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(CACHED_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = _Parts(self.tokenizer)
 
@@ -94,8 +97,8 @@ class WordCache(dict):
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < CACHED_WORDS:
-            self[word] = packed
+        if len(word) <= CACHED_WORD:
+            self.keep(word, packed, len(packed))
         return packed
 
     def encode(self, text: bytes) -> bytes:
@@ -150,7 +153,7 @@ def dearest_filling(prices: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Program:
-    """Fillings and how often to use each (a real number), their sum, and a lower bound of the optimum, in classes."""
+    """Fillings and how often to use each (a real number), their sum, and a lower bound of the optimum of the classes, which is not one of the pieces."""
 
     fillings: list[tuple[np.ndarray, float]]
     objective: float
@@ -204,6 +207,17 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[Run]:
     return min(plans, key=lambda runs: sum(r.times for r in runs))
 
 
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by tokens, and by the program of classes rounded down, whose fillings hold all that real pieces can fill a sequence with."""
+    unit = max(1, capacity // UNITS)
+    demand = np.zeros(capacity // unit, np.int64)
+    for n, k in histogram.items():
+        if n >= unit:
+            demand[n // unit - 1] += k
+    tokens = -(-sum(n * k for n, k in histogram.items()) // capacity)
+    return max(tokens, math.ceil(solve_configurations(demand).bound - 1e-6) if demand.any() else 0)
+
+
 def _class(n: int, unit: int) -> int:
     return max(1, (n + unit // 2) // unit)
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.storage import materialize
-from fusewright.llm.common import map_batches, ship, utf8
+from fusewright.llm.common import ByteCache, map_batches, ship, utf8
 from fusewright.llm.near import BLOCKS, band_keys, cached, fetch_by_id, key_blocks, may_hold, mix32, n_buckets, similar_stars, sorted_set, with_sketches
 from fusewright.operators.components import component_stars
 
@@ -294,7 +294,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     def distinct(words: bytes) -> np.ndarray:
         return sorted_set(shingle_hashes(words, width))
 
-    def alike(x: bytes, y: bytes, n: int, m: int, cache: dict) -> bool:
+    def alike(x: bytes, y: bytes, n: int, m: int, cache: ByteCache) -> bool:
         a, b = cached(cache, x, distinct), cached(cache, y, distinct)
         if min(len(a), len(b)) < similarity * max(len(a), len(b)):
             return False
