@@ -28,12 +28,13 @@ from fusewright.llm.common import map_batches, utf8
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: Measures in thousandths: numerator, denominator, least interquartile range.
+#: Measures in thousandths: numerator, denominator, least interquartile range. ``SPREAD`` times the least range is inside what a measure can reach (repeats fail the base rule
+#: above 500), so every fence can reject, and beyond what clean texts reach.
 MEASURES = {
     "word_length": ("word_chars", "n_words", 150),
     "symbols": ("n_symbols", "n_words", 25),
-    "dup_lines": ("n_dup_lines", "n_lines", 100),
-    "repeats": ("n_repeat_words", "n_words", 100),
+    "dup_lines": ("n_dup_lines", "n_lines", 75),
+    "repeats": ("n_repeat_words", "n_words", 70),
 }
 MIN_WORDS, SPREAD, MIN_GROUP = 50, 6, 200
 #: Thresholds are broadcast up to so many rows, and joined by a shuffle beyond.

@@ -165,7 +165,7 @@ WITH d AS (
     quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3
   FROM s GROUP BY GROUPING SETS ((lang, source, measure), (lang, measure), (measure))
 ), f AS (
-  SELECT *, greatest(q3 - q1, CASE measure WHEN 'word_length' THEN 150 WHEN 'symbols' THEN 25 ELSE 100 END) AS spread FROM q
+  SELECT *, greatest(q3 - q1, CASE measure WHEN 'word_length' THEN 150 WHEN 'symbols' THEN 25 WHEN 'dup_lines' THEN 75 ELSE 70 END) AS spread FROM q
 ), l AS (
   SELECT o.lang, o.source, o.measure,
     CASE WHEN o.total >= 200 THEN o.q1 - 6 * o.spread WHEN b.total >= 200 THEN b.q1 - 6 * b.spread ELSE a.q1 - 6 * a.spread END AS low,

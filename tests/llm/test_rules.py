@@ -190,3 +190,17 @@ def test_chat_rotation(spark):
     assert rotate_perspectives(df.limit(0)).count() == 0
     plan = rotate_perspectives(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_each_measure_rejects_alone(spark, docs):
+    rows = [(k, prose(k), "en", "s") for k in range(240)]
+    repeats = lambda times: prose(500, 120 - 9 * times) + " " + "one two three four five six seven eight nine " * times
+    lines = lambda yes: "\n".join(x for k in range(12) for x in ([prose(600 + k, 10), "yes"] if k < yes else [prose(600 + k, 10)]))
+    signs = lambda n: " ".join(w + "#" * (k < n) for k, w in enumerate(prose(700).split()))
+    length = lambda n: " ".join(w + "x" * n for w in prose(800).split())
+    pairs = {"repeats": (repeats(6), repeats(4)), "dup_lines": (lines(12), lines(8)), "symbols": (signs(40), signs(10)), "word_length": (length(4), length(0))}
+    rows += [(1000 + 2 * k + fine, text, "en", "s") for k, two in enumerate(pairs.values()) for fine, text in enumerate(two)]
+    got = {r["doc_id"]: r for r in q.quality_verdicts(docs(*rows)).collect()}
+    for k, name in enumerate(pairs):
+        assert [(got[1000 + 2 * k + fine]["base_failed"], got[1000 + 2 * k + fine]["kept"]) for fine in (0, 1)] == [(False, False), (False, True)], name
+    assert all(got[k]["kept"] for k in range(240))
