@@ -50,6 +50,22 @@ def pairs_from_array(spark: SparkSession, pairs: Sequence[Sequence[int]], weight
     return spark.createDataFrame([(k, int(u), int(v), w) for k, ((u, v), w) in enumerate(zip(rows, given))], "pair_idx long, u long, v long, weight double")
 
 
+def pairs_from_column(df: DataFrame, pair: str = "pair", pair_idx: str = "pair_idx", weight: str | None = None) -> DataFrame:
+    """A table with a pair in an array column, the layout (n, 2), as pairs. An array of another size is an error of the job."""
+    two = F.when(F.assert_true(F.coalesce(F.size(pair) == 2, F.lit(False)), F.lit("pairs must have the shape (n, 2)")).isNull(), F.col(pair))
+    return df.select(F.col(pair_idx).cast("long").alias("pair_idx"), two[0].cast("long").alias("u"), two[1].cast("long").alias("v"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("weight"))
+
+
+def pairs_from_lists(df: DataFrame, first: str = "u", second: str = "v", pair_idx: str = "pair_idx", weight: str | None = None) -> DataFrame:
+    """A table with lists of first and of second ends (and of pair_idx and weights), the layout (2, n) in rows of any length, as pairs. Lists of different lengths are an error of the job."""
+    columns = [first, second, pair_idx, *([] if weight is None else [weight])]
+    equal = F.coalesce(F.array_max(F.array(*[F.size(c) for c in columns])) == F.array_min(F.array(*[F.size(c) for c in columns])), F.lit(False))
+    lists = F.arrays_zip(*[F.col(c).alias(n) for c, n in zip(columns, ("u", "v", "pair_idx", "weight"))])
+    checked = F.when(F.assert_true(equal, F.lit("the lists of a pair's ends must be equally long")).isNull(), lists)
+    e = df.select(F.explode(checked).alias("e"))
+    return e.select(F.col("e.pair_idx").cast("long").alias("pair_idx"), F.col("e.u").cast("long").alias("u"), F.col("e.v").cast("long").alias("v"), (F.lit(1.0) if weight is None else F.col("e.weight").cast("double")).alias("weight"))
+
+
 def obs_from_arrays(spark: SparkSession, y: Sequence[float], groups: Sequence[int]) -> DataFrame:
     if len(y) != len(groups):
         raise ValueError(f"groups has length {len(groups)}, expected {len(y)}")

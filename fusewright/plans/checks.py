@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions import validation as val
-from fusewright.functions.schemas import pairs_from_array
+from fusewright.functions.schemas import pairs_from_array, pairs_from_column, pairs_from_lists
 from fusewright.operators.components import DisjointSets, component_stars, merges
 from fusewright.operators.encoding import LabelEncoder
 from fusewright.operators.group_stats import group_stats
@@ -303,3 +303,78 @@ def _(spark, d):
     k = F.col("problem_id")
     problems = nbrs.select("problem_id").distinct().select("problem_id", (3 + k % 5).cast("double").alias("n"), (100 * (k % 7)).cast("double").alias("s"), ((k % 3) / 4).alias("lam"))
     return cat.solved(problems, nbrs, leaf=SPREAD_FROM)
+
+
+@query("pairs_layouts_events", f"SELECT layout, pair_idx, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, CAST(weight AS DOUBLE) AS weight FROM ({cat.PAIRS}), (VALUES ('(n, 2)'), ('(2, n)')) t(layout)")
+def _(spark, d):
+    """All events as pairs in an array column, and as lists of ends by day of the pair's number."""
+    pairs = src.event_pairs(spark, d)
+    rows = pairs_from_column(pairs.withColumn("pair", F.array("u", F.col("v").cast("long"))), weight="weight").withColumn("layout", F.lit("(n, 2)"))
+    lists = pairs.groupBy(F.floor(F.col("pair_idx") / 500).alias("part")).agg(F.collect_list(F.struct("u", "v", "pair_idx", "weight")).alias("x"))  # 500 pairs a row
+    columns = pairs_from_lists(lists.select(*[F.col(f"x.{c}").alias(c) for c in ("u", "v", "pair_idx", "weight")]), weight="weight").withColumn("layout", F.lit("(2, n)"))
+    return rows.unionByName(columns)
+
+
+@query("prox_benchmark_suppliers", cat.ORACLE_SQL["prox_benchmark_problems"].replace("FROM range(120) t(i)", "FROM (SELECT s_suppkey AS i FROM supplier)"))
+def _(spark, d):
+    """The generator's problems, one for each supplier."""
+    ids = src.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
+    return cat.solved(*src.benchmark_problems(spark, ids=ids))
+
+
+_SETS = f"""WITH RECURSIVE p AS (SELECT DISTINCT u, v FROM ({cat.PAIRS}) WHERE u <> v AND u % 11 <> 0 AND (u * 7 + v) % 13 = 0), adj AS (SELECT u AS a, v AS b FROM p UNION SELECT v, u FROM p),
+reach(a, b) AS (SELECT k, k FROM range({cat.N_USERS}) r(k) UNION SELECT r.a, adj.b FROM reach r JOIN adj ON adj.a = r.b), labels AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"""
+
+
+@query("disjoint_sets_events", f"{_SETS} SELECT count(*) AS n, count(*) FILTER (node = component) AS n_components, 'DisjointSets(n=' || count(*) || ', n_components=' || count(*) FILTER (node = component) || ')' AS shown FROM labels")
+def _(spark, d):
+    """Users joined by some events: how many elements and sets there are, and how the partition shows itself."""
+    pairs = src.event_pairs(spark, d).select("u", F.col("v").cast("long").alias("v"))
+    n = src.table(spark, d, "events").agg(F.max("user_id")).head()[0] + 1
+    sets = DisjointSets(spark, n).union(pairs.filter("u % 11 <> 0 AND (u * 7 + v) % 13 = 0"))
+    return spark.createDataFrame([(len(sets), sets.n_components, repr(sets))], "n long, n_components long, shown string")
+
+
+def message(call: Call) -> str:
+    """Kind and text of the error, or ``passed``."""
+    try:
+        call()
+    except (ValueError, IndexError) as e:
+        return f"{type(e).__name__}: {e}"
+    return "passed"
+
+
+def _says(cases: dict[str, str]) -> str:
+    return " UNION ALL ".join(f'SELECT \'{name}\' AS "check", {text} AS says' for name, text in cases.items())
+
+
+_COUNTED = "(SELECT '{} (' || count(*) || ' rows{})' FROM e WHERE {})"
+
+
+@query(
+    "refused_values",
+    "WITH e AS (SELECT * FROM events) "
+    + _says({
+        "sound": "'passed'", "sound, NaN allowed": "'passed'", "null": _COUNTED.format("ValueError: y is null", "", "event_id % 71 = 0"), "NaN": _COUNTED.format("ValueError: y must be finite", "", "event_id % 61 = 0"),
+        "negative": _COUNTED.format("ValueError: y must be non-negative", "", "CAST(value AS DOUBLE) < 40"), "zero": _COUNTED.format("ValueError: y must be positive", "", "event_id % 31 = 0"),
+        "fractional groups": _COUNTED.format("ValueError: group_id must hold whole numbers", " do not", "event_id % 83 = 0"), "negative groups": _COUNTED.format("ValueError: group_id must be non-negative", " are not", "user_id < 3"),
+        "gaps": "(SELECT 'ValueError: group_id must be contiguous from 0: ' || count(DISTINCT user_id) || ' ids from ' || 2 * min(user_id) || ' to ' || 2 * max(user_id) FROM e)",
+        "too many": "(SELECT 'ValueError: there are ' || count(DISTINCT user_id) || ' groups, more than n_groups=3' FROM e)", "not from zero": "(SELECT 'ValueError: group_id must start at 0, it starts at ' || min(user_id) + 1 FROM e)",
+        "beyond": "(SELECT 'ValueError: the largest id ' || max(user_id) * 2 || ' is not below n_groups=' || max(user_id) * 2 FROM e)", "node": "(SELECT 'IndexError: node ' || max(user_id) + 1 || ' is out of range [0, ' || max(user_id) + 1 || ')' FROM e)",
+    }),
+)
+def _(spark, d):
+    """What the checks of arrays and groups say of whole columns."""
+    obs = src.user_values(spark, d).withColumn("y", F.col("y").cast("double"))
+    hit = lambda k: F.col("obs_idx") % k == 0
+    array = lambda y, **options: val.check_array(obs.withColumn("y", y), "y", **options)
+    groups = lambda g, n=None: val.check_groups(obs.withColumn("group_id", g), n)
+    g, y = F.col("group_id"), F.col("y")
+    n = obs.agg(F.max("group_id")).head()[0] + 1
+    cases = {
+        "sound": lambda: array(y), "sound, NaN allowed": lambda: array(F.when(hit(61), float("nan")).otherwise(y), allow_nan=True), "null": lambda: array(F.when(~hit(71), y)), "NaN": lambda: array(F.when(hit(61), float("nan")).otherwise(y)),
+        "negative": lambda: array(y - 40, non_negative=True), "zero": lambda: array(F.when(hit(31), 0.0).otherwise(F.abs(y) + 1), positive=True),
+        "fractional groups": lambda: groups(F.when(hit(83), g + 0.5).otherwise(g)), "negative groups": lambda: groups(g - 3), "gaps": lambda: groups(g * 2), "too many": lambda: groups(g, 3), "not from zero": lambda: groups(g + 1, 10**6),
+        "beyond": lambda: groups(g * 2, 2 * n - 2), "node": lambda: val.check_index(n, n),
+    }
+    return spark.createDataFrame([(name, message(call)) for name, call in cases.items()], "check string, says string")
