@@ -21,6 +21,14 @@ def with_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.withColumn("in_", inside).join(F.broadcast(starts), "range_").withColumn(name, (F.col("start_") + F.col("in_")).cast("long")).drop("range_", "in_", "start_")
 
 
+def with_chunk(df: DataFrame, group: str, order: str, size: int) -> DataFrame:
+    """Adds ``chunk``: the row's number in its group by ``order`` (unique in a group), from 0, in chunks of ``size``. A large group is ranked by ranges, like all rows."""
+    ranked = with_rank(df, [group, order], "position_")
+    starts = ranked.groupBy(group).agg(F.min("position_").alias("start_"))
+    chunk = F.floor((F.col("position_") - F.col("start_")) / size).cast("long")
+    return ranked.join(starts, group).withColumn("chunk", chunk).drop("position_", "start_")
+
+
 Scan = tuple[str, Column]
 _TIE = "tie_"
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fusewright.functions.ordering import with_chunk
 from fusewright.functions.shipping import ship
 from fusewright.functions.storage import materialize, scope
 
@@ -221,6 +222,11 @@ def component_members(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
 
 
+def component_member_chunks(labels: DataFrame, size: int = 1 << 12) -> DataFrame:
+    """component, chunk (from 0) and members, at most ``size`` in order: the members in rows of bounded size, one after another."""
+    return with_chunk(labels, "component", "node", size).groupBy("component", "chunk").agg(F.array_sort(F.collect_list("node")).alias("members"))
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count("*").alias("size"))
 

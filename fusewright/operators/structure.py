@@ -7,15 +7,59 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusewright.functions.ordering import with_rank
+from fusewright.functions.ordering import in_parts, running, with_chunk, with_rank
 from fusewright.functions.schemas import require, spine
-from fusewright.functions.validation import check_index
+from fusewright.functions.storage import materialize
+from fusewright.functions.validation import check_index, positive_int
 from fusewright.operators.group_stats import infer_n_groups
 from fusewright.operators.location import location
 from fusewright.operators.pairs import canonicalize, check_fusion_pairs, infer_n_params
 from fusewright.operators.weights import adaptive_weights, uniform_weights
 
 
+#: Entries of a block of columns in ``CompressedRows``, and neighbours in a chunk of a list.
+BLOCK_ENTRIES, CHUNK_NEIGHBOURS = 1 << 16, 1 << 12
+
+
+class CompressedRows:
+    """Adjacency in compressed rows: ``pointers`` (node, start, stop) and the columns (nbr and weight by node and nbr) in ``blocks`` of bounded size.
+
+    Entries are numbered by ranges with offsets, and pointers are a running sum of degrees in two levels, so no task holds all nodes or a hub. Blocks are written in order,
+    so a filter on their number reads few files.
+    """
+
+    def __init__(self, adjacency: DataFrame, n_params: int, block: int = BLOCK_ENTRIES):
+        self.n_params, self.block, spark = n_params, positive_int(block, "block"), adjacency.sparkSession
+        entries = with_rank(adjacency, ["node", "nbr"], "position")
+        held = entries.groupBy(F.floor(F.col("position") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("position", "nbr", "weight"))).alias("e"))
+        blocks = held.select("block", F.transform("e", lambda e: e["nbr"]).alias("nbrs"), F.transform("e", lambda e: e["weight"]).alias("weights"))
+        self.blocks = materialize(blocks.repartitionByRange("block").sortWithinPartitions("block"), "blocks")
+        degrees = adjacency.groupBy("node").agg(F.count("*").alias("degree"))
+        every = spine(spark, n_params, "node").join(degrees, "node", "left").select(F.lit(0).alias("all_"), "node", F.coalesce("degree", F.lit(0)).alias("degree"))
+        upto = running(in_parts(every, "all_", "node"), "all_", "node", {"stop": ("sum", F.col("degree"))})
+        self.pointers = materialize(upto.select("node", (F.col("stop") - F.col("degree")).alias("start"), "stop").repartitionByRange("node").sortWithinPartitions("node"), "pointers")
+
+    def _cut(self, pointed: DataFrame, blocks: DataFrame) -> DataFrame:
+        """node, nbr and weight of rows of ``pointers``."""
+        first, last = (F.floor(F.col(c) / self.block).cast("long") for c in ("start", "last"))
+        asked = pointed.filter("stop > start").withColumn("last", F.col("stop") - 1).withColumn("block", F.explode(F.sequence(first, last)))
+        begin = F.col("block") * self.block
+        low, high = F.greatest(F.col("start") - begin, F.lit(0)), F.least(F.col("stop") - begin, F.lit(self.block))
+        part = lambda c: F.slice(c, (low + 1).cast("int"), (high - low).cast("int"))
+        return asked.join(blocks, "block").select("node", F.explode(F.arrays_zip(part("nbrs").alias("nbr"), part("weights").alias("weight"))).alias("e")).select("node", "e.nbr", "e.weight")
+
+    def neighbor_data(self, node: int) -> DataFrame:
+        """nbr and weight by nbr, from the blocks that the node's pointers name."""
+        check_index(node, self.n_params)
+        at = self.pointers.filter(F.col("node") == node).head()
+        blocks = self.blocks.filter((F.col("block") >= at["start"] // self.block) & (F.col("block") <= max(at["start"], at["stop"] - 1) // self.block))
+        return self._cut(self.pointers.filter(F.col("node") == node), blocks).select("nbr", "weight").orderBy("nbr")
+
+    def rows(self) -> DataFrame:
+        """node, nbr and weight of all entries, cut from the blocks."""
+        return self._cut(self.pointers, self.blocks)
+
+
 class FusionGraph:
     """Canonical weighted pairs over nodes 0 to ``n_params`` - 1, as lazy tables."""
 
@@ -72,6 +116,14 @@ class FusionGraph:
         """node and nbrs, a map from nbr to weight."""
         return self.adjacency_list().select("node", F.map_from_entries("nbrs").alias("nbrs"))
 
+    def adjacency_chunks(self, size: int = CHUNK_NEIGHBOURS) -> DataFrame:
+        """node, chunk (from 0) and nbrs, at most ``size`` (nbr, weight) by nbr: the lists in rows of bounded size, one after another. Isolated nodes have none."""
+        chunked = with_chunk(self.adjacency, "node", "nbr", positive_int(size, "size"))
+        return chunked.groupBy("node", "chunk").agg(F.array_sort(F.collect_list(F.struct("nbr", "weight"))).alias("nbrs"))
+
+    def compressed_rows(self, block: int = BLOCK_ENTRIES) -> CompressedRows:
+        return CompressedRows(self.adjacency, self.n_params, block)
+
     def indexed_pairs(self) -> DataFrame:
         """Adds pair_idx in order of (u, v)."""
         return with_rank(self.pairs, ["u", "v"], "pair_idx")

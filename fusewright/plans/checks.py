@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from fusewright.functions import validation as val
 from fusewright.functions.schemas import pairs_from_array, pairs_from_column, pairs_from_lists
-from fusewright.operators.components import DisjointSets, component_stars, merges
+from fusewright.operators.components import DisjointSets, component_member_chunks, component_stars, connected_components, merges
 from fusewright.operators.encoding import LabelEncoder
 from fusewright.operators.group_stats import group_stats
 from fusewright.operators.location import huber_report, location
 from fusewright.operators.pairs import check_fusion_pairs, check_groups_and_pairs
 from fusewright.operators.prox import check_problems
+from fusewright.operators.structure import FusionGraph
 from fusewright.plans import catalog as cat
 from fusewright.plans.catalog import query, r6
 from fusewright.sources import tables as src
@@ -378,3 +379,42 @@ def _(spark, d):
         "beyond": lambda: groups(g * 2, 2 * n - 2), "node": lambda: val.check_index(n, n),
     }
     return spark.createDataFrame([(name, message(call)) for name, call in cases.items()], "check string, says string")
+
+
+#: The graph of event pairs that spares some users, so that there are isolated nodes; blocks and chunks so small that hubs take several.
+_EVENT_GRAPH = f"""WITH p AS ({cat.PAIRS}), c AS (SELECT least(u, v) AS u, greatest(u, v) AS v, max(weight) AS weight FROM p WHERE u <> v AND u % 11 <> 0 AND v % 11 <> 0 GROUP BY ALL),
+adj AS (SELECT u AS node, v AS nbr, CAST(weight AS DOUBLE) AS weight FROM c UNION ALL SELECT v, u, CAST(weight AS DOUBLE) FROM c)"""
+BLOCK, CHUNK = 100, 16
+
+
+def event_graph(spark, d) -> FusionGraph:
+    pairs = src.event_pairs(spark, d).filter("u % 11 <> 0 AND v % 11 <> 0")
+    n = src.table(spark, d, "events").agg(F.max("user_id")).head()[0] + 1
+    return FusionGraph(pairs, n, "max", validate=False)
+
+
+@query("graph_csr_pointers", f"{_EVENT_GRAPH} SELECT n.node, CAST(sum(k) OVER (ORDER BY n.node) - k AS BIGINT) AS start, CAST(sum(k) OVER (ORDER BY n.node) AS BIGINT) AS stop FROM (SELECT CAST(g AS BIGINT) AS node, count(adj.node) AS k FROM range({cat.N_USERS}) r(g) LEFT JOIN adj ON adj.node = g GROUP BY g) n")
+def _(spark, d):
+    return event_graph(spark, d).compressed_rows(BLOCK).pointers.select("node", "start", "stop")
+
+
+@query("graph_csr_rows", f"{_EVENT_GRAPH} SELECT CAST(node AS BIGINT) AS node, CAST(nbr AS BIGINT) AS nbr, weight FROM adj")
+def _(spark, d):
+    return event_graph(spark, d).compressed_rows(BLOCK).rows()
+
+
+_CHUNKED = "SELECT CAST({0} AS BIGINT) AS {0}, CAST((k - 1) // {1} AS BIGINT) AS chunk, string_agg({2}, ',' ORDER BY {2}) AS {3} FROM (SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY {2}) AS k FROM {4}) GROUP BY ALL"
+
+
+@query("graph_adjacency_chunks", f"{_EVENT_GRAPH} {_CHUNKED.format('node', CHUNK, 'nbr', 'nbrs', 'adj')}")
+def _(spark, d):
+    text = F.array_join(F.transform("nbrs", lambda e: e["nbr"].cast("string")), ",")
+    return event_graph(spark, d).adjacency_chunks(CHUNK).select("node", "chunk", text.alias("nbrs"))
+
+
+@query("component_member_chunks", f"{_SETS} {_CHUNKED.format('component', CHUNK, 'node', 'members', 'labels')}")
+def _(spark, d):
+    n = src.table(spark, d, "events").agg(F.max("user_id")).head()[0] + 1
+    edges = src.event_pairs(spark, d).filter("u % 11 <> 0 AND (u * 7 + v) % 13 = 0").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    labels = connected_components(spark.range(n).withColumnRenamed("id", "node"), edges)
+    return component_member_chunks(labels, CHUNK).select("component", "chunk", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))

@@ -68,6 +68,46 @@ def test_graph(spark):
     assert lists == {0: [(1, 1.0), (2, 1.5)], 1: [(0, 1.0), (2, 2.0)], 2: [(0, 1.5), (1, 2.0)], 3: [], 4: []}
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_compressed_rows_and_chunks(spark, block):
+    """A hub, isolated nodes at both ends and between, and no pairs at all."""
+    rng = random.Random(block)
+    pairs = [(5, k) for k in range(60) if k != 5 and k % 3] + [(rng.randrange(10, 50), rng.randrange(10, 50)) for _ in range(60)]
+    g = FusionGraph(pairs_from_array(spark, pairs, [float(k + 1) for k in range(len(pairs))]), 64)
+    nbrs = {}
+    for node, nbr, weight in rows(g.adjacency, "node", "nbr"):
+        nbrs.setdefault(node, []).append((nbr, weight))
+    csr = g.compressed_rows(block)
+    at = 0
+    for node, start, stop in rows(csr.pointers, "node"):
+        assert (start, stop) == (at, at + len(nbrs.get(node, [])))
+        at = stop
+    assert max(len(r["nbrs"]) for r in csr.blocks.collect()) <= block
+    assert rows(csr.rows(), "node", "nbr") == rows(g.adjacency, "node", "nbr")
+    for node in (0, 5, 11, 63):
+        assert [tuple(r) for r in csr.neighbor_data(node).collect()] == nbrs.get(node, [])
+    with pytest.raises(IndexError):
+        csr.neighbor_data(64)
+    chunks = {}
+    for node, chunk, some in rows(g.adjacency_chunks(block), "node", "chunk"):
+        assert chunk * block == len(chunks.setdefault(node, [])) and 0 < len(some) <= block
+        chunks[node] += [tuple(e) for e in some]
+    assert chunks == nbrs
+    empty = FusionGraph(pairs_from_array(spark, [(1, 1)]), 3).compressed_rows(block)
+    assert rows(empty.pointers, "node") == [(0, 0, 0), (1, 0, 0), (2, 0, 0)] and empty.rows().collect() == [] and empty.neighbor_data(1).collect() == []
+
+
+def test_members_in_chunks(spark):
+    labels = graph_labels(spark, 50, [(k, k + 2) for k in range(0, 40)] + [(44, 45)])
+    whole = {r["component"]: r["members"] for r in comp.component_members(labels).collect()}
+    for size in (1, 4, 100):
+        got = {}
+        for component, chunk, members in rows(comp.component_member_chunks(labels, size), "component", "chunk"):
+            assert len(got.setdefault(component, [])) == chunk * size and len(members) <= size
+            got[component] += members
+        assert got == whole
+
+
 def test_incidence(spark):
     g = FusionGraph(pairs_from_array(spark, [(0, 1), (1, 2)], [1, 2]))
     assert rows(g.incidence(), "pair_idx", "node") == [(0, 0, 1.0), (1, 0, -1.0), (1, 1, 2.0), (2, 1, -2.0)]
