@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DUPLICATES = ("first", "sum", "mean", "max", "min")
+#: A value of ``validate``: bad rows are errors of the operator's own job.
+IN_PLAN = "in plan"
 METHODS = ("mean", "median", "trimmed_mean", "huber", "lts")
 
 
@@ -13,23 +15,36 @@ def _number(c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def violations(column: str, *, finite: bool = True, non_negative: bool = False, positive: bool = False, lower: float | None = None, upper: float | None = None, inclusive: bool = True) -> dict[str, Column]:
-    """Named counts of offending rows, for one ``agg``."""
+def offences(column: str, *, finite: bool = True, non_negative: bool = False, positive: bool = False, lower: float | None = None, upper: float | None = None, inclusive: bool = True) -> dict[str, Column]:
+    """Named conditions that offending rows meet."""
     x = _number(column)
-    out = {f"{column} is null": F.count_if(x.isNull())}
+    out = {f"{column} is null": x.isNull()}
     if finite:
-        out[f"{column} must be finite"] = F.count_if(F.isnan(x) | (F.abs(x) == float("inf")))
+        out[f"{column} must be finite"] = F.isnan(x) | (F.abs(x) == float("inf"))
     if non_negative:
-        out[f"{column} must be non-negative"] = F.count_if(x < 0)
+        out[f"{column} must be non-negative"] = x < 0
     if positive:
-        out[f"{column} must be positive"] = F.count_if(x <= 0)
+        out[f"{column} must be positive"] = x <= 0
     if lower is not None:
-        out[f"{column} must be {'>=' if inclusive else '>'} {lower}"] = F.count_if(x < lower if inclusive else x <= lower)
+        out[f"{column} must be {'>=' if inclusive else '>'} {lower}"] = x < lower if inclusive else x <= lower
     if upper is not None:
-        out[f"{column} must be {'<=' if inclusive else '<'} {upper}"] = F.count_if(x > upper if inclusive else x >= upper)
+        out[f"{column} must be {'<=' if inclusive else '<'} {upper}"] = x > upper if inclusive else x >= upper
     return out
 
 
+def violations(column: str, **rules: bool | float | None) -> dict[str, Column]:
+    """Named counts of offending rows, for one ``agg``; ``rules`` are those of ``offences``."""
+    return {name: F.count_if(bad) for name, bad in offences(column, **rules).items()}
+
+
+def guard(df: DataFrame, column: str, **rules: bool | float | None) -> DataFrame:
+    """``df`` whose job fails, with the offence's name, at the first row that breaks a rule of ``offences``. No job runs here and no row is read twice."""
+    sound = F.lit(True)
+    for name, bad in offences(column, **rules).items():
+        sound = sound & F.assert_true(~F.coalesce(bad, F.lit(False)), F.lit(name)).isNull()
+    return df.withColumn(column, F.when(sound, F.col(column)))
+
+
 def check(df: DataFrame, counts: dict[str, Column]) -> None:
     """Raise for the first named count that is not zero."""
     if not counts:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.schemas import require, spine
-from fusewright.functions.validation import check, positive_int, violations
+from fusewright.functions.sums import exponent_above, joined_limbs, limb_sums
+from fusewright.functions.validation import IN_PLAN, check, guard, positive_int, violations
 
 
 def infer_n_groups(obs: DataFrame) -> int:
@@ -15,14 +16,29 @@ def infer_n_groups(obs: DataFrame) -> int:
     return 0 if top is None else int(top) + 1
 
 
-def group_stats(obs: DataFrame, n_groups: int | None = None, validate: bool = True) -> DataFrame:
-    """group_id, size, sum and mean; groups without rows have zeros. A DECIMAL ``y`` is summed exactly. No rows: no groups."""
+def group_stats(obs: DataFrame, n_groups: int | None = None, validate: bool | str = True, reproducible: bool = False) -> DataFrame:
+    """group_id, size, sum and mean; groups without rows have zeros. A DECIMAL ``y`` is summed exactly. No rows: no groups.
+
+    validate: ``IN_PLAN`` with ``n_groups`` makes a bad row an error of the job that reads the rows, and no job runs before. reproducible: doubles are
+    summed so that the order of rows does not show (finite values only); a job finds the largest first.
+    """
     obs = require(obs, "group_id", "y")
     if n_groups is not None:
         positive_int(n_groups, "n_groups")
-    if validate:
+    if validate == IN_PLAN:
+        if n_groups is None:
+            raise ValueError("n_groups must be given where rows are validated in the plan")
+        obs = guard(obs, "group_id", non_negative=True, upper=n_groups, inclusive=False)
+        if not reproducible:
+            sums = obs.groupBy("group_id").agg(F.count("*").alias("size"), F.sum("y").cast("double").alias("sum"))
+            return padded_stats(sums, n_groups)
+    elif validate:
         check(obs, violations("group_id", non_negative=True, upper=n_groups, inclusive=False))
     n = infer_n_groups(obs) if n_groups is None or obs.isEmpty() else n_groups
+    if reproducible and dict(obs.dtypes)["y"] == "double":
+        exponent = exponent_above(obs.agg(F.max(F.abs("y"))).head()[0])
+        limbs = obs.groupBy("group_id").agg(F.count("*").alias("size"), *limb_sums("y", exponent))
+        return padded_stats(limbs.select("group_id", "size", joined_limbs(exponent).alias("sum")), n)
     sums = obs.groupBy("group_id").agg(F.count("*").alias("size"), F.sum("y").cast("double").alias("sum"))
     return padded_stats(sums, n)
 

@@ -24,7 +24,7 @@ from fusewright.functions.ordering import in_parts, running
 from fusewright.functions.schemas import require, spine
 from fusewright.functions.shipping import ship
 from fusewright.functions.storage import materialize
-from fusewright.functions.validation import METHODS, choice, fraction, raise_first, settle_groups, survey, violations
+from fusewright.functions.validation import IN_PLAN, METHODS, choice, fraction, guard, raise_first, settle_groups, survey, violations
 from fusewright.operators.selection import crossings
 
 BLOCK = 1 << 16
@@ -226,13 +226,20 @@ def _large_lts(obs: DataFrame, trim: float, patience: int, tol: float) -> DataFr
 
 def location(
     obs: DataFrame, method: str = "mean", n_groups: int | None = None, *, trim: float = 0.1, huber_delta: float = 1.345, max_iter: int = 100, tol: float = 1e-6,
-    lts_patience: int = 5, lts_tol: float = 1e-12, validate: bool = True, hot: int = HOT,
+    lts_patience: int = 5, lts_tol: float = 1e-12, validate: bool | str = True, hot: int | None = HOT,
 ) -> DataFrame:
-    """group_id and theta of every group from 0 to ``n_groups`` - 1; null for a group without rows. Groups of over ``hot`` rows are spread over tasks."""
+    """group_id and theta of every group from 0 to ``n_groups`` - 1; null for a group without rows. Groups of over ``hot`` rows are spread over tasks; None: there are none.
+
+    validate: ``IN_PLAN`` with ``n_groups`` makes a bad row an error of the job that reads the rows; with ``hot`` None no job runs before it.
+    """
     method, trim = choice(method, METHODS, "method"), fraction(trim)
     obs = require(obs, "group_id", "y")
     trim = 0.5 if method == "median" else trim
-    ranked = method in ("median", "trimmed_mean", "lts")
+    ranked = method in ("median", "trimmed_mean", "lts") and hot is not None
+    if validate == IN_PLAN:
+        if n_groups is None:
+            raise ValueError("n_groups must be given where rows are validated in the plan")
+        obs, validate = guard(guard(obs, "y"), "group_id", non_negative=True, upper=n_groups, inclusive=False), False
     if validate or n_groups is None or ranked:
         # one job for all that has to be known before the plan: whether the rows are sound, how many groups, how large the largest
         known = survey(obs, violations("y") if validate else {})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.schemas import require
-from fusewright.functions.validation import DUPLICATES, check_groups, check_pairs, choice
+from fusewright.functions.validation import DUPLICATES, check_groups, check_pairs, choice, guard
 
 
 def canonicalize(pairs: DataFrame, how: str = "first") -> DataFrame:
@@ -32,6 +32,13 @@ def check_fusion_pairs(pairs: DataFrame, n_params: int | None = None, how: str =
     return canonical, infer_n_params(canonical) if n_params is None else n_params
 
 
+def guarded_pairs(pairs: DataFrame, n_params: int, how: str = "first") -> DataFrame:
+    """Canonical pairs below ``n_params`` that are validated by the job that reads them: no job runs before, and a bad pair is that job's error."""
+    for c in ("u", "v"):
+        pairs = guard(pairs, c, non_negative=True, upper=n_params, inclusive=False)
+    return canonicalize(guard(pairs, "weight", positive=True), how)
+
+
 def check_groups_and_pairs(obs: DataFrame, pairs: DataFrame, n_groups: int | None = None, how: str = "first") -> tuple[int, DataFrame]:
     """The number of groups and the canonical pairs between them."""
     n = check_groups(obs, n_groups)

@@ -14,7 +14,7 @@ from fusewright.operators.components import DisjointSets, component_member_chunk
 from fusewright.operators.encoding import LabelEncoder
 from fusewright.operators.group_stats import group_stats
 from fusewright.operators.location import huber_report, location
-from fusewright.operators.pairs import check_fusion_pairs, check_groups_and_pairs
+from fusewright.operators.pairs import check_fusion_pairs, check_groups_and_pairs, guarded_pairs
 from fusewright.operators.prox import check_problems
 from fusewright.operators.structure import FusionGraph
 from fusewright.plans import catalog as cat
@@ -418,3 +418,21 @@ def _(spark, d):
     edges = src.event_pairs(spark, d).filter("u % 11 <> 0 AND (u * 7 + v) % 13 = 0").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     labels = connected_components(spark.range(n).withColumnRenamed("id", "node"), edges)
     return component_member_chunks(labels, CHUNK).select("component", "chunk", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+
+
+_PARTS = "SELECT l_suppkey AS group_id, l_extendedprice * l_discount AS y FROM lineitem"
+
+
+@query("group_stats_doubles", f"WITH a AS (SELECT group_id, count(*) AS size, fsum(y) AS s FROM ({_PARTS}) GROUP BY group_id) SELECT CAST(g AS BIGINT) AS group_id, coalesce(size, 0) AS size, round(coalesce(s, 0), 4) AS sum, round(coalesce(s / size, 0), 4) AS mean FROM range({cat.N_SUPPLIERS}) t(g) LEFT JOIN a ON group_id = g")
+def _(spark, d):
+    """Sums of doubles that do not depend on how the rows are dealt."""
+    obs = src.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("group_id"), (F.col("l_extendedprice") * F.col("l_discount")).alias("y"))
+    stats = group_stats(obs, validate=False, reproducible=True)
+    return stats.select("group_id", "size", F.round("sum", 4).alias("sum"), F.round("mean", 4).alias("mean"))
+
+
+@query("pairs_guarded", f"{cat.CANON} SELECT u, v, round(CAST(sum(weight) AS DOUBLE), 6) AS weight FROM c GROUP BY u, v")
+def _(spark, d):
+    """Validated by the job that merges them."""
+    pairs = src.event_pairs(spark, d)
+    return guarded_pairs(pairs, src.table(spark, d, "events").agg(F.max("user_id")).head()[0] + 1, "sum").select("u", "v", r6("weight").alias("weight"))
