@@ -19,6 +19,8 @@ from fusewright.operators.selection import LEAF, crossings
 
 #: Largest number of neighbours for the row-local form, whose running weights cost the square of it.
 ROW_LOCAL = 64
+#: And for bisection, whose every step adds them up.
+BISECTION_NEIGHBOURS = 4096
 
 
 def check_problems(problems: DataFrame, nbrs: DataFrame) -> None:
@@ -74,6 +76,35 @@ def solve_scalar_small(problems: DataFrame, nbrs: DataFrame) -> DataFrame:
     return rows.select("problem_id", F.when(F.col("n") > 0, smooth).otherwise(flat).alias("x"))
 
 
+def solve_scalar_bisection(problems: DataFrame, nbrs: DataFrame, steps: int = 200) -> DataFrame:
+    """problem_id and x by halving the interval in which the subgradient changes sign, ``steps`` times: a second solver to compare with, of problems of at most ``BISECTION_NEIGHBOURS`` neighbours."""
+    problems, nbrs = require(problems, "problem_id", "n", "s", "lam"), require(nbrs, "problem_id", "nbr", "z", "w")
+    few = F.assert_true(F.count("*") <= BISECTION_NEIGHBOURS, F.lit(f"a problem has over {BISECTION_NEIGHBOURS} neighbours")).isNull()
+    lists = nbrs.groupBy("problem_id").agg(F.when(few, F.collect_list(F.struct("z", "w"))).alias("nbrs"), F.min("z").alias("low"), F.max("z").alias("high"), F.sum("w").alias("total"))
+    rows = problems.join(lists, "problem_id", "left").withColumns({"nbrs": F.coalesce("nbrs", F.array().cast("array<struct<z:double,w:double>>")), "total": F.coalesce("total", F.lit(0.0))})
+    n = F.when(F.col("n") > 0, F.col("n"))
+    ends = [F.least("low", (F.col("s") - F.col("lam") * F.col("total")) / n), F.greatest("high", (F.col("s") + F.col("lam") * F.col("total")) / n)]
+    start = F.struct(F.coalesce(ends[0], F.lit(0.0)).alias("a"), F.coalesce(ends[1], F.lit(0.0)).alias("b"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = acc["a"] / 2 + acc["b"] / 2
+        pull = F.aggregate("nbrs", F.lit(0.0), lambda t, e: t + e["w"] * F.signum(mid - e["z"]))
+        falls = F.col("n") * mid - F.col("s") + F.when(F.col("n") > 0, F.col("lam")).otherwise(1.0) * pull < 0
+        return F.struct(F.when(falls, mid).otherwise(acc["a"]).alias("a"), F.when(falls, acc["b"]).otherwise(mid).alias("b"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
+    return rows.withColumn("x", found).select("problem_id", (F.col("x.a") / 2 + F.col("x.b") / 2).alias("x"))
+
+
+def compare_solvers(problems: DataFrame, nbrs: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """r (neighbours), problems, solved (how many the closed form solves to an objective no worse than bisection's, by ``tol`` of its size) and objective (their sum), for each number of neighbours."""
+    closed, halved = (objective(f(problems, nbrs), problems, nbrs).withColumnRenamed("objective", c) for f, c in ((lambda p, q: solve_scalar(p, q, validate=False), "closed"), (solve_scalar_bisection, "halved")))
+    sizes = nbrs.groupBy("problem_id").agg(F.count("*").alias("r"))
+    both = closed.join(halved, "problem_id").join(sizes, "problem_id", "left").withColumn("r", F.coalesce("r", F.lit(0)))
+    good = F.col("closed") <= F.col("halved") + tol * (1 + F.abs("halved"))
+    return both.groupBy("r").agg(F.count("*").alias("problems"), F.count_if(good).alias("solved"), F.sum("closed").alias("objective"))
+
+
 def solve_scalar_row(n: Column, s: Column, lam: Column, nbrs: Column) -> Column:
     """The same for one row with n > 0 and an array of (z, w) of at most ``ROW_LOCAL`` neighbours."""
     ordered = F.array_sort(nbrs)

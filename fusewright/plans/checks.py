@@ -15,7 +15,7 @@ from fusewright.operators.encoding import LabelEncoder
 from fusewright.operators.group_stats import group_stats
 from fusewright.operators.location import huber_report, location
 from fusewright.operators.pairs import check_fusion_pairs, check_groups_and_pairs, guarded_pairs
-from fusewright.operators.prox import check_problems
+from fusewright.operators.prox import check_problems, compare_solvers
 from fusewright.operators.structure import FusionGraph
 from fusewright.plans import catalog as cat
 from fusewright.plans.catalog import query, r6
@@ -436,3 +436,20 @@ def _(spark, d):
     """Validated by the job that merges them."""
     pairs = src.event_pairs(spark, d)
     return guarded_pairs(pairs, src.table(spark, d, "events").agg(F.max("user_id")).head()[0] + 1, "sum").select("u", "v", r6("weight").alias("weight"))
+
+
+_BEST = cat.ORACLE_SQL["prox_benchmark_suppliers"]
+
+
+@query(
+    "prox_success_rate",
+    _BEST[: _BEST.index(", solved AS (")]
+    + """, tried AS (SELECT c.problem_id, c.c, any_value(p.n) * c.c * c.c / 2 - any_value(p.s) * c.c + any_value(p.lam) * sum(b.w * abs(c.c - b.z)) AS v
+  FROM cand c JOIN problems p ON p.problem_id = c.problem_id JOIN nbrs b ON b.problem_id = c.problem_id GROUP BY c.problem_id, c.c),
+best AS (SELECT problem_id, min(v) AS v FROM tried GROUP BY problem_id)
+SELECT r, count(*) AS problems, count(*) AS solved, round(sum(v), 4) AS objective FROM best JOIN (SELECT problem_id, count(*) AS r FROM nbrs GROUP BY problem_id) USING (problem_id) GROUP BY r""",
+)
+def _(spark, d):
+    """The closed form against bisection on the suppliers' problems, by number of neighbours; the SQL tries every candidate."""
+    ids = src.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
+    return compare_solvers(*src.benchmark_problems(spark, ids=ids)).withColumn("objective", F.round("objective", 4))

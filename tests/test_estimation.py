@@ -13,7 +13,7 @@ from fusewright.functions.validation import check_array, check_groups
 from fusewright.operators import location as loc
 from fusewright.operators.group_stats import group_stats, grouping_flag
 from fusewright.operators.location import location
-from fusewright.operators.prox import objective, solve_scalar, solve_scalar_row, solve_scalar_small, weighted_median
+from fusewright.operators.prox import compare_solvers, objective, solve_scalar, solve_scalar_bisection, solve_scalar_row, solve_scalar_small, weighted_median
 from fusewright.operators.weights import adaptive_weights, distance_weights, uniform_weights
 
 
@@ -164,6 +164,14 @@ def test_scalar_is_optimal_and_forms_agree(spark):
             assert cost(r["x"]) <= cost(r["x"] + step) + 1e-9
 
 
+def test_bisection_agrees(spark):
+    problems, nbrs = problem_tables(spark, PROBLEMS)
+    got = {r["problem_id"]: r["x"] for r in solve_scalar_bisection(problems.filter("n > 0"), nbrs).collect()}
+    assert [got[k] for k in sorted(got)] == pytest.approx([p[-1] for p in PROBLEMS if p[0]], abs=1e-9)
+    rates = compare_solvers(*problem_tables(spark, [p for p in PROBLEMS if p[0]])).collect()
+    assert {r["r"]: (r["problems"], r["solved"]) for r in rates} == {0: (1, 1), 1: (2, 2), 2: (3, 3), 3: (2, 2)}
+
+
 def test_small_problems_are_small(spark):
     with pytest.raises(Exception, match="over 64 neighbours"):
         solve_scalar_small(*problem_tables(spark, [(1, 1, [1.0] * 65, [1.0] * 65, 1)])).collect()
