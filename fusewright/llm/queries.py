@@ -253,4 +253,20 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
     CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p""",
+    "op11_embedding_pigeonhole": """
+WITH RECURSIVE u AS (
+  SELECT row_number() OVER () AS k, vec_id, label, embedding, coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings
+), e AS (
+  SELECT k, vec_id, label, CASE WHEN ok THEN list_transform(embedding, lambda x: coalesce(CAST(x AS DOUBLE), 0)) END AS v FROM u
+), l AS (
+  SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.label = b.label AND a.k <> b.k AND len(a.v) = len(b.v) WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) >= 0.98 * sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x)))
+), reach(a, b) AS (
+  SELECT k, k FROM e UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b
+), c AS (
+  SELECT r.a AS k, min(e.vec_id) AS component_id FROM reach r JOIN e ON e.k = r.b GROUP BY r.a
+), n AS (
+  SELECT a AS k, count(*) AS n FROM l GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id IS NOT DISTINCT FROM c.component_id AS kept FROM e JOIN c ON c.k = e.k LEFT JOIN n ON n.k = e.k""",
 }

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -87,6 +88,11 @@ def test_similar_embeddings(spark):
     as_float = [(k, None if v is None else [None if x is None else float(np.float32(x)) for x in v], label) for k, v, label in rows]
     assert rows_of(similar_embeddings(df)) == brute(as_float)
     assert similar_embeddings(df.limit(0)).collect() == []
+    # and by the query's SQL
+    queries = pytest.importorskip("fusewright.llm.queries")
+    con = duckdb.connect()
+    con.register("embeddings", df.select("vec_id", "embedding", "label").toArrow())
+    assert sorted((repr(k), n, repr(c), kept) for k, n, c, kept in con.sql(queries.ORACLE_SQL["op11_embedding_pigeonhole"]).fetchall()) == brute(as_float)
     doubles = df.selectExpr("vec_id", "CAST(embedding AS array<double>) embedding", "CAST(label AS string) label")
     assert rows_of(similar_embeddings(doubles, 0.9)) == brute(as_float, 0.9)
 
