@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from fusewright.operators.prox import compare_solvers, solve_scalar, solve_scalar_bisection  # noqa: E402
 from fusewright.plans import catalog  # noqa: E402
-from fusewright.sources.tables import benchmark_problems  # noqa: E402
+from fusewright.sources.tables import SIZES, benchmark_problems  # noqa: E402
 
 HEADLINE = (
     "flagship_fused_suppliers", "group_stats_supplier", "loc_median", "loc_trimmed_10", "loc_huber", "loc_lts", "pairs_dup_first", "pairs_dup_sum",
@@ -43,7 +43,7 @@ def main() -> None:
         took[name] = round(statistics.median(times[1:]), 3)
     # as many solves a second as one job makes of 600 problems of 5 to 500 neighbours
     problems, nbrs = benchmark_problems(spark, 100)
-    solve = lambda: solve_scalar(problems, nbrs, validate=False).write.format("noop").mode("overwrite").save()
+    solve = lambda: solve_scalar(problems, nbrs, validate=False, largest=max(SIZES)).write.format("noop").mode("overwrite").save()
     solve()
     began = time.perf_counter()
     solve()

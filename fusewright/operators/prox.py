@@ -54,9 +54,8 @@ def solve_scalar(problems: DataFrame, nbrs: DataFrame, validate: bool = True, le
     at = lambda cw: (F.col("s") - F.col("lam") * (2 * cw - F.col("total"))) / F.when(F.col("n") > 0, F.col("n"))
     holds = lambda z, cw: F.when(F.col("n") > 0, at(cw) <= z).otherwise(_is_median(cw))
     # values without weight count as one each where a weighted median is asked for
-    flat = targets.filter("n = 0 AND total = 0 AND r > 0").select("problem_id", F.lit(True).alias("flat"))
-    weighed = nbrs.join(flat, "problem_id", "left").select("problem_id", "z", F.col("nbr").alias("tie"), F.when(F.col("flat"), 1.0).otherwise(F.col("w")).alias("w"))
-    first = crossings(weighed, targets, "problem_id", holds, leaf, largest)
+    weight = F.when((F.col("n") == 0) & (F.col("total") == 0), 1.0).otherwise(F.col("w"))
+    first = crossings(nbrs.select("problem_id", "z", F.col("nbr").alias("tie"), "w"), targets, "problem_id", holds, leaf, largest, weight)
     smooth = F.when(F.col("z").isNull(), at(F.col("total"))).otherwise(F.least(F.col("z"), at(F.col("before"))))
     return first.select("problem_id", F.when(F.col("n") > 0, smooth).otherwise(F.coalesce("z", F.lit(0.0))).alias("x"))
 
@@ -125,9 +124,9 @@ def objective(solved: DataFrame, problems: DataFrame, nbrs: DataFrame) -> DataFr
 def weighted_median(values: DataFrame, leaf: int = LEAF) -> DataFrame:
     """key and x of rows (key, z, w): the least z whose running weight reaches half; without weights the upper middle z."""
     targets = _median_targets(values, "key")
-    flat = targets.filter("total = 0").select("key", F.lit(True).alias("flat"))
-    weighed = values.join(flat, "key", "left").select("key", "z", F.col("w").alias("tie"), F.when(F.col("flat"), 1.0).otherwise(F.col("w").cast("double")).alias("w"))
-    return crossings(weighed, targets, "key", lambda z, cw: _is_median(cw), leaf).select("key", F.col("z").alias("x"))
+    weighed = values.select("key", "z", F.col("w").alias("tie"), F.col("w").cast("double").alias("w"))
+    weight = F.when(F.col("total") == 0, 1.0).otherwise(F.col("w"))
+    return crossings(weighed, targets, "key", lambda z, cw: _is_median(cw), leaf, weight=weight).select("key", F.col("z").alias("x"))
 
 
 def graph_problems(stats: DataFrame, adjacency: DataFrame, theta: DataFrame, lam: float) -> tuple[DataFrame, DataFrame]:

@@ -49,18 +49,22 @@ def _parts(rows: DataFrame, key: list[str], targets: DataFrame, holds: Condition
     return running.groupBy(*key).agg(F.min_by(answer, "part_").alias("x")).select(*key, "x.*")
 
 
-def crossings(values: DataFrame, targets: DataFrame, key: str, holds: Condition, leaf: int = LEAF, largest: int | None = None) -> DataFrame:
+def crossings(values: DataFrame, targets: DataFrame, key: str, holds: Condition, leaf: int = LEAF, largest: int | None = None, weight: Column | None = None) -> DataFrame:
     """The columns of ``targets``, with z, before and upto: the first z of the key's ``values`` at which ``holds(z, upto)``, and the weight before it and up to it.
 
     values: key, z, tie (the order of equal z) and w, not negative; targets: unique rows of key, t and what ``holds`` reads, which must rise with z and weight. z is null where it never holds,
-    and where the key has no values. ``largest`` is a bound of a key's rows, if known. Of a large key's rows of equal z ``before`` and ``upto`` may be those of all together.
+    and where the key has no values. ``largest`` is a bound of a key's rows, if known; ``weight`` takes the place of w and may read what
+    targets hold of the key (the same in all of its rows). Of a large key's rows of equal z ``before`` and ``upto`` may be those of all together.
     """
     names = [key, "t"]
     values = values.select(key, "z", "tie", "w")
     zero = F.lit(0).cast(dict(values.agg(F.sum("w").alias("s")).dtypes)["s"])
+    weighed = lambda rows: rows if weight is None else rows.withColumn("w", weight)
+    if (largest is not None and largest <= leaf) or values.groupBy(key).agg(F.count("*").alias("rows_")).filter(F.col("rows_") > leaf).isEmpty():
+        return targets.join(_sorted(weighed(values.join(targets, key)).withColumn("base_", zero), names, holds), names, "left")
+    if weight is not None:
+        values = weighed(values.join(targets.dropDuplicates([key]), key)).select(key, "z", "tie", "w")
     sizes = values.groupBy(key).agg(F.count("*").alias("rows_"), F.min("z").alias("low_"), F.max("z").alias("high_"), F.sum("w").alias("upto")).filter(F.col("rows_") > leaf)
-    if (largest is not None and largest <= leaf) or sizes.isEmpty():
-        return targets.join(_sorted(values.join(targets, key).withColumn("base_", zero), names, holds), names, "left")
     with scope(values.sparkSession) as keep:
         sizes = materialize(sizes, "sizes")
         found = [_sorted(values.join(sizes, key, "left_anti").join(targets, key).withColumn("base_", zero), names, holds)]

@@ -566,7 +566,7 @@ problems AS (SELECT problem_id, n, (m * 100 - 50) * n AS s, lam FROM m)"""
     + " SELECT problem_id, round(x, 6) AS x FROM solved",
 )
 def _(spark, d):
-    return solved(*src.benchmark_problems(spark))
+    return solved(*src.benchmark_problems(spark), largest=max(src.SIZES))
 
 
 def _labels(spark, d) -> DataFrame:

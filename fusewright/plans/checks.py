@@ -320,7 +320,7 @@ def _(spark, d):
 def _(spark, d):
     """The generator's problems, one for each supplier."""
     ids = src.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
-    return cat.solved(*src.benchmark_problems(spark, ids=ids))
+    return cat.solved(*src.benchmark_problems(spark, ids=ids), largest=max(src.SIZES))
 
 
 _SETS = f"""WITH RECURSIVE p AS (SELECT DISTINCT u, v FROM ({cat.PAIRS}) WHERE u <> v AND u % 11 <> 0 AND (u * 7 + v) % 13 = 0), adj AS (SELECT u AS a, v AS b FROM p UNION SELECT v, u FROM p),

@@ -43,7 +43,11 @@ def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select((F.col("u") * 1000 + F.col("v")).cast("long").alias("pair_idx"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), (F.col("u") + F.col("v") + 1).cast("double").alias("weight"))
 
 
-def benchmark_problems(spark: SparkSession, per_size: int = 20, sizes: tuple[int, ...] = (5, 20, 50, 100, 200, 500), ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: Neighbours of the generated problems.
+SIZES = (5, 20, 50, 100, 200, 500)
+
+
+def benchmark_problems(spark: SparkSession, per_size: int = 20, sizes: tuple[int, ...] = SIZES, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Deterministic problems of each size from integer arithmetic, so any engine can make the same; one for each id of ``ids`` (from 0), if given."""
     ids = spark.range(len(sizes) * per_size) if ids is None else ids.select("id")
     ids = ids.select(F.col("id").alias("problem_id"), F.element_at(F.array(*[F.lit(x) for x in sizes]), (F.col("id") % len(sizes) + 1).cast("int")).alias("r"))
